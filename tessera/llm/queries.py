@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, langid, sharding, tokencount
 
 
 def queries() -> dict:
     return {
+        "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
+        "op9_language_profiles": langid.op9_language_profiles,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
