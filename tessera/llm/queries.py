@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, sharding, tokencount
+from . import bpe, langid, linefreq, sharding, tokencount
 
 
 def queries() -> dict:
     return {
+        "op2_line_frequency": linefreq.op2_line_frequency,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
         "op9_language_profiles": langid.op9_language_profiles,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_frequency": linefreq.OP2_SQL}
