@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, sharding, tokencount
+from . import bpe, langid, linefreq, sharding, tokencount, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_line_frequency": linefreq.op2_line_frequency,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": linefreq.OP2_SQL}
+    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL}
