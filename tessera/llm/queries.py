@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, sharding, tokencount, warc
+from . import bpe, langid, linefreq, mixing, scann, sharding, tokencount, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_line_frequency": linefreq.op2_line_frequency,
+        "op3_anisotropic_search": scann.op3_anisotropic_search,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
+        "op7_raked_mixture": mixing.op7_raked_mixture,
         "op9_language_profiles": langid.op9_language_profiles,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }

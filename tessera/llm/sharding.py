@@ -55,13 +55,14 @@ def shuffle_into_shards(
     seed: int = 17,
     grown: bool = True,
 ) -> DataFrame:
-    """Shuffle rows into shards; returns what was written: record, shard, slot, grown_shard, bucket.
-
-    record holds the input row as a struct, so its names cannot clash. slot
-    counts from 0 without gaps in every shard, in shuffled order. bucket_bytes
-    bounds what one task holds in memory (a longer single record excepted).
-    Null keys are a key of their own. Empty input gives an empty table; equal
-    rows each keep a slot of their own.
+    """Shuffle rows into shards; returns what was written: record, shard, grown_shard, bucket, place.
+
+    record holds the input row as a struct, so its names cannot clash. place
+    counts from 0 within a bucket, in shuffled order; with_slots() turns bucket
+    and place into a slot of the shard. bucket_bytes bounds what one task holds
+    in memory (a longer single record excepted). Null keys are a key of their
+    own. Empty input gives an empty table; equal rows each keep a place of
+    their own.
     """
     spark = rows.sparkSession
     size = size if size is not None else F.lit(64)
@@ -75,18 +76,22 @@ def shuffle_into_shards(
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("bucket"),
         h.alias("_order"),
     )
-    scattered = placed.repartition(n_shards * parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "_order")
+    scattered = placed.repartitionById(n_shards * parts, F.col("shard") * parts + F.col("bucket")).sortWithinPartitions("shard", "bucket", "_order")
     schema = StructType([f for f in scattered.schema.fields if f.name != "_order"] + [StructField("place", LongType())])
     path = new_path(spark, "shards")
     scattered.mapInArrow(lambda it: _fisher_yates(it, seed), schema).write.option("compression", "zstd").parquet(path)
-    written = spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_slots(written: DataFrame) -> DataFrame:
+    """Columns of written rows, slot in place of bucket and place: a shard's buckets follow one another.
+
+    Drop wide columns first, since rows meet the sizes of their buckets in a join.
+    """
     by_shard = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = written.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
-        "shard", "bucket", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before")
-    )
-    return written.join(before, ["shard", "bucket"]).select(
-        "record", "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard", "bucket"
-    )
+    sizes = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
+    return written.join(before, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before", "bucket", "place")
 
 
 def _fisher_yates(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -127,14 +132,17 @@ def op6_external_shuffle(spark, sf_dir: str) -> DataFrame:
     """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    out = shuffle_into_shards(docs, "doc_id", size=size)
+    written = shuffle_into_shards(docs, "doc_id", size=size)
     text = F.col("record.text")
-    return out.select(
-        F.col("record.doc_id").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        "grown_shard",
+    return with_slots(
+        written.select(
+            F.col("record.doc_id").alias("doc_id"),
+            (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+            F.lit("key").alias("law"),
+            "shard",
+            "grown_shard",
+            "bucket",
+            "place",
+        )
     )
