@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, mixing, scann, sharding, tokencount, warc
+from . import bpe, langid, linefreq, mixing, recompress, scann, sharding, tokencount, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_line_frequency": linefreq.op2_line_frequency,
         "op3_anisotropic_search": scann.op3_anisotropic_search,
+        "op4_recompression": recompress.op4_recompression,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
         "op7_raked_mixture": mixing.op7_raked_mixture,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL}
+    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL, "op4_recompression": recompress.OP4_SQL}
