@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, mixing, recompress, scann, sharding, tokencount, warc
+from . import bpe, langid, linefreq, mixing, paritysketch, recompress, scann, sharding, tokencount, warc
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_external_shuffle": sharding.op6_external_shuffle,
         "op7_raked_mixture": mixing.op7_raked_mixture,
+        "op8_parity_sketch_join": paritysketch.op8_parity_sketch_join,
         "op9_language_profiles": langid.op9_language_profiles,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL, "op4_recompression": recompress.OP4_SQL}
+    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL, "op4_recompression": recompress.OP4_SQL, "op8_parity_sketch_join": paritysketch.OP8_SQL}
