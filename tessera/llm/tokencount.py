@@ -27,6 +27,23 @@ from pyspark.sql import functions as F
 
 from .common import documents, row_blocks, stored, text_bytes
 
+#: Rows of counts that a task holds before it packs them by block.
+PACK = 500_000
+
+_ZSTD = pa.Codec("zstd")
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """32-bit integers as bytes: the four bytes of all values one after the other, compressed; length first."""
+    raw = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    raw = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -50,7 +67,7 @@ def piece_counter(path: str, definition):
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per block: the ids and sizes of its documents, their vectors end to end, its distinct pre-tokens."""
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 12
     held, size = [], 0
 
     def flush():
@@ -60,8 +77,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
         which, freq, n, sizes = [], [], [], []
         for text in text_bytes(table.column("text")):
             count = Counter((text or b"").split())
-            which.append(np.fromiter((place.setdefault(w, len(place)) for w in count), np.int32, len(count)))
-            freq.append(np.fromiter(count.values(), np.int32, len(count)))
+            at = np.fromiter((place.setdefault(w, len(place)) for w in count), np.int32, len(count))
+            order = np.argsort(at)
+            which.append(np.diff(at[order], prepend=np.int32(0)))
+            freq.append(np.fromiter(count.values(), np.int32, len(count))[order])
             n.append(len(count))
             sizes.append(len(text or b""))
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
@@ -73,12 +92,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
                 "ids": pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("id").chunk(0) if table.num_rows else pa.array([], table.schema.field("id").type)),
                 "sizes": one(sizes, pa.int64()),
                 "n": one(n, pa.int32()),
-                "which": one(whole(which), pa.int32()),
-                "freq": one(whole(freq), pa.int32()),
+                "which": pa.array([squeeze(whole(which))], pa.binary()),
+                "freq": pa.array([squeeze(whole(freq))], pa.binary()),
                 "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
             }
         )
         number += 1
+        if number & 4095 == 0:
+            raise ValueError("more than 4095 blocks in a partition; raise block_bytes or read smaller partitions")
 
     for batch in batches:
         for part in row_blocks(batch, "text", most_bytes):
@@ -96,36 +117,56 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, definition) -> Iterator
     """Pieces of each distinct pre-token of a partition sorted by pre-token: each is counted once."""
     count = piece_counter(path, definition)
     last, pieces = None, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         coded = batch.column("word").dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = [pieces if w == last else None for w in distinct[:1]]
-        fresh = distinct[len(known) if known and known[0] is not None else 0 :]
-        counts: list[int] = known if known and known[0] is not None else []
-        for a in range(0, len(fresh), 2000):
-            counts += count(fresh[a : a + 2000])
         if not distinct:
             continue
+        counts = [pieces] if distinct[0] == last else []
+        for a in range(len(counts), len(distinct), 2000):
+            counts += count(distinct[a : a + 2000])
         last, pieces = distinct[-1], counts[-1]
-        n = np.array(counts, np.int32)[coded.indices.to_numpy()]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(n)], ["block", "place", "pieces"])
+        held.append((batch.column("at").to_numpy(), np.array(counts, np.int32)[coded.indices.to_numpy()]))
+        if sum(len(x) for x, _ in held) >= PACK:
+            yield _packed(held)
+            held = []
+    if held:
+        yield _packed(held)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per block: places in order (as differences) and their counts."""
+    at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(at)
+    at, n = at[order], n[order]
+    block = at >> 28
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(at)]))
+    rows = [(int(block[a]), squeeze(np.diff((at[a:b] & 0xFFFFFFF).astype(np.int32), prepend=np.int32(0))), squeeze(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "places", "pieces"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c).slice(i, 1).flatten() for c in ("ids", "sizes", "n", "which", "freq", "counted")}
-            counted = row["counted"]
-            pieces = np.zeros(len(counted), np.int64)
-            pieces[counted.field("place").to_numpy()] = counted.field("pieces").to_numpy()
-            each = pieces[row["which"].to_numpy()] * row["freq"].to_numpy()
-            ends = np.cumsum(row["n"].to_numpy(), dtype=np.int64)
+            row = {c: batch.column(c).slice(i, 1).flatten() for c in ("ids", "sizes", "n")}
+            which, freq = (unsqueeze(batch.column(c)[i].as_py()) for c in ("which", "freq"))
+            counted = [(np.cumsum(unsqueeze(x["places"])), unsqueeze(x["pieces"])) for x in batch.column("counted")[i].as_py()]
+            pieces = np.zeros(sum(len(x) for x, _ in counted), np.int64)
+            for places, n in counted:
+                pieces[places] = n
+            n = row["n"].to_numpy()
+            ends = np.cumsum(n, dtype=np.int64)
+            # places were kept as differences within each document
+            steps = np.cumsum(which, dtype=np.int64)
+            before = np.concatenate(([0], steps))[ends - n]
+            each = pieces[steps - np.repeat(before, n)] * freq
             total = np.concatenate(([0], np.cumsum(each)))
             sums = total[ends] - total[np.concatenate(([0], ends[:-1]))]
             yield pa.RecordBatch.from_arrays([row["ids"], row["sizes"], pa.array(sums, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, n_bytes (UTF-8) and n_tokens of the whole text by the library of the file.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows with equal ids stay
@@ -144,19 +185,19 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     blocks = stored(
         frame.mapInArrow(
             lambda it: _blocks(it, block_bytes),
-            f"block long, ids array<{kind}>, sizes array<long>, n array<int>, which array<int>, freq array<int>, words array<string>",
+            f"block long, ids array<{kind}>, sizes array<long>, n array<int>, which binary, freq binary, words array<string>",
         ),
         "blocks",
     )
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    words = blocks.select("block", F.posexplode("words").alias("place", "word")).select((F.shiftleft("block", 28) + F.col("place")).alias("at"), "word")
     counted = (
         words.repartition("word")
         .sortWithinPartitions("word")
-        .mapInArrow(lambda it: _count(it, path, definition), "block long, place int, pieces int")
+        .mapInArrow(lambda it: _count(it, path, definition), "block long, places binary, pieces binary")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("place", "pieces")).alias("counted"))
+        .agg(F.collect_list(F.struct("places", "pieces")).alias("counted"))
     )
-    none = F.array().cast("array<struct<place:int,pieces:int>>")
+    none = F.array().cast("array<struct<places:binary,pieces:binary>>")
     return (
         blocks.drop("words")
         .join(counted, "block", "left")
