@@ -23,12 +23,19 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["bm25_topk"](spark, sf_dir)
+    return queries()["bm25_topk"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import retrieval_queries  # noqa: F401
