@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents
+from .common import SPACE, documents, stored
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -118,7 +118,7 @@ def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str
     joined back by host and hash, and Spark may split that join where a third
     of all documents share a line, since its other side has one row for it.
     """
-    lines = line_table(docs, host_col, text_col)
+    lines = stored(line_table(docs, host_col, text_col), "lines")
     frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
     l, f = lines.alias("l"), frequent.alias("f")
     return (
@@ -156,7 +156,7 @@ def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col:
     Each text meets the hashes of its own frequent lines only: they are
     gathered per host and text, no more of them than the text has lines.
     """
-    lines = line_table(docs, host_col, text_col)
+    lines = stored(line_table(docs, host_col, text_col), "lines")
     frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
     l, f = lines.alias("l"), frequent.alias("f")
     out = (
@@ -188,7 +188,9 @@ win AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 raw AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d),
-filled AS (SELECT *, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[ 	-]+', ' ', 'g')) AS nl FROM raw WHERE regexp_matches(l, '[^ 	-]')),
+filled AS (SELECT *, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[ 	-
+]+', ' ', 'g')) AS nl FROM raw WHERE regexp_matches(l, '[^ 	-
+]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM filled GROUP BY r),
 freq AS (SELECT source, nl FROM filled GROUP BY source, nl HAVING count(DISTINCT text) > 20),
 cut AS (SELECT r, sum(len(string_split(nl, ' '))) AS n FROM filled SEMI JOIN freq ON filled.source IS NOT DISTINCT FROM freq.source AND filled.nl = freq.nl GROUP BY r),
