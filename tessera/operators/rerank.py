@@ -96,6 +96,15 @@ def lexical_features(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("logit", logit())
 
 
+def candidate_idf_of(pairs: DataFrame) -> DataFrame:
+    """query_id, term, idf of each question's terms over its passages (query_id, query, passage)."""
+    p = pairs.select("query_id", text.tokenize(F.col("query")).alias("q"), text.tokenize(F.col("passage")).alias("d"))
+    terms = p.groupBy("query_id").agg(F.count("*").alias("n"), F.first("q").alias("q")).select("query_id", "n", F.explode(F.array_distinct("q")).alias("term"))
+    have = p.select("query_id", F.explode(F.array_intersect("q", "d")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    df = F.coalesce("df", F.lit(0))
+    return terms.join(have, ["query_id", "term"], "left").select("query_id", "term", F.log1p((F.col("n") - df + 0.5) / (df + 0.5)).alias("idf"))
+
+
 def logit() -> Column:
     out = F.lit(BIAS)
     for name, w in WEIGHTS.items():
