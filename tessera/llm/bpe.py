@@ -12,7 +12,6 @@ decided from how the tokens were merged and is memoised.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -26,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
+#: Verdicts on adjacent tokens that a worker remembers.
+MEMO_PAIRS = 1 << 20
+
 #: Entries that a worker's cache of encoded pieces holds before it starts afresh.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,27 +42,32 @@ class Codec:
     """Encoder and decoder for one rank table. Ranks order the merges; every byte must be a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if not regex.fullmatch(pattern, " x") or regex.fullmatch(pattern, "x "):
+            raise ValueError("the pattern must let a space begin a match, not end one")
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.tokens = dict(map(reversed, ranks.items()))
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int] = {}
-        self.fits = functools.lru_cache(1 << 18)(self._fits)
+        self.memo: dict[int, bool] = {}
         reachable = []
         for rank, token in sorted(self.tokens.items()):
             if self._learn(rank, token):
                 reachable.append(rank)
-        self.fits.cache_clear()
+        self.sizes = [0] * (max(self.tokens, default=-1) + 1)
+        for rank, token in self.tokens.items():
+            self.sizes[rank] = len(token)
         self.automaton = ahocorasick.Automaton()
         for rank in reachable:
-            self.automaton.add_word(self.tokens[rank].decode("latin-1"), (rank, len(self.tokens[rank])))
+            self.automaton.add_word(self.tokens[rank].decode("latin-1"), rank)
         self.automaton.make_automaton()
         whole = set(reachable)
         for rank in reachable:
             token = self.tokens[rank]
             self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := ranks.get(token[:n])) is not None and r in whole), -1)
         self.cache = _Pieces(self)
+        self.words = _Words(self)
         self.by_id = [self.tokens.get(i, b"") for i in range(max(self.tokens, default=-1) + 1)]
 
     def _learn(self, rank: int, token: bytes) -> bool:
@@ -103,32 +110,53 @@ class Codec:
     def encode_piece(self, piece: bytes) -> list[int]:
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
-        n = len(piece)
+        n, sizes, memo, shorter = len(piece), self.sizes, self.memo, self.shorter
         longest = [0] * n
-        for end, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = rank
-        open_ = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        at, token, size, fits = 0, longest[0], self.tokens, self.fits
+        for end, rank in self.automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - sizes[rank]] = rank
+        token, out, dead = longest[0], [], set()
+        at, last = 0, -1
         while True:
-            end = at + len(size[token])
-            if open_[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
+            end = at + sizes[token]
+            fits = True
+            if last >= 0:
+                fits = memo.get(last << 32 | token)
+                if fits is None:
+                    fits = self._remember(last, token)
+            if fits and end not in dead:
+                if end == n:
+                    out.append(token)
                     return out
-                token = longest[at]
-            elif (shorter := self.shorter[token]) >= 0:
-                token = shorter
+                out.append(token)
+                at, last, token = end, token, longest[end]
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
-                open_[at] = 0
+                dead.add(at)
                 token = out.pop()
-                at -= len(size[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
+
+    def _remember(self, a: int, b: int) -> bool:
+        if len(self.memo) >= MEMO_PAIRS:
+            self.memo.clear()
+        out = self.memo[a << 32 | b] = self._fits(a, b)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) + len(self.words) > CACHE_PIECES:
             self.cache.clear()
+            self.words.clear()
+        first, *rest = text.split(" ")
+        try:
+            if first[-1:].isspace():
+                raise _Spaces
+            return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))
+        except _Spaces:
+            return self._pieces(text)
+
+    def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -150,6 +178,33 @@ class _Pieces(dict):
         return out
 
 
+class _Spaces(Exception):
+    """White space next to a space: the matches there depend on more than the word."""
+
+
+class _Words(dict):
+    """Encoded words with the space before them.
+
+    A single space between two other characters always begins a match of the
+    pattern, so a text may be cut there; a frequent word is then one look-up,
+    whatever matches it is made of.
+    """
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Spaces
+        encode = self.codec.encode_piece
+        ids = [i for piece in self.codec.pattern.findall(f" {word}") for i in encode(piece.encode("utf-8", "surrogatepass"))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
