@@ -12,8 +12,10 @@ A window of `width` words is represented by one symbol whose dependencies lie
 inside the window, the one of the least hash (a window without such a symbol
 represents itself). Equal windows thus have equal representatives, and only
 windows whose representative, with its dependencies as context, stands in two
-documents or more can repeat. Those are compared by 128-bit hashes of all their
-words; the smallest document id of each window decides.
+texts or more can repeat. Neighbouring windows of one representative are a run.
+A run whose words also stand, as a run, in a document with a smaller id repeats
+as a whole; of the others, one of each kind, windows are compared one by one.
+Both go by 128-bit hashes of all the words, and the smallest id decides.
 """
 
 from __future__ import annotations
@@ -219,51 +221,97 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
-    """Windows of texts whose key is wanted: places and hashes; the words go along for the removal."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Rows (key, row) of keys that two rows or more have, for a partition sorted by key and row; no key is held whole."""
+    held = np.zeros((2, 0), np.int64)  # the first row of the key that the last batch ended in
+    given = False  # whether that key has been found to be shared
+    for batch in batches:
+        now = np.concatenate((held, np.stack([batch.column(c).to_numpy() for c in ("key", "row")])), axis=1)
+        if not now.shape[1]:
+            continue
+        fresh = np.concatenate(([True], (np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)))
+        now = now[:, fresh]
+        same = now[0][1:] == now[0][:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if given and held.shape[1]:
+            shared[0] = False  # this row has gone out before
+        out = now[:, shared]
+        tail = now[0] == now[0][-1]
+        carried = held.shape[1] and now[0][-1] == held[0][0]
+        given = bool(shared[tail].any()) or bool(given and carried)
+        # later rows of the key differ from its first one or from its last one: the last is enough
+        held = now[:, -1:].copy()
+        if out.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["key", "row"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Texts with their runs of wanted keys: first window, number of windows, hashes of all their words."""
     for part in _parts(batches):
         words = Words(text_bytes(part.column("text")))
-        at, key, _ = representatives(words, width)
+        at, key, fresh = representatives(words, width)
+        start = np.flatnonzero(fresh)
+        count = np.diff(np.concatenate((start, [len(at)])))
+        at, key = at[start], key[start].view(np.int64)
         doc = words.text[at]
-        wanted = [np.asarray(x, np.int64) for x in part.column("wanted").to_pylist()]
         keep = np.zeros(len(at), bool)
-        for i, own in enumerate(wanted):
+        for i, own in enumerate(part.column("wanted").to_pylist()):
             a, b = np.searchsorted(doc, [i, i + 1])
-            keep[a:b] = np.isin(key[a:b].view(np.int64), own)
-        at, doc = at[keep], doc[keep]
-        one, two = (window_hashes(words.hashes, width, s)[at].view(np.int64) for s in (1, 2))
+            keep[a:b] = np.isin(key[a:b], np.asarray(own, np.int64))
+        at, key, doc, count = at[keep], key[keep], doc[keep], count[keep]
+        one, two = (_span_hashes(words.hashes, at, at + count + width - 1, s) for s in (1, 2))
         cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
         texts = [words.joined(a, b) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        content = part.column("content").to_pylist()
-        true = pa.array([hashlib.sha256(t).digest() == c for t, c in zip(texts, content, strict=True)])
-        yield pa.RecordBatch.from_arrays(
-            [part.column("id"), part.column("content"), pa.array(texts, pa.binary()).cast(pa.string()), _lists(at - words.first[doc], cuts, pa.int32()), _lists(one, cuts, pa.int64()), _lists(two, cuts, pa.int64())],
-            ["id", "content", "text", "at", "one", "two"],
-        ).filter(true)
+        lists = [_lists(v, cuts, t) for v, t in ((key, pa.int64()), (at - words.first[doc], pa.int32()), (count, pa.int32()), (one, pa.int64()), (two, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), *lists], ["id", "row", "text", "key", "at", "n", "one", "two"])
+
+
+def _span_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the words lo to hi, and of how many they are."""
+    with np.errstate(over="ignore"):
+        mixed = mix64(h + np.uint64(seed * 0x1F123BB5))
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * _powers(len(h)), dtype=np.uint64)))
+        inverse = _powers(len(h), inverse=True)
+        return mix64((prefix[hi] - prefix[lo]) * (inverse[lo] if len(h) else np.zeros(0, np.uint64)) + (hi - lo).astype(np.uint64)).view(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Windows of the runs that are named (by the run's hashes and the place in it), with hashes of their words."""
+    for part in _parts(batches):
+        words = Words(text_bytes(part.column("text")))
+        first = np.concatenate([np.asarray([r["at"] for r in runs], np.int64) + words.first[i] for i, runs in enumerate(part.column("runs").to_pylist())])
+        runs = [r for x in part.column("runs").to_pylist() for r in x]
+        count = np.asarray([r["n"] for r in runs], np.int64)
+        off = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(first, count) + off
+        run = [np.repeat(np.asarray([r[c] for r in runs], np.int64), count) for c in ("one", "two")]
+        one, two = (window_hashes(words.hashes, width, s)[at].view(np.int64) for s in (3, 4))
+        ids = part.column("id").take(pa.array(words.text[at]))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(run[0]), pa.array(run[1]), pa.array(off.astype(np.int32)), pa.array(one), pa.array(two)], ["id", "run1", "run2", "off", "one", "two"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
     for part in _parts(batches):
         words = Words(text_bytes(part.column("text")))
         removed, kept = [], []
-        for a, b, at in zip(words.first[:-1], words.first[1:], part.column("repeated").to_pylist(), strict=True):
+        for a, b, found in zip(words.first[:-1], words.first[1:], part.column("repeated").to_pylist(), strict=True):
             edge = np.zeros(b - a + 1, np.int32)
-            at = np.asarray(sorted(at), np.int64)
+            at, n = (np.asarray([r[c] for r in found], np.int64) for c in ("at", "n"))
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + width, -1)
+            np.add.at(edge, at + n + width - 1, -1)
             gone = np.cumsum(edge)[:-1] > 0
             removed.append(int(gone.sum()))
             kept.append(words.joined(a, b, ~gone))
-        yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["content", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_removed", "kept"])
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> tuple[DataFrame, DataFrame]:
-    """What repeats: (rows, changed).
+    """What repeats: (rows, contents).
 
-    rows: per row id, row (a hash of id and text), n_words, content (SHA-256 of
-    its words joined by spaces) and first_id, the smallest id with that content.
-    changed: per content that loses words (as the document first_id) n_removed
-    and kept, the text left.
+    rows: per row id, row (a hash of id and text), n_words and content (SHA-256
+    of its words joined by spaces). contents: per content first_id, the smallest
+    id that has it, and, if that document loses words, n_removed and kept, the
+    text left.
 
     A word goes if a window of `width` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. Equal contents
@@ -273,43 +321,53 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
     sketched = stored(frame.mapInArrow(lambda it: _sketch(it, width), f"id {kind}, row long, n_words long, content binary, keys array<long>"), "sketches")
-    named = sketched.where("id IS NOT NULL")
-    contents = stored(named.groupBy("content").agg(F.min("id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("keys").alias("keys")), "contents")
-    keys = contents.select("content", "first_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("key")
-    wanted = keys.join(shared, "key", "left_semi").groupBy("content").agg(F.first("first_id").alias("id"), F.collect_set("key").alias("wanted"))
-    texts = frame.select("id", "text").join(wanted, "id")
-    windows = stored(
-        texts.mapInArrow(lambda it: _windows(it, width), f"id {kind}, content binary, text string, at array<int>, one array<long>, two array<long>").dropDuplicates(["content"]), "windows"
-    )
-    each = windows.select("content", "id", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("content", "id", "w.*")
+    firsts = sketched.where("id IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "row")).alias("m")).select("content", F.col("m.id").alias("first_id"), F.col("m.row").alias("row"))
+    firsts = stored(firsts, "firsts")
+    keys = sketched.select("row", "keys").join(firsts.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    shared = keys.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long")
+    wanted = shared.groupBy("row").agg(F.collect_set("key").alias("wanted"))
+    texts = stored(frame.join(wanted, "row").mapInArrow(lambda it: _runs(it, width), f"id {kind}, row long, text string, key array<long>, at array<int>, n array<int>, one array<long>, two array<long>"), "texts")
+    runs = texts.select("id", "row", F.explode(F.arrays_zip("key", "at", "n", "one", "two")).alias("w")).select("id", "row", "w.*")
+    kinds = stored(runs.groupBy("one", "two").agg(F.min(F.struct("id", "row", "at", "n", "key")).alias("m")).select("one", "two", F.col("m.id").alias("least"), "m.row", "m.at", "m.n", "m.key"), "kinds")
+    known = runs.select("id", "row", "at", "n", "one", "two").join(kinds.select("one", "two", "least"), ["one", "two"])
+    whole = known.where("least < id").select("row", "at", "n")
+    # a kind of run that nothing before it has: its windows, once, and what comes of them wherever the first document has the run
+    open_ = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "n", "one", "two")).alias("runs"))
+    each = texts.select("id", "row", "text").dropDuplicates(["row"]).join(open_, "row").mapInArrow(lambda it: _windows(it, width), f"id {kind}, run1 long, run2 long, off int, one long, two long")
+    each = stored(each, "windows")
     least = each.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("one", "two", "least")
-    repeated = each.join(least, ["one", "two"]).where("least < id").groupBy("content").agg(F.collect_set("at").alias("repeated"))
-    changed = windows.select("content", "text").join(repeated, "content").mapInArrow(lambda it: _remove(it, width), "content binary, n_removed long, kept string")
-    rows = sketched.drop("keys").join(contents.select("content", "first_id"), "content", "left")
-    return rows, stored(changed, "changed")
+    single = each.join(least, ["one", "two"]).where("least < id").select(F.col("run1").alias("one"), F.col("run2").alias("two"), "off")
+    single = known.where("least = id").select("row", "at", "one", "two").join(single, ["one", "two"]).select("row", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
+    repeated = whole.union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("repeated"))
+    changed = texts.select("row", "text").join(repeated, "row").mapInArrow(lambda it: _remove(it, width), "row long, n_removed long, kept string")
+    one = changed.groupBy("row").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
+    return sketched.drop("keys"), stored(firsts.join(one, "row", "left").drop("row"), "contents")
 
 
-def _verdict(rows: DataFrame, changed: DataFrame, width: int) -> DataFrame:
+def _verdict(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
     """rows with n_removed and kept (null where nothing goes)."""
     copy = F.coalesce((F.col("id") > F.col("first_id")) & (F.col("n_words") >= width), F.lit(False))
-    first = F.coalesce(F.col("id") == F.col("first_id"), F.lit(False))
-    found = rows.join(changed, "content", "left")
-    return found.withColumn("kept", F.when(copy, F.lit("")).when(first, F.col("kept"))).withColumn("n_removed", F.when(copy, F.col("n_words")).when(first & F.col("n_removed").isNotNull(), F.col("n_removed")).otherwise(F.lit(0).cast("long")))
+    first = F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)) & F.col("n_removed").isNotNull()
+    found = rows.join(contents, "content", "left")
+    return found.select(
+        *rows.columns,
+        F.when(copy, F.col("n_words")).when(first, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+        F.when(copy, F.lit("")).when(first, F.col("kept")).alias("kept"),
+    )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
     """docs with repeated passages taken out of the texts; texts that lose nothing stay as they are."""
-    rows, changed = find_repeats(docs, id_col, text_col, width)
-    found = _verdict(rows, changed, width).where("n_removed > 0").select("row", "kept").dropDuplicates(["row"])
+    rows, contents = find_repeats(docs, id_col, text_col, width)
+    found = _verdict(rows, contents, width).where("n_removed > 0").select("row", "kept").dropDuplicates(["row"])
     keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
     return keyed.join(found.select(F.col("row").alias("__row"), F.col("kept").alias("__kept")), "__row", "left").withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
 
 
 def op4_recompression(spark, sf_dir: str, width: int = 50) -> DataFrame:
     """Words of every document, words removed, and the digest of those kept."""
-    rows, changed = find_repeats(documents(spark, sf_dir).select("doc_id", "text"), width=width)
-    out = _verdict(rows, changed, width)
+    rows, contents = find_repeats(documents(spark, sf_dir).select("doc_id", "text"), width=width)
+    out = _verdict(rows, contents, width)
     kept = F.when(F.col("kept").isNull(), F.lower(F.hex("content"))).otherwise(F.sha2(F.col("kept"), 256))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
 
