@@ -14,7 +14,8 @@ def tokens(column: str) -> str:
 def answer(column: str) -> str:
     """Normalised answer text."""
     quoted = PUNCTUATION.replace("'", "''")
-    return f"trim(regexp_replace(regexp_replace(translate(lower({column}), '{quoted}', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    words = f"regexp_split_to_array(translate(lower({column}), '{quoted}', ''), '\\s+')"
+    return f"array_to_string(list_filter({words}, lambda x: x NOT IN ('a', 'an', 'the', '')), ' ')"
 
 
 CORPUS = f"""

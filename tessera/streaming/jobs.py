@@ -41,12 +41,17 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, policy: Callable[[],
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
 
+def _timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with a zone; a batch as it is."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if rows.isStreaming else rows
+
+
 def windowed(decisions: DataFrame, ts: str = "ts", length: str = "1 hour", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
     """Per window: decisions, answered, wrong, coverage and risk. Rows later than the watermark are dropped, as in any stream.
 
     decisions: ts, answered, wrong (booleans).
     """
-    source = decisions.withWatermark(ts, late) if decisions.isStreaming else decisions
+    source = _timed(decisions, ts, late)
     answered = F.col("answered")
     out = source.groupBy(F.window(ts, length), *(by or [])).agg(F.count("*").alias("n"), F.count_if(answered).alias("n_answered"), F.count_if(answered & F.col("wrong")).alias("n_wrong"))
     return out.select(
@@ -62,7 +67,7 @@ def windowed(decisions: DataFrame, ts: str = "ts", length: str = "1 hour", late:
 
 def sessions(events: DataFrame, ts: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Per user and session: start, end, events."""
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    source = _timed(events, ts, late)
     out = source.groupBy(F.session_window(ts, gap), user).agg(F.count("*").alias("n"))
     return out.select(user, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
