@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rerank import two_stage
 from .retrieval import hybrid_search
+from .settle import settle
 
 RETRIEVAL_FEATURES = ["rrf_top1", "rrf_margin", "bm25_top1", "dense_top1", "rank_agreement", "overlap_at_5"]
 FEATURES = ["ce_top1", "ce_margin", "ce_entropy", *RETRIEVAL_FEATURES]
@@ -68,7 +69,7 @@ def evidence(corpus: DataFrame, queries: DataFrame, k_ctx: int = 3, top: int = 1
         candidates, results = two_stage(corpus, queries, top, pool)
         found = first_stage_features(candidates, results).join(rerank_features(results), "query_id", "left")
     else:
-        candidates = hybrid_search(corpus, queries, max(top, pool))
+        candidates = settle(hybrid_search(corpus, queries, max(top, pool)))
         results = candidates.where(F.col("rank") <= top)
         found = first_stage_features(candidates, results)
     names = FEATURES if reranking else RETRIEVAL_FEATURES

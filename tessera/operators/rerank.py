@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from .retrieval import hybrid_search, rank_by
+from .settle import settle
 
 # fixed values: weights of the features and the bias of the logit
 WEIGHTS = {"coverage": 6.0, "proximity": 3.0, "bigram": 2.0, "fuzzy": 1.0}
@@ -127,9 +128,10 @@ def two_stage(corpus: DataFrame, queries: DataFrame, top: int = 10, retrieve: in
     """
     if top <= 0 or retrieve <= 0:
         raise ValueError("top and retrieve must be positive")
-    candidates = hybrid_search(corpus, queries, max(retrieve, top), mode)
+    # a pool per question, used several times over: kept, so that later plans start from it
+    candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode))
     pairs = candidates.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("pos", F.col("text").alias("passage")), "pos")
     scored = lexical_features(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])
     ranked = rows.withColumn("rank", rank_by(F.round("logit", 9).desc(), F.col("first_stage_rank"))).where(F.col("rank") <= top)
-    return candidates, ranked.withColumns({"score": F.col("logit"), "probability": numeric.sigmoid(F.col("logit"))})
+    return candidates, settle(ranked.withColumns({"score": F.col("logit"), "probability": numeric.sigmoid(F.col("logit"))}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import features, reader
 from ..operators.calibrate import Policy
+from ..operators.settle import settle
 
 
 def context_of(results: DataFrame, chunks: DataFrame, k_ctx: int) -> DataFrame:
@@ -30,7 +31,7 @@ def answer(
     names = features.FEATURES if reranking else features.RETRIEVAL_FEATURES
     n = results.groupBy("query_id").agg(F.count("*").alias("n_results"))
     rows = found.join(n, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
-    rows = policy.decide(rows).drop("answer", "tau") if policy else rows.withColumn("confidence", F.lit(None).cast("double"))
+    rows = settle(policy.decide(rows).drop("answer", "tau") if policy else rows.withColumn("confidence", F.lit(None).cast("double")))
     open_gate = F.col("n_results") > 0
     if policy:
         open_gate = open_gate & (F.col("confidence") >= F.lit(policy.tau))
@@ -49,7 +50,7 @@ def answer(
     )
     going = rows.where(open_gate)
     asked = questions.join(going.select("query_id"), "query_id", "left_semi")
-    context = context_of(results.join(going.select("query_id"), "query_id", "left_semi"), chunks, k_ctx)
+    context = settle(context_of(results.join(going.select("query_id"), "query_id", "left_semi"), chunks, k_ctx))
     said = read(context, asked, forced=forced)
     answered = going.join(said, "query_id").select(
         "query_id",
@@ -69,7 +70,7 @@ def answer(
 def read_both(chunks: DataFrame, questions: DataFrame, k_ctx: int = 3, top: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features, free and forced answers by reader, context), without a gate."""
     found, _, results = features.evidence(chunks.select("pos", "text"), questions, k_ctx, max(top, k_ctx))
-    context = context_of(results, chunks, k_ctx).persist()
+    context = settle(context_of(results, chunks, k_ctx))
     free = reader.extractive(context, questions).withColumn("reader", F.lit("free"))
     forced = reader.extractive(context, questions, forced=True).withColumn("reader", F.lit("forced"))
     return found, free.unionByName(forced), context

@@ -4,8 +4,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
+TESTS = Path(__file__).resolve().parent
+# executors import the package and, for functions that tests hand over, the test modules
+for folder in (TESTS, TESTS.parent):
+    sys.path.insert(0, str(folder))
+    os.environ["PYTHONPATH"] = f"{folder}:{os.environ.get('PYTHONPATH', '')}"
 
 SMALL = "/root/testdata/sf0.001"
 
