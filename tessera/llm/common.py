@@ -31,11 +31,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
+#: Scratch tables of this driver, for clear_scratch().
+_SCRATCH: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
+    _SCRATCH.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table once everything made from it is stored itself."""
+    _delete(table.sparkSession, table._scratch)
+
+
+def narrowed(table: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Some columns of a stored table as a stored table of their own; the wide one goes."""
+    out = stored(table.select(*columns), name)
+    discard(table)
+    return out
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table so far: for callers whose earlier results are written."""
+    for path in list(_SCRATCH):
+        _delete(spark, path)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

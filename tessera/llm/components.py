@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -13,6 +13,10 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
+#: Edges that a task writes once their number is known, so that few edges don't make many files.
+TASK_EDGES = 50_000
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component for every node of edges (u, v): component is the least node it reaches.
 
@@ -24,19 +28,20 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     end are left out, self-loops and repeats allowed; no edges give no rows.
     """
     edges = edges.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = edges.select("u").union(edges.select("v")).distinct()
+    nodes = stored(edges.select("u").union(edges.select("v")).distinct(), "nodes")
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, tasks = None, 1 + now.count() // TASK_EDGES
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
         large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _smallest(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small.coalesce(tasks), "edges")
+        discard(before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, tasks = tuple(state), 1 + state["n"] // TASK_EDGES
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(now.select(F.col("u").alias("u"), F.col("v").alias("component")), "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))

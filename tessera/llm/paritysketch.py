@@ -10,10 +10,18 @@ sets can differ in, so some part of theirs must be equal (the pigeonhole), and
 the margin makes sure that one of them isn't empty. Parts are kept as the XOR of
 the 64-bit names of the bits that are set.
 
-Sketches meet on (band, part, value). Documents of one key are not paired off:
-each is tied to the key's least one, ties form clusters, and exact sets decide
-within clusters, block against block. Only links that connect something new
-leave a task. Components of those links are those of all links.
+Sketches meet on (band, part, value). A set that emits K parts shares at least
+K - D of them with each partner, D the most the two may differ in. Values that
+more than RARE sets have say little (a passage that half of all documents quote,
+alone in its part) and are set aside: if a set has f of those, it still shares
+K - D - f rare ones with each partner. Pairs that meet in fewer can't link; pairs
+of rare values are few, RARE being fixed. Only sets with f >= K - D, such as
+members of a large group of near copies, go on to meet in frequent values, among
+themselves: each is tied to the value's least one, never paired off.
+
+Ties form clusters, and exact sets decide within clusters, block against block.
+Only links that connect something new leave a task. Components of those links
+are those of all links.
 """
 
 from __future__ import annotations
@@ -26,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, row_blocks, stored, text_bytes
+from .common import discard, documents, mix64, narrowed, row_blocks, stored, text_bytes
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
+#: A value of a part is frequent if more sets than this have it.
+RARE = 8
+#: Share of parts beyond the most that may differ.
+MARGIN = 0.15
 #: Shingles that a block of a cluster holds, about; blocks are compared in pairs.
 BLOCK_SHINGLES = 150_000
 
@@ -74,10 +86,10 @@ class Bands:
         return (self.den - self.num) * 2 * self.top(band) // (self.den + self.num)
 
     def parts(self, band: int) -> int:
-        """One more than may differ, and a margin for parts that are empty in both."""
+        """More than may differ, by a margin for parts that are empty or hold something frequent."""
         most = self.most(band)
         empty = (most + 1) * math.exp(-(BAND**band) / (most + 1))
-        return most + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+        return most + 1 + math.ceil(MARGIN * most + empty + 3 * math.sqrt(empty))
 
     def bands(self, size: int) -> list[int]:
         """Bands in which a set looks for partners at least as large: its own, and the one where the largest lie."""
@@ -85,13 +97,13 @@ class Bands:
         return list(range(own, last + 1))
 
 
-def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys (band, part, value) of a set, as 64-bit numbers.
+def sketch_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (band, part, value) of a set as 64-bit numbers, the band of each, and K - D of its band.
 
-    Empty parts give a key only where there are so many of them that the margin
-    doesn't cover them; two such sets then meet in those as well.
+    Empty parts give a key only where K <= D, so that two such sets meet in
+    those as well.
     """
-    out = []
+    out, which_band, spare = [], [], []
     with np.errstate(over="ignore"):
         for band in bands.bands(len(shingles)):
             parts, most = bands.parts(band), bands.most(band)
@@ -102,11 +114,14 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
             which = part[order][start]
             filled = value != 0
             which, value = which[filled], value[filled]
-            if parts - len(which) >= parts - most:
+            left = len(which) - most
+            if left <= 0:
                 lone = np.setdiff1d(np.arange(parts), which)
                 which, value = np.concatenate((which, lone)), np.concatenate((value, np.zeros(len(lone), np.uint64)))
             out.append(mix64(mix64(value) + np.uint64(0x9E3779B97F4A7C15) * (which.astype(np.uint64) + np.uint64(band * 1_000_003 + 1))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            which_band.append(np.full(len(which), band, np.int32))
+            spare.append(np.full(len(which), left, np.int32))
+    return np.concatenate(out), np.concatenate(which_band), np.concatenate(spare)
 
 
 def set_name(shingles: np.ndarray) -> int:
@@ -127,20 +142,73 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: Bands) -> Iterable[pa.RecordBatch]:
     for part in _parts(batches):
         sets = shingle_sets(text_bytes(part.column("text")), n)
-        keys = [sketch_keys(s, bands).view(np.int64) if len(s) and any(map(bands.most, bands.bands(len(s)))) else np.zeros(0, np.int64) for s in sets]
-        cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        keys = [sketch_keys(s, bands) if len(s) and any(map(bands.most, bands.bands(len(s)))) else none for s in sets]
+        cuts = pa.array(np.concatenate(([0], np.cumsum([len(k[0]) for k in keys]))), pa.int32())
+        whole = [np.concatenate([k[i] for k in keys]) if keys else none[i] for i in range(3)]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id"),
                 part.column("row"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_name(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())),
+                *[pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)) for x in whole],
             ],
-            ["id", "row", "n_shingles", "node", "keys"],
+            ["id", "row", "n_shingles", "node", "keys", "bands", "spare"],
         )
 
 
+PAIR, FREQUENT = 0, 1
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """What meets on keys, for a partition sorted by key and node.
+
+    PAIR rows (a, b, band, their spares) for keys of 2 to RARE sets, FREQUENT
+    rows (a the key, b the set) for keys of more. At most RARE + 1 rows wait for
+    the next batch, however many a key has.
+    """
+    names = ("key", "node", "band", "spare")
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+    going = None  # a frequent key that the last batch ended in
+
+    def work(rows: list[np.ndarray], last: bool) -> Iterable[pa.RecordBatch]:
+        nonlocal rest, going
+        key, node = rows[0], rows[1]
+        if not len(key):
+            return
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        key, node, band, spare = (x[fresh] for x in rows)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((start, [len(key)])))
+        many = size > RARE
+        many[0] |= going is not None and key[0] == going
+        if not last:
+            going = key[-1] if many[-1] else None
+            if many[-1]:
+                rest = [x[:0] for x in (key, node, band, spare)]
+            else:
+                rest = [x[start[-1] :].copy() for x in (key, node, band, spare)]
+                key, node, band, spare = (x[: start[-1]] for x in (key, node, band, spare))
+                size, many = size[:-1], many[:-1]
+        often = np.repeat(many, size)
+        out = []
+        for step in range(1, RARE):
+            if len(key) > step:
+                at = np.flatnonzero((key[:-step] == key[step:]) & ~often[:-step])
+                out.append((np.full(len(at), PAIR, np.int8), node[at], node[at + step], band[at], spare[at], spare[at + step]))
+        at = np.flatnonzero(often)
+        out.append((np.full(len(at), FREQUENT, np.int8), key[at], node[at], band[at], spare[at], spare[at]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "band", "x", "y"])
+
+    for batch in batches:
+        now = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, names, strict=True)]
+        yield from work(now, False)
+    yield from work(rest, True)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Ties (node, least node of the key) of a partition sorted by key and node; a key is never held whole."""
     last_key, head = None, None
@@ -259,9 +327,20 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     bands = Bands(num, den)
     frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
-    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), f"id {kind}, row long, n_shingles long, node long, keys array<long>"), "sketches")
-    keys = sketched.select("node", F.explode("keys").alias("key"))
-    ties = stored(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u long, v long").distinct(), "ties")
+    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), f"id {kind}, row long, n_shingles long, node long, keys array<long>, bands array<int>, spare array<int>"), "sketches")
+    keys = sketched.select("node", F.explode(F.arrays_zip("keys", "bands", "spare")).alias("k")).select(F.col("k.keys").alias("key"), "node", F.col("k.bands").alias("band"), F.col("k.spare").alias("spare"))
+    met = stored(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
+    sketched = narrowed(sketched, "sets", "id", "row", "n_shingles", "node")
+    often = met.where(F.col("kind") == FREQUENT).select(F.col("a").alias("key"), F.col("b").alias("node"), "band", F.col("x").alias("spare"))
+    lost = often.groupBy("node", "band").agg(F.count("*").alias("f"))
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
+    lost_of = lambda side: lost.select(F.col("node").alias(side), "band", F.col("f").alias(f"f{side}"))
+    need = F.greatest(F.col("x") - F.coalesce("fa", F.lit(0)), F.col("y") - F.coalesce("fb", F.lit(0)))
+    close = pairs.join(lost_of("a"), ["a", "band"], "left").join(lost_of("b"), ["b", "band"], "left").where(F.col("c") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    weak = often.join(lost, ["node", "band"]).where(F.col("spare") <= F.col("f")).select("key", "node")
+    stars = weak.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u long, v long")
+    ties = stored(close.union(stars).distinct(), "ties")
+    discard(met)
     clusters = stored(connected(ties), "clusters")
 
     # one text for each node of a cluster, its set, and blocks of about BLOCK_SHINGLES
@@ -272,15 +351,15 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     sets = texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, shingles array<long>").join(picked.select("node", "blocks"), "node")
     block = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+    blocks = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
     links = (
-        pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _compare(it, num, den), "u long, v long")
+        blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _compare(it, num, den), "u long, v long")
     )
     found = connected(stored(links, "links"))
     nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("node", "component_id")
-    out = sketched.drop("keys").join(named, "node", "left")
+    out = sketched.join(named, "node", "left")
     return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, hash_tokens, mix64, row_blocks, stored, text_bytes, word_spans
+from .common import discard, documents, hash_tokens, mix64, narrowed, row_blocks, stored, text_bytes, word_spans
 
 FAR = np.int64(1) << 60
 #: Bytes of text that a task works on at once; longer texts stand alone.
@@ -327,6 +327,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = keys.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long")
     wanted = shared.groupBy("row").agg(F.collect_set("key").alias("wanted"))
     texts = stored(frame.join(wanted, "row").mapInArrow(lambda it: _runs(it, width), f"id {kind}, row long, text string, key array<long>, at array<int>, n array<int>, one array<long>, two array<long>"), "texts")
+    sketched = narrowed(sketched, "contents-of-rows", "id", "row", "n_words", "content")
     runs = texts.select("id", "row", F.explode(F.arrays_zip("key", "at", "n", "one", "two")).alias("w")).select("id", "row", "w.*")
     kinds = stored(runs.groupBy("one", "two").agg(F.min(F.struct("id", "row", "at", "n", "key")).alias("m")).select("one", "two", F.col("m.id").alias("least"), "m.row", "m.at", "m.n", "m.key"), "kinds")
     known = runs.select("id", "row", "at", "n", "one", "two").join(kinds.select("one", "two", "least"), ["one", "two"])
@@ -341,7 +342,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = whole.union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("repeated"))
     changed = texts.select("row", "text").join(repeated, "row").mapInArrow(lambda it: _remove(it, width), "row long, n_removed long, kept string")
     one = changed.groupBy("row").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-    return sketched.drop("keys"), stored(firsts.join(one, "row", "left").drop("row"), "contents")
+    contents = stored(firsts.join(one, "row", "left").drop("row"), "contents")
+    for table in (texts, kinds, each, firsts):
+        discard(table)
+    return sketched, contents
 
 
 def _verdict(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
