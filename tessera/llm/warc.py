@@ -178,7 +178,7 @@ def parse_headers(block: bytes) -> dict[str, list[str]]:
     name = None
     for line in block.split(b"\r\n"):
         text = line.decode("utf-8", "replace")
-        if text[:1] in " \t" and name:
+        if text and text[0] in " \t" and name:
             out[name][-1] += " " + text.strip()
         elif ":" in text:
             name, _, value = text.partition(":")
