@@ -213,6 +213,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         words = Words(text_bytes(part.column("text")))
         at, key, fresh = representatives(words, width)
         key, doc = key[fresh].view(np.int64), words.text[at[fresh]]
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        once = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(doc) != 0)))[: len(key)]
+        key, doc = key[once], doc[once]
         cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
         sha = [hashlib.sha256(words.joined(a, b)).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -221,30 +225,6 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Rows (key, row) of keys that two rows or more have, for a partition sorted by key and row; no key is held whole."""
-    held = np.zeros((2, 0), np.int64)  # the first row of the key that the last batch ended in
-    given = False  # whether that key has been found to be shared
-    for batch in batches:
-        now = np.concatenate((held, np.stack([batch.column(c).to_numpy() for c in ("key", "row")])), axis=1)
-        if not now.shape[1]:
-            continue
-        fresh = np.concatenate(([True], (np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)))
-        now = now[:, fresh]
-        same = now[0][1:] == now[0][:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        if given and held.shape[1]:
-            shared[0] = False  # this row has gone out before
-        out = now[:, shared]
-        tail = now[0] == now[0][-1]
-        carried = held.shape[1] and now[0][-1] == held[0][0]
-        given = bool(shared[tail].any()) or bool(given and carried)
-        # later rows of the key differ from its first one or from its last one: the last is enough
-        held = now[:, -1:].copy()
-        if out.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["key", "row"])
-
-
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
     """Texts with their runs of wanted keys: first window, number of windows, hashes of all their words."""
     for part in _parts(batches):
@@ -324,8 +304,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = sketched.where("id IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "row")).alias("m")).select("content", F.col("m.id").alias("first_id"), F.col("m.row").alias("row"))
     firsts = stored(firsts, "firsts")
     keys = sketched.select("row", "keys").join(firsts.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
-    shared = keys.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long")
-    wanted = shared.groupBy("row").agg(F.collect_set("key").alias("wanted"))
+    # the count is summed before it is shuffled, and the join may be split: a third of all texts may share a key
+    shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key")
+    wanted = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("wanted"))
     texts = stored(frame.join(wanted, "row").mapInArrow(lambda it: _runs(it, width), f"id {kind}, row long, text string, key array<long>, at array<int>, n array<int>, one array<long>, two array<long>"), "texts")
     sketched = narrowed(sketched, "contents-of-rows", "id", "row", "n_words", "content")
     runs = texts.select("id", "row", F.explode(F.arrays_zip("key", "at", "n", "one", "two")).alias("w")).select("id", "row", "w.*")
