@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
+from .settle import settle
 
 DIGITS = 9
 
@@ -43,27 +44,42 @@ class Bm25Index:
     lengths: DataFrame
 
 
-def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25Index:
+def term_frequencies(corpus: DataFrame) -> DataFrame:
+    """token, pos, tf of every document: tokenised once, written, and shared by whatever is built on it."""
+    tokens = corpus.select("pos", F.explode(text.tokenize(F.col("text"))).alias("token"))
+    return settle(tokens.groupBy("token", "pos").agg(F.count("*").alias("tf")))
+
+
+def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tf: DataFrame | None = None, only: DataFrame | None = None) -> Bm25Index:
     """Okapi weights of every (token, document); a negative idf becomes epsilon times the mean idf.
 
     Documents without tokens count in the number of documents and the mean
-    length. Corpus-wide numbers are one-row aggregates, joined as such.
+    length. Corpus-wide numbers are one-row aggregates, joined as such. tf:
+    term_frequencies of the corpus, if they are there already. only: a table of
+    tokens to which postings are kept (a batch of questions needs no others).
     """
-    tokens = corpus.select("pos", text.tokenize(F.col("text")).alias("t"))
-    lengths = tokens.select("pos", F.size("t").cast("long").alias("dl"))
-    tf = tokens.select("pos", F.explode("t").alias("token")).groupBy("pos", "token").agg(F.count("*").alias("tf"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = tf if tf is not None else term_frequencies(corpus)
+    have = tf.groupBy("pos").agg(F.sum("tf").alias("dl"))
+    lengths = corpus.select("pos").join(have, "pos", "left").select("pos", F.coalesce("dl", F.lit(0)).alias("dl"))
+    n = corpus.agg(F.count("*").alias("n"))
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    scalars = n.crossJoin(F.broadcast(total)).select("n", F.try_divide("total", "n").alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n"))).withColumn("raw", raw)
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", raw)
     mean = df.agg(F.avg("raw").alias("mean"))
     vocabulary = df.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    kept = tf if only is None else tf.join(only.select("token").distinct(), "token", "left_semi")
+    words = vocabulary if only is None else vocabulary.join(only.select("token").distinct(), "token", "left_semi")
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = (
-        tf.join(vocabulary, "token").join(lengths, "pos").crossJoin(F.broadcast(totals.select("avgdl"))).select("token", "pos", "tf", (F.col("idf") * saturation).alias("weight"))
-    )
+    postings = kept.join(words, "token").join(have, "pos").crossJoin(F.broadcast(scalars.select("avgdl"))).select("token", "pos", "tf", (F.col("idf") * saturation).alias("weight"))
     return Bm25Index(postings, vocabulary, lengths)
 
 
+def sparse_search(corpus: DataFrame, queries: DataFrame, k: int, tf: DataFrame | None = None) -> DataFrame:
+    """bm25_search without an index at hand: weights only what the questions need."""
+    return bm25_search(bm25_index(corpus, tf=tf, only=query_tokens(not_blank(queries))), queries, k)
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     """query_id, token, times: the tokens of queries with their multiplicity."""
     return queries.select("query_id", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
@@ -77,14 +93,20 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     return top_k(hits, k)
 
 
-def hashed_bags(rows: DataFrame, key: str, dims: int = 256) -> DataFrame:
-    """key, bucket, weight: the non-zero entries of unit bag-of-tokens vectors."""
-    bags = rows.select(key, F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy(key, numeric.bucket(F.col("token"), dims).alias("bucket")).agg(F.count("*").alias("c"))
+def _unit_bags(bags: DataFrame, key: str) -> DataFrame:
     length = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
     return bags.select(key, "bucket", (F.col("c") / F.greatest(length, F.lit(1e-12))).alias("weight"))
 
 
-def hashed_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 256) -> DataFrame:
+def hashed_bags(rows: DataFrame, key: str, dims: int = 256, tf: DataFrame | None = None) -> DataFrame:
+    """key, bucket, weight: the non-zero entries of unit bag-of-tokens vectors. tf: term frequencies per key, if they are there already."""
+    if tf is None:
+        tf = rows.select(key, F.explode(text.tokenize(F.col("text"))).alias("token"), F.lit(1).cast("long").alias("tf"))
+    bags = tf.groupBy(key, numeric.bucket(F.col("token"), dims).alias("bucket")).agg(F.sum("tf").alias("c"))
+    return _unit_bags(bags, key)
+
+
+def hashed_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 256, tf: DataFrame | None = None) -> DataFrame:
     """Cosine of hashed bags: query_id, pos, score, rank.
 
     Entries meet on their bucket; a query that has fewer than k documents with
@@ -94,9 +116,9 @@ def hashed_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 256
         raise ValueError("k must be positive")
     asked = not_blank(queries)
     near = (
-        hashed_bags(asked, "query_id", dims).withColumnRenamed("weight", "q").join(hashed_bags(corpus, "pos", dims), "bucket").groupBy("query_id", "pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+        hashed_bags(asked, "query_id", dims).withColumnRenamed("weight", "q").join(hashed_bags(corpus, "pos", dims, tf), "bucket").groupBy("query_id", "pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
     )
-    best = top_k(near, k).select("query_id", "pos", "score")
+    best = settle(top_k(near, k).select("query_id", "pos", "score"))
     # the first 2k documents by pos hold k that a short list doesn't have yet
     short = asked.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
     first = corpus.select("pos").orderBy("pos").limit(2 * k)
@@ -159,10 +181,11 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, top: int = 5, mode: str
     depth = max(pool, top)
     null = lambda kind: F.lit(None).cast(kind)
     if mode == "sparse":
-        hits = bm25_search(bm25_index(corpus), queries, top)
+        hits = sparse_search(corpus, queries, top)
         return hits.select("query_id", "pos", "score", "rank", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), null("int").alias("dense_rank"), null("double").alias("dense_score"))
     if mode == "dense":
         hits = hashed_search(corpus, queries, top)
         return hits.select("query_id", "pos", "score", "rank", null("int").alias("bm25_rank"), null("double").alias("bm25_score"), F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
-    fused = fuse([bm25_search(bm25_index(corpus), queries, depth), hashed_search(corpus, queries, depth)], rrf_k, list(weights), ["bm25", "dense"])
+    tf = term_frequencies(corpus)
+    fused = fuse([sparse_search(corpus, queries, depth, tf), hashed_search(corpus, queries, depth, tf=tf)], rrf_k, list(weights), ["bm25", "dense"])
     return fused.where(F.col("rank") <= top).select("query_id", "pos", "score", "rank", "bm25_rank", "bm25_score", "dense_rank", "dense_score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import binom_cdf, min_certifiable_n
 from ..operators import metrics, rerank, retrieval, thresholds
+from ..operators.settle import settle
 from . import sql
 from .registry import register
 from .retrieval_queries import GOLD, corpus, gold, questions
@@ -174,9 +175,10 @@ def label_statistics(spark, sf_dir):
 
 def _tracks(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    sparse, dense = retrieval.bm25_search(retrieval.bm25_index(c), q, 10), retrieval.hashed_search(c, q, 10)
+    tf = retrieval.term_frequencies(c)
+    sparse, dense = retrieval.sparse_search(c, q, 10, tf), retrieval.hashed_search(c, q, 10, tf=tf)
     keep = lambda df, n: df.select(F.lit(n).alias("track"), "query_id", "pos", "rank", "score")
-    return keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10), "hybrid"))
+    return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10), "hybrid")))
 
 
 _TRACKS = f"""{sql.HYBRID}, {GOLD}, tracks AS (SELECT 'sparse' AS track, query_id, pos, rank, score FROM sparse WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, pos, rank, score FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, pos, rank, score FROM fused WHERE rank <= 10),

@@ -45,7 +45,7 @@ def bm25_vocabulary(spark, sf_dir):
 
 @register("bm25_topk", f"{sql.BASE} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk(sql.SPARSE, 10)})")
 def bm25_topk(spark, sf_dir):
-    hits = retrieval.bm25_search(retrieval.bm25_index(corpus(spark, sf_dir)), questions(spark, sf_dir), 10)
+    hits = retrieval.sparse_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
     return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
@@ -93,7 +93,8 @@ def hybrid_with_payload(spark, sf_dir):
 
 def rrf_lists(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    return [retrieval.bm25_search(retrieval.bm25_index(c), q, 50), retrieval.hashed_search(c, q, 50)]
+    tf = retrieval.term_frequencies(c)
+    return [retrieval.sparse_search(c, q, 50, tf), retrieval.hashed_search(c, q, 50, tf=tf)]
 
 
 @register(
