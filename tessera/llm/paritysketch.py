@@ -46,6 +46,8 @@ RARE = 8
 MARGIN = 0.15
 #: Shingles that a block of a cluster holds, about; blocks are compared in pairs.
 BLOCK_SHINGLES = 150_000
+#: Sets that a block holds, about: bounds the table of pairs where sets are small.
+BLOCK_SETS = 1_000
 
 
 def lowered(texts: list[bytes | None]) -> list[bytes]:
@@ -345,7 +347,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
 
     # one text for each node of a cluster, its set, and blocks of about BLOCK_SHINGLES
     one = sketched.select("node", "id", "row", "n_shingles").join(clusters.toDF("node", "cluster"), "node").groupBy("node").agg(F.min(F.struct("id", "row", "n_shingles", "cluster")).alias("x")).select("node", "x.*")
-    sizes = one.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = one.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     picked = one.join(sizes, "cluster").select("cluster", "node", "blocks", F.col("id").alias("id1"), F.col("row").alias("row1"))
     texts = frame.join(picked, F.col("row") == F.col("row1")).select("cluster", "node", "text")
     sets = texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, shingles array<long>").join(picked.select("node", "blocks"), "node")
