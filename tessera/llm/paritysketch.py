@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, mix64, narrowed, row_blocks, stored, text_bytes
+from .common import SPACE, discard, documents, mix64, narrowed, row_blocks, stored, text_bytes
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
@@ -317,14 +317,15 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterable[
 
 
 def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, row (hash of id and text), n_shingles, component_id.
+    """Per row: id, row (hash of id and text), n_shingles, component_id, component.
 
     Two documents link when den * |intersection| >= num * |union| of their sets
     of word n-grams; component_id is the smallest id reachable by links. Equal
     sets are one node, so copies cost nothing. Null or empty texts have an empty
     set and link with nothing; their component is their own id. Rows that share
     an id keep rows of their own. Rows with a null id take part; a component of
-    only such rows has a null id.
+    only such rows has a null id. So ids may not tell components apart: component
+    does, the name of one of its sets, null for an empty set.
     """
     bands = Bands(num, den)
     frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
@@ -360,21 +361,23 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     found = connected(stored(links, "links"))
     nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "component").select("node", "component_id")
+    named = nodes.join(least, "component").select("node", "component_id", "component")
     out = sketched.join(named, "node", "left")
-    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame, num: int = 8, den: int = 10, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row left of each group of near duplicates: that of the smallest id, then row hash.
 
-    Texts without words are in no group and stay.
+    Groups are told apart by their own names, as ids may be null or repeated.
+    Texts without words are in no group and stay, all of them.
     """
-    found = jaccard_components(docs, num, den, n, id_col, text_col)
-    least = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("x")).select("x.id", "x.row")
-    keep = least.union(found.where("n_shingles = 0").select("id", "row")).select("row").distinct()
-    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(keep.select(F.col("row").alias("__row")), "__row", "left_semi")
-    return rows.dropDuplicates(["__row"]).drop("__row")
+    found = jaccard_components(docs, num, den, n, id_col, text_col).where("n_shingles > 0")
+    least = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.row").alias("__row"))
+    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    some = F.coalesce(F.col(text_col).rlike(f"[^{SPACE}]"), F.lit(False))
+    kept = rows.where(some).join(least, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.select(*docs.columns).union(rows.where(~some).select(*docs.columns))
 
 
 def op8_parity_sketch_join(spark, sf_dir: str) -> DataFrame:

@@ -243,6 +243,16 @@ def test_jaccard_edges(spark, odd, empty):
     assert paritysketch.one_of_each(odd).count() == len(ODD) - 1
 
 
+def test_one_of_each_with_null_and_shared_ids(spark):
+    body = lambda i: " ".join(f"t{i}w{k}" for k in range(40))
+    near = body(0) + " more"
+    rows = [(None, body(0)), (None, near), (None, body(1)), (None, body(2)), (7, body(3)), (7, body(4)), (7, body(4)), (7, body(5)), (8, body(5)), (None, None), (None, None), (None, " "), (9, ""), (9, "")]
+    left = paritysketch.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    texts = [r["text"] for r in left if (r["text"] or "").strip()]
+    assert len(texts) == 6 and set(texts) - {near} | {body(0)} == {body(i) for i in range(6)}
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left if not (r["text"] or "").strip()) == [(0, ""), (0, ""), (0, " "), (9, ""), (9, "")]
+
+
 @pytest.mark.parametrize(("num", "n"), [(9, 3), (8, 5), (5, 2)])
 def test_jaccard_near_copies(spark, num, n):
     import random
