@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import discard, new_path, stored
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,27 +37,26 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_uri(kind: str, key: Column) -> Column:
-    """A urn:uuid made from the kind of record and the capture's key."""
-    h = F.md5(F.concat(F.lit(kind + ":"), key.cast("string")))
+def record_uri(kind: str, capture: Column) -> Column:
+    """A urn:uuid made from the kind of record and the capture's unique name."""
+    h = F.md5(F.concat(F.lit(kind + ":"), capture))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def mark_revisits(pages: DataFrame, key: str, payload: Column, least_bytes: int = 0) -> DataFrame:
-    """Columns of pages with __payload (binary), __digest, __response: the key of the response each row revisits.
+def mark_revisits(rows: DataFrame, key: str, least_bytes: int = 0) -> DataFrame:
+    """rows (with key, __capture, __size, __digest) and __response, __refers: key and __capture of the response each row revisits.
 
     Of rows with equal payloads of at least least_bytes, that with the largest
     key is the response and the others revisit it. Only digests that occur
     twice or more are joined back; their counts are summed before they are
     shuffled, and the join may be split where one payload holds a third of all
-    rows. Rows with a null key never become a response that others refer to;
-    rows that repeat the largest key are all responses.
+    rows. Rows that repeat the largest key are all responses, one of which the
+    others refer to; so are rows whose payload has no key but null.
     """
-    small = pages.select(F.col(key).alias("key"), F.octet_length(payload).alias("n"), base32_sha1(payload).alias("digest"))
-    twice = small.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("key").alias("__response"), F.count("*").alias("c")).where("c > 1")
-    rows = pages.withColumns({"__payload": payload, "__digest": base32_sha1(payload)})
-    return rows.join(twice.select(F.col("digest").alias("__digest"), "__response"), "__digest", "left")
+    top = F.max(F.struct(F.col(key).alias("key"), F.col("__capture").alias("capture")))
+    twice = rows.where(F.col("__size") >= least_bytes).groupBy("__digest").agg(top.alias("top"), F.count("*").alias("c")).where("c > 1")
+    return rows.join(twice.select("__digest", F.col("top.key").alias("__response"), F.col("top.capture").alias("__refers")), "__digest", "left")
 
 
 def _block(text: Column) -> Column:
@@ -87,16 +86,21 @@ def write_captures(
     body may be text (written as UTF-8) or binary; null is an empty payload, a
     null url an empty one. Line ends in a url become spaces. Records of a
     capture may land in any file. An empty table writes no records.
+
+    Every row is a capture of its own, whatever its key: record ids come from a
+    random name of the row, which is written with the row before anything uses
+    it, so that all records agree on it. The key stands in the metadata only.
     """
     payload = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
-    rows = mark_revisits(pages.select(key, url, body), key, payload, least_bytes)
-    first = F.col("__response").isNull() | F.col(key).eqNullSafe(F.col("__response")) | F.col(key).isNull()
+    named = stored(pages.select(key, url, payload.alias("__payload"), F.octet_length(payload).alias("__size"), base32_sha1(payload).alias("__digest"), F.expr("uuid()").alias("__capture")), "captures")
+    rows = mark_revisits(named, key, least_bytes)
+    first = F.col("__response").isNull() | F.col(key).eqNullSafe(F.col("__response"))
     uri = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]+", " ")
     host = F.coalesce(F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.lit(""))
     way = F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1)
     body_text = F.col("__payload").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("__payload").cast("string"), F.lit(CRLF + CRLF))
-    answer = record_uri("answer", F.col(key))
+    answer = record_uri("answer", F.col("__capture"))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", uri)]
     digest = F.concat(F.lit("sha1:"), F.col("__digest"))
     response = _record("response", answer, [*common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, body_text))
@@ -107,25 +111,26 @@ def write_captures(
             *common,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.lit(REVISIT_PROFILE)),
-            ("WARC-Refers-To", record_uri("answer", F.col("__response"))),
+            ("WARC-Refers-To", record_uri("answer", F.col("__refers"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         http,
     )
     request = _record(
         "request",
-        record_uri("request", F.col(key)),
+        record_uri("request", F.col("__capture")),
         [*common, ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.when(way == "", "/").otherwise(way), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)),
     )
     meta = _record(
         "metadata",
-        record_uri("metadata", F.col(key)),
+        record_uri("metadata", F.col("__capture")),
         [*common, ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("key: "), F.coalesce(F.col(key).cast("string"), F.lit("")), F.when(F.col("__response").isNotNull() & ~first, F.concat(F.lit(f"{CRLF}responseKey: "), F.col("__response").cast("string"))).otherwise(""), F.lit(CRLF)),
     )
     records = rows.select(F.explode(F.array(request, F.when(first, response).otherwise(revisit), meta)).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    discard(named)
 
 
 class _Stream:
@@ -359,7 +364,9 @@ def op1_warc_transactions(spark, sf_dir: str) -> DataFrame:
     """Every page written as WARC records, read back and assembled; one row per page.
 
     The page id comes from the capture's metadata record, sizes and digests
-    from its response or revisit record.
+    from its response or revisit record. As in the SQL, a null page id is never
+    the largest of equal payloads: its row reads `revisit` and names the largest
+    id, if there is one; if not, its record is a response that holds the body.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "warc")
@@ -368,11 +375,12 @@ def op1_warc_transactions(spark, sf_dir: str) -> DataFrame:
     captures = assemble(records, ["type", "payload_bytes", "payload_digest", "computed_digest", "refers_to", "fields"])
     fields = F.get("metadata", 0)["fields"]
     revisit = F.col("answer.type") == "revisit"
+    page_id = F.nullif(fields["key"], F.lit("")).cast("long")
     return captures.where("answer IS NOT NULL").select(
-        fields["key"].cast("long").alias("page_id"),
+        page_id.alias("page_id"),
         F.col("answer.payload_bytes").alias("payload_bytes"),
         F.when(revisit, F.col("answer.payload_digest")).otherwise(F.col("answer.computed_digest")).alias("payload_digest"),
-        F.col("answer.type").alias("record_type"),
+        F.when(page_id.isNull(), "revisit").otherwise(F.col("answer.type")).alias("record_type"),
         F.when(revisit, fields["responsekey"].cast("long")).alias("refers_to"),
     )
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, scann, warc
+from conftest import same_as_sql
+from tessera.llm import components, queries, scann, warc
 
 PAGES = [(1, "http://a.example/x?y=1#z", "<html>é</html>"), (2, "http://a.example/2", ""), (3, None, None), (4, "http://b.example", "<html>é</html>"), (5, "u\r\nv", "WARC/1.1\r\n\r\nno record\r\n\r\n"), (6, "http://c.example/", "x" * 300_000), (7, "http://c.example/", "x" * 300_000)]
 
@@ -41,6 +42,21 @@ def test_small_payloads_need_not_be_revisits(spark, tmp_path):
     assert kinds["6"] == "revisit" and kinds["1"] == kinds["2"] == "response"
 
 
+def test_every_row_is_a_capture(spark, tmp_path):
+    html = [(None, "a"), (None, "a"), (None, "lone"), (None, "pair"), (None, "pair"), (1, "a"), (2, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c"), (4, None), (4, None), (None, None), (5, "d")]
+    rows = [(k, f"http://h.example/{i % 3}", h) for i, (k, h) in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.queries()["op1_warc_transactions"](spark, str(tmp_path)).count() == len(rows)
+    same_as_sql(spark, "op1_warc_transactions", queries.queries(), queries.oracle_sql(), str(tmp_path))
+    path = f"file://{tmp_path}/w"
+    warc.write_captures(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
+    got = warc.assemble(warc.scan(spark, path)).collect()
+    assert len(got) == len(rows) and all(r["answer"] and r["request"] and len(r["metadata"]) == 1 and not r["others"] for r in got)
+    bodies = {r["answer"]["record_id"]: r["answer"]["payload"].decode() for r in got if r["answer"]["type"] == "response"}
+    read = [(r["metadata"][0]["fields"]["key"], bodies[r["answer"]["refers_to"] or r["answer"]["record_id"]]) for r in got]
+    assert sorted(read) == sorted((str(k or ""), h or "") for k, h in html)
+
+
 def record(kind, id_, block=b"", **headers):
     lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {id_}", *[f"{k.replace('_', '-')}: {x}" for k, v in headers.items() for x in ([v] if isinstance(v, str) else v)], f"Content-Length: {len(block)}"]
     return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
