@@ -8,18 +8,21 @@ whose expected token marginals are the targets.
 Targets name a closed list of values per dimension. Values that aren't named
 fall together as "other" and keep the share of tokens they have. So the cells
 number at most the product of the lists' lengths plus one each, whatever the
-size of the corpus; that is what reaches the driver.
+size of the corpus; that is what reaches the driver, with the bounded counts
+that topics are made from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents
+from .common import SPACE, documents, stored
 
 OTHER = "\x00other"
 
@@ -108,14 +111,64 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def words(text_col: str) -> Column:
-    """Tokens of a text for weighing: its words; none for null."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+"), lambda w: w != "")).cast("long")
+#: Places of a word profile: words fall into them by hash.
+PLACES = 1 << 14
 
 
-def lead_topic(text_col: str, topics: int = 6) -> Column:
-    """A stand-in for a topic label: the CRC-32 of the text's first 64 characters, by topics."""
-    return F.concat(F.lit("t"), F.crc32(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 64)) % topics)
+def _read(text: Column) -> Column:
+    """n_tokens, the words of a whole text, and places, those of its distinct words in lower case; none for null."""
+    filled = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+"), lambda w: w != "")
+    places = lambda w: F.array_distinct(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PLACES)).cast("int")))
+    return F.element_at(F.transform(F.array(filled), lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), places(w).alias("places"))), 1)
+
+
+def _centres(topics: int, seed: int) -> np.ndarray:
+    """One seeded vector of +1 and -1 over all places for each topic."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return (rng.integers(0, 2, (topics, PLACES)) * 2 - 1).astype(np.float64)
+
+
+def with_topic(docs: DataFrame, text_col: str, lang: Column, langs: list[str], topics: int = 6, seed: int = 17) -> DataFrame:
+    """docs with n_tokens, the words of each text, and its topic: the nearest of a few seeded centres to its word profile.
+
+    The profile has every distinct word of the whole text, weighted by how rare
+    it is among all documents of its language, so words that all texts have
+    weigh next to nothing. The language's mean profile, scaled to the text's
+    weight, is taken off first: topics cut across languages. Texts that share
+    most of their rarer words share a topic, whatever their beginnings; the
+    classes have no names. Languages outside langs count as one; a text without
+    words, or the only one of its language, is t0. Texts are taken apart once,
+    into a scratch table. Document counts, one per language and place, are what
+    reaches the driver.
+    """
+    kinds = [*langs, OTHER]
+    read = docs.withColumns({"__lang": _named(lang, langs), "__read": _read(F.col(text_col))})
+    rows = stored(read.select(*docs.columns, F.col("__read.n_tokens").alias("n_tokens"), "__lang", F.col("__read.places").alias("__places")), "profiles")
+    # place -1 counts the documents themselves
+    counted = rows.where(F.size("__places") > 0).select("__lang", F.explode(F.concat(F.array(F.lit(-1)), "__places")).alias("place")).groupBy("__lang", "place").agg(F.count("*").alias("n")).toArrow()
+    n_docs, df = np.zeros(len(kinds)), np.zeros((len(kinds), PLACES))
+    of, place, n = np.array([kinds.index(x) for x in counted.column("__lang").to_pylist()], np.int64), counted.column("place").to_numpy(), counted.column("n").to_numpy()
+    n_docs[of[place < 0]] = n[place < 0]
+    df[of[place >= 0], place[place >= 0]] = n[place >= 0]
+    rarity = np.where(df > 0, np.log((n_docs[:, None] + 1) / np.maximum(df, 1)), 0.0)
+    mass = df * rarity
+    mean = mass @ _centres(topics, seed).T / np.maximum(mass.sum(axis=1, keepdims=True), 1e-300)
+    schema = rows.drop("__lang", "__places").schema.add("topic", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        pull = rarity[:, :, None] * (_centres(topics, seed).T[None] - mean[:, None, :])
+        for batch in batches:
+            places = batch.column(batch.num_columns - 1)
+            lengths, at = np.diff(places.offsets.to_numpy()), places.flatten().to_numpy(zero_copy_only=False)
+            kind = np.repeat([kinds.index(x) for x in batch.column(batch.num_columns - 2).to_pylist()], lengths)
+            score = np.zeros((batch.num_rows, topics))
+            some = np.flatnonzero(lengths)
+            if len(some):
+                score[some] = np.add.reduceat(pull[kind, at], (np.cumsum(lengths) - lengths)[some])
+            topic = pa.array([f"t{x}" for x in score.round(9).argmax(axis=1)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], topic], [*batch.schema.names[:-2], "topic"])
+
+    return rows.mapInArrow(run, schema)
 
 
 #: Production targets of the queries below: weights per value.
@@ -131,11 +184,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
 
     Null sources and languages count as other values. A text without words has
     no weight and takes its cell's probability. Equal rows share their fate.
-    Columns of docs with the names of results are replaced.
+    Topics are those of with_topic. Columns of docs with the names of results
+    are replaced.
     """
     targets = targets or TARGETS
     docs = docs.drop(*[c for c in ("topic", "n_tokens", "probability", "sampled") if c not in (source_col, lang_col, text_col, id_col)])
-    rows = docs.withColumn("topic", lead_topic(text_col)).withColumn("n_tokens", words(text_col))
+    rows = with_topic(docs, text_col, F.col(lang_col), list(targets["lang"]), len(targets["topic"]))
     dimensions = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col("topic")}
     found = fit(rows, dimensions, targets, F.col("n_tokens"))
     return with_probability(rows, found, dimensions).withColumn("sampled", uniform(seed, id_col, text_col) < F.col("probability"))

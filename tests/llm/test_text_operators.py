@@ -319,3 +319,23 @@ def test_mixture(spark, odd, empty):
     assert out["probability"].between(0, 1).all() and out["probability"].max() == pytest.approx(1)
     assert abs(out["sampled"].mean() - out["probability"].mean()) < 0.05
     assert mixing.mix(odd).count() == len(ODD) + 1 and mixing.mix(empty).count() == 0
+
+
+def test_topics_come_from_whole_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    themes = [[f"theme{t}word{k}" for k in range(80)] for t in range(8)]
+    shared = "the same opening of every text, long enough to fill sixty-four characters and more. "
+    rows = [(i, shared + " ".join(rng.sample(themes[i % 8], 60)) + f" own{i}", ("en", "de")[i % 2], "src0") for i in range(160)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, lang string, source string")
+    topic = {r["doc_id"]: r["topic"] for r in mixing.mix(docs).collect()}
+    assert len(set(topic.values())) > 1
+    agree = lambda pairs: sum(topic[i] == topic[j] for i, j in pairs) / len(pairs)
+    pairs = [(i, j) for i in range(160) for j in range(i)]
+    alike, unlike = agree([(i, j) for i, j in pairs if i % 8 == j % 8]), agree([(i, j) for i, j in pairs if i % 8 != j % 8])
+    assert alike > 2 * unlike, (alike, unlike)
+    other = docs.withColumn("text", F.concat(F.lit("Another beginning! "), F.expr("substring(text, 65)")))
+    moved = {r["doc_id"]: r["topic"] for r in mixing.mix(other).collect()}
+    assert sum(moved[i] == topic[i] for i in topic) >= 150
+    assert mixing.mix(docs.repartition(7)).select("doc_id", "topic").exceptAll(mixing.mix(docs).select("doc_id", "topic")).count() == 0
