@@ -70,3 +70,14 @@ def test_odd_rows_pass_through(spark):
         docs.count()
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), SMALL).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    from tessera.llm import langid
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    unlabelled = spark.createDataFrame([(1, "The the the and of.", None, "s", 1), (2, "der die das", None, "s", 1), (3, "12 -- 34", None, "s", 1), (4, None, None, "s", 1), (5, "", None, "s", 1), (None, "мир", None, "s", 1)], schema)
+    kept = corpus_pipeline.language_id(spark, unlabelled, SMALL).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, None), (1, None), (2, None)]
+    own = spark.range(100).where(langid.fold("id") == 1).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+    assert corpus_pipeline.language_id(spark, own, SMALL).where("lang = 'en'").count() == own.count() > 0
