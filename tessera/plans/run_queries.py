@@ -67,10 +67,10 @@ def items(spark, sf_dir):
     return settle(rows.select(F.col("query_id").alias("item"), F.coalesce("a", F.lit("other")).alias("category"), F.col("safe").alias("y"), *features.FEATURES))
 
 
-def _splits(spark, rows, n=20):
+def _splits(spark, rows):
     """The evaluation set is a list of questions; its categories are what the driver needs."""
     order = [(r["item"], r["category"]) for r in rows.select("item", "category").orderBy("item").collect()]
-    table = benchmark.splits_table(spark, [c for _, c in order], n)
+    table = benchmark.splits_table(spark, [c for _, c in order])
     names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(order)], "item long, name long")
     return table.join(names, "item").select("split_id", F.col("name").alias("item"), "fold")
 
@@ -111,7 +111,7 @@ def bootstrap_intervals(spark, sf_dir):
 @register("bootstrap_auroc")
 def bootstrap_auroc(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("other", F.pmod(F.xxhash64("item"), F.lit(100)) / 100.0)
-    return benchmark.bootstrap_auroc(rows, ["lang"], ["score", "other"], times=200)
+    return benchmark.bootstrap_auroc(rows, ["lang"], ["score", "other"])
 
 
 @register("extractive_items")

@@ -23,3 +23,15 @@ def test_query_without_sql_runs(spark, name):
         assert rows["exact"].all()
     if name == "reader_free_and_forced":
         assert rows.loc[~rows["forced"], "error"].isna().all()
+
+
+def test_resampled_queries_run_all_splits_and_resamples(spark, monkeypatch):
+    from tessera.operators import benchmark
+    from tessera.plans import run_queries
+
+    assert registry.queries()["stratified_splits"](spark, SMALL).select("split_id").distinct().count() == 200
+    seen = {}
+    whole = benchmark.bootstrap_auroc
+    monkeypatch.setattr(run_queries.benchmark, "bootstrap_auroc", lambda *a, **k: seen.update(k) or whole(*a, **k))
+    assert registry.queries()["bootstrap_auroc"](spark, SMALL).count() > 0
+    assert seen.get("times", 1000) == 1000
