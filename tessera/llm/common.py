@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode with none set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,14 +36,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
-#: Scratch tables of this driver, for clear_scratch().
-_SCRATCH: list[str] = []
+#: Lists that take the paths of scratch tables, innermost last; see scratch().
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the scratch tables of the calls inside, for release() once their results are written."""
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+
+
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Delete the scratch tables of a list, and only those."""
+    for path in held:
+        _delete(spark, path)
+    held.clear()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    _SCRATCH.append(path)
+    for held in _SCOPES:
+        held.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -48,8 +72,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _SCRATCH:
-        _SCRATCH.remove(path)
 
 
 def discard(table: DataFrame) -> None:
@@ -64,12 +86,6 @@ def narrowed(table: DataFrame, name: str, *columns: str) -> DataFrame:
     return out
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table so far: for callers whose earlier results are written."""
-    for path in list(_SCRATCH):
-        _delete(spark, path)
-
-
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 of each text of an Arrow column, without decoding it first."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -106,25 +122,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit content hash of byte ranges of a buffer: a polynomial in the bytes modulo 2**64, scrambled.
+def combined(x: np.ndarray, y: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One value from two, in this order; not linear in either, so patterns in the input don't cancel out."""
+    with np.errstate(over="ignore"):
+        return mix64(x * np.uint64(0x9E3779B97F4A7C15) + mix64(y + np.uint64((salt * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) % 2**64)))
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of byte ranges of a buffer, as two arrays of 64 bits.
 
-    Vectorised over all ranges, the same on every machine, and free of Python's
-    per-process hash seed. Two seeds give independent hashes.
+    Words of up to 16 bytes go through a permutation of 128 bits that depends on
+    their length, so two of a length never share a name; longer ones get the
+    128-bit BLAKE2b of their bytes. The same on every machine.
     """
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(24, np.uint8)))
+    eights = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))
+    n = ends - starts
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    x = eights[starts] & masks[np.minimum(n, 8)]
+    y = eights[np.minimum(starts + 8, len(eights) - 1)] & masks[np.clip(n - 8, 0, 8)]
     with np.errstate(over="ignore"):
-        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64 | 1)
-        table = mix64(np.arange(1, 257, dtype=np.uint64) * odd)
-        n = ends - starts
-        flat = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-        place = (flat - np.repeat(starts, n)).astype(np.int64)
-        top = int(n.max())
-        power = np.cumprod(np.full(top, odd * np.uint64(2) + np.uint64(1), np.uint64))
-        terms = table[data[flat]] * power[place]
-        sums = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(n)[:-1])))
-        return mix64(sums + n.astype(np.uint64) * odd)
+        x ^= mix64(y + n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        y ^= mix64(x + np.uint64(0xE7037ED1A0B428DB))
+        x ^= mix64(y + np.uint64(0x8EBC6AF09C88C6E3))
+        y ^= mix64(x + np.uint64(0x589965CC75374CC3))
+    for i in np.flatnonzero(n > 16):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        x[i], y[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return x, y
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +161,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def row_id(*columns: str):
-    """A 64-bit name of a row's content, to tell apart rows that share an id."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def row_name(id_col: str, text_col: str):
+    """A 128-bit name of a row's id and text, to tell apart rows that share an id; nulls have names of their own."""
+    text = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return F.unhex(F.md5(F.concat(text(id_col), F.lit("\x00"), text(text_col))))

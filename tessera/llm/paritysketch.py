@@ -58,13 +58,13 @@ def lowered(texts: list[bytes | None]) -> list[bytes]:
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text; with fewer words than n, all of them as one."""
     words = Words(lowered(texts))
-    grams = window_hashes(words.hashes, n, 0)
+    grams = window_hashes(words.names, n, 0)
     out = []
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            out.append(window_hashes(words.hashes[a:b], int(b - a), int(b - a)))
+            out.append(window_hashes(words.names[a:b], int(b - a), int(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -1,49 +1,60 @@
 """Exact removal of repeated passages by recompression.
 
-A text is a string of words. Rounds of recompression shorten it: first runs of
-one symbol, then pairs of a left and a right symbol (sides follow from a hash of
-the symbol and the round) get a new symbol. A new symbol's name is a hash of what it
-stands for, so equal strings get equal names everywhere without a dictionary to
-agree on, and whether two symbols merge depends on their neighbours alone: deep
-inside equal substrings, all symbols agree. For every symbol the words that its
-existence depends on are tracked exactly.
-
-A window of `width` words is represented by one symbol whose dependencies lie
-inside the window, the one of the least hash (a window without such a symbol
-represents itself). Equal windows thus have equal representatives, and only
-windows whose representative, with its dependencies as context, stands in two
-texts or more can repeat. Neighbouring windows of one representative are a run.
-A run whose words also stand, as a run, in a document with a smaller id repeats
-as a whole; of the others, one of each kind, windows are compared one by one.
-Both go by 128-bit hashes of all the words, and the smallest id decides.
+A text is a string of words. Rounds of recompression shorten it: runs of one
+symbol, and pairs of a left and a right symbol (sides follow from a hash of the
+symbol and the round), become one symbol. What merges depends on a symbol's
+neighbours alone, so deep inside equal substrings all symbols agree. For every
+symbol the words that its existence depends on are tracked exactly.
+
+Names are global. Every round is a few DataFrame steps: blocks of texts propose
+the distinct runs and pairs they form; the proposals of all blocks are grouped
+into the round's names table, which gives each distinct one that two texts or
+more have a number of its own; the table is joined back to the blocks. The first
+round names the words themselves. So equal names mean equal words, with no hash
+in between (a proposal has what it consists of, by the names of the round
+before). A symbol that only one text has is dead: it merges no further, and
+no window that holds it can repeat. Rounds go on until nothing merged is shared.
+
+High symbols of `width` words or more prove repeats by themselves: all windows
+inside one repeat if a text with a smaller id has it. The other windows are
+represented by one symbol each whose dependencies lie inside the window;
+neighbouring windows of one representative are a run. Runs, and windows where
+runs differ, are compared by the symbols that make them up (the largest inside,
+and the words at either end), which equal strings share.
+
+Texts that share nothing shall not pay for that: a text's own parse, with hashes
+as provisional names, first finds the stretches whose representatives occur in
+another text. Only those enter the rounds. Names may collide there; that only
+lets a stretch in that the rounds then find to be unique.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, hash_tokens, mix64, narrowed, row_blocks, stored, text_bytes, word_spans
+from .common import combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, word_names, word_spans
 
-FAR = np.int64(1) << 60
 #: Bytes of text that a task works on at once; longer texts stand alone.
 BLOCK = 2 << 20
 
 
 class Words:
-    """Words of a block of texts, end to end: bytes, spans, hashes, and each text's first word."""
+    """Words of a block of texts, end to end: bytes, spans, 128-bit names (two halves), and each text's first word."""
 
     def __init__(self, texts: list[bytes | None]):
         self.data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
         sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(sizes)))
         self.starts, self.ends = word_spans(self.data)
-        self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes))))
-        self.hashes = hash_tokens(self.data, self.starts, self.ends, 1)
+        self.first = np.searchsorted(self.starts, self.begin)
+        self.names, self.more = word_names(self.data, self.starts, self.ends)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def joined(self, lo: int, hi: int, keep: np.ndarray | None = None) -> bytes:
@@ -58,57 +69,82 @@ class Words:
         out[to + n - 1] = 32
         return out[:-1].tobytes()
 
+    def without(self, i: int, gone: np.ndarray) -> bytes:
+        """Text i without the words marked, and without the white space behind each stretch of them."""
+        lo, hi = self.first[i], self.first[i + 1]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        out, at = [], self.begin[i]
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            out.append(self.data[at : self.starts[lo + a]])
+            at = self.starts[lo + b] if lo + b < hi else self.begin[i + 1] - 1
+        out.append(self.data[at : self.begin[i + 1] - 1])
+        return np.concatenate(out).tobytes()
 
-def symbols(names: np.ndarray, text: np.ndarray, caps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Recompress the words of several texts: names of the symbols left, and the words [lo, hi) each depends on.
 
-    Round r merges nothing longer than caps[r] words, so that no symbol outgrows
-    a window. lo or hi is far away where a text's edge was looked at, since
-    another text may go on there.
+# ---- one round --------------------------------------------------------------
+
+
+@dataclass
+class Strand:
+    """Symbols of several texts, end to end.
+
+    name, text, first word a and number of words span of each symbol; lo and hi,
+    the words [lo, hi) that its existence depends on; dead, whether only one text
+    has it. Where a text's end was looked at, lo or hi is one word beyond it: the
+    text may be a cut of a longer one. first has the first word of every text,
+    and the end.
     """
-    n = len(names)
-    a, lo, hi = np.arange(n), np.arange(n), np.arange(1, n + 1)
-    span = np.ones(n, np.int64)
-    name, doc = names, text
+
+    name: np.ndarray
+    text: np.ndarray
+    a: np.ndarray
+    span: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    dead: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(names: np.ndarray, first: np.ndarray) -> Strand:
+        at = np.arange(len(names))
+        return Strand(names, np.repeat(np.arange(len(first) - 1), np.diff(first)), at, np.ones(len(at), np.int64), at, at + 1, np.zeros(len(at), bool), first)
+
+
+def merge(x: Strand, cap: int, turn: int) -> Strand:
+    """Merge runs, then pairs, nothing longer than cap words and nothing dead. Hashes name what is merged."""
+    if not len(x.name):
+        return x
+    below, above = x.first[:-1] - 1, x.first[1:] + 1
+    name, text, size = x.name.view(np.uint64), x.text, len(x.name)
+    # runs
+    start = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | x.dead[1:])))
+    end = np.concatenate((start[1:], [size]))
+    count, own = end - start, text[start]
+    left = np.where((start > 0) & (text[start - 1] == own), x.lo[start - 1], below[own])
+    after = np.minimum(end, size - 1)
+    right = np.where((end < size) & (text[after] == own), x.hi[after], above[own])
+    together = (count > 1) & (count * x.span[start] <= cap)
+    some = np.where(together, 1, count)
+    which = np.repeat(np.arange(len(start)), some)
+    at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(some) - some, some)
+    times = np.where(together, count, 1)[which]
+    name, text, a, span, dead = name[at], text[at], x.a[at], x.span[at] * times, x.dead[at]
     with np.errstate(over="ignore"):
-        for r, cap in enumerate(caps):
-            if not len(name):
-                break
-            # runs
-            head = np.concatenate(([True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
-            start = np.flatnonzero(head)
-            end = np.concatenate((start[1:], [len(name)]))
-            count = end - start
-            left = np.where((start > 0) & (doc[start] == doc[start - 1]), lo[start - 1], -FAR)
-            after = np.minimum(end, len(name) - 1)
-            right = np.where((end < len(name)) & (doc[after] == doc[start]), hi[after], FAR)
-            run_lo = np.minimum(np.minimum.reduceat(lo, start), left)
-            run_hi = np.maximum(np.maximum.reduceat(hi, start), right)
-            merge = (count > 1) & (count * span[start] <= cap)
-            size = np.where(merge, 1, count)
-            at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            which = np.repeat(np.arange(len(start)), size)
-            runs = merge[which]
-            name = np.where(runs, mix64(name[at] + count[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), name[at])
-            span = np.where(runs, span[at] * count[which], span[at])
-            a, doc, lo, hi = a[at], doc[at], run_lo[which], run_hi[which]
-            # pairs
-            right_side = (mix64(name + np.uint64(r + 1) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(63)).astype(bool)
-            same = doc[1:] == doc[:-1]
-            pair = np.zeros(len(name), bool)
-            pair[:-1] = same & ~right_side[:-1] & right_side[1:] & (span[:-1] + span[1:] <= cap)
-            second = np.concatenate(([False], pair[:-1]))
-            next_hi = np.concatenate((np.where(same, hi[1:], FAR), [FAR]))
-            prev_lo = np.concatenate(([-FAR], np.where(same, lo[:-1], -FAR)))
-            next_lo = np.concatenate((lo[1:], [FAR]))
-            new_lo = np.where(pair, np.minimum(lo, next_lo), np.where(right_side, np.minimum(lo, prev_lo), lo))
-            new_hi = np.where(pair, np.maximum(hi, next_hi), np.where(right_side, hi, np.maximum(hi, next_hi)))
-            other = np.concatenate((name[1:], [np.uint64(0)]))
-            new_name = np.where(pair, mix64(name * np.uint64(0x9E3779B97F4A7C15) + mix64(other)), name)
-            new_span = np.where(pair, span + np.concatenate((span[1:], [0])), span)
-            keep = ~second
-            a, doc, lo, hi, name, span = a[keep], doc[keep], new_lo[keep], new_hi[keep], new_name[keep], new_span[keep]
-    return name, lo, hi
+        name = np.where(times > 1, mix64(name + times.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), name)
+        right_side = (mix64(name + np.uint64(turn + 1) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(63)).astype(bool)
+    # what a dead symbol depends on is settled
+    lo, hi = np.where(dead, x.lo[at], np.minimum(x.lo[start], left)[which]), np.where(dead, x.hi[at], np.maximum(x.hi[end - 1], right)[which])
+    # pairs
+    same = text[1:] == text[:-1]
+    pair = np.zeros(len(name), bool)
+    pair[:-1] = same & ~right_side[:-1] & right_side[1:] & (span[:-1] + span[1:] <= cap) & ~dead[:-1] & ~dead[1:]
+    before = np.where(np.concatenate(([False], same)), np.concatenate(([0], lo[:-1])), below[text])
+    behind = np.where(np.concatenate((same, [False])), np.concatenate((hi[1:], [0])), above[text])
+    lo, hi = np.where(right_side & ~dead, before, lo), np.where(right_side | dead, hi, behind)
+    following = lambda v: np.concatenate((v[1:], np.zeros(1, v.dtype)))
+    name, span = np.where(pair, combined(name, following(name)), name), np.where(pair, span + following(span), span)
+    keep = np.concatenate(([True], ~pair[:-1]))
+    return Strand(*(v[keep] for v in (name, text, a, span, lo, hi, dead)), x.first)
 
 
 def caps_for(width: int) -> tuple[int, ...]:
@@ -120,70 +156,113 @@ def caps_for(width: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+def provisional(names: np.ndarray, first: np.ndarray, caps: tuple[int, ...]) -> Strand:
+    """Rounds within a block, with hashes for names."""
+    x = Strand.of(names, first)
+    for turn, cap in enumerate(caps):
+        x = merge(x, cap, turn)
+    return x
+
+
+# ---- windows ----------------------------------------------------------------
+
+
 def window_hashes(h: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Hash of every window of so many values: a polynomial modulo 2**64 by doubling, scrambled."""
+    """Hash of every window of so many values, put together from halves."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 3)) % 2**64 | 1
-        power, length, have = base, 1, mix64(h + np.uint64(seed))
-        out, done = None, 0
-        left = width
-        while left:
-            if left & 1:
-                piece = have[done : done + n]
-                out = piece.copy() if out is None else out * np.uint64(power) + piece
-                done += length
-            left >>= 1
-            if left:
-                have = have[: len(have) - length] * np.uint64(power) + have[length:]
-                power, length = power * power % 2**64, 2 * length
-        return mix64(out)
-
-
-def representatives(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        have = mix64(h + np.uint64(seed + 1))
+    out, done, length, left = None, 0, 1, width
+    while left:
+        if left & 1:
+            piece = have[done : done + n]
+            out = piece if out is None else combined(out, piece, 1)
+            done += length
+        left >>= 1
+        if left:
+            have = combined(have[: len(have) - length], have[length:], 2)
+            length *= 2
+    return mix64(out)
+
+
+class Ranges:
+    """Hash of any range of an array, from overlapping ranges whose lengths are powers of two."""
+
+    def __init__(self, values: np.ndarray, most: int, seed: int):
+        with np.errstate(over="ignore"):
+            self.tables = [mix64(values.view(np.uint64) + np.uint64(seed + 1))]
+        length = 1
+        while 2 * length <= min(most, len(values)):
+            t = self.tables[-1]
+            self.tables.append(combined(t[: len(t) - length], t[length:], 3))
+            length *= 2
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        n = hi - lo
+        out = np.zeros(len(lo), np.uint64)
+        level = np.zeros(len(lo), np.int64)
+        level[n > 0] = np.floor(np.log2(n[n > 0])).astype(np.int64)
+        for k, table in enumerate(self.tables):
+            at = (n > 0) & (level == k)
+            out[at] = combined(table[lo[at]], table[hi[at] - (1 << k)], 4)
+        return combined(out, n.astype(np.uint64), 5)
+
+
+def identities(x: Strand, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int) -> np.ndarray:
+    """What the words [lo, hi) are made of: all symbols that depend on nothing outside, and the words before and behind them."""
+    most = int((hi - lo).max()) if len(lo) else 0
+    i, j = np.searchsorted(x.lo, lo, "left"), np.searchsorted(x.hi, hi, "right")
+    some = i < j
+    last = np.maximum(j - 1, 0)
+    if not len(x.a):
+        return np.zeros(len(lo), np.uint64)
+    i = np.where(some, i, 0)
+    left = np.where(some, x.a[np.minimum(i, len(x.a) - 1)], hi)
+    right = np.where(some, x.a[last] + x.span[last], hi)
+    plain, high = Ranges(words, most, seed), Ranges(x.name, most, seed)
+    out = combined(plain.of(lo, left), high.of(i, np.where(some, j, 0)), 6)
+    return combined(out, plain.of(right, hi), 7)
+
+
+def representatives(x: Strand, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (by first word) that lie in one text, the key of each, and whether the key differs from the window before."""
-    n = len(words.hashes) - width + 1
+    n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    inside = words.text[:n] == words.text[width - 1 :]
-    name, lo, hi = symbols(words.hashes, words.text, caps_for(width))
-    first, last = hi - width, lo  # windows that hold all the symbol depends on
-    first = np.maximum(first, 0)
-    last = np.minimum(last, n - 1)
-    able = (first <= last) & (hi - lo <= width) & (lo >= 0)
-    name, lo, hi, first, last = name[able], lo[able], hi[able], first[able], last[able]
+    text = np.repeat(np.arange(len(x.first) - 1), np.diff(x.first))
+    inside = text[:n] == text[width - 1 :]
+    first, last = np.maximum(x.hi - width, 0), np.minimum(x.lo, n - 1)  # windows that hold all the symbol depends on
+    able = (first <= last) & (x.hi - x.lo <= width) & (x.lo >= 0)
+    name, lo, hi, first, last = (v[able] for v in (x.name.view(np.uint64), x.lo, x.hi, first, last))
     order = np.argsort(mix64(name), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     # least rank over all symbols whose range [first, last] has the window: ranges as two halves of a power of two
     none = np.int64(len(order))
     level = np.floor(np.log2(np.maximum(last - first + 1, 1))).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    best = np.full(n, none)
+    layer = np.full(n, none)
     for k in range(int(level.max()) if len(level) else 0, -1, -1):
         own = level == k
-        layer = np.full(n, none) if k == int(level.max()) else layer_next
         np.minimum.at(layer, first[own], rank[own])
         np.minimum.at(layer, last[own] - (1 << k) + 1, rank[own])
-        if k == 0:
-            best = layer
-        else:
-            half = 1 << (k - 1)
-            layer_next = layer.copy()
-            layer_next[half:] = np.minimum(layer_next[half:], layer[:-half])
+        if k:
+            half, lower = 1 << (k - 1), layer.copy()
+            lower[half:] = np.minimum(lower[half:], layer[:-half])
+            layer = lower
     at = np.flatnonzero(inside)
-    chosen = best[at]
+    chosen = layer[at]
     found = chosen < none
-    with np.errstate(over="ignore"):
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hashes * _powers(len(words.hashes)), dtype=np.uint64)))
-        s = order[np.where(found, chosen, 0)] if len(order) else np.zeros(len(at), np.int64)
-        key = np.zeros(len(at), np.uint64)
-        if len(order):
-            context = (prefix[hi[s]] - prefix[lo[s]]) * _powers(len(words.hashes), inverse=True)[lo[s]]
-            key = mix64(mix64(name[s]) + context)
-        if not found.all():
-            key = np.where(found, key, window_hashes(words.hashes, width, 7)[at])
+    key = np.zeros(len(at), np.uint64)
+    if len(order):
+        with np.errstate(over="ignore"):
+            powers, inverse = _powers(len(words)), _powers(len(words), inverse=True)
+            prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.view(np.uint64) * powers, dtype=np.uint64)))
+            s = order[np.where(found, chosen, 0)]
+            key = mix64(mix64(name[s]) + (prefix[hi[s]] - prefix[lo[s]]) * inverse[lo[s]])
+    if not found.all():
+        key = np.where(found, key, window_hashes(words.view(np.uint64), width, 7)[at])
     fresh = np.ones(len(at), bool)
     fresh[1:] = (np.diff(at) != 1) | (chosen[1:] != chosen[:-1]) | ~found[1:]
     return at, key, fresh
@@ -198,6 +277,9 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
         return np.cumprod(p, dtype=np.uint64)
 
 
+# ---- what runs on Arrow batches ---------------------------------------------
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from row_blocks(batch, "text", BLOCK)
@@ -211,7 +293,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
     """Per text: words, digest of its words, and the distinct keys of its windows."""
     for part in _parts(batches):
         words = Words(text_bytes(part.column("text")))
-        at, key, fresh = representatives(words, width)
+        at, key, fresh = representatives(provisional(words.names, words.first, caps_for(width)), words.names, width)
         key, doc = key[fresh].view(np.int64), words.text[at[fresh]]
         order = np.lexsort((key, doc))
         key, doc = key[order], doc[order]
@@ -225,136 +307,379 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
-    """Texts with their runs of wanted keys: first window, number of windows, hashes of all their words."""
+def _one(columns: dict, block: pa.Array | None = None) -> pa.RecordBatch:
+    """A batch of one row whose columns are lists, but for the block's number."""
+    arrays = [] if block is None else [block]
+    for c, v in columns.items():
+        values = v if isinstance(v, pa.Array) else pa.array(v, _KINDS[c])
+        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+    return pa.RecordBatch.from_arrays(arrays, [*(["block"] if block is not None else []), *columns])
+
+
+_LONG, _INT = pa.int64(), pa.int32()
+_KINDS = {c: _LONG for c in ("word", "name", "top_name")} | {"many": pa.bool_(), "words": pa.binary(), "parts": pa.list_(_LONG)}
+_KINDS |= {c: _INT for c in ("doc", "at", "n", "which", "a", "span", "lo", "hi", "top_a", "top_span")}
+#: Columns of a block that stay through the rounds: its texts, and the stretches of theirs that it holds.
+_FIXED = ("ids", "rows", "doc", "at", "n")
+_STRAND = ("name", "which", "a", "span", "lo", "hi", "top_name", "top_a", "top_span")
+_PROPOSED = ("parts", "many")
+_SQL = {_LONG: "long", _INT: "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(_LONG): "array<long>"}
+
+
+def _schema(kind: str, *columns: str, block: bool = True) -> str:
+    return ", ".join([*(["block long"] if block else []), f"ids array<{kind}>", "rows array<binary>", *[f"{c} array<{_SQL[_KINDS[c]]}>" for c in columns if c not in ("ids", "rows")]])
+
+
+def _many(which: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Which of n proposals two documents of the block or more have."""
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(least, which, doc)
+    np.maximum.at(most, which, doc)
+    return least < most
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Blocks of the stretches that wanted keys cover, with their distinct words."""
     for part in _parts(batches):
         words = Words(text_bytes(part.column("text")))
-        at, key, fresh = representatives(words, width)
+        at, key, fresh = representatives(provisional(words.names, words.first, caps_for(width)), words.names, width)
         start = np.flatnonzero(fresh)
         count = np.diff(np.concatenate((start, [len(at)])))
         at, key = at[start], key[start].view(np.int64)
         doc = words.text[at]
         keep = np.zeros(len(at), bool)
-        for i, own in enumerate(part.column("wanted").to_pylist()):
+        wanted = part.column("wanted")
+        for i in range(part.num_rows):
             a, b = np.searchsorted(doc, [i, i + 1])
-            keep[a:b] = np.isin(key[a:b], np.asarray(own, np.int64))
-        at, key, doc, count = at[keep], key[keep], doc[keep], count[keep]
-        one, two = (_span_hashes(words.hashes, at, at + count + width - 1, s) for s in (1, 2))
-        cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        texts = [words.joined(a, b) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        lists = [_lists(v, cuts, t) for v, t in ((key, pa.int64()), (at - words.first[doc], pa.int32()), (count, pa.int32()), (one, pa.int64()), (two, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), *lists], ["id", "row", "text", "key", "at", "n", "one", "two"])
+            keep[a:b] = np.isin(key[a:b], wanted[i].values.to_numpy())
+        edge = np.zeros(len(words.names) + 1, np.int32)
+        np.add.at(edge, at[keep], 1)
+        np.add.at(edge, at[keep] + count[keep] + width - 1, -1)
+        covered = np.cumsum(edge)[:-1] > 0
+        cut = np.flatnonzero(covered & np.concatenate(([True], ~covered[:-1] | (words.text[1:] != words.text[:-1])))[: len(covered)])
+        if not len(cut):
+            continue
+        held = np.flatnonzero(covered)
+        n = np.diff(np.concatenate((np.searchsorted(held, cut), [len(held)])))
+        place: dict[bytes, int] = {}
+        which = np.fromiter((place.setdefault(w, len(place)) for w in words.joined(0, len(covered), covered).split(b" ")), np.int64, len(held))
+        of = words.text[cut]
+        yield _one(
+            {
+                "ids": part.column("id"),
+                "rows": part.column("row"),
+                "doc": of,
+                "at": cut - words.first[of],
+                "n": n,
+                "which": which,
+                "words": list(place),
+                "many": _many(which, words.text[held], len(place)),
+            }
+        )
 
 
-def _span_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of the words lo to hi, and of how many they are."""
-    with np.errstate(over="ignore"):
-        mixed = mix64(h + np.uint64(seed * 0x1F123BB5))
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * _powers(len(h)), dtype=np.uint64)))
-        inverse = _powers(len(h), inverse=True)
-        return mix64((prefix[hi] - prefix[lo]) * (inverse[lo] if len(h) else np.zeros(0, np.uint64)) + (hi - lo).astype(np.uint64)).view(np.int64)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Each block with its list columns as arrays."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {}
+            for c in batch.schema.names:
+                if c != "block" and batch.column(c).is_valid()[i].as_py():
+                    v = batch.column(c).slice(i, 1).flatten()
+                    row[c] = v.to_numpy(zero_copy_only=False) if c in _KINDS and c not in ("words", "parts") else v
+            yield batch.slice(i, 1), row
+
+
+def _answer(row: dict, which: np.ndarray) -> np.ndarray:
+    """Names of proposals by place; -1 for those that no other text makes."""
+    table = np.full(int(which.max(initial=-1)) + 1, -1, np.int64)
+    if "found" in row:
+        table[row["found"].field("place").to_numpy()] = row["found"].field("name").to_numpy()
+    return table
+
+
+def _strand(row: dict) -> Strand:
+    first = np.concatenate(([0], np.cumsum(row["n"], dtype=np.int64)))
+    a = row["a"].astype(np.int64)
+    text = np.searchsorted(first, a, "right") - 1
+    return Strand(row["name"], text, a, *(row[c].astype(np.int64) for c in ("span", "lo", "hi")), row["name"] < 0, first)
+
+
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Blocks with their words named: the strand that the rounds begin with."""
+    for batch, row in _rows(batches):
+        word = _answer(row, row["which"])[row["which"]]
+        x = Strand.of(word, np.concatenate(([0], np.cumsum(row["n"], dtype=np.int64))))
+        none = np.zeros(0, np.int64)
+        made = {"word": word, "name": word, "which": np.full(len(word), -1), "a": x.a, "span": x.span, "lo": x.lo, "hi": x.hi, "top_name": none, "top_a": none, "top_span": none}
+        yield _one({c: row[c] for c in _FIXED} | made, batch.column("block"))
+
+
+def _proposed(batches: Iterator[pa.RecordBatch], caps: tuple[int, ...], turn: int) -> Iterable[pa.RecordBatch]:
+    """Blocks after the merges of a round. What a merged symbol consists of, runs as a name and a number, waits for a name."""
+    for batch, row in _rows(batches):
+        x = y = _strand(row)
+        for step, cap in enumerate(caps):
+            y = merge(y, cap, turn + step)
+        begin = np.searchsorted(x.a, y.a)
+        count = np.diff(np.concatenate((begin, [len(x.a)])))
+        head = np.zeros(len(x.a), bool)
+        head[begin] = True
+        head[1:] |= x.name[1:] != x.name[:-1]
+        part = np.flatnonzero(head)
+        times = np.diff(np.concatenate((part, [len(x.a)])))
+        flat = np.stack((x.name[part], times), axis=1).ravel()
+        changed = np.flatnonzero(count > 1)
+        cuts = 2 * np.searchsorted(part, np.concatenate((begin, [len(x.a)])))
+        place: dict[bytes, int] = {}
+        put = lambda i: place.setdefault(flat[cuts[i] : cuts[i + 1]].tobytes(), len(place))
+        proposal = np.fromiter((put(i) for i in changed), np.int64, len(changed))
+        which = np.full(len(y.a), -1)
+        which[changed] = proposal
+        ends = np.concatenate(([0], np.cumsum([len(k) // 8 for k in place], dtype=np.int64)))
+        made = {"name": np.where(which < 0, x.name[begin], 0), "which": which, "a": y.a, "span": y.span, "lo": y.lo, "hi": y.hi}
+        made |= {c: row[c] for c in ("top_name", "top_a", "top_span")}
+        made["parts"] = _lists(np.frombuffer(b"".join(place), np.int64), ends, _LONG)
+        made["many"] = _many(proposal, row["doc"][y.text[changed]], len(place))
+        yield _one({c: row[c] for c in (*_FIXED, "word") if c in row} | made, batch.column("block"))
+
+
+def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Blocks with the names of a round filled in; shared symbols of a window's width or more are noted."""
+    for batch, row in _rows(batches):
+        which = row["which"]
+        merged = which >= 0
+        name = row["name"].copy()
+        name[merged] = _answer(row, which)[which[merged]]
+        top = merged & (name >= 0) & (row["span"] >= width)
+        more = {f"top_{c}": np.concatenate((row[f"top_{c}"], v[top])) for c, v in (("name", name), ("a", row["a"]), ("span", row["span"]))}
+        made = {"name": name, "which": np.full(len(name), -1)} | {c: row[c] for c in ("a", "span", "lo", "hi")} | more
+        yield _one({c: row[c] for c in (*_FIXED, "word") if c in row} | made, batch.column("block"))
+
+
+def _places(row: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document (by its place in the block) and word in it of words of a block."""
+    first = np.concatenate(([0], np.cumsum(row["n"], dtype=np.int64)))
+    s = np.searchsorted(first, w, "right") - 1
+    return row["doc"][s], row["at"][s] + w - first[s]
+
+
+def _tops(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """The high symbols of all blocks, one row for each."""
+    for batch, row in _rows(batches):
+        a = row["top_a"].astype(np.int64)
+        doc, at = _places(row, a)
+        doc = pa.array(doc)
+        columns = [pa.array(np.full(len(a), batch.column("block")[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(row["top_name"])]
+        columns += [pa.array(v, _INT) for v in (a, at, row["top_span"] - width + 1)]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "id", "row", "name", "w", "at", "n"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Runs of windows that high symbols haven't settled: first window, number of windows, what their words are made of."""
+    for batch, row in _rows(batches):
+        x, word = _strand(row), row["word"]
+        at, key, fresh = representatives(x, word, width)
+        edge = np.zeros(len(word) + 2, np.int32)
+        dead = x.name < 0  # a window that holds all a dead symbol depends on stands in one text
+        lo, hi = np.maximum(x.hi[dead] - width, 0), np.minimum(x.lo[dead], len(word))
+        lo, hi = lo[lo <= hi], hi[lo <= hi]
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi + 1, -1)
+        if "settled" in row:
+            w, n = (row["settled"].field(c).to_numpy() for c in ("w", "n"))
+            np.add.at(edge, w, 1)
+            np.add.at(edge, w + n, -1)
+        open_ = (np.cumsum(edge)[: len(word)] == 0)[at]
+        fresh[1:] |= ~open_[:-1]
+        at, key, fresh = at[open_], key[open_], fresh[open_]
+        start = np.flatnonzero(fresh)
+        count = np.diff(np.concatenate((start, [len(at)])))
+        w, key = at[start], key[start]
+        doc, place = _places(row, w)
+        doc = pa.array(doc)
+        one, two = (identities(x, word, w, w + count + width - 1, s).view(np.int64) for s in (1, 2))
+        columns = [pa.array(np.full(len(w), batch.column("block")[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(key.view(np.int64))]
+        columns += [pa.array(v, _INT) for v in (w, place, count)] + [pa.array(one), pa.array(two)]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "id", "row", "key", "w", "at", "n", "one", "two"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
-    """Windows of the runs that are named (by the run's hashes and the place in it), with hashes of their words."""
-    for part in _parts(batches):
-        words = Words(text_bytes(part.column("text")))
-        first = np.concatenate([np.asarray([r["at"] for r in runs], np.int64) + words.first[i] for i, runs in enumerate(part.column("runs").to_pylist())])
-        runs = [r for x in part.column("runs").to_pylist() for r in x]
-        count = np.asarray([r["n"] for r in runs], np.int64)
+    """Windows of the runs that are named (by what the run is made of and the place in it), with what each is made of."""
+    for _, row in _rows(batches):
+        x = _strand(row)
+        first, count, *run = (row["runs"].field(c).to_numpy().astype(np.int64) for c in ("w", "n", "one", "two"))
         off = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(first, count) + off
-        run = [np.repeat(np.asarray([r[c] for r in runs], np.int64), count) for c in ("one", "two")]
-        one, two = (window_hashes(words.hashes, width, s)[at].view(np.int64) for s in (3, 4))
-        ids = part.column("id").take(pa.array(words.text[at]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(run[0]), pa.array(run[1]), pa.array(off.astype(np.int32)), pa.array(one), pa.array(two)], ["id", "run1", "run2", "off", "one", "two"])
+        w = np.repeat(first, count) + off
+        one, two = (identities(x, row["word"], w, w + width, s).view(np.int64) for s in (3, 4))
+        ids = row["ids"].take(pa.array(_places(row, w)[0]))
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.repeat(r, count)) for r in run], pa.array(off, _INT), pa.array(one), pa.array(two)], ["id", "run1", "run2", "off", "one", "two"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+    """Per text: words that go, the text without them, and the digest of the words that stay."""
     for part in _parts(batches):
         words = Words(text_bytes(part.column("text")))
-        removed, kept = [], []
-        for a, b, found in zip(words.first[:-1], words.first[1:], part.column("repeated").to_pylist(), strict=True):
+        removed, left, sha = [], [], []
+        for i, found in enumerate(part.column("repeated").to_pylist()):
+            a, b = words.first[i], words.first[i + 1]
             edge = np.zeros(b - a + 1, np.int32)
             at, n = (np.asarray([r[c] for r in found], np.int64) for c in ("at", "n"))
             np.add.at(edge, at, 1)
             np.add.at(edge, at + n + width - 1, -1)
             gone = np.cumsum(edge)[:-1] > 0
             removed.append(int(gone.sum()))
-            kept.append(words.joined(a, b, ~gone))
-        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_removed", "kept"])
+            left.append(words.without(i, gone))
+            sha.append(hashlib.sha256(words.joined(a, b, ~gone)).digest())
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, _LONG), pa.array(left, pa.binary()).cast(pa.string()), pa.array(sha, pa.binary())], ["row", "n_removed", "left", "kept"])
+
+
+# ---- the rounds -------------------------------------------------------------
+
+
+#: Merges of a round above the symbols that fit a window: a round is a few Spark jobs, so fewer rounds do more each.
+MERGES = 3
+
+
+def _round(blocks: DataFrame, key: str, turn: int, seen: list[DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """Blocks with the answers to their proposals (found), and the round's names table.
+
+    The table has one row (the proposal, its name) for each distinct proposal
+    that two texts or more make; the row's number is its name.
+    """
+    proposed = blocks.select("block", F.posexplode(F.arrays_zip(key, "many")).alias("place", "p")).select("block", "place", f"p.{key}", "p.many")
+    shared = proposed.groupBy(key).agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("texts")).where("texts > 1")
+    names = stored(shared.select(key, (F.monotonically_increasing_id() * 64 + turn).alias("name")), f"names-{turn}")
+    if seen is not None:
+        seen.append(names)
+    found = proposed.join(names, key).groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("found"))
+    return blocks.drop(key, "many").join(found, "block", "left"), names
+
+
+def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds over texts (id, row, text, wanted): (blocks, tops).
+
+    blocks: the strands whose symbols fit a window with their surroundings.
+    tops: one row per shared symbol of width words or more. Round 0 names words,
+    the next ones a run or pair each, those above strings of MERGES times runs
+    and pairs; they end when no text shares what it merged. Names tables of the
+    rounds are appended to seen, if given, and are deleted otherwise.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def kept(df: DataFrame, *old: DataFrame) -> DataFrame:
+        out = stored(df, "strands")
+        for table in old:
+            discard(table)
+        return out
+
+    used = lambda names: [] if seen is not None else [names]
+    cut = texts.mapInArrow(lambda it: _blocks(it, width), _schema(kind, *_FIXED, "which", "words", "many", block=False))
+    blocks = stored(cut.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    answered, names = _round(blocks, "words", 0, seen)
+    fill = _lettered
+    named, waiting = _schema(kind, *_FIXED, "word", *_STRAND), _schema(kind, *_FIXED, "word", *_STRAND, *_PROPOSED)
+    for turn, cap in enumerate(caps_for(width)):
+        blocks = kept(answered.mapInArrow(lambda it, fill=fill, cap=cap, turn=turn: _proposed(fill(it), (cap,), turn), waiting), blocks, *used(names))
+        answered, names = _round(blocks, "parts", turn + 1, seen)
+        fill = lambda it: _named(it, width)
+    base = kept(answered.mapInArrow(fill, named), blocks, *used(names))
+    turn, blocks, old = len(caps_for(width)), base.drop("word").withColumn("found", F.lit(None).cast("array<struct<place:int,name:long>>")), []
+    named, waiting = _schema(kind, *_FIXED, *_STRAND), _schema(kind, *_FIXED, *_STRAND, *_PROPOSED)
+    rounds = turn
+    while not names.isEmpty() if old else True:
+        caps = tuple(2 << turn + k for k in range(MERGES))
+        blocks = kept(blocks.mapInArrow(lambda it, caps=caps, turn=turn: _proposed(_named(it, width), caps, turn), waiting), *old)
+        turn, rounds, old = turn + MERGES, rounds + 1, [blocks]
+        blocks, names = _round(blocks, "parts", rounds, seen)
+        old += used(names)
+    tops = stored(blocks.mapInArrow(lambda it: _tops(_named(it, width), width), f"block long, id {kind}, row binary, name long, w int, at int, n int"), "tops")
+    for table in old:
+        discard(table)
+    return base, tops
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> tuple[DataFrame, DataFrame]:
     """What repeats: (rows, contents).
 
-    rows: per row id, row (a hash of id and text), n_words and content (SHA-256
+    rows: per row id, row (a name of id and text), n_words and content (SHA-256
     of its words joined by spaces). contents: per content first_id, the smallest
-    id that has it, and, if that document loses words, n_removed and kept, the
-    text left.
+    id that has it, and, if that document loses words, n_removed, left (the text
+    without them) and kept (SHA-256 of the words that stay, joined by spaces).
 
     A word goes if a window of `width` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. Equal contents
     are compared once. Rows that share an id don't repeat each other. Rows with
     a null id neither lose words nor cause others to; a null text has no words.
+    No rows give no rows. Other columns of docs, whatever their names, are left
+    behind.
     """
-    frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    frame = docs.select(F.col(id_col).alias("id"), row_name(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
-    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, width), f"id {kind}, row long, n_words long, content binary, keys array<long>"), "sketches")
+    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, width), f"id {kind}, row binary, n_words long, content binary, keys array<long>"), "sketches")
     firsts = sketched.where("id IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "row")).alias("m")).select("content", F.col("m.id").alias("first_id"), F.col("m.row").alias("row"))
     firsts = stored(firsts, "firsts")
+    # rows of one name are alike, so the keys of any one of them will do
     keys = sketched.select("row", "keys").join(firsts.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
-    # the count is summed before it is shuffled, and the join may be split: a third of all texts may share a key
     shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key")
-    wanted = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("wanted"))
-    texts = stored(frame.join(wanted, "row").mapInArrow(lambda it: _runs(it, width), f"id {kind}, row long, text string, key array<long>, at array<int>, n array<int>, one array<long>, two array<long>"), "texts")
+    wanted = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("wanted"))
+    texts = stored(frame.join(wanted, "row").dropDuplicates(["row"]), "texts")
     sketched = narrowed(sketched, "contents-of-rows", "id", "row", "n_words", "content")
-    runs = texts.select("id", "row", F.explode(F.arrays_zip("key", "at", "n", "one", "two")).alias("w")).select("id", "row", "w.*")
-    kinds = stored(runs.groupBy("one", "two").agg(F.min(F.struct("id", "row", "at", "n", "key")).alias("m")).select("one", "two", F.col("m.id").alias("least"), "m.row", "m.at", "m.n", "m.key"), "kinds")
+
+    blocks, tops = recompress(texts, width)
+    least = tops.groupBy("name").agg(F.min("id").alias("least"))
+    settled = stored(tops.join(least, "name").where("least < id").select("block", "row", "w", "at", "n"), "settled")
+    discard(tops)
+    by_block = settled.groupBy("block").agg(F.collect_list(F.struct("w", "n")).alias("settled"))
+    runs = blocks.join(by_block, "block", "left").mapInArrow(lambda it: _runs(it, width), f"block long, id {kind}, row binary, key long, w int, at int, n int, one long, two long")
+    runs = stored(runs, "runs")
+    first = F.min(F.struct("id", "row", "at", "n", "key", "block", "w")).alias("m")
+    kinds = stored(runs.groupBy("one", "two").agg(first).select("one", "two", F.col("m.id").alias("least"), "m.key", "m.block", "m.w", "m.n"), "kinds")
     known = runs.select("id", "row", "at", "n", "one", "two").join(kinds.select("one", "two", "least"), ["one", "two"])
     whole = known.where("least < id").select("row", "at", "n")
     # a kind of run that nothing before it has: its windows, once, and what comes of them wherever the first document has the run
-    open_ = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "n", "one", "two")).alias("runs"))
-    each = texts.select("id", "row", "text").dropDuplicates(["row"]).join(open_, "row").mapInArrow(lambda it: _windows(it, width), f"id {kind}, run1 long, run2 long, off int, one long, two long")
-    each = stored(each, "windows")
+    open_ = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi").groupBy("block").agg(F.collect_list(F.struct("w", "n", "one", "two")).alias("runs"))
+    each = stored(blocks.join(open_, "block").mapInArrow(lambda it: _windows(it, width), f"id {kind}, run1 long, run2 long, off int, one long, two long"), "windows")
     least = each.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("one", "two", "least")
     single = each.join(least, ["one", "two"]).where("least < id").select(F.col("run1").alias("one"), F.col("run2").alias("two"), "off")
     single = known.where("least = id").select("row", "at", "one", "two").join(single, ["one", "two"]).select("row", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
-    repeated = whole.union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("repeated"))
-    changed = texts.select("row", "text").join(repeated, "row").mapInArrow(lambda it: _remove(it, width), "row long, n_removed long, kept string")
-    one = changed.groupBy("row").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-    contents = stored(firsts.join(one, "row", "left").drop("row"), "contents")
-    for table in (texts, kinds, each, firsts):
+    repeated = settled.select("row", "at", "n").union(whole).union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("repeated"))
+    changed = texts.select("row", "text").join(repeated, "row").mapInArrow(lambda it: _remove(it, width), "row binary, n_removed long, left string, kept binary")
+    contents = stored(firsts.join(changed, "row", "left").drop("row"), "contents")
+    for table in (texts, blocks, settled, runs, kinds, each, firsts):
         discard(table)
     return sketched, contents
 
 
 def _verdict(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
-    """rows with n_removed and kept (null where nothing goes)."""
+    """rows with n_removed, left and kept (both null where nothing goes)."""
     copy = F.coalesce((F.col("id") > F.col("first_id")) & (F.col("n_words") >= width), F.lit(False))
     first = F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)) & F.col("n_removed").isNotNull()
     found = rows.join(contents, "content", "left")
     return found.select(
         *rows.columns,
         F.when(copy, F.col("n_words")).when(first, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.when(copy, F.lit("")).when(first, F.col("kept")).alias("kept"),
+        F.when(copy, F.lit("")).when(first, F.col("left")).alias("left"),
+        F.when(copy, F.unhex(F.sha2(F.lit(""), 256))).when(first, F.col("kept")).alias("kept"),
     )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
-    """docs with repeated passages taken out of the texts; texts that lose nothing stay as they are."""
+    """docs with repeated passages taken out of the texts; white space between the words that stay is kept.
+
+    Texts that lose nothing stay as they are, and so do all other columns.
+    """
     rows, contents = find_repeats(docs, id_col, text_col, width)
-    found = _verdict(rows, contents, width).where("n_removed > 0").select("row", "kept").dropDuplicates(["row"])
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    return keyed.join(found.select(F.col("row").alias("__row"), F.col("kept").alias("__kept")), "__row", "left").withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
+    found = _verdict(rows, contents, width).where("n_removed > 0").select(F.col("row").alias("__row"), F.col("left").alias("__left")).dropDuplicates(["__row"])
+    keyed = docs.withColumn("__row", row_name(id_col, text_col))
+    return keyed.join(found, "__row", "left").withColumn(text_col, F.coalesce("__left", text_col)).select(*docs.columns)
 
 
 def op4_recompression(spark, sf_dir: str, width: int = 50) -> DataFrame:
     """Words of every document, words removed, and the digest of those kept."""
     rows, contents = find_repeats(documents(spark, sf_dir).select("doc_id", "text"), width=width)
     out = _verdict(rows, contents, width)
-    kept = F.when(F.col("kept").isNull(), F.lower(F.hex("content"))).otherwise(F.sha2(F.col("kept"), 256))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.lower(F.hex(F.coalesce("kept", "content"))).alias("kept_sha256"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -186,7 +186,7 @@ def test_line_rules_run_no_python(spark, odd):
 def found(docs, width=50):
     rows, contents = recompress.find_repeats(docs, width=width)
     out = recompress._verdict(rows, contents, width)
-    digest = F.when(F.col("kept").isNull(), F.lower(F.hex("content"))).otherwise(F.sha2(F.col("kept"), 256))
+    digest = F.lower(F.hex(F.coalesce("kept", "content")))
     return {r["id"]: (r["n_words"], r["n_removed"], r["d"]) for r in out.select("id", "n_words", "n_removed", digest.alias("d")).collect()}
 
 
@@ -222,12 +222,68 @@ def test_symbols_agree_inside_equal_substrings():
     seen = []
     for _ in range(2):
         row = np.concatenate((rng.integers(0, 50, 40).astype(np.uint64), middle, rng.integers(0, 50, 40).astype(np.uint64)))
-        name, lo, hi = recompress.symbols(recompress.mix64(row), np.zeros(len(row), np.int64), recompress.caps_for(50))
-        inside = (lo >= 40) & (hi <= 100)
-        seen.append({(int(n), int(a - 40), int(b - 40)) for n, a, b in zip(name[inside], lo[inside], hi[inside], strict=True)})
+        x = recompress.provisional(recompress.mix64(row), np.array([0, len(row)]), recompress.caps_for(50))
+        assert (np.diff(x.lo) >= 0).all() and (np.diff(x.hi) >= 0).all() and x.lo[0] == -1 and x.hi[-1] == len(row) + 1
+        inside = (x.lo >= 40) & (x.hi <= 100)
+        seen.append({(int(n), int(a - 40), int(b - 40)) for n, a, b in zip(x.name[inside], x.lo[inside], x.hi[inside], strict=True)})
     assert seen[0] == seen[1] and len(seen[0]) > 5
 
 
+# words of one length that a polynomial of the bytes modulo 2**64 can't tell apart
+THUE = ["a"]
+for _ in range(10):
+    THUE.append(THUE[-1] + THUE[-1].translate(str.maketrans("ab", "ba")))
+OTHER_THUE = [t.translate(str.maketrans("ab", "ba")) for t in THUE]
+
+
+@pytest.mark.parametrize("k", [5, 9, 10])
+def test_words_of_like_patterns_differ(spark, k):
+    body = [f"v{i}" for i in range(49)]
+    rows = [(1, " ".join([*body, THUE[k]])), (2, " ".join([*body, OTHER_THUE[k]])), (3, " ".join([*body, THUE[k]]))]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute.repeats(rows)
+    lone = spark.createDataFrame([(1, THUE[k]), (2, OTHER_THUE[k]), (3, THUE[k])], SCHEMA)
+    assert joined(lone, 9, 10, 3) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+def test_patterns_of_words_differ(spark):
+    rows = [(i, " ".join(t)) for i, t in enumerate((THUE[10], OTHER_THUE[10], "z " + OTHER_THUE[10] * 2, THUE[6] + OTHER_THUE[7]))]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute.repeats(rows)
+
+
+def test_every_round_names_runs_and_pairs_once(spark):
+    import random
+
+    rng = random.Random(4)
+    passage = [f"p{rng.randint(0, 300)}" for _ in range(400)] + ["same"] * 70
+    rows = [(i, " ".join([f"x{i}y{k}" for k in range(rng.randint(0, 60))] + passage[i * 5 : 470 - i] + [f"z{i}w{k}" for k in range(90)])) for i in range(12)]
+    texts = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), "text", F.unhex(F.md5("text")).alias("row"))
+    keys = texts.repartition(4).mapInArrow(lambda it: recompress._sketch(it, 50), "id long, row binary, n_words long, content binary, keys array<long>")
+    seen = []
+    blocks, tops = recompress.recompress(texts.join(keys.select("row", F.col("keys").alias("wanted")), "row").repartition(5), 50, seen)
+    tables = [t.collect() for t in seen]
+    assert len(tables) > 6 and {r["words"] for r in tables[0]} <= {w.encode() for w in passage}
+    expansion = {r["name"]: [r["words"]] for r in tables[0]}
+    for turn, table in enumerate(tables[1:]):
+        for r in table:
+            names, times = r["parts"][::2], r["parts"][1::2]
+            assert r["name"] not in expansion and sum(times) > 1 and (len(names) <= 2 or turn > 2)
+            expansion[r["name"]] = [w for n, k in zip(names, times, strict=True) for w in expansion[n] * k]
+    assert len({tuple(x) for x in expansion.values()}) == len(expansion)
+    text = dict(rows)
+    high = tops.collect()
+    assert high and max(r["n"] for r in high) > 100
+    for r in high:  # what a high symbol stands for is what the text has there
+        assert text[r["id"]].encode().split()[r["at"] : r["at"] + r["n"] + 49] == expansion[r["name"]]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute.repeats(rows)
+
+
+def test_what_stays_keeps_its_white_space(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"one\ttwo\n\n{passage}\n three \nfour\n"), (3, f" {passage} ")]
+    left = {r["doc_id"]: r["text"] for r in recompress.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert left == {1: rows[0][1], 2: "one\ttwo\n\nthree \nfour\n", 3: " "}
+
+
 # ---- parity sketches --------------------------------------------------------
 
 
