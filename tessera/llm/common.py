@@ -69,6 +69,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: A key with more than one of so many rows of a join's left side is joined by broadcast: there are at most as many.
+HEAVY = 1000
+
+
+def weighted_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row per key and, in weight, how many rows of left have the key.
+
+    Keys with more than total / HEAVY rows of left, total being at least the
+    rows of left, number fewer than HEAVY: these rows of right are broadcast, so
+    no key's rows meet in one task. The others are joined as usual. how is inner
+    or left; keys must not be null for an inner join to find them.
+    """
+    many = F.col(weight) * HEAVY > total
+    heavy, light = right.where(many).drop(weight), right.where(~many).drop(weight)
+    keys = F.broadcast(heavy.select(*on))
+    return left.join(F.broadcast(heavy), on).unionByName(left.join(keys, on, "left_anti").join(light, on, how))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -17,11 +17,14 @@ alone in its part) and are set aside: if a set has f of those, it still shares
 K - D - f rare ones with each partner. Pairs that meet in fewer can't link; pairs
 of rare values are few, RARE being fixed. Only sets with f >= K - D, such as
 members of a large group of near copies, go on to meet in frequent values, among
-themselves: each is tied to the value's least one, never paired off.
-
-Ties form clusters, and exact sets decide within clusters, block against block.
-Only links that connect something new leave a task. Components of those links
-are those of all links.
+themselves: each is tied to the value's least one, never paired off. A value that
+is frequent within a task is known to be so before the shuffle, which then gets
+RARE + 1 of its sets from there, enough to show it.
+
+Ties form clusters, and exact sets decide within clusters. In a large one, all
+sets meet a few pivots first; only those that link with none are compared with
+the whole cluster, block against block. Only links that connect something new
+leave a task. Components of those links are those of all links.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, documents, mix64, narrowed, row_blocks, stored, text_bytes
+from .common import SPACE, combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
@@ -48,6 +51,10 @@ MARGIN = 0.15
 BLOCK_SHINGLES = 150_000
 #: Sets that a block holds, about: bounds the table of pairs where sets are small.
 BLOCK_SETS = 1_000
+#: Sets of a cluster of several blocks that all its others meet first.
+PIVOTS = 8
+#: Keys that a task looks at together before the shuffle.
+CHUNK = 1 << 20
 
 
 def lowered(texts: list[bytes | None]) -> list[bytes]:
@@ -55,19 +62,24 @@ def lowered(texts: list[bytes | None]) -> list[bytes]:
     return [(t or b"").lower() for t in texts]
 
 
-def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingles of each text; with fewer words than n, all of them as one."""
+def shingle_sets(texts: list[bytes | None], n: int) -> tuple[list[np.ndarray], list[tuple[int, int] | None]]:
+    """Sorted distinct 64-bit shingles of each text (with fewer words than n, all of them as one), and a 128-bit name of each set.
+
+    The two halves of a name come from the two halves of the words' names, so
+    they are independent. An empty set has no name.
+    """
     words = Words(lowered(texts))
-    grams = window_hashes(words.names, n, 0)
-    out = []
+    grams = [window_hashes(h, n, 0) for h in (words.names, words.more)]
+    sets, names = [], []
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
-        elif b > a:
-            out.append(window_hashes(words.names[a:b], int(b - a), int(b - a)))
+            own, at = np.unique(grams[0][a : b - n + 1], return_index=True)
+            more = grams[1][a : b - n + 1][at]
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            own, more = (window_hashes(h[a:b], int(b - a), int(b - a)) if b > a else np.zeros(0, np.uint64) for h in (words.names, words.more))
+        sets.append(own)
+        names.append((set_name(own), set_name(more)) if len(own) else None)
+    return sets, names
 
 
 class Bands:
@@ -99,13 +111,13 @@ class Bands:
         return list(range(own, last + 1))
 
 
-def sketch_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (band, part, value) of a set as 64-bit numbers, the band of each, and K - D of its band.
+def sketch_keys(shingles: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarray]]:
+    """For each band of a set: the band, K - D, and the keys (band, part, value) as 64-bit numbers.
 
     Empty parts give a key only where K <= D, so that two such sets meet in
     those as well.
     """
-    out, which_band, spare = [], [], []
+    out = []
     with np.errstate(over="ignore"):
         for band in bands.bands(len(shingles)):
             parts, most = bands.parts(band), bands.most(band)
@@ -120,20 +132,17 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndar
             if left <= 0:
                 lone = np.setdiff1d(np.arange(parts), which)
                 which, value = np.concatenate((which, lone)), np.concatenate((value, np.zeros(len(lone), np.uint64)))
-            out.append(mix64(mix64(value) + np.uint64(0x9E3779B97F4A7C15) * (which.astype(np.uint64) + np.uint64(band * 1_000_003 + 1))))
-            which_band.append(np.full(len(which), band, np.int32))
-            spare.append(np.full(len(which), left, np.int32))
-    return np.concatenate(out), np.concatenate(which_band), np.concatenate(spare)
+            key = mix64(mix64(value) + np.uint64(0x9E3779B97F4A7C15) * (which.astype(np.uint64) + np.uint64(band * 1_000_003 + 1)))
+            out.append((band, left, key))
+    return out
 
 
-def set_name(shingles: np.ndarray) -> int:
-    """A 63-bit name of a set: equal for equal sets."""
-    if not len(shingles):
-        return -1
+def set_name(values: np.ndarray) -> int:
+    """64 bits from a set of hashes, whatever their order."""
     with np.errstate(over="ignore"):
-        a = np.bitwise_xor.reduce(mix64(shingles + np.uint64(11)))
-        b = np.add.reduce(mix64(shingles ^ np.uint64(0xABCDEF)))
-        return int(mix64(np.array([a + mix64(np.array([b + np.uint64(len(shingles))]))[0]]))[0] >> np.uint64(1))
+        a = np.bitwise_xor.reduce(mix64(values + np.uint64(11)))
+        b = np.add.reduce(mix64(values ^ np.uint64(0xABCDEF)))
+        return int(combined(np.array([a]), np.array([b + np.uint64(len(values))])).view(np.int64)[0])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,103 +152,148 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: Bands) -> Iterable[pa.RecordBatch]:
     for part in _parts(batches):
-        sets = shingle_sets(text_bytes(part.column("text")), n)
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        keys = [sketch_keys(s, bands) if len(s) and any(map(bands.most, bands.bands(len(s)))) else none for s in sets]
-        cuts = pa.array(np.concatenate(([0], np.cumsum([len(k[0]) for k in keys]))), pa.int32())
-        whole = [np.concatenate([k[i] for k in keys]) if keys else none[i] for i in range(3)]
+        sets, names = shingle_sets(text_bytes(part.column("text")), n)
+        keys = [sketch_keys(s, bands) if len(s) and any(map(bands.most, bands.bands(len(s)))) else [] for s in sets]
+        of_row = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
+        flat = [x for k in keys for x in k]
+        of_band = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in flat]))).astype(np.int32), pa.int32())
+        values = pa.array(np.concatenate([x[2] for x in flat]).view(np.int64) if flat else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id"),
                 part.column("row"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_name(s) for s in sets], pa.int64()),
-                *[pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)) for x in whole],
+                *[pa.array([x and x[i] for x in names], pa.int64()) for i in (0, 1)],
+                *[pa.ListArray.from_arrays(of_row, pa.array([x[i] for x in flat], pa.int32())) for i in (0, 1)],
+                pa.ListArray.from_arrays(of_row, pa.ListArray.from_arrays(of_band, values)),
             ],
-            ["id", "row", "n_shingles", "node", "keys", "bands", "spare"],
+            ["id", "row", "n_shingles", "name1", "name2", "bands", "spare", "keys"],
         )
 
 
-PAIR, FREQUENT = 0, 1
+PAIR, FREQUENT, SENT = 0, 1, 2
+_COLUMNS = ("key", "node", "band", "spare")
+
+
+def _grouped(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows (key, node, ...) sorted by key and node, once each; first row and length of each key."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [x[order] for x in rows]
+    fresh = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))[: len(order)]
+    rows = [x[fresh] for x in rows]
+    start = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1]))[: len(rows[0])])
+    return rows, start, np.diff(np.concatenate((start, [len(rows[0])])))
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Keys of a task's sets, one row each. Of a key that more than RARE of them have, only RARE + 1 are SENT; the others are FREQUENT already."""
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> Iterable[pa.RecordBatch]:
+        rows, start, size = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+        place = np.arange(len(rows[0])) - np.repeat(start, size)
+        often = np.repeat(size > RARE, size)
+        kind = np.where(often & (place > RARE), FREQUENT, SENT).astype(np.int8)
+        for a in range(0, len(kind), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (kind, *rows)], ["kind", *_COLUMNS])
+
+    for batch in batches:
+        keys = batch.column("keys")
+        n_bands, n_keys = np.diff(keys.offsets.to_numpy()), np.diff(keys.flatten().offsets.to_numpy())
+        flat = keys.flatten().flatten().to_numpy()
+        node = np.repeat(np.repeat(batch.column("node").to_numpy(), n_bands), n_keys)
+        band, spare = (np.repeat(batch.column(c).flatten().to_numpy(), n_keys) for c in ("bands", "spare"))
+        held.append([flat, node, band, spare])
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """What meets on keys, for a partition sorted by key and node.
 
     PAIR rows (a, b, band, their spares) for keys of 2 to RARE sets, FREQUENT
-    rows (a the key, b the set) for keys of more. At most RARE + 1 rows wait for
-    the next batch, however many a key has.
+    rows (a the key, b the set) for keys of more, and those that were so before.
+    At most RARE + 1 rows wait for the next batch, however many a key has.
     """
-    names = ("key", "node", "band", "spare")
     rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
     going = None  # a frequent key that the last batch ended in
 
+    def made(columns: list[np.ndarray]) -> Iterable[pa.RecordBatch]:
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "band", "x", "y"])
+
+    def often(key: np.ndarray, node: np.ndarray, band: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, ...]:
+        return np.full(len(key), FREQUENT, np.int8), key, node, band, spare, spare
+
     def work(rows: list[np.ndarray], last: bool) -> Iterable[pa.RecordBatch]:
         nonlocal rest, going
-        key, node = rows[0], rows[1]
-        if not len(key):
+        if not len(rows[0]):
             return
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-        key, node, band, spare = (x[fresh] for x in rows)
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((start, [len(key)])))
+        rows, start, size = _grouped(rows)
+        key = rows[0]
         many = size > RARE
         many[0] |= going is not None and key[0] == going
         if not last:
             going = key[-1] if many[-1] else None
             if many[-1]:
-                rest = [x[:0] for x in (key, node, band, spare)]
+                rest = [x[:0] for x in rows]
             else:
-                rest = [x[start[-1] :].copy() for x in (key, node, band, spare)]
-                key, node, band, spare = (x[: start[-1]] for x in (key, node, band, spare))
+                rest = [x[start[-1] :].copy() for x in rows]
+                rows = [x[: start[-1]] for x in rows]
                 size, many = size[:-1], many[:-1]
-        often = np.repeat(many, size)
+        key, node, band, spare = rows
+        common = np.repeat(many, size)
         out = []
         for step in range(1, RARE):
             if len(key) > step:
-                at = np.flatnonzero((key[:-step] == key[step:]) & ~often[:-step])
+                at = np.flatnonzero((key[:-step] == key[step:]) & ~common[:-step])
                 out.append((np.full(len(at), PAIR, np.int8), node[at], node[at + step], band[at], spare[at], spare[at + step]))
-        at = np.flatnonzero(often)
-        out.append((np.full(len(at), FREQUENT, np.int8), key[at], node[at], band[at], spare[at], spare[at]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "band", "x", "y"])
+        out.append(often(*(x[common] for x in rows)))
+        yield from made([np.concatenate(x) for x in zip(*out, strict=True)])
 
     for batch in batches:
-        now = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, names, strict=True)]
-        yield from work(now, False)
+        now = [batch.column(c).to_numpy() for c in _COLUMNS]
+        known = batch.column("kind").to_numpy() == FREQUENT
+        if known.any():
+            yield from made(list(often(*(x[known] for x in now))))
+            now = [x[~known] for x in now]
+        yield from work([np.concatenate(x) for x in zip(rest, now, strict=True)], False)
     yield from work(rest, True)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Ties (node, least node of the key) of a partition sorted by key and node; a key is never held whole."""
-    last_key, head = None, None
+    """Of a task's rows (key, node): ties (a node, the least of its key here), and heads (a key, its least node here)."""
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> Iterable[pa.RecordBatch]:
+        (key, node), start, size = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+        least = np.repeat(node[start], size)
+        tie = least != node
+        pairs = np.unique(np.stack((node[tie], least[tie]), axis=1), axis=0)
+        for kind, a, b in ((0, pairs[:, 0], pairs[:, 1]), (1, key[start], node[start])):
+            yield pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int8), "a": a, "b": b})
+
     for batch in batches:
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        if not len(key):
-            continue
-        fresh = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-        heads = node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))]
-        if head is not None and not fresh[0]:
-            lead = np.cumsum(fresh) == 0
-            heads = np.where(lead, head, heads)
-        last_key, head = key[-1], heads[-1]
-        tie = heads != node
-        if tie.any():
-            pairs = np.unique(np.stack((node[tie], heads[tie]), axis=1), axis=0)
-            yield pa.RecordBatch.from_pydict({"u": pairs[:, 0], "v": pairs[:, 1]})
+        held.append([batch.column(c).to_numpy() for c in ("key", "node")])
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield from flush()
+            held = []
+    if sum(len(x[0]) for x in held):
+        yield from flush()
 
 
 def _members(batches: Iterator[pa.RecordBatch], n: int) -> Iterable[pa.RecordBatch]:
     for part in _parts(batches):
-        sets = shingle_sets(text_bytes(part.column("text")), n)
-        node = part.column("node").to_pylist()
-        true = pa.array([set_name(s) == x for s, x in zip(sets, node, strict=True)])
+        sets, _ = shingle_sets(text_bytes(part.column("text")), n)
         cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("cluster"), part.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))], ["cluster", "node", "shingles"]
-        ).filter(true)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _MEMBER), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))], [*_MEMBER, "shingles"])
+
+
+_MEMBER = ("cluster", "node", "blocks", "block")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,36 +342,73 @@ def _forest(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterable[pa.RecordBatch]:
-    """Links within one pair of blocks of a cluster, for a partition sorted by (cluster, i, j)."""
+    """Links between side 0 and side 1 of every group (cluster, i, j), or within side 0 if it is alone, for a partition sorted by group."""
     held: list[tuple[int, int, np.ndarray]] = []
     name = None
 
     def flush() -> Iterable[pa.RecordBatch]:
-        i, j = name[1:]
-        left = [x for x in held if x[0] == i]
-        right = left if i == j else [x for x in held if x[0] == j]
-        out: list[tuple[int, int]] = []
-        if left and right and len(held) > 1:
-            a, b = linked([x[2] for x in left], [x[2] for x in right], num, den)
-            u, v = np.array([x[1] for x in left])[a], np.array([x[1] for x in right])[b]
-            out = list(_forest(u, v))
+        left = [x for x in held if x[0] == 0]
+        right = [x for x in held if x[0] == 1] or left
+        if not left or len(held) < 2:
+            return
+        a, b = linked([x[2] for x in left], [x[2] for x in right], num, den)
+        u, v = np.array([x[1] for x in left])[a], np.array([x[1] for x in right])[b]
+        out = list(_forest(u, v))
         if out:
             yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "node")]
-        for k, (cluster, i, j, block, node) in enumerate(zip(*columns, strict=True)):
+        columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "side", "node")]
+        for k, (cluster, i, j, side, node) in enumerate(zip(*columns, strict=True)):
             if (cluster, i, j) != name:
                 if held:
                     yield from flush()
                 held, name = [], (cluster, i, j)
-            held.append((block, node, batch.column("shingles")[k].values.to_numpy().copy()))
+            held.append((side, node, batch.column("shingles")[k].values.to_numpy().copy()))
     if held:
         yield from flush()
 
 
+def _links(groups: DataFrame, num: int, den: int) -> DataFrame:
+    return groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _compare(it, num, den), "u long, v long")
+
+
+def _large(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within clusters of several blocks: enough to connect what is connected.
+
+    Every set meets the cluster's pivots, which gives a first part of the links.
+    The sets that these connect with most others are done: links among them add
+    nothing, and their links with the rest are found from the rest, all of which
+    meets all sets of the cluster.
+    """
+    w = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(5), "node"), "node")
+    pivots = members.select("cluster", "node").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PIVOTS).select("node")
+    pivots = stored(members.join(pivots, "node", "left_semi"), "pivots")
+    group = ("cluster", "i", "j", "side", "node", "shingles")
+    spread = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"j": F.lit(-1), "side": F.lit(0)})
+    each = members.withColumns({"i": F.col("block"), "j": F.lit(-1), "side": F.lit(1)})
+    found = stored(_links(spread.select(*group).union(each.select(*group)), num, den), "links")
+    groups = stored(connected(found).join(members.select("node", "cluster"), "node"), "groups")
+    top = groups.groupBy("cluster", "component").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("x")).select("x.component", "x.c")
+    done = weighted_join(groups, top, ["component"], "c", groups.count()).select("node")
+    rest = stored(members.join(done, "node", "left_anti"), "rest")
+    discard(groups)
+    sizes = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("some"), F.count("*").alias("c"))
+    sizes = stored(sizes, "sizes")
+    if not sizes.isEmpty():
+        total = sizes.agg(F.sum("c")).first()[0]
+        own = weighted_join(rest, sizes, ["cluster"], "c", total).withColumn("i", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("some")).cast("int"))
+        own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+        # a cluster has as many sets as it likes, but few clusters are large: sizes has one row for each of those
+        all_ = members.join(sizes.drop("c"), "cluster").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("some") - 1))).withColumns({"j": F.col("block"), "side": F.lit(1)})
+        found = found.union(stored(_links(own.select(*group).union(all_.select(*group)), num, den), "links"))
+    discard(pivots)
+    discard(rest)
+    return found
+
+
 def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, row (hash of id and text), n_shingles, component_id, component.
+    """Per row: id, row (a name of id and text), n_shingles, component_id, component.
 
     Two documents link when den * |intersection| >= num * |union| of their sets
     of word n-grams; component_id is the smallest id reachable by links. Equal
@@ -325,15 +416,27 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     set and link with nothing; their component is their own id. Rows that share
     an id keep rows of their own. Rows with a null id take part; a component of
     only such rows has a null id. So ids may not tell components apart: component
-    does, the name of one of its sets, null for an empty set.
+    does, the number of one of its sets, null for an empty set. Other columns of
+    docs, whatever their names, are left behind; no rows give no rows.
     """
     bands = Bands(num, den)
-    frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    frame = docs.select(F.col(id_col).alias("id"), row_name(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
-    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), f"id {kind}, row long, n_shingles long, node long, keys array<long>, bands array<int>, spare array<int>"), "sketches")
-    keys = sketched.select("node", F.explode(F.arrays_zip("keys", "bands", "spare")).alias("k")).select(F.col("k.keys").alias("key"), "node", F.col("k.bands").alias("band"), F.col("k.spare").alias("spare"))
-    met = stored(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
-    sketched = narrowed(sketched, "sets", "id", "row", "n_shingles", "node")
+    schema = f"id {kind}, row binary, n_shingles long, name1 long, name2 long, bands array<int>, spare array<int>, keys array<array<long>>"
+    sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), schema), "sketched")
+    nodes = (
+        sketched.where("n_shingles > 0")
+        .groupBy("name1", "name2")
+        .agg(F.min("row").alias("row"), F.min("id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+        .select(F.monotonically_increasing_id().alias("node"), "*")
+    )
+    nodes = stored(nodes, "nodes")
+    # one row of each set sends its keys; rows of one name are alike
+    picked = sketched.where(F.size("keys") > 0).join(nodes.select("row", "node"), "row").dropDuplicates(["row"]).select("node", "bands", "spare", "keys")
+    keys = picked.mapInArrow(_local, "kind byte, key long, node long, band int, spare int")
+    dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
+    met = stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
+    sketched = narrowed(sketched, "rows", "id", "row", "n_shingles", "name1", "name2")
     often = met.where(F.col("kind") == FREQUENT).select(F.col("a").alias("key"), F.col("b").alias("node"), "band", F.col("x").alias("spare"))
     lost = often.groupBy("node", "band").agg(F.count("*").alias("f"))
     pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
@@ -341,40 +444,50 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     need = F.greatest(F.col("x") - F.coalesce("fa", F.lit(0)), F.col("y") - F.coalesce("fb", F.lit(0)))
     close = pairs.join(lost_of("a"), ["a", "band"], "left").join(lost_of("b"), ["b", "band"], "left").where(F.col("c") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))
     weak = often.join(lost, ["node", "band"]).where(F.col("spare") <= F.col("f")).select("key", "node")
-    stars = weak.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u long, v long")
-    ties = stored(close.union(stars).distinct(), "ties")
+    # stars within tasks, and the heads of a key's stars tied to the least of them
+    stars = stored(weak.mapInArrow(_stars, "kind byte, a long, b long"), "stars")
+    heads = stars.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("u"))
+    least = heads.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
+    joint = heads.join(least, "key").where("u <> v").select("u", "v")
+    ties = stored(close.union(stars.where("kind = 0").select("a", "b")).union(joint).distinct(), "ties")
     discard(met)
+    discard(stars)
     clusters = stored(connected(ties), "clusters")
 
     # one text for each node of a cluster, its set, and blocks of about BLOCK_SHINGLES
-    one = sketched.select("node", "id", "row", "n_shingles").join(clusters.toDF("node", "cluster"), "node").groupBy("node").agg(F.min(F.struct("id", "row", "n_shingles", "cluster")).alias("x")).select("node", "x.*")
-    sizes = one.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    picked = one.join(sizes, "cluster").select("cluster", "node", "blocks", F.col("id").alias("id1"), F.col("row").alias("row1"))
-    texts = frame.join(picked, F.col("row") == F.col("row1")).select("cluster", "node", "text")
-    sets = texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, shingles array<long>").join(picked.select("node", "blocks"), "node")
+    one = nodes.join(clusters.toDF("node", "cluster"), "node").select("node", "row", "n_shingles", "cluster")
+    sizes = one.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"), F.count("*").alias("c"))
     block = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-    links = (
-        blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _compare(it, num, den), "u long, v long")
-    )
-    found = connected(stored(links, "links"))
-    nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "component").select("node", "component_id", "component")
-    out = sketched.join(named, "node", "left")
+    total = nodes.count()
+    placed = stored(weighted_join(one, sizes, ["cluster"], "c", total).select("row", "cluster", "node", "blocks", block.alias("block")), "placed")
+
+    def members(which: str) -> DataFrame:
+        texts = frame.join(placed.where(which), "row").dropDuplicates(["node"]).select(*_MEMBER, "text")
+        return texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, blocks int, block int, shingles array<long>")
+
+    whole = members("blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "shingles")
+    links = stored(_links(whole, num, den), "links")
+    if not placed.where("blocks > 1").isEmpty():
+        big = stored(members("blocks > 1"), "members")
+        links = links.union(_large(big, num, den))
+        discard(big)
+    found = connected(links)
+    named = stored(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = weighted_join(named, least, ["component"], "c", total).select("name1", "name2", "component_id", "component", "copies")
+    out = weighted_join(sketched, named, ["name1", "name2"], "copies", sketched.count(), "left")
     return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame, num: int = 8, den: int = 10, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row left of each group of near duplicates: that of the smallest id, then row hash.
+    """docs with one row left of each group of near duplicates: that of the smallest id, then row name.
 
     Groups are told apart by their own names, as ids may be null or repeated.
     Texts without words are in no group and stay, all of them.
     """
     found = jaccard_components(docs, num, den, n, id_col, text_col).where("n_shingles > 0")
     least = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.row").alias("__row"))
-    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    rows = docs.withColumn("__row", row_name(id_col, text_col))
     some = F.coalesce(F.col(text_col).rlike(f"[^{SPACE}]"), F.lit(False))
     kept = rows.where(some).join(least, "__row", "left_semi").dropDuplicates(["__row"])
     return kept.select(*docs.columns).union(rows.where(~some).select(*docs.columns))

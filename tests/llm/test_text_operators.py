@@ -327,6 +327,25 @@ def test_jaccard_near_copies(spark, num, n):
     assert joined(spark.createDataFrame(rows, SCHEMA), num, 10, n) == brute.components(rows, num, 10, n)
 
 
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """Chains of near copies: the ends link with no pivot, and two families meet in one cluster."""
+    import random
+
+    monkeypatch.setattr(paritysketch, "BLOCK_SETS", 7)
+    rng = random.Random(6)
+    rows = []
+    for f in range(2):
+        w = [f"f{f}w{k}" for k in range(60)]
+        for step in range(40):
+            rows.append((1000 - len(rows), " ".join(w)))
+            if step % 3 == 0:
+                w[rng.randrange(60)] = f"n{rng.randint(0, 10**6)}"
+            else:
+                rows.append((1000 - len(rows), " ".join([*w, f"tail{len(rows)}"])))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert joined(docs, 8, 10, 3) == brute.components(rows, 8, 10, 3)
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
@@ -340,7 +359,7 @@ def test_sketches_bound_the_difference():
         b = np.unique(b)
         differ = len(np.setxor1d(a, b))
         if differ * 10 <= 2 * (len(a) + len(b)) * 10 // 18:
-            keys = [set(paritysketch.sketch_keys(x, bands)[0].tolist()) for x in (a, b)]
+            keys = [{k for _, _, part in paritysketch.sketch_keys(x, bands) for k in part.tolist()} for x in (a, b)]
             assert keys[0] & keys[1]
 
 
