@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, runs of white space as one space, trimmed)
 and hashed to 128 bits. For every host and hash the distinct documents are
-counted; a line in more documents of its host than the limit is boilerplate and
-is removed; a document that keeps too few words is rejected. All of it is
+counted, copies of a text among them; a line in more documents of its host than
+the limit is boilerplate and is removed; a document that keeps too few words is
+rejected. All of it is
 DataFrame expressions: no Python runs on the executors.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stored
+from .common import SPACE, documents, stored, weighted_join
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -96,17 +97,18 @@ def text_key(text_col: str) -> Column:
 
 
 def line_table(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """One row per host, distinct text and distinct normalised line: hash and words of all its occurrences.
+    """One row per host, distinct text and distinct normalised line: hash, words of all its occurrences, and docs.
 
-    Documents of a host with equal texts are one document, whatever their ids.
-    Rows without text have no lines; a null host is a host of its own.
+    docs is how many documents (rows) of the host have that text, so copies are
+    counted and yet share a row. Rows without text have no lines; a null host
+    is a host of its own.
     """
     lines = F.filter(F.transform(F.split(text_col, "\n"), normal_line), lambda x: x != "")
     return (
         docs.select(F.col(host_col).alias("host"), text_key(text_col).alias("text"), F.explode(_tally(lines)).alias("l"))
         .select("host", "text", F.unhex(F.md5("l.line")).alias("line"), (F.size(F.split("l.line", " ")) * F.col("l.times")).alias("words"))
         .groupBy("host", "text", "line")
-        .agg(F.max("words").alias("words"))
+        .agg(F.max("words").alias("words"), F.count("*").alias("docs"))
     )
 
 
@@ -115,17 +117,22 @@ def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str
 
     Columns host, text (MD5), removed_words; texts that lose nothing are
     absent. The counts are summed before they are shuffled; frequent lines are
-    joined back by host and hash, and Spark may split that join where a third
-    of all documents share a line, since its other side has one row for it.
+    joined back by host and hash.
     """
     lines = stored(line_table(docs, host_col, text_col), "lines")
-    frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
-    l, f = lines.alias("l"), frequent.alias("f")
-    return (
-        l.join(f, F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.line") == F.col("f.line")), "left_semi")
-        .groupBy("host", "text")
-        .agg(F.sum("words").alias("removed_words"))
-    )
+    return in_frequent_lines(lines, most_docs).groupBy("host", "text").agg(F.sum("words").alias("removed_words"))
+
+
+def in_frequent_lines(lines: DataFrame, most_docs: int) -> DataFrame:
+    """Rows of a stored line table whose line stands in more than most_docs documents of the host.
+
+    Lines that hold a large share of all rows are joined by broadcast, so none
+    of them lands in one task (see weighted_join).
+    """
+    host = F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce(F.col("host").cast("string"), F.lit("")))
+    keyed = lines.withColumn("__host", host)
+    frequent = keyed.groupBy("__host", "line").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("c")).where(F.col("n_docs") > most_docs).drop("n_docs")
+    return weighted_join(keyed, frequent, ["__host", "line"], "c", lines.count()).drop("__host")
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_docs: int = 20, most_removed: float = 0.5) -> DataFrame:
@@ -157,10 +164,8 @@ def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col:
     gathered per host and text, no more of them than the text has lines.
     """
     lines = stored(line_table(docs, host_col, text_col), "lines")
-    frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
-    l, f = lines.alias("l"), frequent.alias("f")
     out = (
-        l.join(f, F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.line") == F.col("f.line")), "left_semi")
+        in_frequent_lines(lines, most_docs)
         .groupBy("host", "text")
         .agg(F.collect_set(F.hex("line")).alias("__out"))
         .select(F.col("host").alias("__h"), F.col("text").alias("__t"), "__out")
@@ -188,11 +193,9 @@ win AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 raw AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d),
-filled AS (SELECT *, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[ 	-
-]+', ' ', 'g')) AS nl FROM raw WHERE regexp_matches(l, '[^ 	-
-]')),
+filled AS (SELECT *, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM filled GROUP BY r),
-freq AS (SELECT source, nl FROM filled GROUP BY source, nl HAVING count(DISTINCT text) > 20),
+freq AS (SELECT source, nl FROM filled GROUP BY source, nl HAVING count(DISTINCT r) > 20),
 cut AS (SELECT r, sum(len(string_split(nl, ' '))) AS n FROM filled SEMI JOIN freq ON filled.source IS NOT DISTINCT FROM freq.source AND filled.nl = freq.nl GROUP BY r),
 b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
     len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,

@@ -171,8 +171,24 @@ def test_frequent_lines(spark):
     text = {r["doc_id"]: r["text"] for r in linefreq.without_frequent_lines(docs, most_docs=4).collect()}
     assert text[0] == body(0) and text[10] == "x y"
     assert text[11].endswith("Subscribe now") and text[12] == "q " * 10
-    copies = spark.createDataFrame([(i, "same line here", "a") for i in range(9)], "doc_id long, text string, source string")
-    assert linefreq.frequent_line_words(copies, most_docs=4).count() == 0
+    copies = spark.createDataFrame([(i, f"same line here\n{body(0)}", s) for s in ("a", None) for i in range(9)] + [(20, f"same line here\n{body(1)}", "b")], "doc_id long, text string, source string")
+    got = [(r["source"], r["removed_words"], r["kept"]) for r in linefreq.judge(copies, most_docs=8).collect()]
+    assert sorted(got, key=str) == sorted([(s, 63, False) for s in ("a", None) for _ in range(9)] + [("b", 0, True)], key=str)
+    assert {r["removed_words"] for r in linefreq.judge(copies, most_docs=9).collect()} == {0}
+
+
+def test_line_rules_equal_sql_on_odd_lines(spark, tmp_path):
+    """Carriage returns, other white space, null hosts, and thirty copies of a page, against the SQL."""
+    from conftest import duck, canonical
+
+    page = "\n".join([" ".join(f"c{k}" for k in range(55)), "ALL  rights\treserved", "x\x0by"])
+    rows = [(i, page, "h") for i in range(30)] + [(40, "a b\n\r\n\r\nc d", "h"), (41, page.upper(), "h"), (42, page, "i"), (43, None, "h"), (44, "", None)] + [(50 + i, f"All rights reserved\r\n{i}", None) for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = linefreq.op2_line_frequency(spark, str(tmp_path)).toPandas(), duck(str(tmp_path)).sql(linefreq.OP2_SQL).df()
+    columns = sorted(got.columns)
+    assert canonical(got, columns) == canonical(want, columns)
+    by = got.set_index("doc_id")
+    assert by.loc[40, "n_dup_lines"] == 0 and not by.loc[0, "kept"] and not by.loc[41, "kept"] and by.loc[42, "kept"]
 
 
 def test_line_rules_run_no_python(spark, odd):
