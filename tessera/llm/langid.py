@@ -87,6 +87,9 @@ class Profiles:
         return out / np.where(length > 0, length, 1)
 
 
+#: Unit of the fixed-point sums of unit vectors: 2**23 rows of them stay far below 2**63.
+FIXED = float(1 << 36)
+
 _PROFILES: dict[tuple, Profiles] = {}
 
 
@@ -107,8 +110,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
     Rows without text or language teach nothing. sample_rows bounds, in
     expectation, how many rows are read as text: of more, a share is drawn by a
-    seeded hash of the text. Each task returns one sum per language. Languages
-    are a closed set of labels; their number times `dims` reaches the driver.
+    seeded hash of the text. Each task sums its vectors per language in fixed
+    point, so the sums of sums that Spark forms don't depend on their order.
+    Languages are a closed set of labels; their number times `dims` reaches the
+    driver, however many tasks there are.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     total = labelled.where(F.col(lang_col).isNotNull()).count()
@@ -122,14 +127,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
             langs = batch.column("lang").to_pylist()
             for a, texts in _texts(batch, 64):
                 for lang, v in zip(langs[a : a + 64], p.bundles(texts), strict=True):
-                    total[lang] = total.get(lang, 0) + v.astype(np.float64)
+                    total[lang] = total.get(lang, 0) + np.round(v.astype(np.float64) * FIXED).astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_pydict({"lang": list(total), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"lang": list(total), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))})
 
-    parts = rows.mapInArrow(sums, "lang string, v array<double>").collect()
+    parts = rows.mapInArrow(sums, "lang string, v array<long>").select("lang", F.posexplode("v").alias("place", "x"))
+    summed = parts.groupBy("lang", "place").agg(F.sum("x").alias("x")).toArrow()
     found: dict[str, np.ndarray] = {}
-    for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
-        found[r["lang"]] = found.get(r["lang"], 0) + np.array(r["v"])
+    for lang, place, x in zip(summed.column("lang").to_pylist(), summed.column("place").to_pylist(), summed.column("x").to_pylist(), strict=True):
+        found.setdefault(lang, np.zeros(profiles(**options).dims))[place] = x
     units = []
     for lang in sorted(found):
         v = found[lang]

@@ -14,6 +14,7 @@ that topics are made from.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -72,8 +73,12 @@ def _named(column: Column, values: list[str]) -> Column:
     return F.when(text.isin(values), text).otherwise(F.lit(OTHER))
 
 
-def fit(rows: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], tokens: Column) -> Fit:
-    """Rake the tokens of rows to targets (weights per value, in any scale)."""
+def fit(rows: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], tokens: Column, tolerance: float = 1e-3) -> Fit:
+    """Rake the tokens of rows to targets (weights per value, in any scale).
+
+    Cells without tokens can make targets unreachable; where some marginal share
+    stays further off than tolerance, a warning says so and Fit.error how far.
+    """
     names = [[*targets[d], OTHER] for d in dimensions]
     cells = (
         rows.select(*[_named(c, list(targets[d])).alias(f"d{i}") for i, (d, c) in enumerate(dimensions.items())], tokens.cast("double").alias("t"))
@@ -91,6 +96,8 @@ def fit(rows: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[
         given = np.array(list(targets[d].values()), np.float64)
         shares.append(np.append(given / given.sum() * (1 - rest), rest))
     fitted, error, rounds = rake(actual, shares)
+    if error > tolerance:
+        warnings.warn(f"targets can't all be met: a marginal share stays {error:.3g} off after {rounds} rounds", stacklevel=2)
     return Fit(names, actual, fitted, error, rounds)
 
 
@@ -180,7 +187,10 @@ TARGETS = {
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs with topic, n_tokens, probability and sampled.
+    """All columns of docs with topic, n_tokens, probability, sampled and raking_error.
+
+    raking_error is the largest gap left between a marginal share of tokens and
+    its target, the same in every row.
 
     Null sources and languages count as other values. A text without words has
     no weight and takes its cell's probability. Equal rows share their fate.
@@ -188,14 +198,14 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     are replaced.
     """
     targets = targets or TARGETS
-    docs = docs.drop(*[c for c in ("topic", "n_tokens", "probability", "sampled") if c not in (source_col, lang_col, text_col, id_col)])
+    docs = docs.drop(*[c for c in ("topic", "n_tokens", "probability", "sampled", "raking_error") if c not in (source_col, lang_col, text_col, id_col)])
     rows = with_topic(docs, text_col, F.col(lang_col), list(targets["lang"]), len(targets["topic"]))
     dimensions = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col("topic")}
     found = fit(rows, dimensions, targets, F.col("n_tokens"))
-    return with_probability(rows, found, dimensions).withColumn("sampled", uniform(seed, id_col, text_col) < F.col("probability"))
+    return with_probability(rows, found, dimensions).withColumn("sampled", uniform(seed, id_col, text_col) < F.col("probability")).withColumn("raking_error", F.lit(found.error))
 
 
 def op7_raked_mixture(spark, sf_dir: str) -> DataFrame:
     """Calibrated probability of every document, and whether the sample takes it."""
     out = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled", "raking_error")

@@ -62,7 +62,9 @@ def shuffle_into_shards(
     and place into a slot of the shard. bucket_bytes bounds what one task holds
     in memory (a longer single record excepted). Null keys are a key of their
     own. Empty input gives an empty table; equal rows each keep a place of
-    their own.
+    their own. Which of the places of rows with equal keys a row gets depends on
+    the order they arrive in, and so on the layout of the input; the shard
+    doesn't.
     """
     spark = rows.sparkSession
     size = size if size is not None else F.lit(64)

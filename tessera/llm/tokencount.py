@@ -30,6 +30,9 @@ from .common import documents, row_blocks, stored, text_bytes
 #: Rows of counts that a task holds before it packs them by block.
 PACK = 500_000
 
+#: Bits of a block's number that count within a partition (16,000 blocks of 16 MB are 260 GB); 21 are left for partitions, 28 for words of a block.
+BLOCK_BITS = 14
+
 _ZSTD = pa.Codec("zstd")
 
 
@@ -67,7 +70,7 @@ def piece_counter(path: str, definition):
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per block: the ids and sizes of its documents, their vectors end to end, its distinct pre-tokens."""
-    number = TaskContext.get().partitionId() << 12
+    number = TaskContext.get().partitionId() << BLOCK_BITS
     held, size = [], 0
 
     def flush():
@@ -98,8 +101,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
             }
         )
         number += 1
-        if number & 4095 == 0:
-            raise ValueError("more than 4095 blocks in a partition; raise block_bytes or read smaller partitions")
+        if number & ((1 << BLOCK_BITS) - 1) == 0:
+            raise ValueError("too many blocks in a partition; raise block_bytes or read smaller partitions")
 
     for batch in batches:
         for part in row_blocks(batch, "text", most_bytes):

@@ -10,7 +10,7 @@ in any store Spark reaches. Every record ends in two line ends; with those as
 the separator of Spark's text writer, its files are plain runs of WARC records,
 compressed as a whole. Reading goes by Content-Length, never by looking for a
 separator, and also takes archives of one gzip member per record. A file is read
-by one task: keep files small, as the writer here does (`records_per_file`).
+by one task: keep files small, as the writer here does (`file_bytes`).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, stored
+from .common import discard, new_path, stored, weighted_join
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,7 +79,7 @@ def write_captures(
     body: str = "html",
     least_bytes: int = 0,
     date: str = "2024-01-01T00:00:00Z",
-    records_per_file: int = 9_000,
+    file_bytes: int = 64 << 20,
 ) -> None:
     """Write request, response or revisit, and metadata records of every page as gzipped WARC files.
 
@@ -90,10 +90,17 @@ def write_captures(
     Every row is a capture of its own, whatever its key: record ids come from a
     random name of the row, which is written with the row before anything uses
     it, so that all records agree on it. The key stands in the metadata only.
+
+    A file gets as many records as make file_bytes at the mean payload's size
+    (9,000 at most), and no more than could, all of them the largest, pass what
+    a reader's binary column holds.
     """
     payload = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
     named = stored(pages.select(key, url, payload.alias("__payload"), F.octet_length(payload).alias("__size"), base32_sha1(payload).alias("__digest"), F.expr("uuid()").alias("__capture")), "captures")
     rows = mark_revisits(named, key, least_bytes)
+    mean, most = named.select(F.coalesce(F.avg("__size"), F.lit(0.0)), F.coalesce(F.max("__size"), F.lit(0))).first()
+    # a capture has three records, one of which may hold the payload; some 2,000 bytes are headers
+    records_per_file = int(max(3, min(9_000, 3 * file_bytes / (mean + 2_000), 3 * (1 << 30) / (most + 2_000))))
     first = F.col("__response").isNull() | F.col(key).eqNullSafe(F.col("__response"))
     uri = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]+", " ")
     host = F.coalesce(F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.lit(""))
@@ -126,7 +133,7 @@ def write_captures(
         "metadata",
         record_uri("metadata", F.col("__capture")),
         [*common, ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("key: "), F.coalesce(F.col(key).cast("string"), F.lit("")), F.when(F.col("__response").isNotNull() & ~first, F.concat(F.lit(f"{CRLF}responseKey: "), F.col("__response").cast("string"))).otherwise(""), F.lit(CRLF)),
+        F.concat(F.lit("key: "), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(CRLF)),
     )
     records = rows.select(F.explode(F.array(request, F.when(first, response).otherwise(revisit), meta)).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -373,16 +380,31 @@ def op1_warc_transactions(spark, sf_dir: str) -> DataFrame:
     write_captures(pages, path)
     records = stored(scan(spark, path, with_payload=False), "records")
     captures = assemble(records, ["type", "payload_bytes", "payload_digest", "computed_digest", "refers_to", "fields"])
-    fields = F.get("metadata", 0)["fields"]
     revisit = F.col("answer.type") == "revisit"
-    page_id = F.nullif(fields["key"], F.lit("")).cast("long")
-    return captures.where("answer IS NOT NULL").select(
+    page_id = F.nullif(F.get("metadata", 0)["fields"]["key"], F.lit("")).cast("long")
+    pages = captures.where("answer IS NOT NULL").select(
+        "capture_id",
         page_id.alias("page_id"),
         F.col("answer.payload_bytes").alias("payload_bytes"),
         F.when(revisit, F.col("answer.payload_digest")).otherwise(F.col("answer.computed_digest")).alias("payload_digest"),
         F.when(page_id.isNull(), "revisit").otherwise(F.col("answer.type")).alias("record_type"),
-        F.when(revisit, fields["responsekey"].cast("long")).alias("refers_to"),
+        F.when(revisit, F.col("answer.refers_to")).alias("to"),
     )
+    pages = stored(pages, "pages")
+    return with_referred(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def with_referred(pages: DataFrame) -> DataFrame:
+    """Stored rows (capture_id, page_id, to, ...) with refers_to: the page_id of the capture that `to` (a WARC-Refers-To) names.
+
+    A null `to`, or one that names no capture here, refers to nothing. How often
+    each is named is summed before the shuffle; those that a large share of all
+    rows name are joined by broadcast.
+    """
+    named = pages.where("to IS NOT NULL").groupBy("to").agg(F.count("*").alias("c"))
+    found = named.join(pages.select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to")), "to")
+    rows = pages.where("to IS NOT NULL")
+    return weighted_join(rows, found, ["to"], "c", pages.count(), "left").unionByName(pages.where("to IS NULL").withColumn("refers_to", F.lit(None).cast("long")))
 
 
 _BASE32 = " || ".join(
