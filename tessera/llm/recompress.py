@@ -307,27 +307,42 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         )
 
 
-def _one(columns: dict, block: pa.Array | None = None) -> pa.RecordBatch:
-    """A batch of one row whose columns are lists, but for the block's number."""
-    arrays = [] if block is None else [block]
-    for c, v in columns.items():
-        values = v if isinstance(v, pa.Array) else pa.array(v, _KINDS[c])
-        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-    return pa.RecordBatch.from_arrays(arrays, [*(["block"] if block is not None else []), *columns])
+_LONG, _INT = pa.int64(), pa.int32()
+#: What a block's state holds, in this order. n words of document doc from its word `at` on: the stretches of a block;
+#: word: names of their words; the others: symbols, and those of a window's width or more that were shared (top).
+_STATE = {"doc": "<i4", "at": "<i4", "n": "<i4", "word": "<i8", "name": "<i8", "which": "<i4", "span": "<i4", "lo": "<i4", "hi": "<i4", "top_name": "<i8", "top_a": "<i4", "top_span": "<i4"}
 
 
-_LONG, _INT = pa.int64(), pa.int32()
-_KINDS = {c: _LONG for c in ("word", "name", "top_name")} | {"many": pa.bool_(), "words": pa.binary(), "parts": pa.list_(_LONG)}
-_KINDS |= {c: _INT for c in ("doc", "at", "n", "which", "a", "span", "lo", "hi", "top_a", "top_span")}
-#: Columns of a block that stay through the rounds: its texts, and the stretches of theirs that it holds.
-_FIXED = ("ids", "rows", "doc", "at", "n")
-_STRAND = ("name", "which", "a", "span", "lo", "hi", "top_name", "top_a", "top_span")
-_PROPOSED = ("parts", "many")
-_SQL = {_LONG: "long", _INT: "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(_LONG): "array<long>"}
+def _packed(state: dict) -> bytes:
+    """Arrays as one value: rows of a block pass Spark as a few bytes columns, not element by element."""
+    arrays = [np.ascontiguousarray(state.get(c, ()), kind) for c, kind in _STATE.items()]
+    return np.array([len(x) for x in arrays], "<i8").tobytes() + b"".join(x.tobytes() for x in arrays)
+
+
+def _unpacked(data: bytes) -> dict:
+    at = 8 * len(_STATE)
+    out = {}
+    for (c, kind), n in zip(_STATE.items(), np.frombuffer(data, "<i8", len(_STATE)), strict=True):
+        out[c] = np.frombuffer(data, kind, n, at)
+        at += out[c].nbytes
+    return out
+
+
+def _list_of_one(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], _INT), values)
+
 
+def _block(ids: pa.Array, rows: pa.Array, state: dict, block: pa.Array | None = None, keys: list[bytes] | None = None, many: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of one block, with what waits for names, if anything."""
+    columns = {} if block is None else {"block": block}
+    columns |= {"ids": _list_of_one(ids), "rows": _list_of_one(rows), "state": pa.array([_packed(state)], pa.binary())}
+    if keys is not None:
+        columns |= {"keys": _list_of_one(pa.array(keys, pa.binary())), "many": _list_of_one(pa.array(many, pa.bool_()))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-def _schema(kind: str, *columns: str, block: bool = True) -> str:
-    return ", ".join([*(["block long"] if block else []), f"ids array<{kind}>", "rows array<binary>", *[f"{c} array<{_SQL[_KINDS[c]]}>" for c in columns if c not in ("ids", "rows")]])
+
+_NAMED = "state binary"
+_WAITING = "state binary, keys array<binary>, many array<boolean>"
 
 
 def _many(which: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -364,35 +379,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
         place: dict[bytes, int] = {}
         which = np.fromiter((place.setdefault(w, len(place)) for w in words.joined(0, len(covered), covered).split(b" ")), np.int64, len(held))
         of = words.text[cut]
-        yield _one(
-            {
-                "ids": part.column("id"),
-                "rows": part.column("row"),
-                "doc": of,
-                "at": cut - words.first[of],
-                "n": n,
-                "which": which,
-                "words": list(place),
-                "many": _many(which, words.text[held], len(place)),
-            }
-        )
+        state = {"doc": of, "at": cut - words.first[of], "n": n, "which": which}
+        yield _block(part.column("id"), part.column("row"), state, keys=list(place), many=_many(which, words.text[held], len(place)))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-    """Each block with its list columns as arrays."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, dict]]:
+    """Each block's number, and its columns as arrays."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {}
-            for c in batch.schema.names:
-                if c != "block" and batch.column(c).is_valid()[i].as_py():
-                    v = batch.column(c).slice(i, 1).flatten()
-                    row[c] = v.to_numpy(zero_copy_only=False) if c in _KINDS and c not in ("words", "parts") else v
-            yield batch.slice(i, 1), row
+            one = batch.slice(i, 1)
+            row = _unpacked(one.column("state")[0].as_py()) | {c: one.column(c).flatten() for c in ("ids", "rows")}
+            for c in ("found", "settled", "runs"):
+                if c in batch.schema.names and one.column(c).null_count == 0:
+                    row[c] = one.column(c).flatten()
+            yield one.column("block"), row
 
 
-def _answer(row: dict, which: np.ndarray) -> np.ndarray:
-    """Names of proposals by place; -1 for those that no other text makes."""
-    table = np.full(int(which.max(initial=-1)) + 1, -1, np.int64)
+def _answer(row: dict) -> np.ndarray:
+    """Names of a block's proposals by place; -1 for those that no other text makes."""
+    table = np.full(int(row["which"].max(initial=-1)) + 1, -1, np.int64)
     if "found" in row:
         table[row["found"].field("place").to_numpy()] = row["found"].field("name").to_numpy()
     return table
@@ -400,24 +405,40 @@ def _answer(row: dict, which: np.ndarray) -> np.ndarray:
 
 def _strand(row: dict) -> Strand:
     first = np.concatenate(([0], np.cumsum(row["n"], dtype=np.int64)))
-    a = row["a"].astype(np.int64)
-    text = np.searchsorted(first, a, "right") - 1
-    return Strand(row["name"], text, a, *(row[c].astype(np.int64) for c in ("span", "lo", "hi")), row["name"] < 0, first)
+    span = row["span"].astype(np.int64)
+    a = np.cumsum(span) - span
+    return Strand(row["name"], np.searchsorted(first, a, "right") - 1, a, span, *(row[c].astype(np.int64) for c in ("lo", "hi")), row["name"] < 0, first)
 
 
-def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Blocks with their words named: the strand that the rounds begin with."""
-    for batch, row in _rows(batches):
-        word = _answer(row, row["which"])[row["which"]]
-        x = Strand.of(word, np.concatenate(([0], np.cumsum(row["n"], dtype=np.int64))))
-        none = np.zeros(0, np.int64)
-        made = {"word": word, "name": word, "which": np.full(len(word), -1), "a": x.a, "span": x.span, "lo": x.lo, "hi": x.hi, "top_name": none, "top_a": none, "top_span": none}
-        yield _one({c: row[c] for c in _FIXED} | made, batch.column("block"))
+def _lettered(blocks: Iterable[tuple[pa.Array, dict]]) -> Iterator[tuple[pa.Array, dict]]:
+    """Blocks with their words named: the strands that the rounds begin with."""
+    for block, row in blocks:
+        word = _answer(row)[row["which"]]
+        at = np.arange(len(word))
+        yield block, row | {"word": word, "name": word, "which": np.full(len(word), -1), "span": np.ones(len(word), np.int32), "lo": at, "hi": at + 1}
 
 
-def _proposed(batches: Iterator[pa.RecordBatch], caps: tuple[int, ...], turn: int) -> Iterable[pa.RecordBatch]:
+def _named(blocks: Iterable[tuple[pa.Array, dict]], width: int) -> Iterator[tuple[pa.Array, dict]]:
+    """Blocks with the names of a round filled in; shared symbols of a window's width or more are noted."""
+    for block, row in blocks:
+        which = row["which"]
+        merged = which >= 0
+        name = row["name"].copy()
+        name[merged] = _answer(row)[which[merged]]
+        top = merged & (name >= 0) & (row["span"] >= width)
+        a = np.cumsum(row["span"], dtype=np.int64) - row["span"]
+        more = {f"top_{c}": np.concatenate((row[f"top_{c}"], v[top])) for c, v in (("name", name), ("a", a), ("span", row["span"]))}
+        yield block, row | {"name": name, "which": np.full(len(name), -1)} | more
+
+
+def _kept(blocks: Iterable[tuple[pa.Array, dict]]) -> Iterable[pa.RecordBatch]:
+    for block, row in blocks:
+        yield _block(row["ids"], row["rows"], row, block)
+
+
+def _proposed(blocks: Iterable[tuple[pa.Array, dict]], caps: tuple[int, ...], turn: int, words: bool) -> Iterable[pa.RecordBatch]:
     """Blocks after the merges of a round. What a merged symbol consists of, runs as a name and a number, waits for a name."""
-    for batch, row in _rows(batches):
+    for block, row in blocks:
         x = y = _strand(row)
         for step, cap in enumerate(caps):
             y = merge(y, cap, turn + step)
@@ -428,33 +449,18 @@ def _proposed(batches: Iterator[pa.RecordBatch], caps: tuple[int, ...], turn: in
         head[1:] |= x.name[1:] != x.name[:-1]
         part = np.flatnonzero(head)
         times = np.diff(np.concatenate((part, [len(x.a)])))
-        flat = np.stack((x.name[part], times), axis=1).ravel()
+        flat = np.stack((x.name[part], times), axis=1).astype("<i8").tobytes()
         changed = np.flatnonzero(count > 1)
-        cuts = 2 * np.searchsorted(part, np.concatenate((begin, [len(x.a)])))
+        cuts = 16 * np.searchsorted(part, np.concatenate((begin, [len(x.a)])))
         place: dict[bytes, int] = {}
-        put = lambda i: place.setdefault(flat[cuts[i] : cuts[i + 1]].tobytes(), len(place))
-        proposal = np.fromiter((put(i) for i in changed), np.int64, len(changed))
+        proposal = np.fromiter((place.setdefault(flat[a:b], len(place)) for a, b in zip(cuts[changed].tolist(), cuts[changed + 1].tolist(), strict=True)), np.int64, len(changed))
         which = np.full(len(y.a), -1)
         which[changed] = proposal
-        ends = np.concatenate(([0], np.cumsum([len(k) // 8 for k in place], dtype=np.int64)))
-        made = {"name": np.where(which < 0, x.name[begin], 0), "which": which, "a": y.a, "span": y.span, "lo": y.lo, "hi": y.hi}
-        made |= {c: row[c] for c in ("top_name", "top_a", "top_span")}
-        made["parts"] = _lists(np.frombuffer(b"".join(place), np.int64), ends, _LONG)
-        made["many"] = _many(proposal, row["doc"][y.text[changed]], len(place))
-        yield _one({c: row[c] for c in (*_FIXED, "word") if c in row} | made, batch.column("block"))
-
-
-def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
-    """Blocks with the names of a round filled in; shared symbols of a window's width or more are noted."""
-    for batch, row in _rows(batches):
-        which = row["which"]
-        merged = which >= 0
-        name = row["name"].copy()
-        name[merged] = _answer(row, which)[which[merged]]
-        top = merged & (name >= 0) & (row["span"] >= width)
-        more = {f"top_{c}": np.concatenate((row[f"top_{c}"], v[top])) for c, v in (("name", name), ("a", row["a"]), ("span", row["span"]))}
-        made = {"name": name, "which": np.full(len(name), -1)} | {c: row[c] for c in ("a", "span", "lo", "hi")} | more
-        yield _one({c: row[c] for c in (*_FIXED, "word") if c in row} | made, batch.column("block"))
+        state = {c: row[c] for c in ("doc", "at", "n", "top_name", "top_a", "top_span")}
+        state |= {"name": np.where(which < 0, x.name[begin], 0), "which": which, "span": y.span, "lo": y.lo, "hi": y.hi}
+        if words:
+            state["word"] = row["word"]
+        yield _block(row["ids"], row["rows"], state, block, list(place), _many(proposal, row["doc"][y.text[changed]], len(place)))
 
 
 def _places(row: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,20 +470,20 @@ def _places(row: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row["doc"][s], row["at"][s] + w - first[s]
 
 
-def _tops(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
+def _tops(blocks: Iterable[tuple[pa.Array, dict]], width: int) -> Iterable[pa.RecordBatch]:
     """The high symbols of all blocks, one row for each."""
-    for batch, row in _rows(batches):
+    for block, row in blocks:
         a = row["top_a"].astype(np.int64)
         doc, at = _places(row, a)
         doc = pa.array(doc)
-        columns = [pa.array(np.full(len(a), batch.column("block")[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(row["top_name"])]
+        columns = [pa.array(np.full(len(a), block[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(row["top_name"])]
         columns += [pa.array(v, _INT) for v in (a, at, row["top_span"] - width + 1)]
         yield pa.RecordBatch.from_arrays(columns, ["block", "id", "row", "name", "w", "at", "n"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBatch]:
     """Runs of windows that high symbols haven't settled: first window, number of windows, what their words are made of."""
-    for batch, row in _rows(batches):
+    for block, row in _rows(batches):
         x, word = _strand(row), row["word"]
         at, key, fresh = representatives(x, word, width)
         edge = np.zeros(len(word) + 2, np.int32)
@@ -499,7 +505,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.RecordBa
         doc, place = _places(row, w)
         doc = pa.array(doc)
         one, two = (identities(x, word, w, w + count + width - 1, s).view(np.int64) for s in (1, 2))
-        columns = [pa.array(np.full(len(w), batch.column("block")[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(key.view(np.int64))]
+        columns = [pa.array(np.full(len(w), block[0].as_py())), row["ids"].take(doc), row["rows"].take(doc), pa.array(key.view(np.int64))]
         columns += [pa.array(v, _INT) for v in (w, place, count)] + [pa.array(one), pa.array(two)]
         yield pa.RecordBatch.from_arrays(columns, ["block", "id", "row", "key", "w", "at", "n", "one", "two"])
 
@@ -537,23 +543,25 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
 # ---- the rounds -------------------------------------------------------------
 
 
-#: Merges of a round above the symbols that fit a window: a round is a few Spark jobs, so fewer rounds do more each.
+#: Merges of the first round above the symbols that fit a window; later ones do more each, half as many as were done before,
+#: since a round is a few Spark jobs and ever fewer symbols are left.
 MERGES = 3
 
 
-def _round(blocks: DataFrame, key: str, turn: int, seen: list[DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+def _round(blocks: DataFrame, turn: int, seen: list[DataFrame] | None) -> tuple[DataFrame, DataFrame]:
     """Blocks with the answers to their proposals (found), and the round's names table.
 
     The table has one row (the proposal, its name) for each distinct proposal
-    that two texts or more make; the row's number is its name.
+    that two texts or more make; the row's number is its name. A proposal is a
+    word's bytes in the first round, later names and numbers of repeats.
     """
-    proposed = blocks.select("block", F.posexplode(F.arrays_zip(key, "many")).alias("place", "p")).select("block", "place", f"p.{key}", "p.many")
-    shared = proposed.groupBy(key).agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("texts")).where("texts > 1")
-    names = stored(shared.select(key, (F.monotonically_increasing_id() * 64 + turn).alias("name")), f"names-{turn}")
+    proposed = blocks.select("block", F.posexplode(F.arrays_zip("keys", "many")).alias("place", "p")).select("block", "place", F.col("p.keys").alias("key"), "p.many")
+    shared = proposed.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("texts")).where("texts > 1")
+    names = stored(shared.select("key", (F.monotonically_increasing_id() * 64 + turn).alias("name")), f"names-{turn}")
     if seen is not None:
         seen.append(names)
-    found = proposed.join(names, key).groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("found"))
-    return blocks.drop(key, "many").join(found, "block", "left"), names
+    found = proposed.select("block", "place", "key").join(names, "key").groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("found"))
+    return blocks.drop("keys", "many").join(found, "block", "left"), names
 
 
 def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -561,11 +569,12 @@ def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None
 
     blocks: the strands whose symbols fit a window with their surroundings.
     tops: one row per shared symbol of width words or more. Round 0 names words,
-    the next ones a run or pair each, those above strings of MERGES times runs
-    and pairs; they end when no text shares what it merged. Names tables of the
-    rounds are appended to seen, if given, and are deleted otherwise.
+    the next ones a run or pair each, those above strings that several merges of
+    runs and pairs make; they end when no text shares what it merged. Names
+    tables of the rounds are appended to seen, if given, and deleted otherwise.
     """
     kind = texts.schema["id"].dataType.simpleString()
+    fixed = f"ids array<{kind}>, rows array<binary>, "
 
     def kept(df: DataFrame, *old: DataFrame) -> DataFrame:
         out = stored(df, "strands")
@@ -574,26 +583,26 @@ def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None
         return out
 
     used = lambda names: [] if seen is not None else [names]
-    cut = texts.mapInArrow(lambda it: _blocks(it, width), _schema(kind, *_FIXED, "which", "words", "many", block=False))
+    cut = texts.mapInArrow(lambda it: _blocks(it, width), fixed + _WAITING)
     blocks = stored(cut.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
-    answered, names = _round(blocks, "words", 0, seen)
+    fixed = "block long, " + fixed
+    answered, names = _round(blocks, 0, seen)
     fill = _lettered
-    named, waiting = _schema(kind, *_FIXED, "word", *_STRAND), _schema(kind, *_FIXED, "word", *_STRAND, *_PROPOSED)
     for turn, cap in enumerate(caps_for(width)):
-        blocks = kept(answered.mapInArrow(lambda it, fill=fill, cap=cap, turn=turn: _proposed(fill(it), (cap,), turn), waiting), blocks, *used(names))
-        answered, names = _round(blocks, "parts", turn + 1, seen)
-        fill = lambda it: _named(it, width)
-    base = kept(answered.mapInArrow(fill, named), blocks, *used(names))
-    turn, blocks, old = len(caps_for(width)), base.drop("word").withColumn("found", F.lit(None).cast("array<struct<place:int,name:long>>")), []
-    named, waiting = _schema(kind, *_FIXED, *_STRAND), _schema(kind, *_FIXED, *_STRAND, *_PROPOSED)
-    rounds = turn
-    while not names.isEmpty() if old else True:
-        caps = tuple(2 << turn + k for k in range(MERGES))
-        blocks = kept(blocks.mapInArrow(lambda it, caps=caps, turn=turn: _proposed(_named(it, width), caps, turn), waiting), *old)
-        turn, rounds, old = turn + MERGES, rounds + 1, [blocks]
-        blocks, names = _round(blocks, "parts", rounds, seen)
+        blocks = kept(answered.mapInArrow(lambda it, fill=fill, cap=cap, turn=turn: _proposed(fill(_rows(it)), (cap,), turn, True), fixed + _WAITING), blocks, *used(names))
+        answered, names = _round(blocks, turn + 1, seen)
+        fill = lambda rows: _named(rows, width)
+    base = kept(answered.mapInArrow(lambda it: _kept(fill(_rows(it))), fixed + _NAMED), blocks, *used(names))
+    turn = rounds = len(caps_for(width))
+    blocks, old = base.withColumn("found", F.lit(None).cast("array<struct<place:int,name:long>>")), []
+    while not old or not names.isEmpty():
+        merges = max(MERGES, turn // 2)
+        caps = tuple(2 << (turn + k) for k in range(merges))
+        blocks = kept(blocks.mapInArrow(lambda it, caps=caps, turn=turn: _proposed(_named(_rows(it), width), caps, turn, False), fixed + _WAITING), *old)
+        turn, rounds, old = turn + merges, rounds + 1, [blocks]
+        blocks, names = _round(blocks, rounds, seen)
         old += used(names)
-    tops = stored(blocks.mapInArrow(lambda it: _tops(_named(it, width), width), f"block long, id {kind}, row binary, name long, w int, at int, n int"), "tops")
+    tops = stored(blocks.mapInArrow(lambda it: _tops(_named(_rows(it), width), width), f"block long, id {kind}, row binary, name long, w int, at int, n int"), "tops")
     for table in old:
         discard(table)
     return base, tops

@@ -4,13 +4,15 @@ Unit vectors are product-quantised with 16 centres per subspace, four bits
 each. Codes and centres minimise |r|^2 + (eta - 1) <r, x>^2 for the residual r
 of x: error parallel to the vector, which is what changes large inner products,
 costs eta times as much as error across it. A scan adds up table entries for
-pairs of four-bit codes; the best rows of every block by that estimate are
-reranked by their exact cosine in double precision.
-
-The scan of each block of rows keeps the best `rerank` distinct vectors per
-query. Equal vectors of a block are scanned once, with as many of their
-smallest ids as could ever be returned, so a vector that a third of all rows
-share crowds nothing out.
+pairs of four-bit codes; the best rows by that estimate are reranked by their
+exact cosine in double precision.
+
+The table that is scanned holds codes alone, of distinct vectors: rows that share
+a vector are one entry, with as many of their smallest ids as could ever be
+returned, so a vector that a third of all rows share crowds nothing out. It is
+cut into chunks that a task holds; queries, in blocks, go to every chunk. A
+chunk's best entries per query by the estimate are merged into one shortlist per
+query, of fixed length, and only then are the vectors of the shortlists fetched.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 CENTRES = 16
+#: Rows of codes that are compared with a block of queries at once.
+STEP = 8192
+#: Queries in a block.
+BLOCK = 1024
 
 
 class Quantiser:
@@ -118,16 +124,29 @@ def sound(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None) ->
     return rows.where((F.size("v") == dims) & finite & F.exists("v", lambda x: x != 0)), dims
 
 
-def build_index(rows: DataFrame, dims: int, sample_rows: int = 20_000, seed: int = 3) -> tuple[DataFrame, Quantiser | None]:
-    """Quantise every row: id, v, codes (binary). Centres are fitted on at most about sample_rows rows."""
-    total = rows.count()
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """entry, v, ids: every distinct vector of rows (id, v) once, with its k + 1 smallest ids in order.
+
+    Ids are cut to k + 1 before the shuffle as well as after it, so a vector
+    that many rows share is no large group.
+    """
+    plain = rows.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()  # no negative zeros
+    w = Window.partitionBy("v").orderBy("id")
+    few = plain.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    ids = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return stored(ids.select(F.monotonically_increasing_id().alias("entry"), "v", "ids"), "vectors")
+
+
+def build_index(vectors: DataFrame, dims: int, sample_rows: int = 20_000, seed: int = 3) -> tuple[DataFrame, Quantiser | None]:
+    """Quantise every distinct vector: entry, codes (binary). Centres are fitted on at most about sample_rows of them."""
+    total = vectors.count()
     if not total:
-        return rows.withColumn("codes", F.lit(b"")), None
+        return vectors.select("entry", F.lit(b"").alias("codes")), None
     share = min(1.0, sample_rows / total)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    sample = np.array([r["v"] for r in drawn.select("v").orderBy("id").collect()], np.float64).reshape(-1, dims)
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sample = np.array([r["v"] for r in drawn.select("v").orderBy("v").collect()], np.float64).reshape(-1, dims)
     if not len(sample):
-        sample = np.array([rows.first()["v"]])
+        sample = np.array([vectors.orderBy("v").first()["v"]])
     quantiser = Quantiser.fit(_unit(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -135,9 +154,9 @@ def build_index(rows: DataFrame, dims: int, sample_rows: int = 20_000, seed: int
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 codes = pack(quantiser.encode(_unit(_matrix(part.column("v"), dims))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in codes], pa.binary())], ["id", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column("entry"), pa.array([x.tobytes() for x in codes], pa.binary())], ["entry", "codes"])
 
-    return stored(rows.mapInArrow(run, "id long, v array<double>, codes binary"), "index"), quantiser
+    return stored(vectors.select("entry", "v").mapInArrow(run, "entry long, codes binary"), "index"), quantiser
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -173,45 +192,85 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _scan(batches, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, dims: int, k: int, rerank: int, block: int):
-    """The k nearest of a partition's rows to each query."""
-    tables = quantiser.tables(_unit(queries))
-    best_score = np.full((len(ids), k), -np.inf)
-    best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Queries (id, v) in blocks: ids, and their vectors end to end."""
     for batch in batches:
-        for a in range(0, batch.num_rows, block):
-            part = batch.slice(a, block)
-            own = part.column("id").to_numpy()
-            v = np.ascontiguousarray(_matrix(part.column("v"), dims)) + 0.0
-            first = np.argsort(own, kind="stable")
-            own, v = own[first], v[first]
-            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)[first]
-            _, at, group = np.unique(v.view([("", v.dtype)] * dims).ravel(), return_index=True, return_inverse=True)
-            # the k + 1 smallest ids of each distinct vector
-            order = np.argsort(group, kind="stable")
-            start = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1))
-            place = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate((start, [len(order)]))))
-            held = np.full((len(at), k + 1), np.iinfo(np.int64).max)
-            low = place <= k
-            held[group[order][low], place[low]] = own[order][low]
-            v, codes = v[at], codes[at]
-            estimate = np.zeros((len(ids), len(at)), np.float32)
-            for m, table in enumerate(tables):
-                estimate += table[:, codes[:, m]]
-            n = min(rerank, len(at))
-            top = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
-            for i in range(0, len(ids), 256):
-                near = top[i : i + 256]
-                score = np.repeat(cosines(queries[i : i + 256], v[near]), k + 1, axis=1)
-                who = held[near].reshape(len(near), -1)
-                out = (who == ids[i : i + 256, None]) | (who == np.iinfo(np.int64).max)
-                score = np.concatenate((best_score[i : i + 256], np.where(out, -np.inf, score)), axis=1)
-                who = np.concatenate((best_id[i : i + 256], np.where(out, np.iinfo(np.int64).max, who)), axis=1)
-                best_score[i : i + 256], best_id[i : i + 256] = _best(score, who, k)
-    q, c = np.nonzero(np.isfinite(best_score))
-    for a in range(0, len(q), 10_000):
-        s = slice(a, a + 10_000)
-        yield pa.RecordBatch.from_pydict({"query_id": ids[q[s]], "vec_id": best_id[q[s], c[s]], "score": best_score[q[s], c[s]]})
+        for a in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(a, BLOCK)
+            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            yield pa.RecordBatch.from_arrays([one(part.column("id")), one(part.column("v").flatten())], ["ids", "flat"])
+
+
+def _shortest(estimate: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest estimates of each row, with what stands there."""
+    if estimate.shape[1] > n:
+        top = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(estimate, top, 1), np.take_along_axis(at, top, 1)
+    return estimate, at
+
+
+def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, dims: int, n: int) -> Iterable[pa.RecordBatch]:
+    """Table scans for a partition sorted by (chunk, query): a chunk's codes come first, then blocks of queries."""
+    chunk, entries, held = None, [], []
+    codes = own = None
+    for batch in batches:
+        chunks, queries = batch.column("chunk").to_pylist(), batch.column("query").to_pylist()
+        for i, (now, query) in enumerate(zip(chunks, queries, strict=True)):
+            if now != chunk:
+                chunk, entries, held, codes = now, [], [], None
+            if not query:
+                entries.append(batch.column("entry")[i].as_py())
+                held.append(batch.column("codes")[i].as_py())
+                continue
+            if not entries:
+                continue
+            if codes is None:
+                codes, own = np.ascontiguousarray(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1).T), np.array(entries, np.int64)
+                held = []
+            ids = batch.column("ids")[i].values.to_numpy()
+            tables = quantiser.tables(_unit(batch.column("flat")[i].values.to_numpy().reshape(len(ids), dims)))
+            best, who = np.zeros((len(ids), 0), np.float32), np.zeros((len(ids), 0), np.int64)
+            for a in range(0, len(own), STEP):
+                part = codes[:, a : a + STEP]
+                estimate = np.zeros((len(ids), part.shape[1]), np.float32)
+                for table, c in zip(tables, part, strict=True):
+                    estimate += table[:, c]
+                at = np.broadcast_to(own[a : a + STEP], estimate.shape)
+                estimate, at = _shortest(estimate, at, n)
+                best, who = _shortest(np.concatenate((best, estimate), axis=1), np.concatenate((who, at), axis=1), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], ["query_id", "entry", "estimate"])
+
+
+def _rerank(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterable[pa.RecordBatch]:
+    """The k nearest of each query by exact cosine, for a partition sorted by (query_id, query): its vector first, then its shortlist."""
+    name, asked = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterable[pa.RecordBatch]:
+        if asked is None or not held:
+            return
+        score = cosines(asked[None], np.stack([v for v, _ in held])[None])[0]
+        which = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
+        ids = np.concatenate([x for _, x in held])
+        which, ids = which[ids != name], ids[ids != name]
+        score, ids = _best(score[which][None], ids[None], k) if len(ids) else (np.zeros((1, 0)), np.zeros((1, 0), np.int64))
+        some = np.isfinite(score[0])
+        n = int(some.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(ids[0][some]), pa.array(score[0][some])], ["query_id", "rank", "vec_id", "score"])
+
+    for batch in batches:
+        vectors, queries = batch.column("v"), batch.column("query").to_pylist()
+        for i, query_id in enumerate(batch.column("query_id").to_pylist()):
+            if query_id != name:
+                yield from flush()
+                name, asked, held = query_id, None, []
+            v = vectors[i].values.to_numpy() + 0.0
+            if not queries[i]:
+                asked = v
+            else:
+                held.append((v, batch.column("ids")[i].values.to_numpy()))
+    yield from flush()
 
 
 def nearest(
@@ -220,9 +279,8 @@ def nearest(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    rerank: int = 96,
-    block: int = 4096,
-    queries_per_pass: int = 2048,
+    rerank: int = 64,
+    chunk_rows: int = 1 << 19,
     sample_rows: int = 20_000,
     dims: int | None = None,
 ) -> DataFrame:
@@ -231,29 +289,39 @@ def nearest(
     Rows that take no part (see sound) neither ask nor answer. Rows that share
     the query's id are its own; repeated rows are found once; an id that asks
     twice asks with its least vector. Nearest first, ties to the smaller id; all
-    candidates where there are fewer than k. Queries go out in passes of a
-    bounded number, each over all rows; a task returns k rows per query.
+    candidates where there are fewer than k; no rows give none. Other columns,
+    whatever their names, are left behind. The shortlist has `rerank` entries at
+    any size of the table (k + 1 at least). A task holds chunk_rows entries'
+    codes at most. Neither queries nor rows reach the driver, but for the sample
+    that centres are fitted on.
     """
     spark = vectors.sparkSession
     rows, dims = sound(vectors, id_col, vector_col, dims)
-    index, quantiser = build_index(rows, dims, sample_rows)
-    asking = sound(vectors.where(is_query), id_col, vector_col, dims)[0].groupBy("id").agg(F.min("v").alias("v"))
-    passes = max(1, -(-asking.count() // queries_per_pass))
-    found = None
-    for p in range(passes if quantiser else 0):
-        block_rows = asking.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).orderBy("id").collect()
-        if not block_rows:
-            continue
-        held = spark.sparkContext.broadcast((quantiser, np.array([r["id"] for r in block_rows], np.int64), np.array([r["v"] for r in block_rows], np.float64)))
-        part = index.mapInArrow(
-            lambda it, held=held: _scan(it, held.value[0], held.value[1], held.value[2], dims, k, rerank, block), "query_id long, vec_id long, score double"
-        )
-        found = part if found is None else found.union(part)
-    if found is None:
+    entries = distinct_vectors(rows, k)
+    index, quantiser = build_index(entries, dims, sample_rows)
+    if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asking = stored(sound(vectors.where(is_query), id_col, vector_col, dims)[0].groupBy("id").agg(F.min("v").alias("v")), "asking")
+    # chunks for some dozens of tasks, as long as they hold a few thousand entries each
+    total = index.count()
+    chunks = -(-total // min(chunk_rows, max(4096, -(-total // 64))))
+    none = lambda kind: F.lit(None).cast(kind)
+    coded = index.select(F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(chunks)).alias("chunk"), F.lit(False).alias("query"), "entry", "codes", none("array<long>").alias("ids"), none("array<double>").alias("flat"))
+    blocks = asking.mapInArrow(_blocks, "ids array<long>, flat array<double>")
+    sent = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(True).alias("query"), none("long").alias("entry"), none("binary").alias("codes"), "ids", "flat")
+    size = max(rerank, k + 1)
+    scanned = (
+        coded.union(sent).repartition(int(chunks), "chunk").sortWithinPartitions("chunk", "query").mapInArrow(lambda it: _scan(it, quantiser, dims, size), "query_id long, entry long, estimate float")
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "entry")
+    shortlist = scanned.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("query_id", "entry")
+    fetched = shortlist.join(entries, "entry").select("query_id", F.lit(True).alias("query"), "v", "ids")
+    asked = asking.select(F.col("id").alias("query_id"), F.lit(False).alias("query"), "v", none("array<long>").alias("ids"))
+    out = asked.union(fetched).repartition("query_id").sortWithinPartitions("query_id", "query").mapInArrow(lambda it: _rerank(it, dims, k), "query_id long, rank int, vec_id long, score double")
+    out = stored(out, "nearest")
+    for table in (index, asking, entries):
+        discard(table)
+    return out
 
 
 def op3_anisotropic_search(spark, sf_dir: str) -> DataFrame:

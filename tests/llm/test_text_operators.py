@@ -269,6 +269,8 @@ def test_patterns_of_words_differ(spark):
 def test_every_round_names_runs_and_pairs_once(spark):
     import random
 
+    import numpy as np
+
     rng = random.Random(4)
     passage = [f"p{rng.randint(0, 300)}" for _ in range(400)] + ["same"] * 70
     rows = [(i, " ".join([f"x{i}y{k}" for k in range(rng.randint(0, 60))] + passage[i * 5 : 470 - i] + [f"z{i}w{k}" for k in range(90)])) for i in range(12)]
@@ -277,11 +279,12 @@ def test_every_round_names_runs_and_pairs_once(spark):
     seen = []
     blocks, tops = recompress.recompress(texts.join(keys.select("row", F.col("keys").alias("wanted")), "row").repartition(5), 50, seen)
     tables = [t.collect() for t in seen]
-    assert len(tables) > 6 and {r["words"] for r in tables[0]} <= {w.encode() for w in passage}
-    expansion = {r["name"]: [r["words"]] for r in tables[0]}
+    assert len(tables) > 6 and {r["key"] for r in tables[0]} <= {w.encode() for w in passage}
+    expansion = {r["name"]: [bytes(r["key"])] for r in tables[0]}
     for turn, table in enumerate(tables[1:]):
         for r in table:
-            names, times = r["parts"][::2], r["parts"][1::2]
+            parts = np.frombuffer(r["key"], "<i8").tolist()
+            names, times = parts[::2], parts[1::2]
             assert r["name"] not in expansion and sum(times) > 1 and (len(names) <= 2 or turn > 2)
             expansion[r["name"]] = [w for n, k in zip(names, times, strict=True) for w in expansion[n] * k]
     assert len({tuple(x) for x in expansion.values()}) == len(expansion)
