@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rerank import two_stage
-from .retrieval import hybrid_search
+from .retrieval import Index, hybrid_search
 from .settle import settle
 
 RETRIEVAL_FEATURES = ["rrf_top1", "rrf_margin", "bm25_top1", "dense_top1", "rank_agreement", "overlap_at_5"]
@@ -61,15 +61,15 @@ def rerank_features(results: DataFrame) -> DataFrame:
     )
 
 
-def evidence(corpus: DataFrame, queries: DataFrame, k_ctx: int = 3, top: int = 10, reranking: bool = True, pool: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence(corpus: DataFrame, queries: DataFrame, k_ctx: int = 3, top: int = 10, reranking: bool = True, pool: int = 50, index: Index | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features per question, candidates, results). A question without candidates has zeros throughout."""
     if k_ctx <= 0 or top < k_ctx:
         raise ValueError("need 0 < k_ctx <= top")
     if reranking:
-        candidates, results = two_stage(corpus, queries, top, pool)
+        candidates, results = two_stage(corpus, queries, top, pool, index=index)
         found = first_stage_features(candidates, results).join(rerank_features(results), "query_id", "left")
     else:
-        candidates = settle(hybrid_search(corpus, queries, max(top, pool)))
+        candidates = settle(hybrid_search(corpus, queries, max(top, pool), index=index))
         results = candidates.where(F.col("rank") <= top)
         found = first_stage_features(candidates, results)
     names = FEATURES if reranking else RETRIEVAL_FEATURES

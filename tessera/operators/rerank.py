@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from .retrieval import hybrid_search, rank_by
+from .retrieval import Index, hybrid_search, rank_by
 from .settle import settle
 
 # fixed values: weights of the features and the bias of the logit
@@ -18,16 +19,15 @@ WEIGHTS = {"coverage": 6.0, "proximity": 3.0, "bigram": 2.0, "fuzzy": 1.0}
 BIAS = -5.0
 
 
-def _min_span(doc: list[str], terms: set[str]) -> int:
-    """Length of the shortest window of tokens that holds all terms (each occurs): linear in the tokens."""
-    last: dict[str, int] = {}
-    best = len(doc)
-    for i, t in enumerate(doc):
-        if t in terms:
-            last.pop(t, None)
-            last[t] = i  # the first key is the term seen longest ago
-            if len(last) == len(terms):
-                best = min(best, i - last[next(iter(last))] + 1)
+def _min_span(at: np.ndarray, terms: np.ndarray) -> int:
+    """Length of the shortest window of tokens that holds all terms that occur, from their places in order."""
+    last: dict[int, int] = {}
+    n, best = len(np.unique(terms)), int(at[-1] - at[0]) + 1
+    for i, t in zip(at.tolist(), terms.tolist(), strict=True):
+        last.pop(t, None)
+        last[t] = i  # the first key is the term seen longest ago
+        if len(last) == n:
+            best = min(best, i - last[next(iter(last))] + 1)
     return best
 
 
@@ -37,49 +37,75 @@ def _grams(token: str) -> frozenset[str]:
     return frozenset(padded[i : i + 3] for i in range(len(token)))
 
 
+def _gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of #word# for all words: the word each belongs to, in order, and the trigram as a number."""
+    n = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer("".join(f"#{w}#" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), n)
+    at = np.arange(len(owner)) + 2 * owner
+    code = letters[at] << 42 | letters[at + 1] << 21 | letters[at + 2]
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    fresh = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(code) != 0)))[: len(owner)]
+    return owner[fresh], code[fresh]
+
+
 def _similarity(terms: list[str], others: list[str]) -> np.ndarray:
-    """Trigram Jaccard of every other word (row) with every term, through the terms' trigrams."""
-    index: dict[str, list[int]] = {}
-    for i, t in enumerate(terms):
-        for g in _grams(t):
-            index.setdefault(g, []).append(i)
+    """Trigram Jaccard of every other word (row) with every term, through the trigrams of the terms."""
+    term, own = _gram_codes(terms)
+    known, which = np.unique(own, return_inverse=True)
+    has = np.zeros((len(known), len(terms)))
+    has[which, term] = 1
+    other, code = _gram_codes(others)
     common = np.zeros((len(others), len(terms)))
-    for j, o in enumerate(others):
-        row = common[j]
-        for g in _grams(o):
-            for i in index.get(g, ()):
-                row[i] += 1
-    a = np.array([len(_grams(t)) for t in terms], np.float64)
-    b = np.array([len(_grams(o)) for o in others], np.float64)
-    return common / (a[None, :] + b[:, None] - common)
-
-
-def _score(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Features of all candidates of one question."""
-    q = list(pdf["q"].iloc[0])
-    docs = [list(d) for d in pdf["d"]]
+    if len(known) and len(other):
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        met = known[at] == code
+        rows, at = other[met], at[met]
+        if len(rows):
+            start = np.flatnonzero(np.concatenate(([True], np.diff(rows) != 0)))
+            common[rows[start]] = np.add.reduceat(has[at], start, axis=0)
+    a, b = np.bincount(term, minlength=len(terms)), np.bincount(other, minlength=len(others))
+    return common / np.maximum(a[None, :] + b[:, None] - common, 1)
+
+
+def _score(table: pa.Table) -> pa.Table:
+    """Features of all candidates of one question. Words are numbers from the start: their dictionary is Arrow's."""
+    q = table.column("q")[0].as_py()
+    lists = table.column("d").combine_chunks()
+    size = np.array(lists.value_lengths().fill_null(0), np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     terms = sorted(set(q))
-    out = np.zeros((len(docs), 4))
-    if terms:
-        sets = [set(d) for d in docs]
-        words = sorted(set().union(*sets))
-        place = {w: i for i, w in enumerate(words)}
-        near = _similarity(terms, words) if words else np.zeros((0, len(terms)))
-        df = np.array([sum(t in s for s in sets) for t in terms], np.float64)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        pairs = set(zip(q, q[1:], strict=False))
-        for k, (d, own) in enumerate(zip(docs, sets, strict=True)):
-            if not d:
-                continue
-            hit = np.array([t in own for t in terms])
-            m = int(hit.sum())
-            out[k, 0] = idf[hit].sum() / idf.sum()
-            if m >= 2:
-                out[k, 1] = m / len(terms) * m / _min_span(d, {t for t, h in zip(terms, hit, strict=True) if h})
-            if pairs:
-                out[k, 2] = len(pairs & set(zip(d, d[1:], strict=False))) / len(pairs)
-            out[k, 3] = np.where(hit, 1.0, near[[place[w] for w in own]].max(axis=0)).mean()
-    return pd.DataFrame({"query_id": pdf["query_id"], "pos": pdf["pos"], "coverage": out[:, 0], "proximity": out[:, 1], "bigram": out[:, 2], "fuzzy": out[:, 3]})
+    out = np.zeros((len(size), 4))
+    if terms and len(code):
+        number = {t: i for i, t in enumerate(terms)}
+        term_of = np.array([number.get(w, -1) for w in words], np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        term = term_of[code]
+        at = np.flatnonzero(term >= 0)
+        hit = np.zeros((len(size), len(terms)), bool)
+        hit[doc[at], term[at]] = True
+        df = hit.sum(axis=0)
+        idf = np.log1p((len(size) - df + 0.5) / (df + 0.5))
+        out[:, 0] = hit @ idf / idf.sum()
+        starts = np.searchsorted(doc[at], np.arange(len(size) + 1))
+        m = hit.sum(axis=1)
+        for k in np.flatnonzero(m >= 2):
+            own = slice(starts[k], starts[k + 1])
+            out[k, 1] = m[k] / len(terms) * m[k] / _min_span(at[own], term[at[own]])
+        pairs = np.unique([number[a] * len(terms) + number[b] for a, b in zip(q, q[1:], strict=False)]) if len(q) > 1 else np.zeros(0, np.int64)
+        if len(pairs):
+            both = np.flatnonzero((term[:-1] >= 0) & (term[1:] >= 0) & (doc[:-1] == doc[1:]))
+            seen = np.stack((doc[both], term[both] * len(terms) + term[both + 1]), axis=1)
+            seen = np.unique(seen[np.isin(seen[:, 1], pairs)], axis=0)
+            out[:, 2] = np.bincount(seen[:, 0], minlength=len(size)) / len(pairs)
+        near = _similarity(terms, words)
+        near[term_of >= 0, term_of[term_of >= 0]] = 1.0
+        once = np.unique(doc * len(words) + code)
+        start = np.flatnonzero(np.concatenate(([True], np.diff(once // len(words)) != 0)))
+        out[once[start] // len(words), 3] = np.maximum.reduceat(near[once % len(words)], start, axis=0).mean(axis=1)
+    return pa.Table.from_arrays([table.column("query_id"), table.column("pos"), *[pa.array(out[:, i]) for i in range(4)]], ["query_id", "pos", "coverage", "proximity", "bigram", "fuzzy"])
 
 
 def lexical_features(pairs: DataFrame) -> DataFrame:
@@ -93,7 +119,7 @@ def lexical_features(pairs: DataFrame) -> DataFrame:
     """
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "pos"))
     p = pairs.select("query_id", "pos", text.tokenize(F.col("query")).alias("q"), text.tokenize(F.col("passage")).alias("d"))
-    scored = p.groupBy("query_id").applyInPandas(_score, f"{kinds}, coverage double, proximity double, bigram double, fuzzy double")
+    scored = p.groupBy("query_id").applyInArrow(_score, f"{kinds}, coverage double, proximity double, bigram double, fuzzy double")
     return scored.withColumn("logit", logit())
 
 
@@ -120,18 +146,21 @@ def rerank(pairs: DataFrame, keep: int | None = None) -> DataFrame:
     return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
-def two_stage(corpus: DataFrame, queries: DataFrame, top: int = 10, retrieve: int = 50, mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
+def two_stage(
+    corpus: DataFrame, queries: DataFrame, top: int = 10, retrieve: int = 50, mode: str = "hybrid", index: Index | None = None, score: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(candidates, results): first-stage rows, and the top of them by logit.
 
     Results keep first_stage_rank and first_stage_score; ties of logits go to
-    the better first-stage rank.
+    the better first-stage rank. score: another scorer of pairs (query_id, pos,
+    query, passage) giving query_id, pos and logit, such as models.Reranker.score.
     """
     if top <= 0 or retrieve <= 0:
         raise ValueError("top and retrieve must be positive")
     # a pool per question, used several times over: kept, so that later plans start from it
-    candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode))
+    candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index))
     pairs = candidates.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("pos", F.col("text").alias("passage")), "pos")
-    scored = lexical_features(pairs).select("query_id", "pos", "logit")
+    scored = (score or lexical_features)(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])
     ranked = rows.withColumn("rank", rank_by(F.round("logit", 9).desc(), F.col("first_stage_rank"))).where(F.col("rank") <= top)
     return candidates, settle(ranked.withColumns({"score": F.col("logit"), "probability": numeric.sigmoid(F.col("logit"))}))

@@ -7,8 +7,11 @@ nine digits, so that the order of a sum doesn't decide ranks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +78,33 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: flo
     return Bm25Index(postings, vocabulary, lengths)
 
 
-def sparse_search(corpus: DataFrame, queries: DataFrame, k: int, tf: DataFrame | None = None) -> DataFrame:
-    """bm25_search without an index at hand: weights only what the questions need."""
+@dataclass
+class Index:
+    """What retrieval over a corpus starts from, written once: BM25 postings dealt by token, and hashed vectors.
+
+    corpus: pos, text. bags: pos, at (places), w (weights) of the entries of
+    hashed unit vectors that aren't zero; empty for a document without tokens.
+    """
+
+    corpus: DataFrame
+    bm25: Bm25Index
+    bags: DataFrame
+    dims: int
+
+
+def build_index(corpus: DataFrame, dims: int = 256) -> Index:
+    """Tokenise a corpus once and write the index; queries against it read what they need."""
+    tf = term_frequencies(corpus)
+    made = bm25_index(corpus, tf=tf)
+    postings = settle(made.postings.repartition("token").sortWithinPartitions("token"))
+    bags = corpus.select("pos").join(packed(hashed_bags(corpus, "pos", dims, tf), "pos"), "pos", "left")
+    return Index(corpus, Bm25Index(postings, settle(made.vocabulary), settle(made.lengths)), settle(bags), dims)
+
+
+def sparse_search(corpus: DataFrame, queries: DataFrame, k: int, tf: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """bm25_search; without an index at hand only what the questions need is weighted."""
+    if index is not None:
+        return bm25_search(index.bm25, queries, k)
     return bm25_search(bm25_index(corpus, tf=tf, only=query_tokens(not_blank(queries))), queries, k)
 
 
@@ -106,35 +134,118 @@ def hashed_bags(rows: DataFrame, key: str, dims: int = 256, tf: DataFrame | None
     return _unit_bags(bags, key)
 
 
-def hashed_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 256, tf: DataFrame | None = None) -> DataFrame:
-    """Cosine of hashed bags: query_id, pos, score, rank.
+def packed(bags: DataFrame, key: str) -> DataFrame:
+    """Entries (key, bucket, weight) as one row per key: at, w; no longer than the vectors have dimensions."""
+    rows = bags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("e"))
+    return rows.select(key, F.col("e.bucket").alias("at"), F.col("e.weight").alias("w"))
 
-    Entries meet on their bucket; a query that has fewer than k documents with
-    a common bucket is filled up with documents of score 0, in order of pos.
-    """
+
+def hashed_search(corpus: DataFrame, queries: DataFrame, k: int, dims: int = 256, tf: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """Cosine of hashed bags: query_id, pos, score, rank. Documents without a common bucket score 0, and rank in order of pos."""
     if k <= 0:
         raise ValueError("k must be positive")
     asked = not_blank(queries)
-    near = (
-        hashed_bags(asked, "query_id", dims).withColumnRenamed("weight", "q").join(hashed_bags(corpus, "pos", dims, tf), "bucket").groupBy("query_id", "pos").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
-    )
-    best = settle(top_k(near, k).select("query_id", "pos", "score"))
-    # the first 2k documents by pos hold k that a short list doesn't have yet
-    short = asked.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    first = corpus.select("pos").orderBy("pos").limit(2 * k)
-    fill = short.crossJoin(first).join(best.select("query_id", "pos"), ["query_id", "pos"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.unionByName(fill), k)
+    if index is not None:
+        bags, dims = index.bags, index.dims
+    else:
+        bags = corpus.select("pos").join(packed(hashed_bags(corpus, "pos", dims, tf), "pos"), "pos", "left")
+    q = asked.select("query_id").join(packed(hashed_bags(asked, "query_id", dims), "query_id"), "query_id", "left")
+    return top_k(blocked_scores(bags, q, k, dims), k)
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact inner product of unit vectors: query_id, pos, score, rank. vectors: pos, vec; queries: query_id, vec."""
     if k <= 0:
         raise ValueError("k must be positive")
-    a = queries.select("query_id", numeric.l2_normalize(F.col("vec")).alias("q"))
-    b = vectors.select("pos", numeric.l2_normalize(F.col("vec")).alias("v"))
-    wrong = F.size("q") != F.size("v")
-    score = F.when(wrong, F.raise_error(F.lit("query and index vectors differ in length")).cast("double")).otherwise(numeric.dot(F.col("q"), F.col("v")))
-    return top_k(a.crossJoin(b).select("query_id", "pos", score.alias("score")), k)
+    unit = lambda df, key: df.select(key, F.lit(None).cast("array<int>").alias("at"), numeric.l2_normalize(F.col("vec")).alias("w"))
+    return top_k(blocked_scores(unit(vectors, "pos"), unit(queries, "query_id"), k), k)
+
+
+#: Vectors that a task holds as a matrix, and queries that meet them at a time.
+CHUNK, BLOCK = 8192, 512
+
+
+def blocked_scores(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
+    """query_id, pos, score of the k best vectors of every chunk for each query, by inner product; ties to the smaller pos.
+
+    vectors: pos, at, w; queries: query_id, at, w. at holds the places of the
+    weights w (of dims), or is null with dims unset: then w is the vector. The
+    vectors are dealt into chunks that a task holds; the queries, the stated
+    set, go to every chunk in blocks. Only k rows per query leave a chunk.
+    """
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (vectors, "pos"))]
+    vectors = settle(vectors)
+    chunks = -(-vectors.count() // CHUNK)
+    if not chunks:
+        return queries.sparkSession.createDataFrame([], f"{', '.join(kinds)}, score double")
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    rows = vectors.select(F.pmod(F.xxhash64("pos"), F.lit(chunks)).alias("chunk"), F.lit(0).alias("block"), null(queries, "query_id").alias("query_id"), "pos", "at", "w")
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    blocks = -(-queries.count() // BLOCK)
+    asked = queries.select(spread.alias("chunk"), (F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) + 1).cast("int").alias("block"), "query_id", null(vectors, "pos").alias("pos"), "at", "w")
+    dealt = rows.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "block", "pos")
+    return dealt.mapInArrow(lambda it: _scored(it, k, dims), f"{', '.join(kinds)}, score double")
+
+
+def _matrix(parts: list[pa.RecordBatch], dims: int | None) -> np.ndarray:
+    rows = pa.Table.from_batches(parts)
+    w = rows.column("w").combine_chunks()
+    values = w.flatten().to_numpy(zero_copy_only=False)
+    if dims is None:
+        sizes = np.array(w.value_lengths().fill_null(0))
+        if len(set(sizes.tolist())) > 1:
+            raise ValueError("vectors of one search must be of one length")
+        return values.reshape(len(sizes), -1)
+    at = rows.column("at").combine_chunks()
+    out = np.zeros((len(w), dims))
+    out[np.repeat(np.arange(len(w)), np.array(at.value_lengths().fill_null(0))), at.flatten().to_numpy(zero_copy_only=False)] = values
+    return out
+
+
+def _scored(batches: Iterator[pa.RecordBatch], k: int, dims: int | None) -> Iterable[pa.RecordBatch]:
+    """For a partition sorted by (chunk, block, pos): a chunk's vectors as a matrix, then one block of queries after the other."""
+    name, held, matrix, pos = None, [], None, None
+
+    def work() -> Iterable[pa.RecordBatch]:
+        nonlocal matrix, pos
+        if not held:
+            return
+        if name[1] == 0:
+            matrix, pos = _matrix(held, dims), pa.Table.from_batches(held).column("pos").combine_chunks()
+            return
+        if matrix is None:
+            return
+        asked = _matrix(held, dims)
+        if asked.shape[1] != matrix.shape[1]:
+            raise ValueError("query and index vectors differ in length")
+        scores = asked @ matrix.T
+        rounded = np.round(scores, DIGITS)
+        n = min(k, scores.shape[1])
+        least = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
+        ids = pa.Table.from_batches(held).column("query_id").combine_chunks()
+        rows, at = [], []
+        for i in range(len(asked)):
+            near = np.flatnonzero(rounded[i] >= least[i])
+            near = near[np.argsort(-rounded[i][near], kind="stable")[:n]]
+            rows.append(np.full(len(near), i))
+            at.append(near)
+        rows, at = np.concatenate(rows), np.concatenate(at)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pos.take(pa.array(at)), pa.array(scores[rows, at])], ["query_id", "pos", "score"])
+
+    for batch in batches:
+        chunk, block = (batch.column(c).to_numpy() for c in ("chunk", "block"))
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(chunk) != 0) | (np.diff(block) != 0)) + 1, [len(chunk)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            now = (int(chunk[a]), int(block[a]))
+            if now != name:
+                yield from work()
+                if name is None or now[0] != name[0]:
+                    matrix = None
+                name, held = now, []
+            held.append(batch.slice(a, b - a))
+    yield from work()
 
 
 def fuse(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None, names: list[str] | None = None) -> DataFrame:
@@ -168,11 +279,23 @@ def fuse(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None
 MODES = ("hybrid", "sparse", "dense")
 
 
-def hybrid_search(corpus: DataFrame, queries: DataFrame, top: int = 5, mode: str = "hybrid", rrf_k: int = 60, pool: int = 50, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def hybrid_search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    top: int = 5,
+    mode: str = "hybrid",
+    rrf_k: int = 60,
+    pool: int = 50,
+    weights: tuple[float, float] = (1.0, 1.0),
+    index: Index | None = None,
+    dense: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """Results with score, rank and the rank and score in either retriever (null where it didn't find the document).
 
     The plan holds only the retrievers that the mode needs. Text is left out
-    until the end: join the corpus on pos.
+    until the end: join the corpus on pos. index: build_index of the corpus, if
+    it is there already. dense: another dense retriever (corpus, queries, k)
+    giving query_id, pos, score and rank, such as models.Embedded.search.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -180,12 +303,14 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, top: int = 5, mode: str
         raise ValueError("top must be positive")
     depth = max(pool, top)
     null = lambda kind: F.lit(None).cast(kind)
+    near = dense or (lambda c, q, k, tf=None: hashed_search(c, q, k, tf=tf, index=index))
     if mode == "sparse":
-        hits = sparse_search(corpus, queries, top)
+        hits = sparse_search(corpus, queries, top, index=index)
         return hits.select("query_id", "pos", "score", "rank", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), null("int").alias("dense_rank"), null("double").alias("dense_score"))
     if mode == "dense":
-        hits = hashed_search(corpus, queries, top)
+        hits = near(corpus, queries, top)
         return hits.select("query_id", "pos", "score", "rank", null("int").alias("bm25_rank"), null("double").alias("bm25_score"), F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
-    tf = term_frequencies(corpus)
-    fused = fuse([sparse_search(corpus, queries, depth, tf), hashed_search(corpus, queries, depth, tf=tf)], rrf_k, list(weights), ["bm25", "dense"])
+    tf = term_frequencies(corpus) if index is None else None
+    lists = [sparse_search(corpus, queries, depth, tf, index), near(corpus, queries, depth) if dense else near(corpus, queries, depth, tf)]
+    fused = fuse(lists, rrf_k, list(weights), ["bm25", "dense"])
     return fused.where(F.col("rank") <= top).select("query_id", "pos", "score", "rank", "bm25_rank", "bm25_score", "dense_rank", "dense_score")

@@ -14,7 +14,7 @@ from ..operators import metrics, rerank, retrieval, thresholds
 from ..operators.settle import settle
 from . import sql
 from .registry import register
-from .retrieval_queries import GOLD, corpus, gold, questions
+from .retrieval_queries import corpus, GOLD, gold, index, questions
 
 S = "s AS (SELECT d.doc_id AS item, lang, round(n_chars / (n_chars + 1000.0::DOUBLE), 2) AS score, quality AS y, toxic FROM labels JOIN documents d USING (doc_id))"
 PROFILE = """prof AS (SELECT lang, score AS threshold, sum(n) OVER w AS n_answered, sum(e) OVER w AS n_errors, sum(n) OVER (PARTITION BY lang) AS n_total
@@ -102,7 +102,7 @@ _CDF = "CASE WHEN {k} >= {n} THEN 1.0 ELSE list_sum(list_transform(generate_seri
 w AS (SELECT *, min(CASE WHEN p <= 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS ok FROM t),
 best AS (SELECT * FROM w WHERE ok = 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY threshold) = 1)
 SELECT g.lang, coalesce(threshold, 'Infinity'::DOUBLE) AS tau, round(coalesce(n_answered / n_total, 0), 6) AS cal_coverage, round(n_errors / n_answered, 6) AS cal_risk, coalesce(n_answered, 0)::BIGINT AS n_answered,
-  CASE WHEN threshold IS NOT NULL THEN NULL WHEN n < {_N_MIN} THEN 'calibration set too small: need >= {_N_MIN} answered items, have ' || n ELSE 'first hypothesis not rejected: too many errors at the strictest testable threshold' END AS reason
+  CASE WHEN threshold IS NOT NULL THEN NULL WHEN n < {_N_MIN} THEN n || ' items are fewer than the {_N_MIN} that a guarantee takes' ELSE 'the strictest threshold that can be tested errs too often' END AS reason
 FROM (SELECT lang, count(*) AS n FROM s GROUP BY lang) g LEFT JOIN best USING (lang)""",
 )
 def ltt(spark, sf_dir):
@@ -175,10 +175,10 @@ def label_statistics(spark, sf_dir):
 
 def _tracks(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    tf = retrieval.term_frequencies(c)
-    sparse, dense = retrieval.sparse_search(c, q, 10, tf), retrieval.hashed_search(c, q, 10, tf=tf)
+    i = index(spark, sf_dir)
+    sparse, dense = retrieval.sparse_search(c, q, 10, index=i), retrieval.hashed_search(c, q, 10, index=i)
     keep = lambda df, n: df.select(F.lit(n).alias("track"), "query_id", "pos", "rank", "score")
-    return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10), "hybrid")))
+    return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10, index=i), "hybrid")))
 
 
 _TRACKS = f"""{sql.HYBRID}, {GOLD}, tracks AS (SELECT 'sparse' AS track, query_id, pos, rank, score FROM sparse WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, pos, rank, score FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, pos, rank, score FROM fused WHERE rank <= 10),
@@ -243,7 +243,7 @@ def top1_by_answerability(spark, sf_dir):
 
 @register("candidate_recall", f"WITH {_TRACKS[5:]} SELECT round(avg(r), 6) AS candidate_recall FROM (SELECT g.query_id, count(f.pos)::DOUBLE / count(*) AS r FROM gold g LEFT JOIN (SELECT query_id, pos FROM fused WHERE rank <= 50) f USING (query_id, pos) GROUP BY g.query_id)")
 def candidate_recall(spark, sf_dir):
-    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 50)
+    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 50, index=index(spark, sf_dir))
     return metrics.candidate_recall(hits, gold(spark, sf_dir)).select(*r6("candidate_recall"))
 
 
@@ -267,6 +267,6 @@ def vector_label_hits(spark, sf_dir):
 
 @register("rerank_margins", f"{sql.RERANKED} SELECT query_id, round(max(CASE WHEN final_rank = 1 THEN logit END), 6) AS top, round(coalesce(max(CASE WHEN final_rank = 1 THEN logit END) - max(CASE WHEN final_rank = 2 THEN logit END), 0), 6) AS margin FROM reranked GROUP BY query_id")
 def rerank_margins(spark, sf_dir):
-    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
+    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir))
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("logit")))
     return results.groupBy("query_id").agg(F.round(at(1), 6).alias("top"), F.round(F.coalesce(at(1) - at(2), F.lit(0.0)), 6).alias("margin"))

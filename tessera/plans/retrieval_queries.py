@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import features, rerank, retrieval
+from ..operators.settle import settle
 from . import sql
 from .registry import register
 
@@ -19,14 +20,50 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What a session has made from a folder's tables already, as long as their files are the same; else make()."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, sf_dir, name, state)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The index of a folder's documents, built by the first query of a session that needs it."""
+    return once(spark, sf_dir, "index", lambda: retrieval.build_index(corpus(spark, sf_dir)))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, pos: documents that hold the item's text verbatim.
+    """query_id, pos: documents that hold the item's text verbatim."""
+    return once(spark, sf_dir, "gold", lambda: settle(holding(corpus(spark, sf_dir), questions(spark, sf_dir))))
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, pos of documents (pos, text) that hold the text of items (query_id, text) as it stands.
 
-    Documents are held against the items in blocks; the items are the stated
-    query set, the documents stay where they are.
+    A word inside the item, with white space on both sides, is a word of the
+    document as well: they meet on the item's rarest such word. Only items
+    of fewer than three words are held against all documents. Null texts hold
+    nothing and are held by nothing; an empty item is in every text.
     """
-    q, d = questions(spark, sf_dir), corpus(spark, sf_dir)
-    return d.alias("d").join(q.alias("q"), F.contains(F.col("d.text"), F.col("q.text"))).select("q.query_id", "d.pos")
+    words = lambda t: F.split(t, r"\s+")
+    inner = items.select("query_id", "text", F.slice(words(F.col("text")), 2, F.greatest(F.lit(0), F.size(words(F.col("text"))) - 2)).alias("inner"))
+    asked = inner.select("query_id", F.explode(F.array_distinct("inner")).alias("word"))
+    have = docs.where("text IS NOT NULL").select("pos", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    have = settle(have)
+    df = have.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = asked.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word")).alias("m")).select("query_id", F.col("m.word").alias("word"))
+    near = rarest.join(have, "word").select("query_id", "pos")
+    short = inner.where(F.size("inner") <= 0)
+    whole = docs.alias("d").join(short.alias("q"), F.contains(F.col("d.text"), F.col("q.text"))).select("q.query_id", "d.pos")
+    held = near.join(items, "query_id").join(docs.select("pos", F.col("text").alias("whole")), "pos").where(F.contains("whole", "text")).select("query_id", "pos")
+    return held.union(whole)
 
 
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS pos FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
@@ -40,12 +77,12 @@ def tokenized(spark, sf_dir):
 
 @register("bm25_vocabulary", f"{sql.BASE} SELECT token, df, round(idf, 6) AS idf FROM voc")
 def bm25_vocabulary(spark, sf_dir):
-    return retrieval.bm25_index(corpus(spark, sf_dir)).vocabulary.select("token", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).bm25.vocabulary.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @register("bm25_topk", f"{sql.BASE} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk(sql.SPARSE, 10)})")
 def bm25_topk(spark, sf_dir):
-    hits = retrieval.sparse_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
+    hits = retrieval.sparse_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir))
     return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
@@ -56,7 +93,7 @@ def hashed_embedding(spark, sf_dir):
 
 @register("dense_topk", f"WITH {sql.CORPUS}, {sql.BAGS} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk(sql.DENSE, 10)})")
 def dense_topk(spark, sf_dir):
-    return retrieval.hashed_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+    return retrieval.hashed_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir)).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
@@ -76,7 +113,7 @@ def vector_topk(spark, sf_dir):
 
 @register("hybrid_topk", f"{sql.HYBRID} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score, bm25_rank::INT AS bm25_rank, round(bm25_score, 6) AS bm25_score, dense_rank::INT AS dense_rank, round(dense_score, 6) AS dense_score FROM fused WHERE rank <= 10")
 def hybrid_topk(spark, sf_dir):
-    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
+    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir))
     return hits.select("query_id", "pos", "rank", *[F.round(c, 6).alias(c) for c in ("score", "bm25_score", "dense_score")], "bm25_rank", "dense_rank")
 
 
@@ -87,14 +124,14 @@ def hybrid_topk(spark, sf_dir):
 def hybrid_with_payload(spark, sf_dir):
     """Late materialisation: the text joins on pos after the top rows are known."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 5).select("query_id", "pos", "rank")
+    hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 5, index=index(spark, sf_dir)).select("query_id", "pos", "rank")
     return hits.join(docs, hits.pos == docs.doc_id).select("query_id", "pos", "rank", "source", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def rrf_lists(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    tf = retrieval.term_frequencies(c)
-    return [retrieval.sparse_search(c, q, 50, tf), retrieval.hashed_search(c, q, 50, tf=tf)]
+    i = index(spark, sf_dir)
+    return [retrieval.sparse_search(c, q, 50, index=i), retrieval.hashed_search(c, q, 50, index=i)]
 
 
 @register(
@@ -109,7 +146,7 @@ def rrf_weighted(spark, sf_dir):
 @register("lexical_features", f"{sql.RERANKED} SELECT query_id, pos, round(coverage, 6) AS coverage, round(proximity, 6) AS proximity, round(bigram, 6) AS bigram, round(fuzzy, 6) AS fuzzy, round(logit, 6) AS logit FROM scored")
 def lexical_features(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    hits = retrieval.hybrid_search(c, q, 50).select("query_id", "pos")
+    hits = retrieval.hybrid_search(c, q, 50, index=index(spark, sf_dir)).select("query_id", "pos")
     pairs = hits.join(q.withColumnRenamed("text", "query"), "query_id").join(c.withColumnRenamed("text", "passage"), "pos")
     return rerank.lexical_features(pairs).select("query_id", "pos", *[F.round(x, 6).alias(x) for x in ("coverage", "proximity", "bigram", "fuzzy", "logit")])
 
@@ -119,7 +156,7 @@ def lexical_features(spark, sf_dir):
     f"{sql.RERANKED} SELECT query_id, pos, final_rank::INT AS rank, round(logit, 6) AS score, round(1 / (1 + exp(-logit)), 6) AS probability, rank::INT AS first_stage_rank, round(score, 6) AS first_stage_score FROM reranked WHERE final_rank <= 10",
 )
 def two_stage_topk(spark, sf_dir):
-    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 10)
+    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir))
     return results.select("query_id", "pos", "rank", "first_stage_rank", *[F.round(x, 6).alias(x) for x in ("score", "probability", "first_stage_score")])
 
 
@@ -142,7 +179,7 @@ _NAMES = ["ce_top1", "ce_margin", "ce_entropy", "rrf_top1", "rrf_margin", "bm25_
 
 @register("abstention_features", f"{_EVIDENCE} SELECT query_id, {', '.join(f'round({x}, 6) AS {x}' for x in _NAMES)} FROM ev")
 def abstention_features(spark, sf_dir):
-    found, _, _ = features.evidence(corpus(spark, sf_dir), questions(spark, sf_dir))
+    found, _, _ = features.evidence(corpus(spark, sf_dir), questions(spark, sf_dir), index=index(spark, sf_dir))
     return found.select("query_id", *[F.round(x, 6).alias(x) for x in features.FEATURES])
 
 
@@ -152,7 +189,7 @@ def abstention_features(spark, sf_dir):
 )
 def safe_to_answer(spark, sf_dir):
     q = questions(spark, sf_dir)
-    _, results = rerank.two_stage(corpus(spark, sf_dir), q, 10)
+    _, results = rerank.two_stage(corpus(spark, sf_dir), q, 10, index=index(spark, sf_dir))
     return features.safe_labels(q, results, gold(spark, sf_dir), 3)
 
 

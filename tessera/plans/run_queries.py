@@ -13,7 +13,7 @@ from ..operators.settle import settle
 from . import pipeline
 from .calibration_queries import scored
 from .registry import register
-from .retrieval_queries import corpus, gold, questions
+from .retrieval_queries import corpus, gold, index, questions
 
 
 def chunk_table(spark, sf_dir):
@@ -50,7 +50,7 @@ def answers_over_documents(spark, sf_dir):
 def reader_free_and_forced(spark, sf_dir):
     """Both modes of the reader over the first three documents of each question."""
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    hits = settle(retrieval.hybrid_search(c, q, 3).select("query_id", "pos", "rank"))
+    hits = settle(retrieval.hybrid_search(c, q, 3, index=index(spark, sf_dir)).select("query_id", "pos", "rank"))
     context = settle(hits.join(c, "pos").select("query_id", F.col("pos").cast("string").alias("chunk_id"), "rank", "text"))
     both = reader.extractive(context, q).unionByName(reader.extractive(context, q, forced=True))
     grouped = context.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "text")).alias("context"))
@@ -60,7 +60,7 @@ def reader_free_and_forced(spark, sf_dir):
 def items(spark, sf_dir):
     """Benchmark items with features, the safe-to-answer label and a category."""
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    found, _, results = features.evidence(c, q)
+    found, _, results = features.evidence(c, q, index=index(spark, sf_dir))
     g = gold(spark, sf_dir)
     answerable = g.select("query_id").distinct().withColumn("a", F.lit("answerable"))
     rows = found.join(features.safe_labels(q, results, g), "query_id").join(answerable, "query_id", "left")
@@ -104,7 +104,7 @@ def fitted_models(spark, sf_dir):
 @register("bootstrap_intervals")
 def bootstrap_intervals(spark, sf_dir):
     """95 % intervals of the ranking metrics of hybrid retrieval."""
-    per = metrics.ranking_scores(retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10), gold(spark, sf_dir), [1, 3, 5, 10])
+    per = metrics.ranking_scores(retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir)), gold(spark, sf_dir), [1, 3, 5, 10])
     return benchmark.bootstrap_mean(per, ["metric"], order="query_id")
 
 
@@ -125,7 +125,7 @@ def extractive_items(spark, sf_dir):
 @register("reranked_probabilities")
 def reranked_probabilities(spark, sf_dir):
     """Two-stage retrieval with the sparse retriever first."""
-    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 5, 20, "sparse")
+    _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 5, 20, "sparse", index(spark, sf_dir))
     return results.select("query_id", "pos", "rank", "probability", "first_stage_rank")
 
 

@@ -21,14 +21,14 @@ def answer(column: str) -> str:
 CORPUS = f"""
 corpus AS (SELECT doc_id AS pos, text FROM documents),
 queries AS (SELECT item_id AS query_id, text FROM benchmark),
-dt AS (SELECT pos, {tokens('text')} AS t FROM corpus),
+dt AS MATERIALIZED (SELECT pos, {tokens('text')} AS t FROM corpus),
 qt AS (SELECT query_id, {tokens('text')} AS t FROM queries),
 qtok AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(t) AS token FROM qt) GROUP BY ALL)
 """
 
 BM25_INDEX = """
 dl AS (SELECT pos, len(t)::BIGINT AS dl FROM dt),
-tf AS (SELECT pos, token, count(*) AS tf FROM (SELECT pos, unnest(t) AS token FROM dt) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT pos, token, count(*) AS tf FROM (SELECT pos, unnest(t) AS token FROM dt) GROUP BY ALL),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 voc0 AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, tot GROUP BY token),
 voc AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM voc0) ELSE raw END AS idf FROM voc0),

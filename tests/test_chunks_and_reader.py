@@ -52,9 +52,9 @@ def test_provenance(spark):
 
 
 CONTEXT = [
-    ("p::0000", "We use RoBERTa as the backbone encoder. It has 125 million parameters."),
-    ("p::0001", "We train for 10 epochs with a learning rate of 2e-5. Early stopping is used."),
-    ("p::0002", "The model reaches 78.4 macro-F1 on BioHopQA. The baseline reaches 71.2 macro-F1."),
+    ("p::0000", "We take Zephyr as the name of the older turbine. It has 14 wooden blades."),
+    ("p::0001", "We drain the basin for 6 weeks with a slope of 3e-4. Early frost is likely."),
+    ("p::0002", "The new pump lifts 52.7 tonnes in Marlhaven. The old pump lifts 31.9 tonnes."),
 ]
 
 
@@ -63,12 +63,12 @@ def context(spark, n=1):
 
 
 def test_extractive_reader(spark):
-    asked = ["For how many epochs is the model trained?", "Which backbone encoder is used?", "What macro-F1 does the model reach on BioHopQA?", "Who won the football cup in Madrid?"]
+    asked = ["For how many weeks is the basin drained?", "Which name has the older turbine?", "How many tonnes does the new pump lift in Marlhaven?", "Who painted the ceiling of a chapel?"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
     rows = {r["query_id"]: r for r in reader.extractive(context(spark, 4), q).collect()}
-    assert "10 epochs" in rows[0]["answer"] and rows[0]["citations"] == ["p::0001"]
-    assert "RoBERTa" in rows[1]["answer"]
-    assert "78.4" in rows[2]["answer"] and rows[2]["citations"] == ["p::0002"]
+    assert "6 weeks" in rows[0]["answer"] and rows[0]["citations"] == ["p::0001"]
+    assert "Zephyr" in rows[1]["answer"]
+    assert "52.7" in rows[2]["answer"] and rows[2]["citations"] == ["p::0002"]
     assert rows[3]["abstain"] and rows[3]["answer"] == ABSTENTION and rows[3]["reason"].startswith("low_support")
     forced = {r["query_id"]: r for r in reader.extractive(context(spark, 4), q, forced=True).collect()}
     assert not any(r["abstain"] for r in forced.values())
@@ -79,7 +79,26 @@ def test_extractive_reader(spark):
 
 
 def test_soft_coverage():
-    assert reader.soft_coverage("trained epochs", "We train for 10 epochs", {"trained": 1.0, "epochs": 1.0}) == pytest.approx((0.5 + 1) / 2)
+    # "drained" and "drain" share four of eight trigrams
+    assert reader.soft_coverage("drained weeks", "They drain it for 6 weeks", {"drained": 1.0, "weeks": 3.0}) == pytest.approx((0.5 + 3) / 4)
+    assert reader.soft_coverage("how many", "many weeks", {"many": 1.0}) == 0 == reader.soft_coverage("weeks", "", {"weeks": 1.0})
+
+
+def test_spans():
+    # the number whose surroundings share most with the question; ties: numbers before names, then the earlier
+    assert reader.span("How many tonnes does it lift?", "In 1904 the pump, they say, could barely lift 52.7 tonnes, or so.") == "could barely lift 52.7 tonnes, or"
+    assert reader.span("Where is it?", "It stands in (Marlhaven), near 9 oaks.") == "in (Marlhaven), near 9 oaks"
+    assert reader.span("Where is Marlhaven?", "Marlhaven lies near Oxbow and NASA.") == "Oxbow"
+    assert reader.span("Where?", "It is nowhere!") == "It is nowhere" and reader.span("Where?", "") == ""
+
+
+def test_overlap_is_measured_as_chunks_are():
+    text = "".join(f"{i:03d} " for i in range(200))
+    double = lambda s: 2 * len(s)
+    found = chunks.spans(text, 80, 20, length=double)
+    assert all(double(text[a:b]) <= 80 for a, b in found) and found[-1][1] == len(text) - 1
+    assert all(0 < double(text[c:b]) <= 20 for (_, b), (c, _) in zip(found, found[1:], strict=False))
+    assert all(chunks.spans(text, 40, 10)[k] == x for k, x in enumerate(found))
 
 
 def test_grounding(spark):
@@ -87,12 +106,12 @@ def test_grounding(spark):
     rows = [
         ("ok", "x", False, ["a"], ["alpha BETA"], None),
         ("none", ABSTENTION, True, [], [], None),
-        ("dirty", ABSTENTION, True, ["a"], [], "an abstention"),
-        ("blank", " ", False, ["a"], ["alpha"], "a non-abstaining"),
-        ("nocite", "x", False, [], ["alpha"], "an answer must cite"),
-        ("unknown", "x", False, ["z"], ["alpha"], "cited chunk ids"),
-        ("noquote", "x", False, ["a"], [], "an answer must quote"),
-        ("other", "x", False, ["a"], ["delta"], "a quote is not"),
+        ("dirty", ABSTENTION, True, ["a"], [], "abstains"),
+        ("blank", " ", False, ["a"], ["alpha"], "claims"),
+        ("nocite", "x", False, [], ["alpha"], "names no source"),
+        ("unknown", "x", False, ["z"], ["alpha"], "names a source"),
+        ("noquote", "x", False, ["a"], [], "quotes nothing"),
+        ("other", "x", False, ["a"], ["delta"], "quotes what"),
     ]
     df = spark.createDataFrame([(*r[:5], ctx) for r in rows], "id string, answer string, abstain boolean, citations array<string>, evidence_quotes array<string>, context array<struct<chunk_id:string,text:string>>")
     got = {r["id"]: r["e"] for r in df.select("id", reader.grounding_error().alias("e")).collect()}
@@ -117,11 +136,11 @@ class Scripted:
 
 
 def test_client_reader(spark):
-    good = 'Sure: {"answer": "10 epochs", "citations": ["p::0001"], "evidence_quotes": ["train for 10 epochs"], "abstain": false} done {"x": 1}'
+    good = 'Sure: {"answer": "6 weeks", "citations": ["p::0001"], "evidence_quotes": ["drain the basin for 6 weeks"], "abstain": false} done {"x": 1}'
     replies = {"Qgood": good, "Qretry": ("no json", good), "Qbad": "no json", "Qrefuse": "refuse", "Qcrash": "crash"}
     q = spark.createDataFrame([(i, k) for i, k in enumerate(replies)], "query_id long, text string")
     rows = {r["query_id"]: r for r in reader.with_client(context(spark, 5), q, Scripted(replies)).collect()}
-    assert rows[0]["answer"] == rows[1]["answer"] == "10 epochs"
+    assert rows[0]["answer"] == rows[1]["answer"] == "6 weeks"
     assert [rows[i]["reason"] for i in (2, 3, 4)] == ["invalid_output", "refusal", "error:OSError"]
     assert reader.first_json('{"a": {"b": 1}} trailing {"c": 2}') == {"a": {"b": 1}}
     with pytest.raises(ValueError):

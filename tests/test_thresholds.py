@@ -30,10 +30,10 @@ def test_ltt(spark):
     ltt = lambda s, y, **k: thresholds.ltt_threshold(rows(spark, s, y), 0.1, 0.1, **k).first()
     assert ltt([0.9] * 25, [1] * 25)["tau"] == 0.9
     few = ltt([0.9] * 10, [1] * 10)
-    assert few["tau"] == float("inf") and few["reason"] == "calibration set too small: need >= 22 answered items, have 10"
+    assert few["tau"] == float("inf") and few["reason"] == "10 items are fewer than the 22 that a guarantee takes"
     assert ltt([0.9] * 25 + [0.5] * 10, [1] * 25 + [0] * 10)["tau"] == 0.9
     bad = ltt([0.9] * 25, [0] * 25)
-    assert bad["reason"].startswith("first hypothesis not rejected")
+    assert bad["reason"].startswith("the strictest threshold")
     grid = spark.createDataFrame([(2.0,)], "threshold double")
     assert ltt([0.9] * 25, [1] * 25, grid=grid)["reason"] == "no grid threshold answers >= 22 calibration items"
 
