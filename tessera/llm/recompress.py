@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, word_names, word_spans
+from .common import combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
 
 #: Bytes of text that a task works on at once; longer texts stand alone.
 BLOCK = 2 << 20
@@ -69,6 +69,15 @@ class Words:
         out[to + n - 1] = 32
         return out[:-1].tobytes()
 
+    def distinct(self, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The different words among some, and for each of those which one it is. Words count as equal by all their bytes."""
+        _, first, which = np.unique(self.names[at], return_index=True, return_inverse=True)
+        if (self.more[at] != self.more[at[first]][which]).any():  # half a name for two words: go by the words
+            place: dict[bytes, int] = {}
+            which = np.fromiter((place.setdefault(self.data[self.starts[i] : self.ends[i]].tobytes(), len(place)) for i in at), np.int64, len(at))
+            return list(place), which
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[at[first]], self.ends[at[first]], strict=True)], which
+
     def without(self, i: int, gone: np.ndarray) -> bytes:
         """Text i without the words marked, and without the white space behind each stretch of them."""
         lo, hi = self.first[i], self.first[i + 1]
@@ -376,11 +385,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterable[pa.Record
             continue
         held = np.flatnonzero(covered)
         n = np.diff(np.concatenate((np.searchsorted(held, cut), [len(held)])))
-        place: dict[bytes, int] = {}
-        which = np.fromiter((place.setdefault(w, len(place)) for w in words.joined(0, len(covered), covered).split(b" ")), np.int64, len(held))
+        place, which = words.distinct(held)
         of = words.text[cut]
         state = {"doc": of, "at": cut - words.first[of], "n": n, "which": which}
-        yield _block(part.column("id"), part.column("row"), state, keys=list(place), many=_many(which, words.text[held], len(place)))
+        yield _block(part.column("id"), part.column("row"), state, keys=place, many=_many(which, words.text[held], len(place)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, dict]]:
@@ -389,7 +397,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, dict]]:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
             row = _unpacked(one.column("state")[0].as_py()) | {c: one.column(c).flatten() for c in ("ids", "rows")}
-            for c in ("found", "settled", "runs"):
+            for c in ("places", "found", "settled", "runs"):
                 if c in batch.schema.names and one.column(c).null_count == 0:
                     row[c] = one.column(c).flatten()
             yield one.column("block"), row
@@ -399,7 +407,7 @@ def _answer(row: dict) -> np.ndarray:
     """Names of a block's proposals by place; -1 for those that no other text makes."""
     table = np.full(int(row["which"].max(initial=-1)) + 1, -1, np.int64)
     if "found" in row:
-        table[row["found"].field("place").to_numpy()] = row["found"].field("name").to_numpy()
+        table[row["places"].to_numpy()] = row["found"].to_numpy()
     return table
 
 
@@ -549,7 +557,7 @@ MERGES = 3
 
 
 def _round(blocks: DataFrame, turn: int, seen: list[DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """Blocks with the answers to their proposals (found), and the round's names table.
+    """Blocks with the answers to their proposals (places, and the names found for them), and the round's names table.
 
     The table has one row (the proposal, its name) for each distinct proposal
     that two texts or more make; the row's number is its name. A proposal is a
@@ -560,7 +568,7 @@ def _round(blocks: DataFrame, turn: int, seen: list[DataFrame] | None) -> tuple[
     names = stored(shared.select("key", (F.monotonically_increasing_id() * 64 + turn).alias("name")), f"names-{turn}")
     if seen is not None:
         seen.append(names)
-    found = proposed.select("block", "place", "key").join(names, "key").groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("found"))
+    found = proposed.select("block", "place", "key").join(names, "key").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("name").alias("found"))
     return blocks.drop("keys", "many").join(found, "block", "left"), names
 
 
@@ -594,7 +602,7 @@ def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None
         fill = lambda rows: _named(rows, width)
     base = kept(answered.mapInArrow(lambda it: _kept(fill(_rows(it))), fixed + _NAMED), blocks, *used(names))
     turn = rounds = len(caps_for(width))
-    blocks, old = base.withColumn("found", F.lit(None).cast("array<struct<place:int,name:long>>")), []
+    blocks, old = base, []
     while not old or not names.isEmpty():
         merges = max(MERGES, turn // 2)
         caps = tuple(2 << (turn + k) for k in range(merges))
@@ -643,11 +651,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = blocks.join(by_block, "block", "left").mapInArrow(lambda it: _runs(it, width), f"block long, id {kind}, row binary, key long, w int, at int, n int, one long, two long")
     runs = stored(runs, "runs")
     first = F.min(F.struct("id", "row", "at", "n", "key", "block", "w")).alias("m")
-    kinds = stored(runs.groupBy("one", "two").agg(first).select("one", "two", F.col("m.id").alias("least"), "m.key", "m.block", "m.w", "m.n"), "kinds")
-    known = runs.select("id", "row", "at", "n", "one", "two").join(kinds.select("one", "two", "least"), ["one", "two"])
+    kinds = runs.groupBy("one", "two").agg(first, F.count("*").alias("c")).select("one", "two", F.col("m.id").alias("least"), "m.key", "m.block", "m.w", "m.n", "c")
+    kinds = stored(kinds, "kinds")
+    known = weighted_join(runs.select("id", "row", "at", "n", "one", "two"), kinds.select("one", "two", "least", "c"), ["one", "two"], "c", runs.count())
     whole = known.where("least < id").select("row", "at", "n")
     # a kind of run that nothing before it has: its windows, once, and what comes of them wherever the first document has the run
-    open_ = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi").groupBy("block").agg(F.collect_list(F.struct("w", "n", "one", "two")).alias("runs"))
+    alike = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    open_ = weighted_join(kinds.drop("c"), alike, ["key"], "c", kinds.count()).groupBy("block").agg(F.collect_list(F.struct("w", "n", "one", "two")).alias("runs"))
     each = stored(blocks.join(open_, "block").mapInArrow(lambda it: _windows(it, width), f"id {kind}, run1 long, run2 long, off int, one long, two long"), "windows")
     least = each.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("one", "two", "least")
     single = each.join(least, ["one", "two"]).where("least < id").select(F.col("run1").alias("one"), F.col("run2").alias("two"), "off")
