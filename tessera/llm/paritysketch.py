@@ -431,8 +431,8 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
         .select(F.monotonically_increasing_id().alias("node"), "*")
     )
     nodes = stored(nodes, "nodes")
-    # one row of each set sends its keys; rows of one name are alike
-    picked = sketched.where(F.size("keys") > 0).join(nodes.select("row", "node"), "row").dropDuplicates(["row"]).select("node", "bands", "spare", "keys")
+    # one row of each set sends its keys; rows of one name are alike. Both sides grow with the corpus, so neither is broadcast
+    picked = sketched.where(F.size("keys") > 0).join(nodes.select("row", "node").hint("merge"), "row").dropDuplicates(["row"]).select("node", "bands", "spare", "keys")
     keys = picked.mapInArrow(_local, "kind byte, key long, node long, band int, spare int")
     dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
     met = stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
@@ -462,7 +462,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     placed = stored(weighted_join(one, sizes, ["cluster"], "c", total).select("row", "cluster", "node", "blocks", block.alias("block")), "placed")
 
     def members(which: str) -> DataFrame:
-        texts = frame.join(placed.where(which), "row").dropDuplicates(["node"]).select(*_MEMBER, "text")
+        texts = frame.join(placed.where(which).hint("merge"), "row").dropDuplicates(["node"]).select(*_MEMBER, "text")
         return texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, blocks int, block int, shingles array<long>")
 
     whole = members("blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "shingles")
