@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import benchmark, chunks, evalset, features, metrics, retrieval
+from .functions import text as tx
+from .operators import asked, benchmark, chunks, evalset, factbase, features, metrics, models, reader, retrieval
 from .operators.calibrate import Policy, _strict
 from .plans import pipeline
-from .sources import documents, store
+from .sources import documents, figures, store
 
 NEVER = float("inf")
 
@@ -48,16 +50,62 @@ def index(args, spark: SparkSession) -> int:
 
 
 def generate(args, spark: SparkSession) -> int:
-    rows = spark.read.parquet(args.chunks)
+    """An evaluation set from the chunks; engine facts writes its own chunks there first."""
     quotas = {c: getattr(args, c) for c in evalset.CATEGORIES}
+    if args.engine == "facts":
+        table = factbase.fact_table(spark, args.reports, args.seed)
+        docs = factbase.reports(table)
+        rows = chunks.chunk_texts(docs)
+        rows.withColumn("pos", F.substring("doc_id", 8, 20).cast("long") * F.lit(1 << 24) + F.col("chunk_index")).write.mode("overwrite").parquet(args.chunks)
+        rows = spark.read.parquet(args.chunks)
+        drafts = factbase.template_items(factbase.linked(table, docs, rows), rows, quotas, args.seed)
+    elif args.engine == "written":
+        rows = spark.read.parquet(args.chunks)
+        sample = [r.asDict() for r in rows.orderBy(F.xxhash64(F.lit(args.seed), "chunk_id")).select("chunk_id", "doc_id", "title", "text").limit(args.sample).collect()]
+        find = models.search_with(rows.select("pos", "text"))
+        search = lambda q, k: [r.asDict() for r in find(spark.createDataFrame([(0, q)], "query_id long, text string"), k).join(rows, "pos").orderBy("rank").select("chunk_id", "text").collect()]
+        writer = asked.QuestionWriter(_client(args), sample, args.seed, search, progress=_progress("questions") if args.progress else None)
+        drafts = spark.createDataFrame(pd.DataFrame(writer.write(quotas)), "category string, question string, gold array<string>, answer string, template string, difficulty string")
+    else:
+        rows = spark.read.parquet(args.chunks)
+        drafts = evalset.extractive_items(rows, quotas, args.seed)
     found = store.fingerprint(rows, "pos", ["chunk_id", "text"]).first()
-    made = evalset.assemble(evalset.extractive_items(rows, quotas, args.seed), {"path": args.chunks, "num_chunks": found["n"], "sha256": found["digest"]}, "extractive", args.seed)
+    made = evalset.assemble(drafts, {"path": args.chunks, "num_chunks": found["n"], "sha256": found["digest"]}, args.engine, args.seed)
     made.check(spark)
     store.write_text(spark, made.to_json(), args.output)
     print(made.summary())
     return 0
 
 
+def _progress(label: str):
+    """Tells standard error how much is done."""
+    return lambda done, wanted: print(f"\r{label}: {done}/{wanted}", end="\n" if done == wanted else "", file=sys.stderr, flush=True)
+
+
+def _client(args) -> reader.Client:
+    if not args.reader_url or not args.reader_model:
+        raise SystemExit("a language model needs --reader-url and --reader-model (or use --offline)")
+    kind = models.BlocksClient if args.reader_style == "blocks" else models.ChatClient
+    return kind(args.reader_model, args.reader_url, os.environ.get(args.reader_key_env) if args.reader_key_env else None)
+
+
+def plugs(args) -> dict:
+    """What stands in for the built-in parts, as keywords of pipeline.answer. --offline leaves all of them built in."""
+    if args.offline:
+        args.encoder = args.reranker = args.reader_url = None
+    out: dict = {}
+    if args.encoder:
+        out["dense"] = models.Embedded(models.SentenceEncoder(args.encoder)).search
+    try:
+        if args.reranker:
+            out["score"] = models.Reranker(args.reranker, args.allow_fallback).score
+        if args.reader_url:
+            out["read"], _, _ = models.reading(_client(args), args.allow_fallback)
+    except RuntimeError as e:
+        raise SystemExit(f"{e}; --allow-fallback or --offline do without") from e
+    return out
+
+
 def load_items(spark: SparkSession, path: str) -> tuple[evalset.EvalSet, DataFrame]:
     """The set, and its items as the pipeline takes them; item numbers follow the file."""
     found = evalset.EvalSet.from_json(store.read_text(spark, path))
@@ -89,7 +137,10 @@ def evaluate(args, spark: SparkSession) -> int:
         feats, _, results = features.evidence(corpus, items.select("query_id", "text"))
         labels = features.safe_labels(items, results, gold)
         table = feats.join(labels, "query_id").withColumnsRenamed({"query_id": "item", "safe": "y"}).persist()
-        report = {k: records(v) for k, v in benchmark.abstention_benchmark(table, splits, features.FEATURES).items()}
+        made = benchmark.abstention_benchmark(table, splits, features.FEATURES)
+        report = {k: records(v) for k, v in made.items()}
+        if args.figures:
+            figures.write_figures(spark, args.figures, made["pooled"], made["reliability"])
     else:
         scored = pipeline.score_items(rows, items).persist()
         report = {k: records(v) for k, v in benchmark.e2e_benchmark(scored, splits, features.FEATURES).items()}
@@ -121,8 +172,8 @@ def signals(row: dict, policy: Policy, n: int = 3) -> list[tuple[str, float, flo
     return sorted(each, key=lambda x: -abs(x[2]))[:n]
 
 
-def render(row: dict, policy: Policy | None, scores: bool, colour: bool = False) -> str:
-    """Answer, gate and evidence as three panels."""
+def render(row: dict, policy: Policy | None, scores: bool, colour: bool = False, show: int | None = None) -> str:
+    """Answer, gate and evidence as three panels; at most `show` quotes, if given."""
     bold = (lambda s: f"\x1b[1m{s}\x1b[0m") if colour else (lambda s: s)
     out = [bold("Answer"), f"  {row['answer']}", bold("Gate"), f"  {gate_text(policy)}"]
     if row["confidence"] is not None:
@@ -131,7 +182,7 @@ def render(row: dict, policy: Policy | None, scores: bool, colour: bool = False)
     if row["stage"]:
         out.append(f"  abstained at: {row['stage']}" + (f" ({row['reason']})" if row["reason"] else ""))
     out.append(bold("Evidence"))
-    out += [f"  [{c}] {q}" for c, q in zip(row["citations"], row["evidence_quotes"], strict=False)] or ["  none"]
+    out += [f"  [{c}] {q}" for c, q in list(zip(row["citations"], row["evidence_quotes"], strict=False))[:show]] or ["  none"]
     if scores:
         out += [f"  {f} = {row[f]:.4f}" for f in features.FEATURES if f in row]
     return "\n".join(out)
@@ -145,20 +196,31 @@ def _policy(args, spark: SparkSession, rows: DataFrame) -> Policy | None:
         if not args.eval_set:
             raise SystemExit("--calibrate needs --eval-set")
         policy = fit(spark, rows, args.eval_set, args.calibrate, args.alpha, args.delta)
+    if policy and args.save_policy:
+        store.save_policy(spark, policy, args.save_policy)
     if policy and policy.tau == NEVER:
         print("warning: the threshold is infinite, every question will be held back", file=sys.stderr)
     return policy
 
 
-def ask_one(spark, rows: DataFrame, question: str, policy: Policy | None, k: int = 3) -> dict:
-    return pipeline.answer(rows, spark.createDataFrame([(0, question)], "query_id long, text string"), policy, k).first().asDict()
+def ask_one(spark, rows: DataFrame, question: str, policy: Policy | None, k: int = 3, forced: bool = False, cache: str | None = None, **plugged) -> dict:
+    """One answer; with a cache, that of an equal question asked the same way of the same chunks."""
+    asked_ = spark.createDataFrame([(0, question)], "query_id long, text string")
+    say = lambda q: pipeline.answer(rows, q, policy, k, forced=forced, **plugged)
+    if not cache:
+        return say(asked_).first().asDict()
+    corpus = store.fingerprint(rows, "pos", ["chunk_id", "text"]).first()["digest"]
+    parts = [F.lit(str(x)) for x in (corpus, k, forced, policy.to_json() if policy else None, sorted(plugged))]
+    keyed = asked_.withColumn("key", tx.cache_key(F.col("text"), *parts))
+    read = lambda q: say(q.select("query_id", "text")).join(q.select("query_id", "key"), "query_id").drop("query_id")
+    return reader.AnswerCache(spark, cache).answers(keyed, read).first().asDict()
 
 
 def ask(args, spark: SparkSession) -> int:
     rows = spark.read.parquet(args.chunks)
     policy = _policy(args, spark, rows)
-    row = ask_one(spark, rows, args.question, policy, args.k_ctx)
-    print(json.dumps(_strict(row), ensure_ascii=False) if args.json else render(row, policy, args.scores, sys.stdout.isatty()))
+    row = ask_one(spark, rows, args.question, policy, args.k_ctx, args.forced_reader, args.cache, **plugs(args))
+    print(json.dumps(_strict(row), ensure_ascii=False) if args.json else render(row, policy, args.scores, sys.stdout.isatty(), args.show))
     return 0
 
 
@@ -167,6 +229,8 @@ def chat(args, spark: SparkSession, lines=None) -> int:
     rows = spark.read.parquet(args.chunks).persist()
     policy = _policy(args, spark, rows)
     gate, k, scores, as_json = policy, args.k_ctx, args.scores, args.json
+    plugged = plugs(args)
+    index = retrieval.build_index(rows.select("pos", "text"))
     for line in lines or sys.stdin:
         line = line.strip()
         word, _, rest = line.partition(" ")
@@ -189,8 +253,8 @@ def chat(args, spark: SparkSession, lines=None) -> int:
         elif word.startswith(":"):
             print(":k N, :gate on|off, :scores, :json, :quit")
         else:
-            row = ask_one(spark, rows, line, gate, k)
-            print(json.dumps(_strict(row), ensure_ascii=False) if as_json else render(row, gate, scores))
+            row = ask_one(spark, rows, line, gate, k, args.forced_reader, args.cache, index=index, **plugged)
+            print(json.dumps(_strict(row), ensure_ascii=False) if as_json else render(row, gate, scores, show=args.show))
     return 0
 
 
@@ -204,6 +268,17 @@ def serve(args, spark: SparkSession) -> int:
     return 0
 
 
+def _model_flags(s: argparse.ArgumentParser) -> None:
+    s.add_argument("--offline", action="store_true", help="built-in encoder, reranker and reader only")
+    s.add_argument("--encoder", help="sentence-transformers model for dense retrieval")
+    s.add_argument("--reranker", help="cross-encoder model")
+    s.add_argument("--reader-url")
+    s.add_argument("--reader-model")
+    s.add_argument("--reader-style", choices=["chat", "blocks"], default="chat")
+    s.add_argument("--reader-key-env", help="environment variable that holds the server's key")
+    s.add_argument("--allow-fallback", action="store_true", help="do without a model that can't be used")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
@@ -223,6 +298,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("chunks")
     s.add_argument("output")
     s.add_argument("--seed", type=int, default=42)
+    s.add_argument("--engine", choices=["extractive", "facts", "written"], default="extractive")
+    s.add_argument("--reports", type=int, default=50, help="engine facts: reports to make up")
+    s.add_argument("--sample", type=int, default=500, help="engine written: chunks to ask about")
+    s.add_argument("--progress", action="store_true")
+    _model_flags(s)
     for c, n in evalset.QUOTAS.items():
         s.add_argument(f"--{c.replace('_', '-')}", type=int, default=n, dest=c)
     s.set_defaults(run=generate)
@@ -231,6 +311,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("chunks")
     s.add_argument("eval_set")
     s.add_argument("output")
+    s.add_argument("--figures", help="folder for the curves of an abstention benchmark")
     s.add_argument("--splits", type=int, default=200)
     s.add_argument("--seed", type=int, default=0)
     s.set_defaults(run=evaluate)
@@ -246,6 +327,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--alpha", type=float, default=0.2)
         s.add_argument("--delta", type=float, default=0.1)
         s.add_argument("--eval-set")
+        s.add_argument("--save-policy", help="where to keep the gate that --calibrate fits")
+        s.add_argument("--cache", help="table of answers given before")
+        s.add_argument("--forced-reader", action="store_true", help="an answer to every question that the gate lets through")
+        s.add_argument("--show", type=int, help="quotes to print at most")
+        _model_flags(s)
         s.add_argument("--k-ctx", type=int, default=3)
         s.add_argument("--scores", action="store_true")
         s.add_argument("--json", action="store_true")

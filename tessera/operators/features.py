@@ -61,15 +61,18 @@ def rerank_features(results: DataFrame) -> DataFrame:
     )
 
 
-def evidence(corpus: DataFrame, queries: DataFrame, k_ctx: int = 3, top: int = 10, reranking: bool = True, pool: int = 50, index: Index | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features per question, candidates, results). A question without candidates has zeros throughout."""
+def evidence(corpus: DataFrame, queries: DataFrame, k_ctx: int = 3, top: int = 10, reranking: bool = True, pool: int = 50, index: Index | None = None, score=None, dense=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features per question, candidates, results). A question without candidates has zeros throughout.
+
+    index, score and dense stand in for what is built or used otherwise: see rerank.two_stage.
+    """
     if k_ctx <= 0 or top < k_ctx:
         raise ValueError("need 0 < k_ctx <= top")
     if reranking:
-        candidates, results = two_stage(corpus, queries, top, pool, index=index)
+        candidates, results = two_stage(corpus, queries, top, pool, index=index, score=score, dense=dense)
         found = first_stage_features(candidates, results).join(rerank_features(results), "query_id", "left")
     else:
-        candidates = settle(hybrid_search(corpus, queries, max(top, pool), index=index))
+        candidates = settle(hybrid_search(corpus, queries, max(top, pool), index=index, dense=dense))
         results = candidates.where(F.col("rank") <= top)
         found = first_stage_features(candidates, results)
     names = FEATURES if reranking else RETRIEVAL_FEATURES

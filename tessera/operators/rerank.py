@@ -147,18 +147,19 @@ def rerank(pairs: DataFrame, keep: int | None = None) -> DataFrame:
 
 
 def two_stage(
-    corpus: DataFrame, queries: DataFrame, top: int = 10, retrieve: int = 50, mode: str = "hybrid", index: Index | None = None, score: Callable[[DataFrame], DataFrame] | None = None
+    corpus: DataFrame, queries: DataFrame, top: int = 10, retrieve: int = 50, mode: str = "hybrid", index: Index | None = None, score: Callable[[DataFrame], DataFrame] | None = None, dense: Callable | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, results): first-stage rows, and the top of them by logit.
 
     Results keep first_stage_rank and first_stage_score; ties of logits go to
     the better first-stage rank. score: another scorer of pairs (query_id, pos,
     query, passage) giving query_id, pos and logit, such as models.Reranker.score.
+    dense: another dense retriever, as in hybrid_search.
     """
     if top <= 0 or retrieve <= 0:
         raise ValueError("top and retrieve must be positive")
     # a pool per question, used several times over: kept, so that later plans start from it
-    candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index))
+    candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index, dense=dense))
     pairs = candidates.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("pos", F.col("text").alias("passage")), "pos")
     scored = (score or lexical_features)(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])

@@ -17,17 +17,29 @@ def context_of(results: DataFrame, chunks: DataFrame, k_ctx: int) -> DataFrame:
 
 
 def answer(
-    chunks: DataFrame, questions: DataFrame, policy: Policy | None = None, k_ctx: int = 3, top: int = 10, forced: bool = False, reranking: bool = True, read=reader.extractive
+    chunks: DataFrame,
+    questions: DataFrame,
+    policy: Policy | None = None,
+    k_ctx: int = 3,
+    top: int = 10,
+    forced: bool = False,
+    reranking: bool = True,
+    read=reader.extractive,
+    index=None,
+    score=None,
+    dense=None,
 ) -> DataFrame:
     """One row per question: answer, abstained, stage (policy, generator or null), confidence, citations, quotes, features.
 
     chunks: pos, chunk_id, title, text. Questions that the gate holds back, or
     that found nothing, are rows of their own branch, so the reader never sees
-    them; without a policy every question with results is read.
+    them; without a policy every question with results is read. read, index,
+    score and dense: see models.reading, retrieval.build_index, models.Reranker
+    and models.Embedded.
     """
     top = max(top, k_ctx)
     corpus = chunks.select("pos", "text")
-    found, _, results = features.evidence(corpus, questions, k_ctx, top, reranking)
+    found, _, results = features.evidence(corpus, questions, k_ctx, top, reranking, index=index, score=score, dense=dense)
     names = features.FEATURES if reranking else features.RETRIEVAL_FEATURES
     n = results.groupBy("query_id").agg(F.count("*").alias("n_results"))
     rows = found.join(n, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))

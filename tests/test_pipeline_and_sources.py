@@ -16,9 +16,9 @@ from tessera.sources import documents, store
 from tessera.streaming import jobs
 
 DOCS = [
-    (1, "Backbones", "We use RoBERTa as the backbone encoder. It has 125 million parameters in total here."),
-    (2, "Training", "The model was trained for 10 epochs with a learning rate of 0.5 in all of our runs."),
-    (3, "Results", "The final system reaches 78.4 macro points on BioHopQA after the longest training run. The baseline system reaches 71.2 macro points on BioHopQA after the same training run."),
+    (1, "Filling", "We took Granitex as the core filling. It weighs 125 million kilograms in total here."),
+    (2, "Camp", "The crew was camped for 10 weeks with a water ration of 0.5 in all of our trips."),
+    (3, "Results", "The final barrier holds 52.7 flood points at Marlhaven after the longest winter storm. The earlier barrier holds 31.9 flood points at Marlhaven after the same winter storm."),
     (4, "Other", "Weather reports mention rain and wind along the coast for several days."),
 ]
 
@@ -39,9 +39,9 @@ def policy(tau):
 
 
 def test_answers(spark, corpus):
-    q = questions(spark, "For how many epochs was the model trained?", " ")
+    q = questions(spark, "For how many weeks was the crew camped?", " ")
     rows = {r["query_id"]: r for r in pipeline.answer(corpus, q).collect()}
-    assert "10 epochs" in rows[0]["answer"] and rows[0]["stage"] is None and rows[0]["citations"] == ["2::0000"]
+    assert "10 weeks" in rows[0]["answer"] and rows[0]["stage"] is None and rows[0]["citations"] == ["2::0000"]
     assert rows[1]["stage"] == "policy" and rows[1]["answer"] == ABSTENTION
     held = {r["query_id"]: r for r in pipeline.answer(corpus, q, policy(float("inf"))).collect()}
     assert all(r["stage"] == "policy" for r in held.values())
@@ -53,13 +53,13 @@ def test_gate_stands_below_the_reader(spark, corpus):
         raise_on = F.raise_error(F.lit("the reader was called"))
         return asked.select("query_id", raise_on.cast("string").alias("answer"), F.lit(False).alias("abstain"), F.array().cast("array<string>").alias("citations"), F.array().cast("array<string>").alias("evidence_quotes"), F.lit(True).alias("grounded"), F.lit(None).cast("string").alias("reason"))
 
-    assert pipeline.answer(corpus, questions(spark, "epochs"), policy(float("inf")), read=read).count() == 1
+    assert pipeline.answer(corpus, questions(spark, "weeks"), policy(float("inf")), read=read).count() == 1
     with pytest.raises(Exception, match="the reader was called"):
-        pipeline.answer(corpus, questions(spark, "epochs"), policy(-1.0), read=read).collect()
+        pipeline.answer(corpus, questions(spark, "weeks"), policy(-1.0), read=read).collect()
 
 
 def test_score_items(spark, corpus):
-    items = spark.createDataFrame([(0, "For how many epochs was the model trained?", "10 epochs", True, "in_domain_factoid", ["2::0000"]), (1, "Who rules Atlantis?", ABSTENTION, False, "out_of_domain", [])], "query_id long, text string, reference string, answerable boolean, category string, gold array<string>")
+    items = spark.createDataFrame([(0, "For how many weeks was the crew camped?", "10 weeks", True, "in_domain_factoid", ["2::0000"]), (1, "Who rules Atlantis?", ABSTENTION, False, "out_of_domain", [])], "query_id long, text string, reference string, answerable boolean, category string, gold array<string>")
     rows = {(r["item"], r["reader"]): r for r in pipeline.score_items(corpus, items).collect()}
     assert rows[0, "free"]["answered"] and rows[0, "free"]["citation_precision"] == 1 and not rows[1, "free"]["answered"]
     assert rows[1, "forced"]["answered"] and not rows[1, "forced"]["correct"]
@@ -147,7 +147,7 @@ def test_streams(spark, corpus, tmp_path):
     jobs.drain(jobs.new_documents(spark, f"file://{tmp_path}/in", "doc_id long, text string"), "append", f"file://{tmp_path}/ck", f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
     (tmp_path / "q").mkdir()
-    (tmp_path / "q/a.json").write_text('{"query_id": 1, "text": "how many epochs"}\n')
+    (tmp_path / "q/a.json").write_text('{"query_id": 1, "text": "how many weeks"}\n')
     stream = spark.readStream.schema("query_id long, text string").json(f"file://{tmp_path}/q")
     query = jobs.answer_stream(stream, corpus, lambda: None, f"file://{tmp_path}/ans", f"file://{tmp_path}/ck2")
     query.processAllAvailable()
@@ -171,13 +171,13 @@ def test_service(spark, corpus):
     port = http.server_address[1]
     try:
         assert call(port, "/health") == (200, {"status": "ok"})
-        status, out = call(port, "/v1/query", {"query": "how many epochs was the model trained", "include_scores": True})
+        status, out = call(port, "/v1/query", {"query": "how many weeks was the crew camped", "include_scores": True})
         assert status == 200 and not out["abstained"] and set(FEATURES) <= set(out["features"])
         for body in ({"query": " "}, {"query": "x" * 2001}, {"query": "x", "k_ctx": 0}, {"query": "x", "k_ctx": 11}, {"query": "x", "top_k": 51}, {"query": "x", "other": 1}, {}):
             assert call(port, "/v1/query", body)[0] == 422
         assert call(port, "/v1/calibrate", {})[0] == 401 and call(port, "/nope")[0] == 404
         assert call(port, "/v1/calibrate", {"method": "ltt"}, "t")[1]["tau"] == "inf"
-        assert call(port, "/v1/query", {"query": "how many epochs"})[1]["stage"] == "policy"
+        assert call(port, "/v1/query", {"query": "how many weeks"})[1]["stage"] == "policy"
         service._busy.acquire()
         assert call(port, "/v1/calibrate", {}, "t")[0] == 409
     finally:
@@ -186,13 +186,13 @@ def test_service(spark, corpus):
 
 def test_command_line(spark, corpus, tmp_path, capsys):
     corpus.write.parquet(f"{tmp_path}/chunks")
-    args = cli.parser().parse_args(["ask", f"{tmp_path}/chunks", "For how many epochs was the model trained?", "--no-gate", "--json"])
+    args = cli.parser().parse_args(["ask", f"{tmp_path}/chunks", "For how many weeks was the crew camped?", "--no-gate", "--json"])
     args.run(args, spark)
-    assert "10 epochs" in json.loads(capsys.readouterr().out)["answer"]
+    assert "10 weeks" in json.loads(capsys.readouterr().out)["answer"]
     args = cli.parser().parse_args(["chat", f"{tmp_path}/chunks", "--no-gate"])
-    cli.chat(args, spark, [":k 2", ":scores", ":help", "For how many epochs was the model trained?", ":quit", "never"])
+    cli.chat(args, spark, [":k 2", ":scores", ":help", "For how many weeks was the crew camped?", ":quit", "never"])
     out = capsys.readouterr().out
-    assert "10 epochs" in out and "ce_top1" in out
+    assert "10 weeks" in out and "ce_top1" in out
     args = cli.parser().parse_args(["index", f"{tmp_path}/chunks", f"{tmp_path}/index"])
     args.run(args, spark)
     args = cli.parser().parse_args(["generate", f"{tmp_path}/chunks", f"{tmp_path}/set", "--in-domain-factoid", "3", "--in-domain-reasoning", "1", "--out-of-domain", "2", "--unsupported-fact", "2", "--subtle-conflict", "2"])
