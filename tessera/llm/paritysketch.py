@@ -461,16 +461,16 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     total = nodes.count()
     placed = stored(weighted_join(one, sizes, ["cluster"], "c", total).select("row", "cluster", "node", "blocks", block.alias("block")), "placed")
 
-    def members(which: str) -> DataFrame:
-        texts = frame.join(placed.where(which).hint("merge"), "row").dropDuplicates(["node"]).select(*_MEMBER, "text")
-        return texts.mapInArrow(lambda it: _members(it, n), "cluster long, node long, blocks int, block int, shingles array<long>")
-
-    whole = members("blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "shingles")
+    # the texts of clusters' sets, fetched once
+    texts = stored(frame.join(placed.hint("merge"), "row").dropDuplicates(["node"]).select(*_MEMBER, "text"), "members")
+    sets = lambda which: texts.where(which).mapInArrow(lambda it: _members(it, n), "cluster long, node long, blocks int, block int, shingles array<long>")
+    whole = sets("blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "shingles")
     links = stored(_links(whole, num, den), "links")
     if not placed.where("blocks > 1").isEmpty():
-        big = stored(members("blocks > 1"), "members")
+        big = stored(sets("blocks > 1"), "sets")
         links = links.union(_large(big, num, den))
         discard(big)
+    discard(texts)
     found = connected(links)
     named = stored(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
