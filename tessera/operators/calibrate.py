@@ -60,6 +60,12 @@ class Calibrator:
         return F.slice(F.array_sort(F.array(*each), order), 1, n)
 
 
+def scales(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """by, feature, mean, std: population deviations; a constant feature has deviation 1."""
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x"))
+    return each.groupBy(*by, "x.feature").agg(F.avg("x.v").alias("mean"), F.when(F.stddev_pop("x.v") < 1e-12, 1.0).otherwise(F.stddev_pop("x.v")).alias("std"))
+
+
 PLATT_L2 = 1e-6
 
 

@@ -2,17 +2,16 @@
 
 Rows hold a score, a 0/1 label y and any grouping columns `by` (a split, a
 model). Every metric gives one row per group. Windows run over one row per
-distinct score, not over rows.
+distinct score, not over rows, and without groups over ranges of scores in
+parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _by(by: list[str]) -> list[str | Column]:
-    return list(by) or [F.lit(0)]
+from .settle import settle
 
 
 def _join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -20,14 +19,37 @@ def _join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
 
 
+def running(rows: DataFrame, by: list[str], key: str, values: dict[str, str], down: bool = False) -> DataFrame:
+    """rows with sums of columns up to and including their own key, in order of key: values maps new names to columns.
+
+    Keys are unique within a group. With groups this is a window. Without, keys
+    are dealt out by range, summed per range, and the sums of the ranges before
+    are added: one row per range, and there are as many as shuffle partitions.
+    """
+    order = F.col(key).desc() if down else F.col(key)
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(c).over(w) for n, c in values.items()})
+    dealt = settle(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in values.items()])
+    offsets = whole.select("__range", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in values])
+    out = dealt.join(F.broadcast(offsets), "__range").withColumns({n: F.sum(c).over(within) + F.col(f"__{n}") for n, c in values.items()})
+    return out.drop("__range", *[f"__{n}" for n in values])
+
+
+def _profile(rows: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
+    """by, threshold, n and e there, n_answered, n_errors, n_total."""
+    each = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(y)).cast("long").alias("e"))
+    total = rows.groupBy(*by).agg(F.count("*").alias("n_total"))
+    return _join(running(each, by, "threshold", {"n_answered": "n", "n_errors": "e"}, down=True), total, by)
+
+
 def risk_profile(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """Answered and wrong rows at or above every distinct score: by, threshold, n_answered, n_errors, n_total, coverage, risk."""
     by = by or []
-    each = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(y)).cast("long").alias("e"))
-    down = Window.partitionBy(*_by(by)).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = each.select(
-        *by, "threshold", F.sum("n").over(down).alias("n_answered"), F.sum("e").over(down).alias("n_errors"), F.sum("n").over(Window.partitionBy(*_by(by))).alias("n_total")
-    )
+    out = _profile(rows, by, score, y).select(*by, "threshold", "n_answered", "n_errors", "n_total")
     return out.withColumn("coverage", F.col("n_answered") / F.col("n_total")).withColumn("risk", F.col("n_errors") / F.col("n_answered"))
 
 
@@ -38,9 +60,8 @@ def risk_coverage(rows: DataFrame, by: list[str] | None = None, score: str = "sc
 def aurc(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """Area under the risk-coverage steps; tied scores are one step."""
     by = by or []
-    down = Window.partitionBy(*_by(by)).orderBy(F.col("threshold").desc())
-    steps = risk_profile(rows, by, score, y).withColumn("step", F.col("n_answered") - F.coalesce(F.lag("n_answered").over(down), F.lit(0)))
-    return steps.groupBy(*by).agg(F.sum(F.col("step") / F.col("n_total") * F.col("risk")).alias("aurc"))
+    steps = _profile(rows, by, score, y)
+    return steps.groupBy(*by).agg(F.sum(F.col("n") / F.col("n_total") * F.col("n_errors") / F.col("n_answered")).alias("aurc"))
 
 
 def oracle_aurc(rows: DataFrame, by: list[str] | None = None, y: str = "y") -> DataFrame:
@@ -79,21 +100,27 @@ def ece(rows: DataFrame, by: list[str] | None = None, bins: int = 10, score: str
 
 
 def selective_accuracy(rows: DataFrame, coverages: list[float], by: list[str] | None = None, score: str = "score", y: str = "y", order: str = "item") -> DataFrame:
-    """Mean label of the best ceil(c * n) rows, at least one; ties in order of `order`."""
+    """Mean label of the best ceil(c * n) rows, at least one; ties in order of `order`.
+
+    Rows above the score where a coverage ends are counted by score; only rows
+    at that score are put in order.
+    """
     by = by or []
-    w = Window.partitionBy(*_by(by))
-    ranked = rows.withColumn("rn", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(order)))).withColumn("n", F.count("*").over(w))
-    taken = lambda c: F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n") - 1e-9))
-    each = ranked.select(*by, y, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), taken(c).alias("t")) for c in coverages])).alias("x"))
-    return each.where("x.t").groupBy(*by, F.col("x.c").alias("coverage")).agg(F.avg(y).alias("accuracy"))
+    each = _profile(rows, by, score, y).withColumn("c", F.explode(F.array(*[F.lit(c) for c in coverages])))
+    each = each.withColumn("m", F.greatest(F.lit(1), F.ceil(F.col("c") * F.col("n_total") - 1e-9)))
+    before, good = F.col("n_answered") - F.col("n"), F.col("n_answered") - F.col("n") - (F.col("n_errors") - F.col("e"))
+    ends = each.where((before < F.col("m")) & (F.col("m") <= F.col("n_answered"))).select(*by, "threshold", "c", "m", (F.col("m") - before).alias("take"), good.alias("good"))
+    at = rows.select(*by, F.col(score).alias("threshold"), F.col(y).alias("__y"), F.col(order).alias("__o")).join(ends, [*by, "threshold"])
+    w = Window.partitionBy(*by, "c").orderBy("__o")
+    last = at.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("take"))
+    return last.groupBy(*by, F.col("c").alias("coverage")).agg(((F.first("good") + F.sum("__y")) / F.first("m")).alias("accuracy"))
 
 
 def auroc(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """P(positive above negative) with ties as a half, from rank sums; null where a class is empty."""
     by = by or []
     each = rows.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("p"))
-    up = Window.partitionBy(*_by(by)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    mid = each.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
+    mid = running(each, by, score, {"upto": "n"}).withColumn("mid", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     total = mid.groupBy(*by).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     area = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * (F.col("n") - F.col("p"))).cast("double"))
     return total.select(*by, area.alias("auroc"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import binom_cdf, min_certifiable_n
-from .metrics import _by, risk_profile
+from .metrics import risk_profile, running
 
 NEVER = float("inf")
 
@@ -48,13 +48,27 @@ def coverage_grid(train: DataFrame, cal_sizes: DataFrame, alpha: float, delta: f
     by = by or []
     least = min_certifiable_n(alpha, delta)
     sizes = cal_sizes.where(F.col("n_cal") >= least).withColumn("low", F.lit(float(least)) / F.col("n_cal"))
-    sorted_ = train.groupBy(*by).agg(F.sort_array(F.collect_list(score)).alias("s"))
-    both = sorted_.join(sizes, by) if by else sorted_.crossJoin(F.broadcast(sizes))
+    total = train.groupBy(*by).agg(F.count("*").alias("__n"))
+    both = total.join(sizes, by) if by else total.crossJoin(F.broadcast(sizes))
     share = F.col("low") + (1 - F.col("low")) * F.col("i") / F.lit(float(max(points - 1, 1)))
-    grid = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("at", (1 - share) * (F.size("s") - 1))
-    floor = F.floor("at").cast("int")
-    lo, hi = F.get("s", F.greatest(floor, F.lit(0))), F.get("s", F.least(F.greatest(floor, F.lit(0)) + 1, F.size("s") - 1))
-    return grid.select(*by, (lo + (hi - lo) * (F.col("at") - F.greatest(floor, F.lit(0)))).alias("threshold")).distinct()
+    marks = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("at", (1 - share) * (F.col("__n") - 1))
+    low = F.greatest(F.floor("at"), F.lit(0))
+    marks = marks.select(*by, "i", (F.col("at") - low).alias("part"), low.alias("lo"), F.least(low + 1, F.col("__n") - 1).alias("hi"))
+    # scores begin at their first place in order; a mark's score is the last that begins at its place or before
+    each = train.groupBy(*by, F.col(score).alias("__v")).agg(F.count("*").alias("__c"))
+    begins = running(each, by, "__v", {"__upto": "__c"}).select(*by, (F.col("__upto") - F.col("__c")).alias("place"), "__v")
+    if by:
+        kind = each.schema["__v"].dataType
+        asked = marks.select(*by, "i", "part", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("place")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("place")))).alias("x")).select(*by, "i", "part", "x.end", "x.place")
+        null = lambda t: F.lit(None).cast(t)
+        line = begins.select(*by, null("int").alias("i"), null("double").alias("part"), null("int").alias("end"), "place", "__v").unionByName(asked.withColumn("__v", null(kind)))
+        w = Window.partitionBy(*by).orderBy("place", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = line.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("i IS NOT NULL")
+    else:  # a few dozen marks, held against the scores where they lie
+        asked = marks.select("i", "part", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("at")))).alias("x")).select("i", "part", "x.end", "x.at")
+        found = begins.join(F.broadcast(asked), F.col("place") <= F.col("at")).groupBy("i", "part", "end").agg(F.max_by("__v", "place").alias("__v"))
+    ends = found.groupBy(*by, "i", "part").agg(F.max(F.when(F.col("end") == 0, F.col("__v"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("__v"))).alias("b"))
+    return ends.select(*by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("threshold")).distinct()
 
 
 def ltt_threshold(rows: DataFrame, alpha: float, delta: float, grid: DataFrame | None = None, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
@@ -66,7 +80,7 @@ def ltt_threshold(rows: DataFrame, alpha: float, delta: float, grid: DataFrame |
     """
     by = by or []
     least = min_certifiable_n(alpha, delta)
-    part = Window.partitionBy(*_by(by))
+    part = Window.partitionBy(*(by or [F.lit(0)]))
     if grid is None:
         points = risk_profile(rows, by, score, y).where(F.col("n_answered") >= least).select(*by, "threshold", "n_answered", "n_errors")
     else:

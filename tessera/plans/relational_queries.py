@@ -12,7 +12,7 @@ from ..sources import documents as sources
 from ..sources import store
 from . import sql
 from .registry import register
-from .retrieval_queries import GOLD, corpus, gold, questions
+from .retrieval_queries import corpus, gold, GOLD, holding, index, questions
 
 
 def table(spark, sf_dir, name):
@@ -99,22 +99,17 @@ def encoded_doubles(spark, sf_dir):
 
 @register(
     "prompt_context",
-    """SELECT source, md5(string_agg('[' || doc_id || '] (from "' || lang || '")' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""",
+    """SELECT source, md5(string_agg('[' || doc_id || '] (from "' || lang || '")' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""",
 )
 def prompt_context(spark, sf_dir):
     from ..operators.reader import prompt_context as build
 
     d = table(spark, sf_dir, "documents")
     top = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 3")
-    rows = top.select(F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("title"), F.substring("text", 1, 200).alias("text"))
+    rows = top.select(F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("title"), "text")
     return build(rows).select(F.col("query_id").alias("source"), F.md5("context").alias("digest"))
 
 
-@register("word_windows", r"""WITH w AS (SELECT event_id, string_split(props, ' ') AS w FROM events) SELECT event_id, array_to_string(w[1:3], ' ') AS first3 FROM w""")
-def word_windows(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.slice(F.split("props", " "), 1, 3), " ").alias("first3"))
-
-
 @register(
     "numeric_sentences",
     r"""WITH s AS (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '[\x01\n]')), '\s+', ' ', 'g')) AS s FROM documents)
@@ -182,38 +177,44 @@ def order_pairs(spark, sf_dir):
 
 @register(
     "facts_in_windows",
-    """WITH f AS (SELECT d.doc_id, item_id, strpos(d.text, b.text) - 1 AS a, strpos(d.text, b.text) - 1 + length(b.text) AS z FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    """WITH p AS (SELECT d.doc_id, item_id, length(b.text) AS n, string_split(d.text, b.text) AS parts FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+f AS (SELECT doc_id, item_id, n, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * n AS a FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS k FROM p)),
 w AS (SELECT doc_id, i, i * 448 AS a, least(i * 448 + 512, length(text)) AS z FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) // 448)) AS i FROM documents))
-SELECT item_id, f.doc_id, w.i::INT AS window FROM f JOIN w ON w.doc_id = f.doc_id AND w.a <= f.a AND f.z <= w.z""",
+SELECT item_id, f.doc_id, f.a::INT AS at, w.i::INT AS window FROM f JOIN w ON w.doc_id = f.doc_id AND w.a <= f.a AND f.a + f.n <= w.z""",
 )
 def facts_in_windows(spark, sf_dir):
-    """Range join: spans of facts within spans of fixed windows of the same document."""
-    d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir)
-    f = d.join(q.select("query_id", F.col("text").alias("fact")), F.contains("text", "fact")).select("doc_id", F.col("query_id").alias("item_id"), (F.expr("locate(fact, text)") - 1).alias("a"), F.length("fact").alias("n"))
-    f = f.select("doc_id", "item_id", "a", (F.col("a") + F.col("n")).alias("z"))
-    n = F.length("text")
-    w = d.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor(n / 448).cast("int"))).alias("window"))
-    w = w.select("doc_id", "window", (F.col("window") * 448).alias("wa"), F.least(F.col("window") * 448 + 512, F.col("n")).alias("wz"))
-    return f.join(w, "doc_id").where("wa <= a AND z <= wz").select("item_id", "doc_id", "window")
-
-
-@register("mentions", f"WITH {sql.CORPUS}, term AS (SELECT query_id, t[1:2] AS need FROM qt WHERE len(t) >= 2) SELECT query_id, pos FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rn FROM term JOIN dt ON list_has_all(t, need)) WHERE rn <= 5")
+    """Range join: spans of facts, every occurrence, within spans of fixed windows of the same document.
+
+    A place can lie in two windows at most, so windows are named, not searched.
+    """
+    d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir).select("query_id", F.col("text").alias("fact"))
+    held = gold(spark, sf_dir).withColumnRenamed("pos", "doc_id").join(q, "query_id").join(d, "doc_id")
+    parts = F.split("text", F.concat(F.lit("\\Q"), "fact", F.lit("\\E")), -1)
+    n = F.length("fact")
+    each = held.select("doc_id", F.col("query_id").alias("item_id"), n.alias("n"), F.length("text").alias("size"), F.transform(parts, F.length).alias("l"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.aggregate(F.slice("l", 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * F.col("n"))
+    f = each.select("doc_id", "item_id", "n", "size", F.explode(starts).alias("at"))
+    last = F.floor(F.col("at") / 448).cast("int")
+    w = f.withColumn("window", F.explode(F.array(last - 1, last))).where("window >= 0")
+    return w.where("window * 448 <= at AND at + n <= least(window * 448 + 512, size)").select("item_id", "doc_id", "at", "window")
+
+
+@register("mentions", f"WITH {sql.CORPUS}, term AS (SELECT query_id, list_distinct(t) AS need FROM qt WHERE len(t) > 0) SELECT query_id, pos FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rn FROM term JOIN dt ON list_has_all(t, need)) WHERE rn <= 5")
 def mentions(spark, sf_dir):
     """Documents that hold all tokens of a term, the first five by pos: tokens meet by equality, then are counted."""
-    need = questions(spark, sf_dir).select("query_id", F.slice(tx.tokenize(F.col("text")), 1, 2).alias("need")).where("size(need) >= 2")
-    need = need.select("query_id", F.explode(F.array_distinct("need")).alias("token"), F.size(F.array_distinct("need")).alias("n"))
-    have = corpus(spark, sf_dir).select("pos", F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("token"))
-    hit = need.join(have, "token").groupBy("query_id", "pos", "n").agg(F.count("*").alias("c")).where("c = n")
+    need = questions(spark, sf_dir).select("query_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("need")).where("size(need) > 0")
+    need = need.select("query_id", F.explode("need").alias("token"), F.size("need").alias("n"))
+    hit = need.join(index(spark, sf_dir).bm25.postings.select("token", "pos"), "token").groupBy("query_id", "pos", "n").agg(F.count("*").alias("c")).where("c = n")
     return hit.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where("rn <= 5").select("query_id", "pos")
 
 
 @register("quotes_in_cited", "SELECT b.item_id, bool_or(contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))) AS supported FROM benchmark b CROSS JOIN (SELECT d.text FROM documents d WHERE contains(lower(d.source), 'src1')) d GROUP BY b.item_id")
 def quotes_in_cited(spark, sf_dir):
-    """Quotes verbatim (but for case and white space) in some document of the cited sources; the items are the stated query set."""
-    cited = table(spark, sf_dir, "documents").where(F.lower("source").contains("src1")).select(tx.squash(F.col("text")).alias("d"))
-    q = questions(spark, sf_dir).select(F.col("query_id").alias("item_id"), tx.squash(F.col("text")).alias("q"))
-    hit = cited.join(q, F.contains("d", "q")).select("item_id").distinct().withColumn("s", F.lit(True))
-    return q.join(hit, "item_id", "left").select("item_id", F.coalesce("s", F.lit(False)).alias("supported"))
+    """Quotes verbatim (but for case and white space) in some document of the cited sources."""
+    cited = table(spark, sf_dir, "documents").where(F.lower("source").contains("src1")).select(F.col("doc_id").alias("pos"), tx.squash(F.col("text")).alias("text"))
+    q = questions(spark, sf_dir).select("query_id", tx.squash(F.col("text")).alias("text"))
+    hit = holding(cited, q).select("query_id").distinct().withColumn("s", F.lit(True))
+    return q.join(hit, "query_id", "left").select(F.col("query_id").alias("item_id"), F.coalesce("s", F.lit(False)).alias("supported"))
 
 
 @register("top_lineitems", "SELECT l_suppkey, l_orderkey, l_linenumber, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import features, rerank, retrieval
+from ..operators import evalset, features, rerank, retrieval
 from ..operators.settle import settle
 from . import sql
 from .registry import register
@@ -206,12 +206,15 @@ def unknown_words(spark, sf_dir):
     return terms.join(voc, "token", "left").groupBy("query_id").agg(F.count("*").alias("n_terms"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
 
 
-@register("out_of_domain", f"WITH {sql.CORPUS}, voc AS (SELECT DISTINCT unnest(t) AS token FROM dt) SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM qtok SEMI JOIN voc USING (token))")
+_FOREIGN = ", ".join(f"({-i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(evalset.FOREIGN, 1))
+
+
+@register("out_of_domain", f"WITH {sql.CORPUS}, voc AS (SELECT DISTINCT unnest(t) AS token FROM dt), asked AS (SELECT query_id, text FROM queries UNION ALL VALUES {_FOREIGN}), a AS (SELECT query_id, {sql.tokens('text')} AS t FROM asked) SELECT query_id FROM a WHERE query_id NOT IN (SELECT query_id FROM (SELECT query_id, unnest(t) AS token FROM a) SEMI JOIN voc USING (token))")
 def out_of_domain(spark, sf_dir):
-    """Left anti join: questions that share no token with the corpus."""
-    voc = corpus(spark, sf_dir).select(F.explode(text.tokenize(F.col("text"))).alias("token")).distinct()
-    q = questions(spark, sf_dir)
-    known = retrieval.query_tokens(q).join(voc, "token", "left_semi")
+    """Left anti join: questions that share no token with the corpus, of the benchmark's and some of other domains."""
+    foreign = spark.createDataFrame([(-i, q) for i, q in enumerate(evalset.FOREIGN, 1)], "query_id long, text string")
+    q = questions(spark, sf_dir).unionByName(foreign)
+    known = retrieval.query_tokens(q).join(index(spark, sf_dir).bm25.vocabulary, "token", "left_semi")
     return q.join(known, "query_id", "left_anti").select("query_id")
 
 

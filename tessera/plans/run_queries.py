@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import benchmark, calibrate, chunks, evalset, features, metrics, reader, rerank, retrieval
+from ..operators import benchmark, chunks, evalset, features, metrics, reader, rerank, retrieval
 from ..operators.settle import settle
 from . import pipeline
 from .calibration_queries import scored
@@ -21,23 +21,6 @@ def chunk_table(spark, sf_dir):
     return chunks.with_pos(chunks.chunk_texts(docs))
 
 
-@register("chunk_documents")
-def chunk_documents(spark, sf_dir):
-    """Chunks of all documents, and whether each is the exact slice it claims to be."""
-    c = chunk_table(spark, sf_dir)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("whole"))
-    exact = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")
-    return c.join(docs, "doc_id").select("chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "page_start", exact.alias("exact"))
-
-
-@register("chunk_conversations")
-def chunk_conversations(spark, sf_dir):
-    """Conversations as documents whose turns are pages."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    docs = c.select(F.col("conv_id").alias("doc_id"), F.lit("conversation").alias("title"), F.transform("p", lambda x: x["text"]).alias("pages"))
-    return chunks.chunk_pages(docs).drop("text")
-
-
 @register("answers_over_documents")
 def answers_over_documents(spark, sf_dir):
     """Every benchmark item asked of all chunks, read without a gate."""
@@ -94,13 +77,6 @@ def benchmark_thresholds(spark, sf_dir):
     return benchmark.abstention_benchmark(rows, _splits(spark, rows), features.FEATURES)["thresholds"]
 
 
-@register("fitted_models")
-def fitted_models(spark, sf_dir):
-    """A logistic model of label quality per language, from two features of the score."""
-    rows = scored(spark, sf_dir).withColumn("square", F.col("score") * F.col("score"))
-    return calibrate.fit_groups(rows, ["lang"], ["score", "square"])
-
-
 @register("bootstrap_intervals")
 def bootstrap_intervals(spark, sf_dir):
     """95 % intervals of the ranking metrics of hybrid retrieval."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.settle import shared_dir
 from ..streaming import jobs
 from .registry import register
 
@@ -35,10 +35,10 @@ def decision_windows_stream(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not _is_file(spark, path) else sf_dir + "/events*")
-    name = f"windows_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    jobs.drain(_rounded(jobs.windowed(decisions(stream), by=["event_type"])), "complete", f"{base}/{name}", name)
-    return spark.table(name)
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    out = _rounded(jobs.windowed(decisions(stream), by=["event_type"]))
+    jobs.drain(out, "complete", f"{base}/checkpoint", f"{base}/rows")
+    return spark.read.schema(out.schema).parquet(f"{base}/rows")
 
 
 def _is_file(spark, path: str) -> bool:

@@ -73,7 +73,14 @@ def sessions(events: DataFrame, ts: str = "ts", user: str = "user_id", gap: str
 
 
 def drain(stream: DataFrame, mode: str, checkpoint: str, out: str) -> None:
-    """Run a stream over what is there into Parquet (append) or a memory table (complete), then stop."""
+    """Run a stream over what is there into a Parquet table, then stop.
+
+    In append mode rows are added as they become final; in complete mode every
+    batch replaces the table, so a batch that is repeated leaves the same rows.
+    """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.format("memory").queryName(out).start() if mode != "append" else writer.format("parquet").option("path", out).start()
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()

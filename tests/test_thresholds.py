@@ -35,7 +35,7 @@ def test_ltt(spark):
     bad = ltt([0.9] * 25, [0] * 25)
     assert bad["reason"].startswith("the strictest threshold")
     grid = spark.createDataFrame([(2.0,)], "threshold double")
-    assert ltt([0.9] * 25, [1] * 25, grid=grid)["reason"] == "no grid threshold answers >= 22 calibration items"
+    assert ltt([0.9] * 25, [1] * 25, grid=grid)["reason"] == "no point of the grid answers 22 items"
 
 
 def test_ltt_is_never_more_permissive(spark):
@@ -140,3 +140,33 @@ def test_bootstrap(spark):
     a = spark.createDataFrame([("m", i, i % 2, float(i % 2) + 0.1 * (i % 5), 0.0) for i in range(60)], "metric string, item long, y int, s double, t double")
     out = {r["name"]: r["auroc"] for r in benchmark.bootstrap_auroc(a, ["metric"], ["s", "t"], times=50).collect()}
     assert out["s"] == 1 and out["t"] == 0.5 and out["delta"] == -0.5
+
+
+def test_running_sums_without_groups(spark):
+    """Dealt by range over many partitions, equal to one sum from the top."""
+    rows = spark.range(500).select((F.pmod(F.xxhash64("id"), F.lit(1000003)) / 7).alias("k"), (F.col("id") % 5).alias("n"))
+    for down in (True, False):
+        got = {r["k"]: r["total"] for r in metrics.running(rows, [], "k", {"total": "n"}, down).collect()}
+        total, want = 0, {}
+        for r in sorted(rows.collect(), key=lambda r: -r["k"] if down else r["k"]):
+            total += r["n"]
+            want[r["k"]] = total
+        assert got == want
+    assert metrics.running(rows.limit(0), [], "k", {"total": "n"}).count() == 0
+
+
+def test_grid_quantiles_with_and_without_groups(spark):
+    import numpy as np
+
+    values = [((i * 37) % 101) / 10 for i in range(60)] + [3.0] * 20
+    train = spark.createDataFrame([("a", v) for v in values] + [("b", v * 2) for v in values[:30]], "g string, score double")
+    sizes = spark.createDataFrame([("a", 80), ("b", 30)], "g string, n_cal long")
+    got = {}
+    for r in thresholds.coverage_grid(train, sizes, 0.1, 0.1, ["g"]).collect():
+        got.setdefault(r["g"], []).append(r["threshold"])
+    for g, n in (("a", 80), ("b", 30)):
+        scores = np.array([r["score"] for r in train.where(f"g = '{g}'").collect()])
+        want = sorted({round(float(x), 9) for x in np.quantile(scores, 1 - np.linspace(22 / n, 1, 50))})
+        assert sorted({round(x, 9) for x in got[g]}) == pytest.approx(want)
+    alone = thresholds.coverage_grid(train.where("g = 'a'").drop("g"), spark.createDataFrame([(80,)], "n_cal long"), 0.1, 0.1)
+    assert sorted(r["threshold"] for r in alone.collect()) == pytest.approx(sorted(got["a"]))
