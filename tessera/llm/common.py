@@ -140,6 +140,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Keys that a task looks at together before a shuffle.
+CHUNK = 1 << 20
+
+
+def grouped(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows (key, node, ...) sorted by key and node, once each; first row and length of each key."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [x[order] for x in rows]
+    fresh = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))[: len(order)]
+    rows = [x[fresh] for x in rows]
+    start = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1]))[: len(rows[0])])
+    return rows, start, np.diff(np.concatenate((start, [len(rows[0])])))
+
+
 def combined(x: np.ndarray, y: np.ndarray, salt: int = 0) -> np.ndarray:
     """One value from two, in this order; not linear in either, so patterns in the input don't cancel out."""
     with np.errstate(over="ignore"):

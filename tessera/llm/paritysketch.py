@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join
+from .common import CHUNK, SPACE, combined, discard, documents, grouped, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
@@ -53,8 +53,6 @@ BLOCK_SHINGLES = 150_000
 BLOCK_SETS = 1_000
 #: Sets of a cluster of several blocks that all its others meet first.
 PIVOTS = 8
-#: Keys that a task looks at together before the shuffle.
-CHUNK = 1 << 20
 
 
 def lowered(texts: list[bytes | None]) -> list[bytes]:
@@ -175,22 +173,12 @@ PAIR, FREQUENT, SENT = 0, 1, 2
 _COLUMNS = ("key", "node", "band", "spare")
 
 
-def _grouped(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Rows (key, node, ...) sorted by key and node, once each; first row and length of each key."""
-    order = np.lexsort((rows[1], rows[0]))
-    rows = [x[order] for x in rows]
-    fresh = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))[: len(order)]
-    rows = [x[fresh] for x in rows]
-    start = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1]))[: len(rows[0])])
-    return rows, start, np.diff(np.concatenate((start, [len(rows[0])])))
-
-
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Keys of a task's sets, one row each. Of a key that more than RARE of them have, only RARE + 1 are SENT; the others are FREQUENT already."""
     held: list[list[np.ndarray]] = []
 
     def flush() -> Iterable[pa.RecordBatch]:
-        rows, start, size = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+        rows, start, size = grouped([np.concatenate(x) for x in zip(*held, strict=True)])
         place = np.arange(len(rows[0])) - np.repeat(start, size)
         often = np.repeat(size > RARE, size)
         kind = np.where(often & (place > RARE), FREQUENT, SENT).astype(np.int8)
@@ -232,7 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         nonlocal rest, going
         if not len(rows[0]):
             return
-        rows, start, size = _grouped(rows)
+        rows, start, size = grouped(rows)
         key = rows[0]
         many = size > RARE
         many[0] |= going is not None and key[0] == going
@@ -269,7 +257,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
 
     def flush() -> Iterable[pa.RecordBatch]:
-        (key, node), start, size = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+        (key, node), start, size = grouped([np.concatenate(x) for x in zip(*held, strict=True)])
         least = np.repeat(node[start], size)
         tie = least != node
         pairs = np.unique(np.stack((node[tie], least[tie]), axis=1), axis=0)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combined, discard, documents, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
+from .common import CHUNK, combined, discard, documents, grouped, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
 
 #: Bytes of text that a task works on at once; longer texts stand alone.
 BLOCK = 2 << 20
@@ -337,6 +337,51 @@ def _unpacked(data: bytes) -> dict:
     return out
 
 
+ALONE, KNOWN = 0, 1
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Keys of a task's documents, one row each. Of a key that several of them have two go on, the others are KNOWN to be shared."""
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> Iterable[pa.RecordBatch]:
+        (key, doc), start, size = grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+        kind = (np.arange(len(key)) - np.repeat(start, size) >= 2).astype(np.int8)
+        for a in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (kind, key, doc)], ["kind", "key", "doc"])
+
+    for batch in batches:
+        keys = batch.column("keys")
+        held.append([keys.flatten().to_numpy(), np.repeat(batch.column("doc").to_numpy(), np.diff(keys.offsets.to_numpy()))])
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """doc, key of keys that two documents or more have, for a partition sorted by key and doc. One row waits for the next batch."""
+    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    going = None  # the last key, if it is known to be shared
+
+    for batch in batches:
+        key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+        known = batch.column("kind").to_numpy() == KNOWN
+        done = [(key[known], doc[known])]
+        (key, doc), start, size = grouped([np.concatenate((a, b[~known])) for a, b in zip(rest, (key, doc), strict=True)])
+        if len(key):
+            many = size > 1
+            many[0] |= going is not None and key[0] == going
+            going = key[-1] if many[-1] else None
+            rest = (key[-1:], doc[-1:]) if not many[-1] else (key[:0], doc[:0])
+            common = np.repeat(many, size)
+            done.append((key[common], doc[common]))
+        key, doc = (np.concatenate(x) for x in zip(*done, strict=True))
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key)], ["doc", "key"])
+
+
 def _list_of_one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], _INT), values)
 
@@ -634,13 +679,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frame = docs.select(F.col(id_col).alias("id"), row_name(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
     sketched = stored(frame.mapInArrow(lambda it: _sketch(it, width), f"id {kind}, row binary, n_words long, content binary, keys array<long>"), "sketches")
-    firsts = sketched.where("id IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "row")).alias("m")).select("content", F.col("m.id").alias("first_id"), F.col("m.row").alias("row"))
-    firsts = stored(firsts, "firsts")
-    # rows of one name are alike, so the keys of any one of them will do
-    keys = sketched.select("row", "keys").join(firsts.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key")
-    wanted = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("wanted"))
-    texts = stored(frame.join(wanted, "row").dropDuplicates(["row"]), "texts")
+    firsts = sketched.where("id IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "row")).alias("m"))
+    firsts = stored(firsts.select(F.monotonically_increasing_id().alias("doc"), "content", F.col("m.id").alias("first_id"), F.col("m.row").alias("row")), "firsts")
+    # rows of one name are alike and so one doc
+    keys = sketched.where(F.size("keys") > 0).select("row", "keys").join(firsts.select("row", "doc").hint("merge"), "row").select("doc", "keys").mapInArrow(_local, "kind byte, key long, doc long")
+    dealt = keys.repartition(F.when(F.col("kind") == KNOWN, F.xxhash64("key", "doc")).otherwise(F.xxhash64("key")))
+    wanted = dealt.sortWithinPartitions("key", "doc").mapInArrow(_shared, "doc long, key long").groupBy("doc").agg(F.collect_list("key").alias("wanted"))
+    named = wanted.join(firsts.select("doc", "row"), "doc").drop("doc")
+    texts = stored(frame.join(named.hint("merge"), "row").dropDuplicates(["row"]), "texts")
     sketched = narrowed(sketched, "contents-of-rows", "id", "row", "n_words", "content")
 
     blocks, tops = recompress(texts, width)
@@ -664,7 +710,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = known.where("least = id").select("row", "at", "one", "two").join(single, ["one", "two"]).select("row", (F.col("at") + F.col("off")).alias("at"), F.lit(1).alias("n"))
     repeated = settled.select("row", "at", "n").union(whole).union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("repeated"))
     changed = texts.select("row", "text").join(repeated, "row").mapInArrow(lambda it: _remove(it, width), "row binary, n_removed long, left string, kept binary")
-    contents = stored(firsts.join(changed, "row", "left").drop("row"), "contents")
+    contents = stored(firsts.join(changed, "row", "left").drop("row", "doc"), "contents")
     for table in (texts, blocks, settled, runs, kinds, each, firsts):
         discard(table)
     return sketched, contents

@@ -433,3 +433,22 @@ def test_topics_come_from_whole_texts(spark):
     moved = {r["doc_id"]: r["topic"] for r in mixing.mix(other).collect()}
     assert sum(moved[i] == topic[i] for i in topic) >= 150
     assert mixing.mix(docs.repartition(7)).select("doc_id", "topic").exceptAll(mixing.mix(docs).select("doc_id", "topic")).count() == 0
+
+
+def test_shared_keys_over_batches():
+    """Keys whose documents lie in several batches, a frequent one, and one known before."""
+    import numpy as np
+    import pyarrow as pa
+
+    key = np.array([1, 1, 2, 3, 3, 3, 4, 5, 6, 6], np.int64)
+    doc = np.array([7, 8, 7, 1, 2, 3, 4, 4, 9, 9], np.int64)
+    kind = np.zeros(10, np.int8)
+    kind[5] = recompress.KNOWN
+    rows = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(doc)], ["kind", "key", "doc"])
+    for step in (1, 2, 3, 10):
+        out = [b.to_pydict() for b in recompress._shared(iter([rows.slice(a, step) for a in range(0, 10, step)]))]
+        assert sorted((k, d) for b in out for k, d in zip(b["key"], b["doc"], strict=True)) == [(1, 7), (1, 8), (3, 1), (3, 2), (3, 3)]
+    lists = pa.ListArray.from_arrays(pa.array([0, 3, 5, 6, 7], pa.int32()), pa.array([1, 2, 3, 2, 3, 2, 9], pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13], pa.int64()), lists], ["doc", "keys"])
+    out = next(iter(recompress._local(iter([batch])))).to_pydict()
+    assert list(zip(out["key"], out["doc"], out["kind"], strict=True)) == [(1, 10, 0), (2, 10, 0), (2, 11, 0), (2, 12, 1), (3, 10, 0), (3, 11, 0), (9, 13, 0)]
