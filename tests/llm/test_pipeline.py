@@ -64,12 +64,30 @@ def test_encode_stage(stages):
 
 def test_odd_rows_pass_through(spark):
     rows = [(1, "", "en", "s", 0), (2, None, None, None, None), (3, "The the the and of. " * 40, "en", "s", 1), (3, "The the the and of. " * 40, "en", "s", 1), (None, "Der die das und ist. " * 40, "de", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
+    rows.append((4, " ".join(f"mot{i % 4999} de la" for i in range(100_000)), "fr", "s", 1))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, topic string, row int, cluster string, `__lang` string"
+    docs = spark.createDataFrame([(*r, "x", 1, "y", "z") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL).cache()
-        docs.count()
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), SMALL).count() == 0
+        assert docs.count() > 0 and (name == "encode" or docs.columns == corpus_pipeline.COLUMNS)
+        if name != "encode":  # columns that clash with a stage's own come back before the next
+            docs = docs.selectExpr("*", "'x' AS topic", "1 AS row", "'y' AS cluster", "'z' AS `__lang`")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), SMALL).count() == 0
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    import random
+
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(120))
+    planted = [(-1, noise), (-2, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."), (-3, "Все люди рождаются свободными и равными в своем достоинстве"), (-4, "A."), (-5, "1234 --")]
+    rows = spark.createDataFrame([(d, t, None, "p", len(t)) for d, t in planted], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(rows), SMALL).select("doc_id").collect()}
+    assert kept & {-1, -2, -3, -4, -5} == {-4}
+    clean = {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    assert len(clean & kept) >= 0.995 * len(clean)
 
 
 def test_language_stage_without_labels(spark):
