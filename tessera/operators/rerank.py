@@ -109,7 +109,7 @@ def _score(table: pa.Table) -> pa.Table:
 
 
 def lexical_features(pairs: DataFrame) -> DataFrame:
-    """coverage, proximity, bigram, fuzzy and logit of pairs (query_id, pos, query, passage).
+    """coverage, proximity, bigram, fuzzy and logit of pairs (query_id, pos, query, passage, or its tokens as d).
 
     The idf is over the candidates of each query. Without query terms or
     passage tokens all features are 0. The candidates of one question, as many
@@ -118,7 +118,8 @@ def lexical_features(pairs: DataFrame) -> DataFrame:
     1,000 documents and takes 2 s so.
     """
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "pos"))
-    p = pairs.select("query_id", "pos", text.tokenize(F.col("query")).alias("q"), text.tokenize(F.col("passage")).alias("d"))
+    d = F.col("d") if "d" in pairs.columns else text.tokenize(F.col("passage")).alias("d")
+    p = pairs.select("query_id", "pos", text.tokenize(F.col("query")).alias("q"), d)
     scored = p.groupBy("query_id").applyInArrow(_score, f"{kinds}, coverage double, proximity double, bigram double, fuzzy double")
     return scored.withColumn("logit", logit())
 
@@ -160,7 +161,8 @@ def two_stage(
         raise ValueError("top and retrieve must be positive")
     # a pool per question, used several times over: kept, so that later plans start from it
     candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index, dense=dense))
-    pairs = candidates.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("pos", F.col("text").alias("passage")), "pos")
+    passages = index.tokens if index is not None and score is None else corpus.select("pos", F.col("text").alias("passage"))
+    pairs = candidates.select("query_id", "pos").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(passages, "pos")
     scored = (score or lexical_features)(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])
     ranked = rows.withColumn("rank", rank_by(F.round("logit", 9).desc(), F.col("first_stage_rank"))).where(F.col("rank") <= top)

@@ -80,25 +80,27 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: flo
 
 @dataclass
 class Index:
-    """What retrieval over a corpus starts from, written once: BM25 postings dealt by token, and hashed vectors.
+    """What retrieval over a corpus starts from, written once: BM25 postings dealt by token, hashed vectors, and tokens.
 
-    corpus: pos, text. bags: pos, at (places), w (weights) of the entries of
+    corpus: pos, text. tokens: pos, d (the tokens in order). bags: pos, at (places), w (weights) of the entries of
     hashed unit vectors that aren't zero; empty for a document without tokens.
     """
 
     corpus: DataFrame
     bm25: Bm25Index
     bags: DataFrame
+    tokens: DataFrame
     dims: int
 
 
 def build_index(corpus: DataFrame, dims: int = 256) -> Index:
     """Tokenise a corpus once and write the index; queries against it read what they need."""
-    tf = term_frequencies(corpus)
+    tokens = settle(corpus.select("pos", text.tokenize(F.col("text")).alias("d")))
+    tf = settle(tokens.select("pos", F.explode("d").alias("token")).groupBy("token", "pos").agg(F.count("*").alias("tf")))
     made = bm25_index(corpus, tf=tf)
     postings = settle(made.postings.repartition("token").sortWithinPartitions("token"))
     bags = corpus.select("pos").join(packed(hashed_bags(corpus, "pos", dims, tf), "pos"), "pos", "left")
-    return Index(corpus, Bm25Index(postings, settle(made.vocabulary), settle(made.lengths)), settle(bags), dims)
+    return Index(corpus, Bm25Index(postings, settle(made.vocabulary), settle(made.lengths)), settle(bags), tokens, dims)
 
 
 def sparse_search(corpus: DataFrame, queries: DataFrame, k: int, tf: DataFrame | None = None, index: Index | None = None) -> DataFrame:
