@@ -154,6 +154,20 @@ def grouped(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.nd
     return rows, start, np.diff(np.concatenate((start, [len(rows[0])])))
 
 
+def places(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row (key, node), as they stand: whether it is the first of its kind, and how many other nodes of the key come before."""
+    order = np.lexsort((node, key))
+    k, n = key[order], node[order]
+    new_key = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+    fresh = new_key | np.concatenate(([True], n[1:] != n[:-1]))[: len(k)]
+    count = np.cumsum(fresh)
+    start = np.flatnonzero(new_key)
+    place = count - np.repeat(count[start], np.diff(np.concatenate((start, [len(k)]))))
+    out = np.empty(len(k), bool), np.empty(len(k), np.int64)
+    out[0][order], out[1][order] = fresh, place
+    return out
+
+
 def combined(x: np.ndarray, y: np.ndarray, salt: int = 0) -> np.ndarray:
     """One value from two, in this order; not linear in either, so patterns in the input don't cancel out."""
     with np.errstate(over="ignore"):

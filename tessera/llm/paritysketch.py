@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, SPACE, combined, discard, documents, grouped, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join
+from .common import CHUNK, SPACE, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, weighted_join
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
@@ -178,12 +178,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
 
     def flush() -> Iterable[pa.RecordBatch]:
-        rows, start, size = grouped([np.concatenate(x) for x in zip(*held, strict=True)])
-        place = np.arange(len(rows[0])) - np.repeat(start, size)
-        often = np.repeat(size > RARE, size)
-        kind = np.where(often & (place > RARE), FREQUENT, SENT).astype(np.int8)
-        for a in range(0, len(kind), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (kind, *rows)], ["kind", *_COLUMNS])
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        keep, place = places(rows[0], rows[1])
+        kind = np.where(place > RARE, FREQUENT, SENT).astype(np.int8)
+        rows = [x[keep] for x in (kind, *rows)]  # in the order of the sets, which shuffles smaller
+        for a in range(0, len(rows[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in rows], ["kind", *_COLUMNS])
 
     for batch in batches:
         keys = batch.column("keys")
@@ -412,6 +412,11 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     kind = frame.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row binary, n_shingles long, name1 long, name2 long, bands array<int>, spare array<int>, keys array<array<long>>"
     sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), schema), "sketched")
+    # candidates are sought by half a name, so that nothing is joined before; two sets that share it are told apart below
+    keys = sketched.where(F.size("keys") > 0).select(F.col("name1").alias("node"), "bands", "spare", "keys").mapInArrow(_local, "kind byte, key long, node long, band int, spare int")
+    dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
+    met = stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
+    sketched = narrowed(sketched, "rows", "id", "row", "n_shingles", "name1", "name2")
     nodes = (
         sketched.where("n_shingles > 0")
         .groupBy("name1", "name2")
@@ -419,12 +424,6 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
         .select(F.monotonically_increasing_id().alias("node"), "*")
     )
     nodes = stored(nodes, "nodes")
-    # one row of each set sends its keys; rows of one name are alike. Both sides grow with the corpus, so neither is broadcast
-    picked = sketched.where(F.size("keys") > 0).join(nodes.select("row", "node").hint("merge"), "row").dropDuplicates(["row"]).select("node", "bands", "spare", "keys")
-    keys = picked.mapInArrow(_local, "kind byte, key long, node long, band int, spare int")
-    dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
-    met = stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
-    sketched = narrowed(sketched, "rows", "id", "row", "n_shingles", "name1", "name2")
     often = met.where(F.col("kind") == FREQUENT).select(F.col("a").alias("key"), F.col("b").alias("node"), "band", F.col("x").alias("spare"))
     lost = often.groupBy("node", "band").agg(F.count("*").alias("f"))
     pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
@@ -443,7 +442,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     clusters = stored(connected(ties), "clusters")
 
     # one text for each node of a cluster, its set, and blocks of about BLOCK_SHINGLES
-    one = nodes.join(clusters.toDF("node", "cluster"), "node").select("node", "row", "n_shingles", "cluster")
+    one = nodes.join(clusters.toDF("name1", "cluster"), "name1").select("node", "row", "n_shingles", "cluster")
     sizes = one.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"), F.count("*").alias("c"))
     block = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
     total = nodes.count()

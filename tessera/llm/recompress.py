@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, combined, discard, documents, grouped, mix64, narrowed, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
+from .common import CHUNK, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
 
 #: Bytes of text that a task works on at once; longer texts stand alone.
 BLOCK = 2 << 20
@@ -345,10 +345,11 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
 
     def flush() -> Iterable[pa.RecordBatch]:
-        (key, doc), start, size = grouped([np.concatenate(x) for x in zip(*held, strict=True)])
-        kind = (np.arange(len(key)) - np.repeat(start, size) >= 2).astype(np.int8)
-        for a in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (kind, key, doc)], ["kind", "key", "doc"])
+        key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep, place = places(key, doc)
+        rows = [x[keep] for x in ((place >= 2).astype(np.int8), key, doc)]  # in the order of the documents, which shuffles smaller
+        for a in range(0, len(rows[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in rows], ["kind", "key", "doc"])
 
     for batch in batches:
         keys = batch.column("keys")

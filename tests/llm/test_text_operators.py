@@ -451,4 +451,4 @@ def test_shared_keys_over_batches():
     lists = pa.ListArray.from_arrays(pa.array([0, 3, 5, 6, 7], pa.int32()), pa.array([1, 2, 3, 2, 3, 2, 9], pa.int64()))
     batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13], pa.int64()), lists], ["doc", "keys"])
     out = next(iter(recompress._local(iter([batch])))).to_pydict()
-    assert list(zip(out["key"], out["doc"], out["kind"], strict=True)) == [(1, 10, 0), (2, 10, 0), (2, 11, 0), (2, 12, 1), (3, 10, 0), (3, 11, 0), (9, 13, 0)]
+    assert list(zip(out["key"], out["doc"], out["kind"], strict=True)) == [(1, 10, 0), (2, 10, 0), (3, 10, 0), (2, 11, 0), (3, 11, 0), (2, 12, 1), (9, 13, 0)]
