@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as tx
+from . import catalogue, pdf
 
 #: How a catalogue may be sorted (fixed values).
 SORTS = ("relevance", "submitted", "updated")
@@ -28,11 +29,16 @@ def plain_text(content: bytes) -> list[str]:
 
 
 def pdf_text(content: bytes) -> list[str]:
-    """Pages of a PDF; needs pypdf on the executors."""
+    """Pages of a PDF: by pypdf where the executors have it (an empty password is tried), else by the plain reader."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        try:
+            return pdf.pages(content)
+        except ValueError as e:
+            raise ExtractionError(f"{e}; pypdf might read it") from e
     import io
 
-    from pypdf import PdfReader
-
     reader = PdfReader(io.BytesIO(content))
     if reader.is_encrypted:
         reader.decrypt("")
@@ -80,22 +86,38 @@ def html_text(html: Column) -> Column:
 
 
 def fetch(wanted: DataFrame, folder: str, get: Callable[[str], bytes] | None = None, delay: float = 3.0, partitions: int = 1, magic: bytes = b"%PDF-") -> DataFrame:
-    """Fetch files of (arxiv_id, url) into a local folder: arxiv_id, pdf_path, problem.
+    """Fetch files of (arxiv_id, url) into a folder that all executors share: arxiv_id, pdf_path, problem.
 
-    Each file is written beside its place and renamed, so that it is whole or
-    absent; what doesn't begin with `magic` is refused; a failure is a row. An
+    Each file is written beside its place, in blocks as they arrive, and
+    renamed, so that it is whole or absent; what doesn't begin with `magic` is refused; a failure is a row. An
     existing file is kept as it is. `delay` passes between fetches of a task.
     """
 
-    def load(url: str) -> bytes:
+    def blocks(url: str) -> Iterator[bytes]:
+        if get:
+            yield get(url)
+            return
         with urllib.request.urlopen(url, timeout=60) as r:
-            return r.read()
+            while block := r.read(1 << 15):
+                yield block
+
+    def write(url: str, part: str) -> None:
+        os.makedirs(folder, exist_ok=True)
+        begin = b""
+        with open(part, "wb") as f:
+            for block in blocks(url):
+                begin = (begin + block)[: len(magic)] if len(begin) < len(magic) else begin
+                if not magic.startswith(begin):
+                    raise ValueError("not the expected kind of file")
+                f.write(block)
+        if begin != magic:
+            raise ValueError("not the expected kind of file")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for name, url in zip(pdf["arxiv_id"], pdf["url"], strict=True):
+            for name, url in zip(batch["arxiv_id"], batch["url"], strict=True):
                 place = os.path.join(folder, name.replace("/", "_") + ".pdf")
                 problem, part = None, f"{place}.part"
                 if not os.path.exists(place):
@@ -103,12 +125,7 @@ def fetch(wanted: DataFrame, folder: str, get: Callable[[str], bytes] | None = N
                         time.sleep(delay)
                     first = False
                     try:
-                        data = (get or load)(url)
-                        if not data.startswith(magic):
-                            raise ValueError("not the expected kind of file")
-                        os.makedirs(folder, exist_ok=True)
-                        with open(part, "wb") as f:
-                            f.write(data)
+                        write(url, part)
                         os.replace(part, place)
                     except Exception as e:  # logged as a row; the next file goes on
                         problem = f"{type(e).__name__}: {e}"
@@ -124,9 +141,12 @@ def fetch(wanted: DataFrame, folder: str, get: Callable[[str], bytes] | None = N
 class CatalogueSource(DataSource):
     """`spark.read.format("paper_catalogue")`: records of a remote catalogue, page by page.
 
-    Options: query, max_results, sort_by, client (an importable "module:function"
-    that takes query, start, count and sort and gives records as dicts). Without
-    a client it fails: this engine ships no network client.
+    Options: query, max_results, sort_by, and either url, of a server that
+    answers with Atom feeds (with delay and retries; see catalogue.AtomClient),
+    or client, an importable "module:function" that takes query, start, count
+    and sort and gives records as dicts. One task reads after the other's pages
+    only if the session runs them so: a server's wish for few requests is met
+    with max_results up to 100, which is one task.
     """
 
     @classmethod
@@ -151,6 +171,7 @@ class _CatalogueReader(DataSourceReader):
         self.most = int(options.get("max_results", options.get("maxresults", 15)))
         self.sort = options.get("sort_by", "relevance")
         self.client = options.get("client")
+        self.server = {k: kind(options[k]) for k, kind in (("url", str), ("delay", float), ("retries", int)) if k in options}
         if self.most <= 0:
             raise ValueError("max_results must be positive")
         if self.sort not in SORTS:
@@ -162,10 +183,14 @@ class _CatalogueReader(DataSourceReader):
     def read(self, partition):
         import importlib
 
-        if not self.client:
-            raise RuntimeError("no catalogue client is configured")
-        module, _, name = self.client.partition(":")
-        for r in getattr(importlib.import_module(module), name)(self.query, partition.start, partition.count, self.sort):
+        if "url" in self.server:
+            ask = catalogue.AtomClient(**self.server).records
+        elif self.client:
+            module, _, name = self.client.partition(":")
+            ask = getattr(importlib.import_module(module), name)
+        else:
+            raise RuntimeError("a catalogue needs the option url or client")
+        for r in ask(self.query, partition.start, partition.count, self.sort):
             yield (r["arxiv_id"], r.get("title"), r.get("url"), r.get("authors"), r.get("published"), r.get("categories"), r.get("summary"))
 
 

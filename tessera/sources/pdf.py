@@ -1,0 +1,90 @@
+"""Text of plain PDF files without any library: uncompressed or Flate streams, strings in single-byte encodings.
+
+Files with encryption, object streams or composite fonts need a real reader;
+`documents.pdf_text` takes one if it is installed.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"^(.*?)stream\r?\n(.*?)\r?\n?endstream", re.S)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+# strings, hexadecimal strings, numbers, operators and brackets of a content stream
+_ITEM = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|[\[\]]|[^\s\[\]()<>]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        def unescape(m: re.Match) -> bytes:
+            c = m.group(1)
+            return bytes([int(c, 8) & 255]) if c[:1].isdigit() else b"" if c in (b"\n", b"\r\n") else _ESCAPES.get(c, c)
+
+        data = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", unescape, raw[1:-1], flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def _content_text(content: bytes) -> str:
+    """What the show operators of a page show; moves to another line become line ends."""
+    out: list[str] = []
+    held: list[bytes] = []
+    for m in _ITEM.finditer(content):
+        item = m.group()
+        if item[:1] in b"(<[]" or re.fullmatch(rb"[+-]?[\d.]+", item):
+            held.append(item)
+            continue
+        shown = [x for x in held if x[:1] in b"(<"]
+        if item in (b"Tj", b"TJ", b"'", b'"'):
+            if item in (b"'", b'"'):
+                out.append("\n")
+            for x in held:
+                if x[:1] in b"(<":
+                    out.append(_string(x))
+                elif item == b"TJ" and x[:1] not in b"[]" and float(x) < -200 and shown:
+                    out.append(" ")  # a wide gap within an array is a space
+        elif item in (b"T*", b"ET") or (item in (b"Td", b"TD") and len(held) >= 2 and float(held[-1]) != 0):
+            out.append("\n")
+        held = []
+    return "".join(out).strip("\n")
+
+
+def pages(content: bytes) -> list[str]:
+    """Text of every page in order; ValueError if the file is none of the plain kind."""
+    if not content.startswith(b"%PDF-"):
+        raise ValueError("not a PDF")
+    if re.search(rb"/Encrypt\b", content):
+        raise ValueError("encrypted")
+    objects = {int(m.group(1)): m.group(2) for m in _OBJECT.finditer(content)}
+    head = lambda body: (m.group(1) if (m := _STREAM.match(body)) else body)
+
+    def stream(number: int) -> bytes:
+        m = _STREAM.match(objects.get(number, b""))
+        if not m:
+            return b""
+        return zlib.decompressobj().decompress(m.group(2)) if b"/FlateDecode" in m.group(1) else m.group(2)
+
+    def leaves(number: int, seen: frozenset = frozenset()):
+        body = objects.get(number, b"")
+        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
+        if kids and number not in seen:
+            for k in _REF.findall(kids.group(1)):
+                yield from leaves(int(k), seen | {number})
+        elif re.search(rb"/Type\s*/Page\b", head(body)):
+            yield body
+
+    root = next((b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", head(b))), None)
+    top = re.search(rb"/Pages\s+(\d+)", root) if root else None
+    if not top:
+        raise ValueError("no page tree")
+    out = []
+    for body in leaves(int(top.group(1))):
+        found = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", body, re.S)
+        refs = _REF.findall(found.group(1)) if found else []
+        out.append(_content_text(b"\n".join(stream(int(n)) for n in refs)))
+    return out

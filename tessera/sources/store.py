@@ -173,4 +173,9 @@ def fingerprint(rows: DataFrame, order: str, columns: list[str], blocks: int = 4
     each = rows.select((F.col(order).cast("long") / blocks).cast("long").alias("block"), F.struct(F.col(order).alias("o"), row_digest(*columns).alias("d")).alias("x"))
     joined = each.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), "").alias("t"), F.count("*").alias("n"))
     parts = joined.select("block", "n", F.sha2("t", 256).alias("d"))
+    # blocks of blocks, while there are more than a task should gather
+    count = rows.count() // blocks
+    while count > blocks:
+        parts = parts.groupBy((F.col("block") / blocks).cast("long").alias("block")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
+        count //= blocks
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
