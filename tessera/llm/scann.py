@@ -279,7 +279,7 @@ def nearest(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    rerank: int = 64,
+    rerank: int = 96,
     chunk_rows: int = 1 << 19,
     sample_rows: int = 20_000,
     dims: int | None = None,
