@@ -651,7 +651,7 @@ def recompress(texts: DataFrame, width: int, seen: list[DataFrame] | None = None
     blocks, old = base, []
     while not old or not names.isEmpty():
         merges = max(MERGES, turn // 2)
-        caps = tuple(2 << (turn + k) for k in range(merges))
+        caps = tuple(2 << min(turn + k, 60) for k in range(merges))
         blocks = kept(blocks.mapInArrow(lambda it, caps=caps, turn=turn: _proposed(_named(_rows(it), width), caps, turn, False), fixed + _WAITING), *old)
         turn, rounds, old = turn + merges, rounds + 1, [blocks]
         blocks, names = _round(blocks, rounds, seen)
