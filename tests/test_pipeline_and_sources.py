@@ -212,3 +212,28 @@ def test_entry_without_the_llm_package():
 
     code = "import sys, importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith('tessera.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(q.startswith('op') and q[2:3].isdigit() for q in e.queries())\n"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_command_line_of_made_up_reports(spark, tmp_path, capsys):
+    """Reports and their questions, a gate that is kept, cached answers, few quotes, forced and offline reading."""
+    run = lambda *words: (a := cli.parser().parse_args([str(w) for w in words])).run(a, spark)
+    place = lambda name: f"{tmp_path}/{name}"
+    counts = ["--in-domain-factoid", 30, "--in-domain-reasoning", 4, "--out-of-domain", 4, "--unsupported-fact", 4, "--subtle-conflict", 4]
+    run("generate", place("chunks"), place("set"), "--engine", "facts", "--reports", 5, *counts)
+    found, items = cli.load_items(spark, place("set"))
+    assert found.generator == "facts" and items.count() == 46 and {"in_domain_reasoning", "subtle_conflict"} <= set(found.counts)
+    capsys.readouterr()
+    question = items.where("category = 'in_domain_factoid'").first()["text"]
+    run("ask", place("chunks"), question, "--calibrate", "erm", "--alpha", 0.9, "--eval-set", place("set"), "--save-policy", place("gate"), "--json", "--offline")
+    first = json.loads(capsys.readouterr().out)
+    assert store.load_policy(spark, place("gate")).summary()["alpha"] == 0.9
+    for _ in range(2):  # the second answer is the cached one
+        run("ask", place("chunks"), question, "--policy", place("gate"), "--cache", place("cache"), "--json")
+        assert json.loads(capsys.readouterr().out)["answer"] == first["answer"]
+    assert spark.read.parquet(place("cache")).count() == 1
+    run("ask", place("chunks"), "Who sang in the choir?", "--no-gate", "--forced-reader", "--show", 0)
+    assert "  none" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="fallback"):
+        run("ask", place("chunks"), question, "--no-gate", "--reranker", "some/model")
+    with pytest.raises(SystemExit, match="reader-url"):
+        run("generate", place("chunks"), place("other"), "--engine", "written")
