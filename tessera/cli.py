@@ -61,7 +61,7 @@ def generate(args, spark: SparkSession) -> int:
         drafts = factbase.template_items(factbase.linked(table, docs, rows), rows, quotas, args.seed)
     elif args.engine == "written":
         rows = spark.read.parquet(args.chunks)
-        sample = [r.asDict() for r in rows.orderBy(F.xxhash64(F.lit(args.seed), "chunk_id")).select("chunk_id", "doc_id", "title", "text").limit(args.sample).collect()]
+        sample = [r.asDict() for r in asked.worth_asking(rows).orderBy(F.xxhash64(F.lit(args.seed), "chunk_id")).select("chunk_id", "doc_id", "title", "text").limit(args.sample).collect()]
         find = models.search_with(rows.select("pos", "text"))
         search = lambda q, k: [r.asDict() for r in find(spark.createDataFrame([(0, q)], "query_id long, text string"), k).join(rows, "pos").orderBy("rank").select("chunk_id", "text").collect()]
         writer = asked.QuestionWriter(_client(args), sample, args.seed, search, progress=_progress("questions") if args.progress else None)

@@ -6,6 +6,9 @@ import random
 from collections import Counter
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import text as tx
 from .evalset import CATEGORIES, QUOTAS
 from .reader import Client, Refusal, first_json
@@ -31,6 +34,12 @@ REPLIES = {
 LEAST_CHARS = 200
 
 
+def worth_asking(chunks: DataFrame) -> DataFrame:
+    """Chunks of LEAST_CHARS characters or more; all of them where there are none."""
+    long = chunks.where(F.length("text") >= LEAST_CHARS)
+    return chunks if long.isEmpty() else long
+
+
 def parsed(reply: str, kind: str) -> dict:
     """The JSON object of a reply, checked against REPLIES; ValueError says what is wrong with it."""
     value = first_json(reply)
@@ -65,8 +74,7 @@ class QuestionWriter:
     """
 
     def __init__(self, client: Client, chunks: list[dict], seed: int = 0, search: Callable[[str, int], list[dict]] | None = None, temperature: float = 0.7, attempts: int = 4, max_tokens: int = 1024, progress: Callable[[int, int], None] | None = None):
-        long = [c for c in chunks if len(c["text"]) >= LEAST_CHARS]
-        self.chunks, self.rng = long or list(chunks), random.Random(seed)
+        self.chunks, self.rng = [c for c in chunks if len(c["text"]) >= LEAST_CHARS] or list(chunks), random.Random(seed)
         self.client, self.search, self.temperature, self.attempts, self.max_tokens, self.progress = client, search, temperature, attempts, max_tokens, progress
         self.rejections: Counter[str] = Counter()
         self.of_doc: dict = {}

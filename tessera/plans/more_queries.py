@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import asked, benchmark, calibrate, chunks, evalset, factbase, reader, thresholds
-from ..operators.settle import settle
+from ..operators import asked, benchmark, calibrate, chunks, evalset, factbase, metrics, reader, retrieval, thresholds
+from ..operators.settle import settle, shared_dir
+from ..sources import store
 from . import sql
 from .calibration_queries import S, scored
 from .registry import register
@@ -342,3 +346,157 @@ def invented_names(spark, sf_dir):
     voc = corpus(spark, sf_dir).select(F.explode(tx.tokenize(F.col("text"))).alias("token")).distinct()
     return spark.createDataFrame([(n,) for n in evalset.invented_names(spark, voc, len(_NAMES))], "name string")
 
+
+
+# ---- items, resampling, files -----------------------------------------------
+
+
+def _turns(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select(F.format_string("%s::%04d", F.col("conv_id").cast("string"), F.col("turn").cast("int")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), "turn", F.col("role").alias("title"), "text")
+
+
+@register("chunks_worth_asking", "SELECT conv_id, turn FROM conversations WHERE length(text) >= 200 OR NOT EXISTS (SELECT 1 FROM conversations WHERE length(text) >= 200)")
+def chunks_worth_asking(spark, sf_dir):
+    return asked.worth_asking(_turns(spark, sf_dir)).select(F.col("doc_id").alias("conv_id"), "turn")
+
+
+_FLAT = "trim(regexp_replace({0}, '[\\s\\x0b]+', ' ', 'g'))"
+
+
+@register(
+    "sentence_gold",
+    f"""WITH c AS (SELECT conv_id, printf('%s::%04d', conv_id::VARCHAR, turn) AS chunk_id, {_FLAT.format('text')} AS flat FROM conversations),
+s AS (SELECT conv_id, chunk_id, trim(substr(flat, 3, 40)) AS sentence FROM c)
+SELECT s.chunk_id, s.sentence, coalesce(array_to_string(list_sort(list(DISTINCT c.chunk_id)), ' '), s.chunk_id) AS gold FROM s LEFT JOIN c ON c.conv_id = s.conv_id AND contains(c.flat, s.sentence) GROUP BY s.chunk_id, s.sentence""",
+)
+def sentence_gold(spark, sf_dir):
+    """The chunks of a document that hold a sentence but for white space, else its own."""
+    rows = _turns(spark, sf_dir)
+    s = rows.select("chunk_id", "doc_id", F.trim(F.substring(tx.collapse(F.col("text")), 3, 40)).alias("sentence"))
+    return evalset.gold_chunks(s, rows).select("chunk_id", "sentence", F.array_join("gold", " ").alias("gold"))
+
+
+@register("altered_values", "SELECT l_orderkey, l_linenumber, printf('%.1f', l_linenumber * 1.7::DOUBLE + 3) AS altered FROM lineitem")
+def altered_values(spark, sf_dir):
+    """A number as a conflicting question states it."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.format_string("%.1f", F.col("l_linenumber") * F.lit(1.7) + 3).alias("altered"))
+
+
+_CONSTANT = f"WITH {S}, g AS (SELECT lang, length(lang) + ascii(lang) / 8.0::DOUBLE AS v FROM s GROUP BY lang)"
+
+
+@register("bootstrap_constants", f"{_CONSTANT} SELECT lang, v AS mean, v AS lo, v AS hi FROM g")
+def bootstrap_constants(spark, sf_dir):
+    """Whatever is drawn from equal values, its mean is that value."""
+    rows = scored(spark, sf_dir).withColumn("value", F.length("lang") + F.ascii("lang") / 8.0)
+    return benchmark.bootstrap_mean(rows, ["lang"])
+
+
+@register("paired_constants", f"{_CONSTANT} SELECT lang, v - 14.75 AS mean, v <> 14.75 AS significant FROM g")
+def paired_constants(spark, sf_dir):
+    """A difference that never varies is significant unless it is 0."""
+    rows = scored(spark, sf_dir).withColumns({"a": F.lit(14.75), "b": F.length("lang") + F.ascii("lang") / 8.0})
+    return benchmark.paired_bootstrap(rows, ["lang"]).select("lang", "mean", "significant")
+
+
+@register("separable_auroc", f"WITH {S}, g AS (SELECT lang FROM s GROUP BY lang HAVING count(DISTINCT y) = 2), v AS (SELECT unnest(['label', 'flat', 'delta']) AS name, unnest([1.0::DOUBLE, 0.5, -0.5]) AS a) SELECT lang, name, a AS auroc, a AS lo, a AS hi FROM g, v")
+def separable_auroc(spark, sf_dir):
+    """A score that is the label, one that says nothing, and their difference: no resample changes any of them."""
+    rows = scored(spark, sf_dir).withColumns({"label": F.col("y").cast("double"), "flat": F.lit(0.25)})
+    out = benchmark.bootstrap_auroc(rows, ["lang"], ["label", "flat"])
+    return out.where("auroc IS NOT NULL")
+
+
+@register("train_labels", "SELECT doc_id, (n_chars >= 800 AND toxic = 0)::INT AS y FROM labels JOIN documents USING (doc_id)")
+def train_labels(spark, sf_dir):
+    """An answer counts as good where it was given and was right."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return benchmark.labelled(d.select("doc_id", (F.col("n_chars") >= 800).alias("answered"), (F.col("toxic") == 0).alias("correct"))).select("doc_id", "y")
+
+
+@register("cached_answers", "SELECT conv_id || '/' || turn AS key, md5(text) AS answer FROM conversations")
+def cached_answers(spark, sf_dir):
+    """Answers of which every second was given before; those come from the table."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    keyed = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "turn", "text")
+    cache = reader.AnswerCache(spark, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+    cache.answers(keyed.where("turn % 2 = 0"), lambda k: k.select("key", F.md5("text").alias("answer"))).count()
+    new = lambda k: k.select("key", F.when(F.col("turn") % 2 == 0, "asked again").otherwise(F.md5("text")).alias("answer"))
+    return cache.answers(keyed, new).select("key", "answer")
+
+
+@register("chunk_files", "SELECT printf('%s::%04d', conv_id::VARCHAR, turn) AS chunk_id, md5(text) AS digest FROM conversations")
+def chunk_files(spark, sf_dir):
+    """Chunks through a JSON-lines file and back."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows = _turns(spark, sf_dir)
+    store.write_chunks(rows.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "title", F.col("turn").cast("int").alias("chunk_index"), "text", F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.lit(1).alias("page_start")), path)
+    return store.read_chunks(spark, path).select("chunk_id", F.md5("text").alias("digest"))
+
+
+@register("stored_retriever", f"{sql.BASE} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk(sql.SPARSE, 3)})")
+def stored_retriever(spark, sf_dir):
+    """Retrieval from an index that was saved and loaded again."""
+    path = f"{shared_dir(spark)}/retriever-{uuid.uuid4().hex}"
+    docs = corpus(spark, sf_dir)
+    store.save_retriever(docs.withColumn("chunk_id", F.col("pos").cast("string")), path)
+    _, index, _ = store.load_retriever(spark, path)
+    return retrieval.bm25_search(index, questions(spark, sf_dir), 3).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+
+
+_SAME = ["eval_set", "policy", "policy_summary", "report", "vectors"]
+
+
+@register("file_round_trips", _values([(n, True) for n in _SAME], ["name", "same"]))
+def file_round_trips(spark, sf_dir):
+    """What is written is what is read: byte for byte, infinities and all."""
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    model = calibrate.Calibrator(["a"], 1.0, [0.5], [2.0], [-1.25], 0.125)
+    policy = calibrate.Policy(model, float("inf"), {"method": "ltt", "alpha": 0.2, "delta": 0.1, "guarantee": "g", "cal_risk": float("nan")})
+    store.save_policy(spark, policy, f"{base}/policy.json")
+    back = store.load_policy(spark, f"{base}/policy.json")
+    items = evalset.EvalSet([{"id": "eval_001", "question": "q\u00e9", "is_answerable": False}], "g", 1, {"path": "p"}, {"out_of_domain": 1})
+    store.write_text(spark, items.to_json(), f"{base}/set.json")
+    text = store.read_text(spark, f"{base}/set.json")
+    store.write_report(spark, {"t": [{"x": float("-inf"), "y": float("nan"), "z": "a|b"}]}, f"{base}/report", "R")
+    report = json.loads(store.read_text(spark, f"{base}/report.json"))
+    vectors = spark.createDataFrame([(1, [0.5, -2.0]), (2, [])], "pos long, vec array<float>")
+    store.write_vectors(vectors, f"{base}/vectors")
+    same = {
+        "eval_set": evalset.EvalSet.from_json(text) == items and text.strip() == items.to_json().strip(),
+        "policy": back.to_json() == policy.to_json() and back.tau == float("inf") and back.calibrator == model,
+        "policy_summary": back.summary() == {"method": "ltt", "alpha": 0.2, "delta": 0.1, "tau": "inf", "guarantee": "g"} and calibrate.Policy(model, 0.5, {"method": "erm", "guarantee": "g"}).summary()["guarantee"] is None,
+        "report": report == {"t": [{"x": "-inf", "y": None, "z": "a|b"}]} and "a\\|b" in store.read_text(spark, f"{base}/report.md"),
+        "vectors": sorted(map(tuple, store.read_vectors(spark, f"{base}/vectors").collect())) == sorted(map(tuple, vectors.collect())),
+    }
+    return spark.createDataFrame([(n, bool(same[n])) for n in _SAME], "name string, same boolean")
+
+
+_REFUSED = ["alpha of 1", "depth of 0", "negative weight", "no ks", "overlap of the size", "top of 0", "unknown mode", "weights too few"]
+
+
+@register("refused_arguments", _values([(n, True) for n in _REFUSED], ["name", "refused"]))
+def refused_arguments(spark, sf_dir):
+    """Arguments that can't be meant are refused before any job runs."""
+    c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
+    ranked = spark.createDataFrame([], "query_id long, pos long, rank int, score double")
+    calls = [
+        lambda: thresholds.ltt_threshold(scored(spark, sf_dir), 1.0, 0.1, by=["lang"]),
+        lambda: retrieval.bm25_search(None, q, 0),
+        lambda: retrieval.fuse([ranked], weights=[-1.0]),
+        lambda: metrics.ranking_scores(ranked, ranked, []),
+        lambda: chunks.check(10, 10),
+        lambda: retrieval.hybrid_search(c, q, 0),
+        lambda: retrieval.hybrid_search(c, q, 5, "other"),
+        lambda: retrieval.fuse([ranked, ranked], weights=[1.0]),
+    ]
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, refused(f)) for n, f in zip(_REFUSED, calls, strict=True)], "name string, refused boolean")

@@ -6,6 +6,8 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import write_text
+
 COLOURS = ("#1b6ca8", "#c8553d", "#3c8d5a", "#7d5ba6", "#b8860b", "#4d4d4d")
 
 
@@ -54,13 +56,5 @@ def write_figures(spark: SparkSession, folder: str, pooled: DataFrame, reliabili
         "reliability.svg": chart("Reliability", "confidence", "accuracy", bins, diagonal=True),
     }
     for name, text in made.items():
-        _write(spark, text, f"{folder}/{name}")
+        write_text(spark, text.rstrip("\n"), f"{folder}/{name}")
     return list(made)
-
-
-def _write(spark: SparkSession, text: str, path: str) -> None:
-    """One plain file, wherever the session's file systems reach."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()

@@ -23,7 +23,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """One plain file, wherever the session's file systems reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(f"{text}\n".encode()))
+    out.close()
 
 
 def read_text(spark: SparkSession, path: str) -> str:
