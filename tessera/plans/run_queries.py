@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import benchmark, chunks, evalset, features, metrics, reader, rerank, retrieval
 from ..operators.settle import settle
-from . import pipeline
+from . import pipeline, sql
 from .calibration_queries import scored
 from .registry import register
 from .retrieval_queries import corpus, gold, index, questions
@@ -98,11 +98,14 @@ def extractive_items(spark, sf_dir):
     return evalset.extractive_items(c, quotas).select("category", "question", "gold", "answer", "template", "difficulty")
 
 
-@register("reranked_probabilities")
+@register(
+    "reranked_probabilities",
+    f"{sql.BASE}, fused AS ({sql.topk(sql.SPARSE, 20)}), {sql.FEATURES} SELECT query_id, pos, final_rank::INT AS rank, round(1 / (1 + exp(-logit)), 6) AS probability, rank::INT AS first_stage_rank FROM reranked WHERE final_rank <= 5",
+)
 def reranked_probabilities(spark, sf_dir):
     """Two-stage retrieval with the sparse retriever first."""
     _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 5, 20, "sparse", index(spark, sf_dir))
-    return results.select("query_id", "pos", "rank", "probability", "first_stage_rank")
+    return results.select("query_id", "pos", "rank", F.round("probability", 6).alias("probability"), "first_stage_rank")
 
 
 @register("key_facts")
