@@ -387,8 +387,8 @@ def _large(members: DataFrame, num: int, den: int) -> DataFrame:
         total = sizes.agg(F.sum("c")).first()[0]
         own = weighted_join(rest, sizes, ["cluster"], "c", total).withColumn("i", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("some")).cast("int"))
         own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-        # a cluster has as many sets as it likes, but few clusters are large: sizes has one row for each of those
-        all_ = members.join(sizes.drop("c"), "cluster").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("some") - 1))).withColumns({"j": F.col("block"), "side": F.lit(1)})
+        every = members.groupBy("cluster").agg(F.count("*").alias("c")).join(sizes.select("cluster", "some"), "cluster")
+        all_ = weighted_join(members, every, ["cluster"], "c", members.count()).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("some") - 1))).withColumns({"j": F.col("block"), "side": F.lit(1)})
         found = found.union(stored(_links(own.select(*group).union(all_.select(*group)), num, den), "links"))
     discard(pivots)
     discard(rest)
