@@ -27,4 +27,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def still_there(*tables: DataFrame) -> bool:
+    """Whether settled tables haven't been deleted since."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{t._settled}/_SUCCESS")
+        if not p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).exists(p):
+            return False
+    return True

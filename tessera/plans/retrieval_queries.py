@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import evalset, features, rerank, retrieval
-from ..operators.settle import settle
+from ..operators.settle import settle, still_there
 from . import sql
 from .registry import register
 
@@ -23,25 +23,28 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MADE: dict[tuple, object] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make):
-    """What a session has made from a folder's tables already, as long as their files are the same; else make()."""
+def once(spark: SparkSession, sf_dir: str, name: str, make, tables):
+    """What a session has made from a folder's tables already, as long as their files are the same and its own are there; else make().
+
+    tables gives the settled tables of what was made.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
     key = (spark.sparkContext.applicationId, sf_dir, name, state)
-    if key not in _MADE:
+    if key not in _MADE or not still_there(*tables(_MADE[key])):
         _MADE[key] = make()
     return _MADE[key]
 
 
 def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
     """The index of a folder's documents, built by the first query of a session that needs it."""
-    return once(spark, sf_dir, "index", lambda: retrieval.build_index(corpus(spark, sf_dir)))
+    return once(spark, sf_dir, "index", lambda: retrieval.build_index(corpus(spark, sf_dir)), lambda i: [i.bm25.postings, i.bm25.vocabulary, i.bm25.lengths, i.bags, i.tokens])
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, pos: documents that hold the item's text verbatim."""
-    return once(spark, sf_dir, "gold", lambda: settle(holding(corpus(spark, sf_dir), questions(spark, sf_dir))))
+    return once(spark, sf_dir, "gold", lambda: settle(holding(corpus(spark, sf_dir), questions(spark, sf_dir))), lambda g: [g])
 
 
 def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
