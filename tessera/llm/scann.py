@@ -10,7 +10,7 @@ exact cosine in double precision.
 The table that is scanned holds codes alone, of distinct vectors: rows that share
 a vector are one entry, with as many of their smallest ids as could ever be
 returned, so a vector that a third of all rows share crowds nothing out. It is
-cut into chunks that a task holds; queries, in blocks, go to every chunk. A
+cut into chunks that a task holds; queries, in a few groups, go to every chunk. A
 chunk's best entries per query by the estimate are merged into one shortlist per
 query, of fixed length, and only then are the vectors of the shortlists fetched.
 """
@@ -30,7 +30,9 @@ CENTRES = 16
 #: Rows of codes that are compared with a block of queries at once.
 STEP = 8192
 #: Queries in a block.
-BLOCK = 1024
+BLOCK = 512
+#: Groups of queries at most: each gets the codes of all entries.
+GROUPS = 16
 
 
 class Quantiser:
@@ -192,15 +194,6 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Queries (id, v) in blocks: ids, and their vectors end to end."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(a, BLOCK)
-            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            yield pa.RecordBatch.from_arrays([one(part.column("id")), one(part.column("v").flatten())], ["ids", "flat"])
-
-
 def _shortest(estimate: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n largest estimates of each row, with what stands there."""
     if estimate.shape[1] > n:
@@ -210,35 +203,45 @@ def _shortest(estimate: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, dims: int, n: int) -> Iterable[pa.RecordBatch]:
-    """Table scans for a partition sorted by (chunk, query): a chunk's codes come first, then blocks of queries."""
-    chunk, entries, held = None, [], []
+    """Table scans for a partition sorted by (part, query): a part's codes come first, then its queries, taken BLOCK at a time."""
+    part, entries, held, asked = None, [], [], []
     codes = own = None
+
+    def flush() -> Iterable[pa.RecordBatch]:
+        nonlocal codes, own, held, asked
+        block, asked = asked, []
+        if not entries or not block:
+            return
+        if codes is None:
+            codes, own = np.ascontiguousarray(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1).T), np.array(entries, np.int64)
+            held = []
+        ids = np.array([i for i, _ in block], np.int64)
+        tables = quantiser.tables(_unit(np.stack([v for _, v in block])))
+        best, who = np.zeros((len(ids), 0), np.float32), np.zeros((len(ids), 0), np.int64)
+        for a in range(0, len(own), STEP):
+            some = codes[:, a : a + STEP]
+            estimate = np.zeros((len(ids), some.shape[1]), np.float32)
+            for table, c in zip(tables, some, strict=True):
+                estimate += table[:, c]
+            estimate, at = _shortest(estimate, np.broadcast_to(own[a : a + STEP], estimate.shape), n)
+            best, who = _shortest(np.concatenate((best, estimate), axis=1), np.concatenate((who, at), axis=1), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], ["query_id", "entry", "estimate"])
+
     for batch in batches:
-        chunks, queries = batch.column("chunk").to_pylist(), batch.column("query").to_pylist()
-        for i, (now, query) in enumerate(zip(chunks, queries, strict=True)):
-            if now != chunk:
-                chunk, entries, held, codes = now, [], [], None
+        ids, vectors = batch.column("id").to_pylist(), batch.column("v")
+        numbers, packed = batch.column("entry").to_pylist(), batch.column("codes")
+        for i, (now, query) in enumerate(zip(batch.column("part").to_pylist(), batch.column("query").to_pylist(), strict=True)):
+            if now != part:
+                yield from flush()
+                part, entries, held, codes = now, [], [], None
             if not query:
-                entries.append(batch.column("entry")[i].as_py())
-                held.append(batch.column("codes")[i].as_py())
-                continue
-            if not entries:
+                entries.append(numbers[i])
+                held.append(packed[i].as_py())
                 continue
-            if codes is None:
-                codes, own = np.ascontiguousarray(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1).T), np.array(entries, np.int64)
-                held = []
-            ids = batch.column("ids")[i].values.to_numpy()
-            tables = quantiser.tables(_unit(batch.column("flat")[i].values.to_numpy().reshape(len(ids), dims)))
-            best, who = np.zeros((len(ids), 0), np.float32), np.zeros((len(ids), 0), np.int64)
-            for a in range(0, len(own), STEP):
-                part = codes[:, a : a + STEP]
-                estimate = np.zeros((len(ids), part.shape[1]), np.float32)
-                for table, c in zip(tables, part, strict=True):
-                    estimate += table[:, c]
-                at = np.broadcast_to(own[a : a + STEP], estimate.shape)
-                estimate, at = _shortest(estimate, at, n)
-                best, who = _shortest(np.concatenate((best, estimate), axis=1), np.concatenate((who, at), axis=1), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], ["query_id", "entry", "estimate"])
+            asked.append((ids[i], vectors[i].values.to_numpy()))
+            if len(asked) == BLOCK:
+                yield from flush()
+    yield from flush()
 
 
 def _rerank(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterable[pa.RecordBatch]:
@@ -302,16 +305,17 @@ def nearest(
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asking = stored(sound(vectors.where(is_query), id_col, vector_col, dims)[0].groupBy("id").agg(F.min("v").alias("v")), "asking")
-    # chunks for some dozens of tasks, as long as they hold a few thousand entries each
-    total = index.count()
-    chunks = -(-total // min(chunk_rows, max(4096, -(-total // 64))))
+    # a part is a chunk of entries with a group of queries; entries go to every group, so there are few groups
+    chunks = -(-index.count() // chunk_rows)
+    groups = max(1, min(GROUPS, -(-asking.count() // 128)))
     none = lambda kind: F.lit(None).cast(kind)
-    coded = index.select(F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(chunks)).alias("chunk"), F.lit(False).alias("query"), "entry", "codes", none("array<long>").alias("ids"), none("array<double>").alias("flat"))
-    blocks = asking.mapInArrow(_blocks, "ids array<long>, flat array<double>")
-    sent = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(True).alias("query"), none("long").alias("entry"), none("binary").alias("codes"), "ids", "flat")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    coded = index.select(each(groups).alias("g"), F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(chunks)).alias("c"), F.lit(False).alias("query"), "entry", "codes", none("long").alias("id"), none("array<double>").alias("v"))
+    sent = asking.select(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(groups)).alias("g"), each(chunks).alias("c"), F.lit(True).alias("query"), none("long").alias("entry"), none("binary").alias("codes"), "id", "v")
     size = max(rerank, k + 1)
+    parts = coded.union(sent).select((F.col("c") * groups + F.col("g")).alias("part"), "query", "entry", "codes", "id", "v")
     scanned = (
-        coded.union(sent).repartition(int(chunks), "chunk").sortWithinPartitions("chunk", "query").mapInArrow(lambda it: _scan(it, quantiser, dims, size), "query_id long, entry long, estimate float")
+        parts.repartition(int(chunks * groups), "part").sortWithinPartitions("part", "query").mapInArrow(lambda it: _scan(it, quantiser, dims, size), "query_id long, entry long, estimate float")
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "entry")
     shortlist = scanned.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("query_id", "entry")
