@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, mixing, paritysketch, recompress, scann, sharding, tokencount, warc
+from . import bpe, langid, linefreq, mixing, paritysketch, phrases, rankbpe, recompress, scann, sharding, tokencount, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_parity_sketch_join": paritysketch.op8_parity_sketch_join,
         "op9_language_profiles": langid.op9_language_profiles,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_rank_array_bpe": rankbpe.op11_rank_array_bpe,
+        "op12_phrases": phrases.op12_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL, "op4_recompression": recompress.OP4_SQL, "op8_parity_sketch_join": paritysketch.OP8_SQL}
+    return {"op1_warc_transactions": warc.OP1_SQL, "op2_line_frequency": linefreq.OP2_SQL, "op4_recompression": recompress.OP4_SQL, "op8_parity_sketch_join": paritysketch.OP8_SQL, "op12_phrases": phrases.OP12_SQL}
