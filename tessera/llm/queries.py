@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefreq, mixing, paritysketch, phrases, rankbpe, recompress, scann, sharding, tokencount, warc
+from . import bpe, langid, linefreq, mixing, paritysketch, phrases, rankbpe, recompress, scann, schemadrift, sharding, tokencount, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_byte_bpe": bpe.op10_byte_bpe,
         "op11_rank_array_bpe": rankbpe.op11_rank_array_bpe,
         "op12_phrases": phrases.op12_phrases,
+        "op13_schema_rewrite": schemadrift.op13_schema_rewrite,
     }
 
 
