@@ -45,18 +45,18 @@ def record_uri(kind: str, capture: Column) -> Column:
 
 
 def mark_revisits(rows: DataFrame, key: str, least_bytes: int = 0) -> DataFrame:
-    """rows (with key, __capture, __size, __digest) and __response, __refers: key and __capture of the response each row revisits.
+    """rows (with key, __capture, __size, __digest) and __refers: the __capture of the response of its payload, null if no other row has it.
 
     Of rows with equal payloads of at least least_bytes, that with the largest
     key is the response and the others revisit it. Only digests that occur
     twice or more are joined back; their counts are summed before they are
     shuffled, and the join may be split where one payload holds a third of all
-    rows. Rows that repeat the largest key are all responses, one of which the
-    others refer to; so are rows whose payload has no key but null.
+    rows. One row of each payload is the response, whatever its keys: null keys
+    come after all others, and of rows that repeat the largest one is taken.
     """
     top = F.max(F.struct(F.col(key).alias("key"), F.col("__capture").alias("capture")))
     twice = rows.where(F.col("__size") >= least_bytes).groupBy("__digest").agg(top.alias("top"), F.count("*").alias("c")).where("c > 1")
-    return rows.join(twice.select("__digest", F.col("top.key").alias("__response"), F.col("top.capture").alias("__refers")), "__digest", "left")
+    return rows.join(twice.select("__digest", F.col("top.capture").alias("__refers")), "__digest", "left")
 
 
 def _block(text: Column) -> Column:
@@ -101,7 +101,7 @@ def write_captures(
     mean, most = named.select(F.coalesce(F.avg("__size"), F.lit(0.0)), F.coalesce(F.max("__size"), F.lit(0))).first()
     # a capture has three records, one of which may hold the payload; some 2,000 bytes are headers
     records_per_file = int(max(3, min(9_000, 3 * file_bytes / (mean + 2_000), 3 * (1 << 30) / (most + 2_000))))
-    first = F.col("__response").isNull() | F.col(key).eqNullSafe(F.col("__response"))
+    first = F.col("__refers").isNull() | (F.col("__capture") == F.col("__refers"))
     uri = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]+", " ")
     host = F.coalesce(F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.lit(""))
     way = F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1)
@@ -370,10 +370,10 @@ def assemble(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def op1_warc_transactions(spark, sf_dir: str) -> DataFrame:
     """Every page written as WARC records, read back and assembled; one row per page.
 
-    The page id comes from the capture's metadata record, sizes and digests
-    from its response or revisit record. As in the SQL, a null page id is never
-    the largest of equal payloads: its row reads `revisit` and names the largest
-    id, if there is one; if not, its record is a response that holds the body.
+    The page id comes from the capture's metadata record, type, sizes and
+    digests from its response or revisit record. Null page ids come after all
+    others: where a payload has no other, one of its rows is the response, and
+    those that revisit it refer to null, its id.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "warc")
@@ -387,7 +387,7 @@ def op1_warc_transactions(spark, sf_dir: str) -> DataFrame:
         page_id.alias("page_id"),
         F.col("answer.payload_bytes").alias("payload_bytes"),
         F.when(revisit, F.col("answer.payload_digest")).otherwise(F.col("answer.computed_digest")).alias("payload_digest"),
-        F.when(page_id.isNull(), "revisit").otherwise(F.col("answer.type")).alias("record_type"),
+        F.col("answer.type").alias("record_type"),
         F.when(revisit, F.col("answer.refers_to")).alias("to"),
     )
     pages = stored(pages, "pages")
@@ -412,9 +412,9 @@ _BASE32 = " || ".join(
 )
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
-SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
-FROM p JOIN g USING (html)
+o AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS top FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN top END AS refers_to
+FROM o
 """

@@ -48,6 +48,13 @@ def test_every_row_is_a_capture(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.queries()["op1_warc_transactions"](spark, str(tmp_path)).count() == len(rows)
     same_as_sql(spark, "op1_warc_transactions", queries.queries(), queries.oracle_sql(), str(tmp_path))
+    types = {}
+    for r in queries.queries()["op1_warc_transactions"](spark, str(tmp_path)).collect():
+        types.setdefault(r["payload_digest"], []).append((r["record_type"], r["page_id"], r["refers_to"]))
+    assert all([t for t, _, _ in own].count("response") == 1 for own in types.values())
+    of = lambda text: sorted(types[base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()], key=str)
+    assert of("lone") == [("response", None, None)] and of("pair") == [("response", None, None), ("revisit", None, None)]
+    assert of("a") == [("response", 2, None), ("revisit", 1, 2), ("revisit", 2, 2), ("revisit", 2, 2), ("revisit", None, 2), ("revisit", None, 2)]
     path = f"file://{tmp_path}/w"
     warc.write_captures(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
     got = warc.assemble(warc.scan(spark, path)).collect()
