@@ -60,25 +60,30 @@ def shuffle_into_shards(
     record holds the input row as a struct, so its names cannot clash. place
     counts from 0 within a bucket, in shuffled order; with_slots() turns bucket
     and place into a slot of the shard. bucket_bytes bounds what one task holds
-    in memory (a longer single record excepted). Null keys are a key of their
-    own. Empty input gives an empty table; equal rows each keep a place of
+    in memory: each shard's bytes are added up first, and it gets as many
+    buckets as make each half full at the mean, so that only records of some
+    tenth of a bucket or more can pass the bound, by a few of them. A shard that
+    one key fills has as many buckets as its bytes need. Null keys are a key of
+    their own. Empty input gives an empty table; equal rows each keep a place of
     their own. Which of the places of rows with equal keys a row gets depends on
     the order they arrive in, and so on the layout of the input; the shard
     doesn't.
     """
     spark = rows.sparkSession
     size = size if size is not None else F.lit(64)
-    total = rows.select(F.sum(size).alias("b")).first()["b"] or 0
-    parts = max(1, -(-int(total) // (n_shards * bucket_bytes)))
     h = F.xxhash64(F.lit(seed), F.col(key))
+    sizes = {r["shard"]: r["bytes"] or 0 for r in rows.select(_shard_of(n_shards)(h).alias("shard"), size.alias("s")).groupBy("shard").agg(F.sum("s").alias("bytes")).collect()}
+    parts = [max(1, -(-2 * int(sizes.get(i, 0)) // bucket_bytes)) for i in range(n_shards)]
+    first = [sum(parts[:i]) for i in range(n_shards)]
+    of_shard = lambda values: F.get(F.array(*map(F.lit, values)), F.col("shard"))
     placed = rows.select(
         F.struct("*").alias("record"),
         _shard_of(n_shards)(h).alias("shard"),
         (_shard_of(n_shards + 1)(h) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("bucket"),
+        F.xxhash64(F.lit(seed + 1), F.col(key), F.monotonically_increasing_id()).alias("scatter"),
         h.alias("_order"),
-    )
-    scattered = placed.repartitionById(n_shards * parts, F.col("shard") * parts + F.col("bucket")).sortWithinPartitions("shard", "bucket", "_order")
+    ).select("record", "shard", "grown_shard", F.pmod(F.col("scatter"), of_shard(parts)).cast("int").alias("bucket"), "_order")
+    scattered = placed.repartitionById(sum(parts), of_shard(first) + F.col("bucket")).sortWithinPartitions("shard", "bucket", "_order")
     schema = StructType([f for f in scattered.schema.fields if f.name != "_order"] + [StructField("place", LongType())])
     path = new_path(spark, "shards")
     scattered.mapInArrow(lambda it: _fisher_yates(it, seed), schema).write.option("compression", "zstd").parquet(path)

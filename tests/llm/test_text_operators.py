@@ -126,6 +126,14 @@ def test_one_hot_key_is_spread(spark):
     assert out.select("shard").distinct().count() == 1 and out.groupBy("bucket").count().count() > 5
 
 
+@pytest.mark.parametrize("hot", ["7L", "CAST(NULL AS LONG)"])
+def test_no_bucket_passes_its_bytes(spark, hot):
+    rows = spark.range(4000).selectExpr(f"IF(id % 2 = 0, {hot}, id) AS doc_id", "repeat('x', CAST(1000 + id % 7 * 900 AS INT)) AS text", "1 AS bucket", "2 AS _order")
+    out = sharding.shuffle_into_shards(rows, "doc_id", size=F.octet_length("text"), bucket_bytes=1 << 19)
+    held = out.groupBy("shard", "bucket").agg(F.sum(F.octet_length("record.text")).alias("b")).toPandas()
+    assert held["b"].max() <= (1 << 19) + 6400 and held["b"].sum() == rows.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 # ---- language identification ------------------------------------------------
 
 
