@@ -391,3 +391,30 @@ def citation_precision(spark, sf_dir):
     c = questions(spark, sf_dir).select("query_id", F.array(F.col("query_id"), F.col("query_id") + 1, F.lit(29).cast("long")).alias("cited"))
     g = gold(spark, sf_dir).groupBy("query_id").agg(F.collect_list("pos").alias("gold"))
     return c.join(g, "query_id").select("query_id", F.round(F.size(F.array_intersect("cited", "gold")) / F.size("cited"), 6).alias("value"))
+
+
+# ---- files ------------------------------------------------------------------
+
+
+@register("pdf_pages", "SELECT doc_id, 2 AS n_pages, md5(trim(coalesce(text, ''), chr(10))) AS first, CASE WHEN trim(coalesce(text, ''), chr(10)) = '' THEN NULL ELSE 'the end of ' || coalesce(source, '') END AS last FROM documents")
+def pdf_pages(spark, sf_dir):
+    """Every document set as a PDF of two pages, one line after the other in UTF-16, and read back by the extractor."""
+    line = lambda x: F.concat(F.lit("<FEFF"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj"))
+    shown = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), " T* ")
+    part = lambda n, body: F.concat(F.lit(f"{n} 0 obj\n"), body, F.lit("\nendobj\n"))
+    stream = lambda body: F.concat(F.lit("<< >>\nstream\nBT "), body, F.lit(" ET\nendstream"))
+    end = F.when(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "") != "", line(F.concat(F.lit("the end of "), F.coalesce("source", F.lit(""))))).otherwise(F.lit(""))
+    content = F.concat(
+        F.lit("%PDF-1.4\n"),
+        part(1, F.lit("<< /Type /Catalog /Pages 2 0 R >>")),
+        part(2, F.lit("<< /Type /Pages /Kids [3 0 R 5 0 R] /Count 2 >>")),
+        part(3, F.lit("<< /Type /Page /Contents 4 0 R >>")),
+        part(4, stream(shown)),
+        part(5, F.lit("<< /Type /Page /Contents 6 0 R >>")),
+        part(6, stream(end)),
+        F.lit("trailer << /Root 1 0 R >>\n%%EOF\n"),
+    )
+    read = table(spark, sf_dir, "documents").select("doc_id", sources.extracted(sources.pdf_text)(F.encode(content, "UTF-8")).alias("x"))
+    pages = F.coalesce(F.col("x.pages"), F.array())
+    some = F.size(pages) > 0
+    return read.select("doc_id", F.when(some, F.size(pages)).otherwise(2).alias("n_pages"), F.md5(F.coalesce(F.get(pages, 0), F.lit(""))).alias("first"), F.when(some, F.get(pages, 1)).alias("last"))

@@ -45,12 +45,8 @@ def pdf_text(content: bytes) -> list[str]:
     return [page.extract_text() or "" for page in reader.pages]
 
 
-def scan_files(spark: SparkSession, path: str, manifest: DataFrame | None = None, extract: Callable[[bytes], list[str]] = plain_text, glob: str = "*.pdf") -> DataFrame:
-    """file, doc_id, title, pages, problem: every file of a folder with its manifest record (by file name), else named by its stem.
-
-    Pages are cleaned; empty ones stay as "". A file that can't be read, or has
-    no text at all, keeps a row with the problem and no pages.
-    """
+def extracted(extract: Callable[[bytes], list[str]]):
+    """A function from a binary column to pages and problem; a file that can't be read, or has no text, is a row with a problem."""
 
     @F.pandas_udf("struct<pages:array<string>,problem:string>")
     def pages(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -64,9 +60,19 @@ def scan_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
                     rows.append(([], f"cannot read: {type(e).__name__}"))
             yield pd.DataFrame(rows, columns=["pages", "problem"])
 
+    return pages
+
+
+def scan_files(spark: SparkSession, path: str, manifest: DataFrame | None = None, extract: Callable[[bytes], list[str]] = plain_text, glob: str = "*.pdf") -> DataFrame:
+    """file, doc_id, title, pages, problem: every file of a folder with its manifest record (by file name), else named by its stem.
+
+    Pages are cleaned; empty ones stay as "". A file that can't be read, or has
+    no text at all, keeps a row with the problem and no pages.
+    """
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(name.alias("file"), pages("content").alias("x")).select("file", F.transform("x.pages", lambda p: tx.clean_text(p)).alias("pages"), "x.problem")
+    rows = files.select(name.alias("file"), extracted(extract)("content").alias("x")).select("file", F.transform("x.pages", lambda p: tx.clean_text(p)).alias("pages"), "x.problem")
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
     if manifest is None:
         return rows.select("file", stem.alias("doc_id"), stem.alias("title"), "pages", "problem")

@@ -1,3 +1,4 @@
+import base64
 import threading
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -32,6 +33,81 @@ def test_pdf_that_is_not_plain():
             pdf.pages(bad)
 
 
+def body(objects, trailer=b""):
+    """A file of numbered objects, dictionaries or (dictionary, data) of streams, without a cross-reference table."""
+    out = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
+    for n, x in objects.items():
+        held, data = x if isinstance(x, tuple) else (x, None)
+        out += b"%d 0 obj\n%s\n" % (n, held) + (b"stream\n%s\nendstream\n" % data if data is not None else b"") + b"endobj\n"
+    return out + trailer + b"startxref\n99999\n%%EOF\n"
+
+
+def test_pdf_objects_in_streams():
+    inner = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 5 0 R] /Count 2 /Resources << /XObject << /F 7 0 R >> >> >>", 3: b"<< /Type /Page /Contents [4 0 R 6 0 R] >>", 5: b"<< /Type /Page /Contents 8 0 R >>"}
+    head, data = [], b""
+    for n, x in inner.items():
+        head += [n, len(data)]
+        data += x + b"\n"
+    head = " ".join(map(str, head)).encode() + b" "
+    packed = zlib.compress(head + data)
+    rows = b"".join(bytes([2]) + bytes((b - a) % 256 for a, b in zip(above, row, strict=True)) for above, row in [(bytes(4), b"BT ("), (b"BT (", b"up) "), (b"up) ", b"Tj  ")])
+    objects = {
+        4: (b"<< /Filter [/ASCIIHexDecode] >>", b"BT (a ) Tj ".hex().encode() + b">"),
+        6: (b"<< /Filter /ASCII85Decode /Length 99 >>", base64.a85encode(b"(b\\\nc) ' /F Do ET") + b"~>"),
+        7: (b"<< /Type /XObject /Subtype /Form /Length 26 >>", b"BT 0 5 Td (in a form) Tj ET"),
+        8: (b"<< /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >> >>", zlib.compress(rows)),
+        9: (b"<< /Type /ObjStm /N 4 /First %d /Filter /FlateDecode /Length %d >>" % (len(head), len(packed)), packed),
+        10: (b"<< /Type /XRef /Root 1 0 R /Size 11 /W [1 2 1] >>", b"\x00" * 8),
+    }
+    assert pdf.pages(body(objects)) == ["a \nbc\nin a form", "up"]
+    # a later object of a number, as an update appends it, counts
+    update = body({4: (b"<< >>", b"BT (new) Tj ")}, b"trailer << /Root 1 0 R >>\n")
+    assert pdf.pages(body(objects) + update[8:])[0].startswith("new")
+
+
+@pytest.mark.parametrize("revision", [2, 3])
+def test_pdf_with_an_empty_password(revision):
+    import hashlib
+
+    version, size, ident, rights = (1, 5, b"0123456789abcdef", -4) if revision == 2 else (2, 16, b"0123456789abcdef", -1340)
+    owner = bytes(range(32))
+    key = hashlib.md5(pdf._PADDING + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+    for _ in range(50 if revision == 3 else 0):
+        key = hashlib.md5(key[:size]).digest()
+    key = key[:size]
+    user = pdf._rc4(key, pdf._PADDING if revision == 2 else hashlib.md5(pdf._PADDING + ident).digest())
+    for i in range(1, 20 if revision == 3 else 0):
+        user = pdf._rc4(bytes(b ^ i for b in key), user)
+    own = hashlib.md5(key + (4).to_bytes(3, "little") + b"\0\0").digest()[: min(size + 5, 16)]
+    objects = lambda u: {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: (b"<< >>", pdf._rc4(own, b"BT (behind a lock) Tj ET")), 5: b"<< /Filter /Standard /V %d /R %d /Length %d /P %d /O <%s> /U <%s> >>" % (version, revision, size * 8, rights, owner.hex().encode(), u.hex().encode())}
+    trailer = b"trailer << /Root 1 0 R /Encrypt 5 0 R /ID [<%s> <00>] >>\n" % ident.hex().encode()
+    assert pdf.pages(body(objects(user), trailer)) == ["behind a lock"]
+    with pytest.raises(ValueError, match="password"):
+        pdf.pages(body(objects(bytes(32)), trailer))
+
+
+def test_aes_of_published_vectors():
+    key, vector = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
+    sealed = bytes.fromhex("7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b273bed6b8e3c1743b7116e69e222295163ff1caa1681fac09120eca307586e1a7")
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e5130c81c46a35ce411e5fbc1191a0a52eff69f2445df4f9b17ad2b417be66c3710")
+    assert pdf._aes(key, vector + sealed) == plain[:-16]  # the last byte, 16, reads as padding
+
+
+def test_pdf_fonts_with_their_own_codes():
+    table = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0010> <D83DDC4D> endbfchar 2 beginbfrange <0041> <0043> <0061> <0050> <0051> [<0078> <00660069>] endbfrange"
+    page = b"BT /A 9 Tf <004100420043 0003 00100050> Tj [<0051> -500 <0041>] TJ T* /B 9 Tf (\\001\\002x) Tj /C 9 Tf (plain \xe9) Tj /D 9 Tf <00410042> Tj ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Kids [3 0 R] /Resources << /Font << /A 5 0 R /B 6 0 R /C << /Type /Font >> /D << /Subtype /Type0 >> >> >> >>",
+        3: b"<< /Type /Page /Contents 4 0 R >>",
+        4: (b"<< >>", page),
+        5: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 7 0 R >>",
+        6: b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /fi /uni00DF] >> >>",
+        7: (b"<< /Filter /FlateDecode >>", zlib.compress(table)),
+    }
+    assert pdf.pages(body(objects, b"trailer << /Root 1 0 R >>\n")) == ["abc \U0001F44Dxfi a\nfi\u00dfxplain \u00e9"]
+
+
 def test_scan_of_pdf_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(make_pdf([PAGE, b"BT (more) Tj ET"]))
     (tmp_path / "b.pdf").write_bytes(b"broken")
