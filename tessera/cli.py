@@ -126,7 +126,7 @@ def evaluate(args, spark: SparkSession) -> int:
     records = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     corpus = rows.select("pos", "text")
     gold = items.select("query_id", F.explode("gold").alias("chunk_id")).join(rows.select("chunk_id", "pos"), "chunk_id").select("query_id", "pos")
-    splits = benchmark.splits_table(spark, [i["category"] for i in found.items], args.splits, args.seed)
+    splits = benchmark.stratified_splits(items.select(F.col("query_id").alias("item"), "category"), args.splits, args.seed)
     if args.kind == "retrieval":
         report: dict = {}
         for mode in retrieval.MODES:
@@ -152,10 +152,8 @@ def evaluate(args, spark: SparkSession) -> int:
 def fit(spark: SparkSession, rows: DataFrame, eval_path: str, method: str = "erm", alpha: float = 0.2, delta: float = 0.1, seed: int = 0) -> Policy:
     """A gate calibrated on end-to-end correctness of the reader that may abstain."""
     found, items = load_items(spark, eval_path)
-    scored = pipeline.score_items(rows, items).where("reader = 'free'").orderBy("item").toPandas()
-    scored["y"] = (scored["answered"] & scored["correct"]).astype(int)
-    frame = pd.DataFrame({"item": scored["item"], "category": scored["category"], "y": scored["y"], "answered": scored["answered"], **{f: scored[f] for f in features.FEATURES}})
-    return benchmark.fit_policy(frame, features.FEATURES, method, alpha, delta, seed, spark)
+    scored = benchmark.labelled(pipeline.score_items(rows, items).where("reader = 'free'"))
+    return benchmark.fit_policy(scored.select("item", "category", "y", "answered", *features.FEATURES), features.FEATURES, method, alpha, delta, seed)
 
 
 def gate_text(policy: Policy | None) -> str:

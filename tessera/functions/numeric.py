@@ -75,3 +75,12 @@ def allocate(n: int, fractions: list[float]) -> list[int]:
     for i in sorted(range(len(exact)), key=lambda i: (-(exact[i] - out[i]), i))[: n - sum(out)]:
         out[i] += 1
     return out
+
+
+def allocation(n: Column, fractions: list[float] | tuple[float, ...]) -> Column:
+    """As allocate, for a column: an array of the parts."""
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(n * f + 1e-9).cast("long").alias("whole"), F.round(n * f - F.floor(n * f + 1e-9), 9).alias("rest")) for i, f in enumerate(fractions)])
+    before = lambda a, b: F.when((a["rest"] > b["rest"]) | ((a["rest"] == b["rest"]) & (a["i"] < b["i"])), -1).otherwise(1)
+    left = (n - F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x["whole"])).cast("long")
+    dealt = F.transform(F.array_sort(parts, before), lambda x, k: F.struct(x["i"].alias("i"), (x["whole"] + F.when(k < left, 1).otherwise(0)).alias("n")))
+    return F.transform(F.array_sort(dealt), lambda x: x["n"])

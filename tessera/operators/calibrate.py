@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sigmoid
+from .metrics import meet
+from .settle import settle
 
 
 @dataclass
@@ -69,28 +71,90 @@ def scales(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
 PLATT_L2 = 1e-6
 
 
-def fit_groups(rows: DataFrame, by: list[str], features: list[str], y: str = "y", l2: float = 1.0) -> DataFrame:
-    """One model per group, fitted in parallel: by, mean, std, coef (arrays), intercept. Groups of one class give no row.
-
-    A group is a training fold: it is held by one task.
+def _sums(d: int):
+    """Sums of a group that a Newton step takes: curvature by pairs of columns, then slopes; the last column is the constant."""
+    z = [F.get("z", F.lit(i)) for i in range(d)] + [F.lit(1.0)]
+    logit = F.get("w", F.lit(d))
+    for i in range(d):
+        logit = logit + F.get("w", F.lit(i)) * z[i]
+    p = F.col("p")
+    bends = [F.sum(p * (1 - p) * z[i] * z[j]) for i in range(d + 1) for j in range(i, d + 1)]
+    return sigmoid(logit), F.array(*bends), F.array(*[F.sum((p - F.col("y")) * z[i]) for i in range(d + 1)])
+
+
+def _solver(models: dict[str, tuple[list[str], float]], names: list[str]):
+    """A function from sums and weights to the next weights and the largest change; weights of features that a model lacks stay 0."""
+    d = len(names)
+    upper = np.triu_indices(d + 1)
+    used = {m: np.array([n in own for n in names] + [True]) for m, (own, _) in models.items()}
+
+    @F.pandas_udf("struct<w:array<double>,step:double>")
+    def solve(model: pd.Series, bends: pd.Series, slopes: pd.Series, weights: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, b, g, w in zip(model, bends, slopes, weights, strict=True):
+            h = np.zeros((d + 1, d + 1))
+            h[upper] = b
+            h = h + np.triu(h, 1).T
+            w, keep = np.array(w), used[m]
+            pull = np.array([models[m][1]] * d + [1e-9])
+            step = np.zeros(d + 1)
+            step[keep] = np.linalg.solve((h + np.diag(pull))[np.ix_(keep, keep)], (np.array(g) + pull * w)[keep])
+            out.append((w - step, float(np.abs(step).max())))
+        return pd.DataFrame(out, columns=["w", "step"])
+
+    return solve
+
+
+def fit_models(rows: DataFrame, by: list[str], models: dict[str, tuple[list[str], float]], y: str = "y", rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """Logistic models, all of them for all groups at once: model, by, mean, std, coef, intercept.
+
+    models: name -> its features and their penalty. Every round is one
+    aggregation, the sums of a Newton step by group and model, and one small
+    solve per row of its result; groups whose step falls below the tolerance
+    leave, and so does everything after rounds. coef follows the features of all
+    models in order of first mention, 0 where a model lacks one. Groups of one
+    class give no rows.
     """
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    names = list(dict.fromkeys(f for own, _ in models.values() for f in own))
+    d = len(names)
+    data = rows.select(*by, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)], F.col(y).cast("double").alias("y"))
+    moments = [F.array(*[f(f"x{i}") for i in range(d)]).alias(n) for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]
+    stats = data.groupBy(*by).agg(F.count("y").alias("n"), F.sum("y").alias("pos"), *moments).where("pos > 0 AND pos < n")
+    stats = settle(stats.select(*by, "mean", F.transform("dev", lambda s: F.when(s < 1e-12, 1.0).otherwise(s)).alias("std")))
+    met = meet(data, stats, by)
+    z = F.array(*[(F.col(f"x{i}") - F.get("mean", F.lit(i))) / F.get("std", F.lit(i)) for i in range(d)])
+    table = settle(met.select(*by, "y", z.alias("z")))
+    state = stats.select(*by, F.explode(F.array(*map(F.lit, models))).alias("model"), F.array_repeat(F.lit(0.0), d + 1).alias("w"))
+    p, bends, slopes = _sums(d)
+    solve, done = _solver(models, names), None
+    for _ in range(rounds):
+        joined = meet(table, state, by).withColumn("p", p)
+        sums = joined.groupBy(*by, "model").agg(bends.alias("bends"), slopes.alias("slopes"), F.first("w").alias("w"))
+        moved = settle(sums.select(*by, "model", solve("model", "bends", "slopes", "w").alias("s")).select(*by, "model", "s.w", "s.step"))
+        still = moved.where(F.col("step") >= tolerance)
+        ready = moved.where(F.col("step") < tolerance).drop("step")
+        state = still.drop("step")
+        done = ready if done is None else done.unionByName(ready)
+        if still.isEmpty():
+            break
+    else:
+        done = state if done is None else done.unionByName(state)
+    fitted = meet(done, stats, by)
+    return settle(fitted.select("model", *by, "mean", "std", F.slice("w", 1, d).alias("coef"), F.get("w", F.lit(d)).alias("intercept")))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf[y].nunique() < 2:
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in [*by, "mean", "std", "coef", "intercept"]})
-        m = Calibrator.fit(pdf[features].to_numpy(), pdf[y].to_numpy(), features, l2)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "mean": m.mean, "std": m.std, "coef": m.coef, "intercept": m.intercept}])
 
-    return rows.select(*by, *[F.col(f).cast("double").alias(f) for f in features], y).groupBy(*by).applyInPandas(fit, f"{kinds}, mean array<double>, std array<double>, coef array<double>, intercept double")
+def fit_groups(rows: DataFrame, by: list[str], features: list[str], y: str = "y", l2: float = 1.0) -> DataFrame:
+    """One model per group: by, mean, std, coef (arrays), intercept. Groups of one class give no row."""
+    return fit_models(rows, by, {"": (list(features), l2)}, y).drop("model")
 
 
 def score_groups(rows: DataFrame, models: DataFrame, by: list[str], features: list[str], into: str = "score") -> DataFrame:
-    """rows of groups that have a model, with their probability."""
+    """rows of groups that have a model, with their probability; a feature of coefficient 0 may be null."""
     z = F.col("intercept")
     for i, f in enumerate(features):
-        z = z + F.get("coef", F.lit(i)) * ((F.col(f) - F.get("mean", F.lit(i))) / F.get("std", F.lit(i)))
-    return rows.join(models, by).withColumn(into, sigmoid(z)).drop("mean", "std", "coef", "intercept")
+        part = F.get("coef", F.lit(i)) * ((F.col(f) - F.get("mean", F.lit(i))) / F.get("std", F.lit(i)))
+        z = z + F.when(F.get("coef", F.lit(i)) == 0, 0.0).otherwise(part)
+    return meet(rows, models, by).withColumn(into, sigmoid(z)).drop("mean", "std", "coef", "intercept")
 
 
 @dataclass

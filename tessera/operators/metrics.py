@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from .settle import settle
 
 
-def _join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """On the grouping columns, or the one-row table beside every row where there are none."""
-    return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
+def meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """On the grouping columns, null groups among them, or the one-row table beside every row where there are none."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({c: f"__{c}" for c in by})
+    on = [left[c].eqNullSafe(named[f"__{c}"]) for c in by]
+    return left.join(named, on, how).drop(*[f"__{c}" for c in by])
 
 
 def running(rows: DataFrame, by: list[str], key: str, values: dict[str, str], down: bool = False) -> DataFrame:
@@ -43,7 +47,7 @@ def _profile(rows: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
     """by, threshold, n and e there, n_answered, n_errors, n_total."""
     each = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(y)).cast("long").alias("e"))
     total = rows.groupBy(*by).agg(F.count("*").alias("n_total"))
-    return _join(running(each, by, "threshold", {"n_answered": "n", "n_errors": "e"}, down=True), total, by)
+    return meet(running(each, by, "threshold", {"n_answered": "n", "n_errors": "e"}, down=True), total, by)
 
 
 def risk_profile(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
@@ -74,7 +78,7 @@ def oracle_aurc(rows: DataFrame, by: list[str] | None = None, y: str = "y") -> D
 
 def eaurc(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     by = by or []
-    return _join(aurc(rows, by, score, y), oracle_aurc(rows, by, y), by).withColumn("eaurc", F.col("aurc") - F.col("oracle_aurc"))
+    return meet(aurc(rows, by, score, y), oracle_aurc(rows, by, y), by).withColumn("eaurc", F.col("aurc") - F.col("oracle_aurc"))
 
 
 def brier(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:

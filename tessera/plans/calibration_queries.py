@@ -181,7 +181,7 @@ def _tracks(spark, sf_dir):
     return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10, index=i), "hybrid")))
 
 
-_TRACKS = f"""{sql.HYBRID}, {GOLD}, tracks AS (SELECT 'sparse' AS track, query_id, pos, rank, score FROM sparse WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, pos, rank, score FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, pos, rank, score FROM fused WHERE rank <= 10),
+TRACKS = f"""{sql.HYBRID}, {GOLD}, tracks AS (SELECT 'sparse' AS track, query_id, pos, rank, score FROM sparse WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, pos, rank, score FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, pos, rank, score FROM fused WHERE rank <= 10),
 per AS (SELECT t.track, g.query_id, count(*) AS g, min(x.rank) AS best, count(*) FILTER (x.rank <= 1) AS in1, count(*) FILTER (x.rank <= 3) AS in3, count(*) FILTER (x.rank <= 5) AS in5, count(*) FILTER (x.rank <= 10) AS in10
   FROM gold g CROSS JOIN (SELECT DISTINCT track FROM tracks) t LEFT JOIN tracks x ON x.track = t.track AND x.query_id = g.query_id AND x.pos = g.pos GROUP BY ALL),
 m AS (SELECT track, query_id, unnest([{{'m': 'hit@1', 'v': (in1 > 0)::INT::DOUBLE}}, {{'m': 'hit@3', 'v': (in3 > 0)::INT::DOUBLE}}, {{'m': 'hit@5', 'v': (in5 > 0)::INT::DOUBLE}}, {{'m': 'hit@10', 'v': (in10 > 0)::INT::DOUBLE}}, {{'m': 'mrr@10', 'v': coalesce(1.0::DOUBLE / best, 0)}},
@@ -197,14 +197,14 @@ def _scores(spark, sf_dir):
     return out
 
 
-@register("ranking_metrics", f"WITH {_TRACKS[5:]} SELECT track, u.m AS metric, round(avg(u.v), 6) AS value, count(*) AS n FROM m GROUP BY ALL")
+@register("ranking_metrics", f"WITH {TRACKS[5:]} SELECT track, u.m AS metric, round(avg(u.v), 6) AS value, count(*) AS n FROM m GROUP BY ALL")
 def ranking_metrics(spark, sf_dir):
     return _scores(spark, sf_dir).groupBy("track", "metric").agg(F.round(F.avg("value"), 6).alias("value"), F.count("*").alias("n"))
 
 
 @register(
     "ranking_metrics_by_category",
-    f"WITH {_TRACKS[5:]}, c AS (SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS category FROM benchmark) SELECT track, u.m AS metric, category, round(avg(u.v), 6) AS value, count(*) AS n FROM m JOIN c USING (query_id) GROUP BY GROUPING SETS ((track, u.m), (track, u.m, category))",
+    f"WITH {TRACKS[5:]}, c AS (SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS category FROM benchmark) SELECT track, u.m AS metric, category, round(avg(u.v), 6) AS value, count(*) AS n FROM m JOIN c USING (query_id) GROUP BY GROUPING SETS ((track, u.m), (track, u.m, category))",
 )
 def ranking_by_category(spark, sf_dir):
     kind = questions(spark, sf_dir).select("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("category"))
@@ -214,7 +214,7 @@ def ranking_by_category(spark, sf_dir):
 
 @register(
     "track_deltas",
-    f"WITH {_TRACKS[5:]}, a AS (SELECT query_id, u.m AS metric, u.v AS v FROM m WHERE track = 'sparse'), b AS (SELECT query_id, u.m AS metric, u.v AS v FROM m WHERE track = 'hybrid') SELECT metric, round(avg(b.v - a.v), 6) AS delta, count(*) AS n FROM a JOIN b USING (query_id, metric) GROUP BY metric",
+    f"WITH {TRACKS[5:]}, a AS (SELECT query_id, u.m AS metric, u.v AS v FROM m WHERE track = 'sparse'), b AS (SELECT query_id, u.m AS metric, u.v AS v FROM m WHERE track = 'hybrid') SELECT metric, round(avg(b.v - a.v), 6) AS delta, count(*) AS n FROM a JOIN b USING (query_id, metric) GROUP BY metric",
 )
 def track_deltas(spark, sf_dir):
     s = _scores(spark, sf_dir)
@@ -225,7 +225,7 @@ def track_deltas(spark, sf_dir):
 
 @register(
     "top1_by_answerability",
-    f"""WITH {_TRACKS[5:]}, t1 AS (SELECT t.track, q.query_id, x.score, q.query_id IN (SELECT query_id FROM gold) AS answerable FROM queries q CROSS JOIN (SELECT DISTINCT track FROM tracks) t LEFT JOIN tracks x ON x.track = t.track AND x.query_id = q.query_id AND x.rank = 1),
+    f"""WITH {TRACKS[5:]}, t1 AS (SELECT t.track, q.query_id, x.score, q.query_id IN (SELECT query_id FROM gold) AS answerable FROM queries q CROSS JOIN (SELECT DISTINCT track FROM tracks) t LEFT JOIN tracks x ON x.track = t.track AND x.query_id = q.query_id AND x.rank = 1),
 p AS (SELECT a.track, avg(CASE WHEN round(coalesce(a.score, '-Infinity'::DOUBLE), 9) > round(coalesce(b.score, '-Infinity'::DOUBLE), 9) THEN 1.0 WHEN round(coalesce(a.score, '-Infinity'::DOUBLE), 9) = round(coalesce(b.score, '-Infinity'::DOUBLE), 9) THEN 0.5 ELSE 0 END) AS auroc FROM t1 a JOIN t1 b ON a.track = b.track AND a.answerable AND NOT b.answerable GROUP BY a.track)
 SELECT track, round(avg(score) FILTER (answerable), 6) AS mean_answerable, round(avg(score) FILTER (NOT answerable), 6) AS mean_unanswerable, round(any_value(auroc), 6) AS auroc FROM t1 LEFT JOIN p USING (track) GROUP BY track""",
 )
@@ -241,7 +241,7 @@ def top1_by_answerability(spark, sf_dir):
     return means.join(area, "track").select("track", *r6("mean_answerable", "mean_unanswerable", "auroc"))
 
 
-@register("candidate_recall", f"WITH {_TRACKS[5:]} SELECT round(avg(r), 6) AS candidate_recall FROM (SELECT g.query_id, count(f.pos)::DOUBLE / count(*) AS r FROM gold g LEFT JOIN (SELECT query_id, pos FROM fused WHERE rank <= 50) f USING (query_id, pos) GROUP BY g.query_id)")
+@register("candidate_recall", f"WITH {TRACKS[5:]} SELECT round(avg(r), 6) AS candidate_recall FROM (SELECT g.query_id, count(f.pos)::DOUBLE / count(*) AS r FROM gold g LEFT JOIN (SELECT query_id, pos FROM fused WHERE rank <= 50) f USING (query_id, pos) GROUP BY g.query_id)")
 def candidate_recall(spark, sf_dir):
     hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 50, index=index(spark, sf_dir))
     return metrics.candidate_recall(hits, gold(spark, sf_dir)).select(*r6("candidate_recall"))

@@ -14,6 +14,7 @@ from ..sources import store
 from . import sql
 from .calibration_queries import S, scored
 from .registry import register
+from .run_queries import dealt_sql
 from .retrieval_queries import corpus, questions
 
 # ---- chunks -----------------------------------------------------------------
@@ -119,17 +120,61 @@ def feature_scales(spark, sf_dir):
     return t.select("lang", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@register("fitted_models", f"WITH {S}, g AS (SELECT lang FROM s GROUP BY lang HAVING count(DISTINCT y) = 2) SELECT lang, unnest(['score', 'square', 'intercept']) AS feature, 0.0::DOUBLE AS slope FROM g")
+_STANDARD = "(score - avg(score) OVER g) / CASE WHEN stddev_pop(score) OVER g < 1e-12 THEN 1 ELSE stddev_pop(score) OVER g END AS z0, (square - avg(square) OVER g) / CASE WHEN stddev_pop(square) OVER g < 1e-12 THEN 1 ELSE stddev_pop(square) OVER g END AS z1"
+
+
+@register(
+    "fitted_models",
+    f"""WITH {S}, {_FIELDS}, {sql.newton(f"SELECT lang, y, {_STANDARD} FROM f WINDOW g AS (PARTITION BY lang) QUALIFY avg(y) OVER g > 0 AND avg(y) OVER g < 1", "lang", 2, "1.0::DOUBLE")}
+SELECT lang, unnest(['score', 'square', 'intercept']) AS feature, round(unnest([w0, w1, w2]), 5) + 0.0 AS coef FROM w12_""",
+)
 def fitted_models(spark, sf_dir):
-    """Logistic models per language: the slope of the penalised likelihood at what was fitted, which is 0 at its only maximum."""
-    rows, names = _fields(spark, sf_dir), ["score", "square"]
-    models = calibrate.fit_groups(rows, ["lang"], names)
-    p = calibrate.score_groups(rows.select("lang", "y", *names), models, ["lang"], names, into="p").join(models, "lang")
-    z = lambda i, n: (F.col(n) - F.get("mean", F.lit(i))) / F.get("std", F.lit(i))
-    parts = [F.struct(F.lit(n).alias("feature"), ((F.col("p") - F.col("y")) * z(i, n)).alias("g"), F.get("coef", F.lit(i)).alias("pull")) for i, n in enumerate(names)]
-    parts.append(F.struct(F.lit("intercept").alias("feature"), (F.col("p") - F.col("y")).alias("g"), F.lit(0.0).alias("pull")))
-    slope = p.select("lang", F.explode(F.array(*parts)).alias("x")).groupBy("lang", "x.feature").agg((F.sum("x.g") + F.first("x.pull")).alias("slope"))
-    return slope.select("lang", "feature", (F.round("slope", 4) + 0.0).alias("slope"))
+    """Logistic models per language with a penalty of 1, over standardised features."""
+    names = ["score", "square"]
+    models = calibrate.fit_groups(_fields(spark, sf_dir), ["lang"], names)
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.get("coef", F.lit(i)).alias("coef")) for i, n in enumerate(names)], F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("coef")))
+    return models.select("lang", F.explode(each).alias("x")).select("lang", "x.feature", (F.round("x.coef", 5) + 0.0).alias("coef"))
+
+
+_LABELLED = f"WITH {S}, {dealt_sql('SELECT item, lang AS category FROM s')}, x AS MATERIALIZED (SELECT model, l2, split_id, item, fold, y, score FROM dealt JOIN s USING (item), (SELECT unnest(['combined', 'platt_rrf_top1']) AS model, unnest([1.0::DOUBLE, 1e-6]) AS l2))"
+_FIT = f"""{_LABELLED}, moments AS (SELECT model, split_id, avg(score) AS mean, CASE WHEN stddev_pop(score) < 1e-12 THEN 1 ELSE stddev_pop(score) END AS dev FROM x WHERE fold = 'train' GROUP BY ALL HAVING avg(y) > 0 AND avg(y) < 1),
+{sql.newton("SELECT model, split_id, l2, y, (score - mean) / dev AS z0 FROM x JOIN moments USING (model, split_id) WHERE fold = 'train'", "model, split_id", 1, "any_value(l2)")},
+scored AS MATERIALIZED (SELECT model, split_id, fold, item, y, 0.5 * (1 + tanh(0.5 * (w0 * (score - mean) / dev + w1))) AS score FROM x JOIN moments USING (model, split_id) JOIN w12_ USING (model, split_id))"""
+
+
+def _split_items(spark, sf_dir):
+    """Labelled documents as items of a benchmark: their language is the category, one signal says how safe they are."""
+    return scored(spark, sf_dir).select("item", F.col("lang").alias("category"), "y", F.col("score").alias("rrf_top1"))
+
+
+@register(
+    "split_model_metrics",
+    f"""{_FIT}, test AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model, split_id, score) - 1) / 2.0::DOUBLE AS mid FROM scored WHERE fold = 'test' WINDOW w AS (PARTITION BY model, split_id ORDER BY score)),
+a AS (SELECT model, split_id, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(mid) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END AS auroc, avg((score - y) ** 2) AS brier FROM test GROUP BY ALL),
+e AS (SELECT model, split_id, sum(gap) / any_value(n) AS ece FROM (SELECT model, split_id, abs(sum(score) - sum(y)) AS gap, sum(count(*)) OVER (PARTITION BY model, split_id) AS n FROM test GROUP BY model, split_id, least(floor(score * 10), 9)) GROUP BY ALL),
+v AS (SELECT model, unnest(['auroc', 'brier', 'ece']) AS metric, unnest([auroc, brier, ece]) AS v FROM a JOIN e USING (model, split_id))
+SELECT model, metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.05), 5) AS p05, round(quantile_cont(v, 0.95), 5) AS p95, count(v) AS n FROM v GROUP BY ALL""",
+)
+def split_model_metrics(spark, sf_dir):
+    """Models fitted on the training folds of 200 splits, measured on the test folds."""
+    rows = _split_items(spark, sf_dir)
+    t = benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), ["rrf_top1"])["metrics"]
+    return t.where(F.col("metric").isin("auroc", "brier", "ece")).select("model", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
+
+
+@register(
+    "split_model_thresholds",
+    f"""{_FIT}, c AS (SELECT model, split_id, score AS threshold, sum(n) OVER w AS n_answered, sum(e) OVER w AS n_errors FROM (SELECT model, split_id, score, count(*) AS n, sum(1 - y) AS e FROM scored WHERE fold = 'cal' GROUP BY ALL) WINDOW w AS (PARTITION BY model, split_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+al AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.2]) AS alpha),
+t AS (SELECT model, split_id, alpha, min(threshold) FILTER (n_errors / n_answered <= alpha + 1e-12) AS tau FROM c, al GROUP BY ALL),
+o AS (SELECT model, alpha, t.split_id, avg((x.score >= t.tau)::INT) AS coverage, avg(1 - x.y) FILTER (x.score >= t.tau) AS risk, t.tau IS NULL AS none FROM t JOIN (SELECT * FROM scored WHERE fold = 'test') x USING (model, split_id) GROUP BY model, alpha, t.split_id, t.tau)
+SELECT model, alpha, count(*) AS n_splits, round(avg(coalesce(coverage, 0)), 5) AS test_coverage, round(avg(risk), 5) AS test_risk, round(avg(CASE WHEN coverage > 0 AND risk > alpha + 1e-12 THEN 1 ELSE 0 END), 5) AS violation_rate, round(avg(none::INT), 5) AS abstain_all_rate FROM o GROUP BY ALL""",
+)
+def split_model_thresholds(spark, sf_dir):
+    """Thresholds of empirical risk from the calibration folds of 200 splits, and what they do on the test folds."""
+    rows = _split_items(spark, sf_dir)
+    t = benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), ["rrf_top1"])["thresholds"].where("method = 'erm'")
+    return t.select("model", "alpha", "n_splits", *[F.round(c, 5).alias(c) for c in ("test_coverage", "test_risk", "violation_rate", "abstain_all_rate")])
 
 
 @register(
@@ -144,7 +189,7 @@ def top_signals(spark, sf_dir):
     return rows.select("item", F.posexplode(m.signals(3)).alias("at", "x")).select("item", (F.col("at") + 1).alias("rank"), "x.name", (F.round("x.effect", 6) + 0.0).alias("effect"))
 
 
-_SPLITS = 20
+_SPLITS = 200
 _FOLD = "('0x' || substr(md5(s.item || '/' || k), 1, 4))::INT % 3"
 
 
@@ -182,10 +227,8 @@ SELECT category, fold, (fl + CASE WHEN rn <= extra THEN 1 ELSE 0 END)::BIGINT AS
 )
 def split_sizes(spark, sf_dir):
     """Every one of 200 stratified splits deals each category out by the same largest remainders, each item once."""
-    from .run_queries import _splits
-
     kind = questions(spark, sf_dir).select(F.col("query_id").alias("item"), F.when(F.length("text") < 200, "short").otherwise("long").alias("category"))
-    per = _splits(spark, kind).join(kind, "item").groupBy("split_id", "category", "fold").agg(F.countDistinct("item").alias("n"))
+    per = benchmark.stratified_splits(kind).join(kind, "item").groupBy("split_id", "category", "fold").agg(F.countDistinct("item").alias("n"))
     return per.groupBy("category", "fold", "n").agg(F.count("*").alias("n_splits"))
 
 

@@ -97,3 +97,47 @@ scored AS (SELECT *, -5 + 6 * coverage + 3 * proximity + 2 * bigram + fuzzy AS l
 reranked AS (SELECT f.*, logit, row_number() OVER (PARTITION BY f.query_id ORDER BY round(logit, 9) DESC, f.rank) AS final_rank FROM scored s JOIN fused f USING (query_id, pos))
 """
 RERANKED = f"{HYBRID}, {FEATURES}"
+
+
+def drawn(rows: str, by: str, times: int = 1000, seed: int = 0) -> str:
+    """CTEs that end in `picked`: per resample the rows drawn from groups of one block.
+
+    rows: a query of the columns in by, i (place from 0) and m (rows of the
+    group). picked has by, r and i.
+    """
+    from ..operators.resample import MULTIPLIERS, block_key
+
+    wide = lambda shift, factor: f"((xor(x, x >> {shift})::UHUGEINT * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""numbered AS MATERIALIZED ({rows}),
+sizes AS (SELECT DISTINCT {by}, m FROM numbered),
+x0 AS (SELECT {by}, m, r, xor({block_key(seed, 0)}::UBIGINT, (r * 4294967296 + j)::UBIGINT) AS x FROM (SELECT *, unnest(range(m)) AS j FROM (SELECT *, unnest(range({times})) AS r FROM sizes))),
+x1 AS (SELECT {by}, m, r, {wide(30, MULTIPLIERS[0])} AS x FROM x0),
+x2 AS (SELECT {by}, m, r, {wide(27, MULTIPLIERS[1])} AS x FROM x1),
+picked AS (SELECT {by}, r, (xor(x, x >> 31) % m::UBIGINT)::BIGINT AS i FROM x2)"""
+
+
+def newton(data: str, by: str, d: int, l2: str, steps: int = 12) -> str:
+    """CTEs that end in w{steps} (by, w0 ... w{d}): penalised logistic fits by Newton steps, for one or two features.
+
+    data: a query of by, y and z0 ... z{d-1}, standardised; l2: an expression of
+    the penalty.
+    """
+    z = [f"z{i}" for i in range(d)] + ["1"]
+    logit = " + ".join(f"w{i} * {x}" for i, x in enumerate(z))
+    pull = [l2] * d + ["1e-9::DOUBLE"]
+    sums = ", ".join([f"sum(p * (1 - p) * {z[i]} * {z[j]}) + {pull[i] if i == j else 0} AS h{i}{j}" for i in range(d + 1) for j in range(i, d + 1)] + [f"sum((p - y) * {z[i]}) + {pull[i]} * any_value(w{i}) AS g{i}" for i in range(d + 1)] + [f"any_value(w{i}) AS w{i}" for i in range(d + 1)])
+    if d == 1:
+        moves = ["(g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01)", "(g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01)"]
+    else:
+        det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+        moves = [
+            f"(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det}",
+            f"(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det}",
+            f"(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det}",
+        ]
+    out = [f"data AS MATERIALIZED ({data})", f"w0_ AS (SELECT DISTINCT {by}, {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(d + 1))} FROM data)"]
+    for k in range(1, steps + 1):
+        out.append(f"p{k}_ AS (SELECT *, 0.5 * (1 + tanh(0.5 * ({logit}))) AS p FROM data JOIN w{k - 1}_ USING ({by}))")
+        out.append(f"s{k}_ AS (SELECT {by}, {sums} FROM p{k}_ GROUP BY {by})")
+        out.append(f"w{k}_ AS MATERIALIZED (SELECT {by}, {', '.join(f'w{i} - {m} AS w{i}' for i, m in enumerate(moves))} FROM s{k}_)")
+    return ",\n".join(out)

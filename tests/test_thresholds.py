@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import benchmark, calibrate, metrics, thresholds
+from tessera.functions import numeric
+from tessera.operators import benchmark, calibrate, metrics, resample, thresholds
 
 
 def rows(spark, scores, labels):
@@ -96,21 +97,64 @@ def test_calibrator_and_policy(spark, tmp_path):
         calibrate.Calibrator.fit(both, np.ones(200), ["a", "b", "c"])
 
 
-def test_splits_and_benchmarks(spark):
+def dealt(spark, cats, n_splits, seed=0):
+    return benchmark.stratified_splits(spark.createDataFrame(list(enumerate(cats)), "item long, category string"), n_splits, seed)
+
+
+def test_splits(spark):
+    cats = ["a"] * 50 + ["b"] * 20 + ["c"] * 29 + [None]
+    first = dealt(spark, cats, 3, 7).toPandas()
+    assert len(first) == 300 and not first.duplicated(["split_id", "item"]).any()
+    for c, n in (("a", 50), ("b", 20), ("c", 29), (None, 1)):
+        own = first[[cats[i] == c for i in first["item"]]]
+        for _, part in own.groupby("split_id"):
+            sizes = part["fold"].value_counts()
+            assert [sizes.get(f, 0) for f in ("train", "cal", "test")] == numeric.allocate(n, [0.4, 0.3, 0.3])
+    again = dealt(spark, cats, 3, 7).toPandas()
+    key = ["split_id", "item"]
+    assert (first.sort_values(key)["fold"].to_numpy() == again.sort_values(key)["fold"].to_numpy()).all()
+    other = dealt(spark, cats, 3, 8).toPandas()
+    assert (first.sort_values(key)["fold"].to_numpy() != other.sort_values(key)["fold"].to_numpy()).mean() > 0.3
+    # every item is in the training fold of about its share of many splits
+    many = dealt(spark, cats[:99], 400).where("fold = 'train'").groupBy("item").count().toPandas()["count"]
+    assert abs(many.mean() / 400 - 0.4) < 0.01 and many.min() > 110 and many.max() < 210
+    assert benchmark.stratified_splits(spark.createDataFrame([], "item long, category string"), 2).count() == 0
+
+
+def test_models_of_many_groups_equal_newton_on_one_machine(spark):
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"g": rng.integers(0, 5, 600), "a": rng.normal(size=600), "b": rng.normal(2, 3, 600), "c": 1.0})
+    rows["y"] = (rows["a"] - 0.2 * rows["b"] + rng.normal(size=600) > 0).astype(int)
+    rows.loc[rows["g"] == 4, "y"] = 1  # one class: no model
+    models = {"all": (["a", "b", "c"], 1.0), "b": (["b"], 1e-6), "none": (["c"], 1.0)}
+    got = {(r["model"], r["g"]): r for r in calibrate.fit_models(spark.createDataFrame(rows), ["g"], models).collect()}
+    assert set(got) == {(m, g) for m in models for g in range(4)}
+    for (m, g), r in got.items():
+        own = rows[rows["g"] == g]
+        names, l2 = models[m]
+        want = calibrate.Calibrator.fit(own[names].to_numpy(), own["y"].to_numpy(), names, l2)
+        coef = dict(zip("abc", r["coef"], strict=True))
+        assert [coef[n] for n in names] == pytest.approx(want.coef, abs=1e-7) and r["intercept"] == pytest.approx(want.intercept, abs=1e-7)
+        assert all(coef[n] == 0 for n in "abc" if n not in names)
+    alone = calibrate.fit_groups(spark.createDataFrame(rows[rows["g"] == 0]), [], ["a", "b"]).first()
+    assert alone["coef"] == pytest.approx(got["all", 0]["coef"][:2], abs=1e-6)
+    assert calibrate.fit_groups(spark.createDataFrame(rows[rows["g"] == 4]), ["g"], ["a"]).count() == 0
+    # separable labels: the penalty keeps the weights finite
+    apart = spark.createDataFrame([(1, float(i), int(i >= 20)) for i in range(40)], "g int, a double, y int")
+    assert 1 < calibrate.fit_models(apart, ["g"], {"m": (["a"], 1e-6)}).first()["coef"][0] < 1e4
+
+
+def test_benchmarks(spark):
     cats = ["a"] * 50 + ["b"] * 20 + ["c"] * 30
-    split = benchmark.stratified_splits(cats, 3, 7)
-    assert [len(f) for f in split[0]] == [40, 30, 30]
-    again = benchmark.stratified_splits(cats, 3, 7)
-    assert all((a == b).all() for x, y in zip(split, again, strict=True) for a, b in zip(x, y, strict=True))
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 100)
     items = pd.DataFrame({"item": range(100), "category": cats, "y": y, "dense_top1": y + rng.normal(0, 0.7, 100), "rrf_top1": rng.normal(0, 1, 100)})
-    tables = benchmark.abstention_benchmark(spark.createDataFrame(items), benchmark.splits_table(spark, cats, 5, 0), ["dense_top1", "rrf_top1"])
+    tables = benchmark.abstention_benchmark(spark.createDataFrame(items), dealt(spark, cats, 5), ["dense_top1", "rrf_top1"])
     m = {(r["model"], r["metric"]): r["mean"] for r in tables["metrics"].collect()}
     assert m["combined", "auroc"] > 0.7 > m["platt_rrf_top1", "auroc"] and m["combined", "eaurc"] >= 0
     t = tables["thresholds"].collect()
     assert len(t) == 3 * 3 * 2 and all(0 <= r["violation_rate"] <= 1 for r in t)
-    policy = benchmark.fit_policy(items, ["dense_top1", "rrf_top1"], "ltt", 0.4, 0.1, 0, spark)
+    policy = benchmark.fit_policy(spark.createDataFrame(items), ["dense_top1", "rrf_top1"], "ltt", 0.4, 0.1)
     assert policy.meta["guarantee"] == "P(risk <= 0.4) >= 0.9"
 
 
@@ -124,7 +168,7 @@ def test_end_to_end_tables(spark):
             good = bool(ok and rng.random() < 0.8)
             out.append((i, reader, cats[i], ok, reader == "forced" or bool(rng.random() < 0.7), good, float(good), float(good) + rng.normal(0, 0.3)))
     items = spark.createDataFrame(out, "item long, reader string, category string, answerable boolean, answered boolean, correct boolean, f1 double, dense_top1 double")
-    t = benchmark.e2e_benchmark(items, benchmark.splits_table(spark, cats, 4, 0), ["dense_top1"], (0.2, 0.3))
+    t = benchmark.e2e_benchmark(items, dealt(spark, cats, 4), ["dense_top1"], (0.2, 0.3))
     s = {(r["system"], r["metric"]): r["mean"] for r in t["systems"].collect()}
     assert s["standard", "coverage"] == 1 and s["selective[erm,alpha=0.3]", "selective_risk"] < s["standard", "selective_risk"]
     assert t["by_category"].count() == 4 and t["catches"].where("catch_rate between 0 and 1").count() > 0
@@ -142,6 +186,38 @@ def test_bootstrap(spark):
     assert out["s"] == 1 and out["t"] == 0.5 and out["delta"] == -0.5
 
 
+def test_resamples_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 40)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("item"), (F.col("id") % 10).cast("double").alias("value"))
+    placed, blocks = resample._blocks(rows, ["g"], "item")
+    assert blocks.count() > 60 and blocks.agg(F.max("rows")).first()[0] < 100
+    n = resample.resample_counts(rows, ["g"], times=60, seed=5).toPandas()
+    assert (n.groupby(["g", "resample"])["n"].sum() == 1500).all() and n["n"].min() == 1
+    per = n.groupby("item")["n"].sum()
+    assert len(per) == 3000 and abs(per.mean() - 60) < 1e-9 and 50 < per.var() < 70  # a count is binomial with mean 1
+    share = n.groupby("resample").size() / 3000
+    assert abs(share.mean() - (1 - np.exp(-1))) < 0.01
+    again = resample.resample_counts(rows.repartition(7), ["g"], times=60, seed=5).toPandas()
+    key = ["g", "item", "resample"]
+    assert n.sort_values(key)["n"].tolist() == again.sort_values(key)["n"].tolist()
+    got = resample.bootstrap_mean(rows, ["g"]).collect()
+    for r in got:
+        width = 1.96 * np.sqrt(8.0 / 1500)  # even or odd digits: variance 8
+        assert abs(r["hi"] - r["mean"] - width) < 0.2 * width and abs(r["mean"] - r["lo"] - width) < 0.2 * width
+    one = resample.bootstrap_mean(rows.drop("g"), [], times=200).first()
+    assert one["mean"] == 4.5 and one["lo"] < 4.5 < one["hi"]
+
+
+def test_resamples_with_nulls_and_empty_groups(spark):
+    v = spark.createDataFrame([("a", 1, None), ("b", 1, 2.0), ("b", 2, None), (None, 1, 3.0)], "g string, item long, value double")
+    got = {r["g"]: (r["mean"], r["lo"], r["hi"]) for r in resample.bootstrap_mean(v, ["g"], times=20).collect()}
+    assert got["a"] == (None, None, None) and got["b"] == (2.0, 2.0, 2.0) and got[None] == (3.0, 3.0, 3.0)
+    a = spark.createDataFrame([("x", 1, 1, 0.5), ("x", 2, 1, 0.7)], "g string, item long, y int, s double")
+    r = resample.bootstrap_auroc(a, ["g"], ["s"], times=20).first()
+    assert (r["auroc"], r["lo"], r["hi"]) == (None, None, None)
+    assert resample.bootstrap_mean(v.limit(0), ["g"]).count() == 0
+
+
 def test_running_sums_without_groups(spark):
     """Dealt by range over many partitions, equal to one sum from the top."""
     rows = spark.range(500).select((F.pmod(F.xxhash64("id"), F.lit(1000003)) / 7).alias("k"), (F.col("id") % 5).alias("n"))
