@@ -7,7 +7,6 @@ import json
 import os
 import sys
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +60,9 @@ def generate(args, spark: SparkSession) -> int:
         drafts = factbase.template_items(factbase.linked(table, docs, rows), rows, quotas, args.seed)
     elif args.engine == "written":
         rows = spark.read.parquet(args.chunks)
-        sample = [r.asDict() for r in asked.worth_asking(rows).orderBy(F.xxhash64(F.lit(args.seed), "chunk_id")).select("chunk_id", "doc_id", "title", "text").limit(args.sample).collect()]
         find = models.search_with(rows.select("pos", "text"))
-        search = lambda q, k: [r.asDict() for r in find(spark.createDataFrame([(0, q)], "query_id long, text string"), k).join(rows, "pos").orderBy("rank").select("chunk_id", "text").collect()]
-        writer = asked.QuestionWriter(_client(args), sample, args.seed, search, progress=_progress("questions") if args.progress else None)
-        drafts = spark.createDataFrame(pd.DataFrame(writer.write(quotas)), "category string, question string, gold array<string>, answer string, template string, difficulty string")
+        search = lambda q, k: find(q, k).join(rows.select("pos", "chunk_id", "text"), "pos").select("query_id", "rank", "chunk_id", "text")
+        drafts = asked.write_questions(rows, _client(args), quotas, args.seed, search, progress=_progress("questions") if args.progress else None).drafts
     else:
         rows = spark.read.parquet(args.chunks)
         drafts = evalset.extractive_items(rows, quotas, args.seed)
@@ -298,7 +295,6 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--seed", type=int, default=42)
     s.add_argument("--engine", choices=["extractive", "facts", "written"], default="extractive")
     s.add_argument("--reports", type=int, default=50, help="engine facts: reports to make up")
-    s.add_argument("--sample", type=int, default=500, help="engine written: chunks to ask about")
     s.add_argument("--progress", action="store_true")
     _model_flags(s)
     for c, n in evalset.QUOTAS.items():

@@ -1,17 +1,25 @@
-"""Evaluation questions written by a language model, kept only where their evidence holds and a judge agrees."""
+"""Evaluation questions written by a language model, kept only where their evidence holds and a judge agrees.
+
+Attempts, replies, verdicts and rejections are tables: what an attempt rests on
+follows from keyed hashes, requests run in a bounded number of partitions, and
+evidence is held against passages in expressions.
+"""
 
 from __future__ import annotations
 
-import random
-from collections import Counter
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as tx
-from .evalset import CATEGORIES, QUOTAS
+from .evalset import ANSWERABLE, CATEGORIES, QUOTAS
 from .reader import Client, Refusal, first_json
+from .settle import settle
 
 SYSTEM = "You write questions for testing a system that answers from documents. Reply with one JSON object and nothing else."
 PROMPTS = {
@@ -55,86 +63,198 @@ def parsed(reply: str, kind: str) -> dict:
     return out
 
 
-class Rejected(Exception):
-    """A reply that can't be used, with the reason that tallies go by."""
+@dataclass
+class Written:
+    """Questions that were kept, and every attempt with what became of it.
+
+    drafts: category, question, gold, answer, template, difficulty, as
+    evalset.assemble takes them. attempts: category, attempt, passages (chunk
+    ids), reply, question, answer, reason; reason is null where it held.
+    """
+
+    drafts: DataFrame
+    attempts: DataFrame
+
+    def tallies(self) -> dict[str, int]:
+        counts = self.attempts.where("reason IS NOT NULL").groupBy("reason").count()
+        return {r["reason"]: r["count"] for r in counts.collect()}
+
+
+# fixed values: the kind of prompt, the kind of reply, the template's name and the difficulty of each category
+KINDS = {
+    "in_domain_factoid": ("factoid", "factoid", "written_factoid", "medium"),
+    "in_domain_reasoning": ("reasoning", "reasoning", "written_reasoning", "hard"),
+    "out_of_domain": ("foreign", "question", "written_foreign", "easy"),
+    "unsupported_fact": ("unsupported", "question", "written_unsupported", "hard"),
+    "subtle_conflict": ("conflict", "question", "written_conflict", "hard"),
+}
+_BASIS = "category string, attempt int, passages array<struct<chunk_id:string,title:string,text:string>>"
+
+
+def bases(chunks: DataFrame, category: str, n: int, seed: int) -> DataFrame:
+    """What each of n attempts at a category rests on: category, attempt, passages.
+
+    Chunks, or for reasoning pairs of neighbours within a document, stand in the
+    order of a keyed hash, and attempt k takes the k-th of them, from the front
+    again where they run out. Questions of other domains rest on nothing.
+    """
+    spark = chunks.sparkSession
+    numbers = spark.range(n).select(F.col("id").cast("int").alias("attempt"))
+    if category == "out_of_domain":
+        return numbers.select(F.lit(category).alias("category"), "attempt", F.array().cast("array<struct<chunk_id:string,title:string,text:string>>").alias("passages"))
+    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(category), F.col("chunk_id").cast("string")))
+    one = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("title").cast("string").alias("title"), "text")
+    keyed = worth_asking(chunks).select("doc_id", key.alias("key"), one.alias("one"))
+    if category == "in_domain_reasoning":
+        w = Window.partitionBy("doc_id").orderBy("key")
+        keyed = keyed.withColumn("two", F.lead("one").over(w)).where("two IS NOT NULL").select("key", F.array("one", "two").alias("passages"))
+    else:
+        keyed = keyed.select("key", F.array("one").alias("passages"))
+    first = settle(keyed.orderBy("key").limit(n))
+    place = F.row_number().over(Window.orderBy("key")) - 1  # of at most n rows
+    some = first.count()
+    if not some:
+        return spark.createDataFrame([], _BASIS)
+    return numbers.withColumn("place", F.col("attempt") % some).join(first.withColumn("place", place), "place").select(F.lit(category).alias("category"), "attempt", "passages")
 
 
-def _says(text: str, quote: str) -> bool:
-    flat = lambda s: " ".join(s.lower().split())
-    return bool(quote.strip()) and flat(quote) in flat(text)
+def _prompts(rows: DataFrame) -> DataFrame:
+    """rows of bases with their prompt."""
+    text = lambda i: F.coalesce(F.get("passages", F.lit(i))["text"], F.lit(""))
+    topic = F.get(F.array(*map(F.lit, TOPICS)), F.col("attempt") % len(TOPICS))
+    filled = F.lit(None).cast("string")
+    for category, (kind, *_) in KINDS.items():
+        # the passages are put in last, so that braces of theirs stay what they are
+        parts = re.split(r"(\{\w+\})", PROMPTS[kind])
+        values = {"{title}": F.coalesce(F.get("passages", F.lit(0))["title"], F.lit("")), "{a}": text(0), "{b}": text(1), "{topic}": topic}
+        filled = F.when(F.col("category") == category, F.concat(*[values.get(p, F.lit(p)) for p in parts if p])).otherwise(filled)
+    return rows.withColumn("prompt", filled)
 
 
-class QuestionWriter:
-    """Drafts of every category from chunks (chunk_id, doc_id, title, text), as rows that evalset.assemble takes.
+def ask(rows: DataFrame, client: Client, temperature: float, max_tokens: int, partitions: int) -> DataFrame:
+    """rows (with prompt) and reply, problem: one request per row, as many at once as partitions; stored, so that none is asked twice.
 
-    The chunks are those to ask about, a bounded sample: the writer runs on the
-    driver, one request after the other. search gives passages (chunk_id, text)
-    for a question; with it, a judge must find that questions meant to have no
-    answer have none. progress is told (done, wanted) after every attempt.
+    A refusal or a client's ValueError is a row with the problem; other errors end the run.
     """
+    schema = StructType([*rows.schema.fields, StructField("reply", StringType()), StructField("problem", StringType())])
 
-    def __init__(self, client: Client, chunks: list[dict], seed: int = 0, search: Callable[[str, int], list[dict]] | None = None, temperature: float = 0.7, attempts: int = 4, max_tokens: int = 1024, progress: Callable[[int, int], None] | None = None):
-        self.chunks, self.rng = [c for c in chunks if len(c["text"]) >= LEAST_CHARS] or list(chunks), random.Random(seed)
-        self.client, self.search, self.temperature, self.attempts, self.max_tokens, self.progress = client, search, temperature, attempts, max_tokens, progress
-        self.rejections: Counter[str] = Counter()
-        self.of_doc: dict = {}
-        for c in self.chunks:
-            self.of_doc.setdefault(c["doc_id"], []).append(c)
-
-    def _ask(self, prompt: str, kind: str, temperature: float | None = None) -> dict:
-        return parsed(self.client.complete(SYSTEM, prompt, temperature=self.temperature if temperature is None else temperature, max_tokens=self.max_tokens), kind)
-
-    def factoid(self) -> dict:
-        c = self.rng.choice(self.chunks)
-        got = self._ask(PROMPTS["factoid"].format(title=c["title"], a=c["text"]), "factoid")
-        if not got["answer"].strip() or not _says(c["text"], got["evidence_quote"]):
-            raise Rejected("quote_not_in_passage")
-        return {"question": got["question"], "gold": [c["chunk_id"]], "answer": got["answer"], "template": "written_factoid", "difficulty": "medium"}
-
-    def reasoning(self) -> dict:
-        several = sorted(d for d, cs in self.of_doc.items() if len(cs) > 1)
-        if not several:
-            raise Rejected("no_document_with_two_chunks")
-        a, b = self.rng.sample(self.of_doc[self.rng.choice(several)], 2)
-        got = self._ask(PROMPTS["reasoning"].format(title=a["title"], a=a["text"], b=b["text"]), "reasoning")
-        quotes = got["evidence_quotes"]
-        if not got["answer"].strip() or len(quotes) != 2 or not _says(a["text"], quotes[0]) or not _says(b["text"], quotes[1]):
-            raise Rejected("quote_not_in_passage")
-        return {"question": got["question"], "gold": [a["chunk_id"], b["chunk_id"]], "answer": got["answer"], "template": "written_reasoning", "difficulty": "hard"}
-
-    def unanswerable(self, kind: str) -> dict:
-        c = self.rng.choice(self.chunks) if kind != "foreign" else {"title": "", "text": ""}
-        got = self._ask(PROMPTS[kind].format(title=c["title"], a=c["text"], topic=self.rng.choice(TOPICS)), "question")
-        if self.search:
-            found = self.search(got["question"], 5)
-            passages = "\n\n".join(f"[{x['chunk_id']}] {x['text']}" for x in found)
-            if self._ask(PROMPTS["judge"].format(question=got["question"], passages=passages), "judgement", 0.0)["answerable"]:
-                raise Rejected("judged_answerable")
-        return {"question": got["question"], "gold": [], "answer": tx.ABSTENTION, "template": f"written_{kind}", "difficulty": "easy" if kind == "foreign" else "hard"}
-
-    def write(self, quotas: dict[str, int] | None = None) -> list[dict]:
-        """Drafts that fill the quotas; RuntimeError with the tallies of reasons if some can't be filled."""
-        makers = dict(zip(CATEGORIES, (self.factoid, self.reasoning, *[lambda k=k: self.unanswerable(k) for k in ("foreign", "unsupported", "conflict")]), strict=True))
-        quotas = quotas or QUOTAS
-        out: list[dict] = []
-        seen: set[str] = set()
-        for category, wanted in quotas.items():
-            left = wanted * self.attempts
-            full = len(out) + wanted
-            while len(out) < full:
-                if not left:
-                    raise RuntimeError(f"{category}: {wanted - full + len(out)} of {wanted} questions; rejected: {dict(self.rejections)}")
-                left -= 1
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = []
+            for prompt in batch["prompt"]:
                 try:
-                    draft = makers[category]()
-                    if (key := draft["question"].strip().lower()) in seen:
-                        raise Rejected("asked_before")
-                    seen.add(key)
-                    out.append({"category": category, **draft})
-                except Rejected as e:
-                    self.rejections[str(e)] += 1
+                    said.append((client.complete(SYSTEM, prompt, temperature=temperature, max_tokens=max_tokens), None))
                 except (ValueError, Refusal) as e:
-                    self.rejections[type(e).__name__] += 1
-                if self.progress:
-                    self.progress(len(out), sum(quotas.values()))
-        return out
+                    said.append((None, type(e).__name__))
+            yield batch.assign(reply=[r for r, _ in said], problem=[p for _, p in said])
+
+    return settle(rows.repartition(partitions).mapInPandas(run, schema))
+
+
+def read_reply(kind: Column, reply: str) -> Column:
+    """Fields of replies by their kind (see REPLIES), or what is wrong with them."""
+
+    @F.pandas_udf("struct<question:string,answer:string,quotes:array<string>,answerable:boolean,problem:string>")
+    def read(kinds: pd.Series, replies: pd.Series) -> pd.DataFrame:
+        out = []
+        for kind, reply in zip(kinds, replies, strict=True):
+            try:
+                got = parsed(reply or "", kind)
+                quotes = got.get("evidence_quotes", [got["evidence_quote"]] if "evidence_quote" in got else [])
+                out.append((got.get("question"), got.get("answer"), quotes, got.get("answerable"), None))
+            except ValueError as e:
+                out.append((None, None, [], None, type(e).__name__))
+        return pd.DataFrame(out, columns=["question", "answer", "quotes", "answerable", "problem"])
+
+    return read(kind, reply)
+
+
+def _flat(c):
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+def _holds() -> Column:
+    """Whether every passage holds its own quote, white space and case aside, and none is missing."""
+    pairs = F.zip_with("passages", "quotes", lambda p, q: F.coalesce((F.trim(q) != "") & F.contains(_flat(p["text"]), _flat(q)), F.lit(False)))
+    return (F.size("passages") == F.size("quotes")) & F.forall(pairs, lambda ok: ok)
+
+
+def judged(drafts: DataFrame, client: Client, search: Callable[[DataFrame, int], DataFrame], max_tokens: int, partitions: int) -> DataFrame:
+    """category, attempt, answerable, problem: whether a judge finds the answer in the five passages that a search gives.
+
+    search takes (query_id, text) and gives query_id, rank, chunk_id, text.
+    """
+    asked = settle(drafts.select("category", "attempt", F.xxhash64("category", "attempt").alias("query_id"), F.col("question").alias("text")))
+    found = search(asked.select("query_id", "text"), 5)
+    line = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.col("text"))
+    shown = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("passages"))
+    head, middle, tail = re.split(r"\{question\}|\{passages\}", PROMPTS["judge"])
+    rows = asked.join(shown, "query_id", "left").select("category", "attempt", F.concat(F.lit(head), "text", F.lit(middle), F.coalesce("passages", F.lit("")), F.lit(tail)).alias("prompt"))
+    said = ask(rows, client, 0.0, max_tokens, partitions)
+    read = said.withColumn("x", read_reply(F.lit("judgement"), "reply"))
+    return read.select("category", "attempt", "x.answerable", F.coalesce("problem", "x.problem").alias("problem"))
+
+
+def _round(rows: DataFrame, client: Client, search, temperature: float, max_tokens: int, partitions: int) -> DataFrame:
+    """Attempts of a round, asked, read and held against their evidence and the judge."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for c, k in KINDS.items() for x in (c, k[1])]), F.col("category"))
+    said = ask(_prompts(rows), client, temperature, max_tokens, partitions).withColumn("x", read_reply(kind, "reply"))
+    fields = settle(said.select("category", "attempt", "passages", "reply", "x.question", "x.answer", "x.quotes", F.coalesce("problem", "x.problem").alias("problem")))
+    stated = F.col("category").isin(ANSWERABLE)
+    first = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.trim("question") == "", "no_question").when(stated & ((F.trim("answer") == "") | ~_holds()), "quote_not_in_passage")
+    checked = fields.withColumn("reason", first)
+    if search is not None:
+        open_ = checked.where(~stated & F.col("reason").isNull())
+        verdicts = judged(open_, client, search, max_tokens, partitions)
+        why = F.when(F.col("verdict"), "judged_answerable").otherwise(F.col("trouble"))
+        checked = checked.join(verdicts.select("category", "attempt", F.col("answerable").alias("verdict"), F.col("problem").alias("trouble")), ["category", "attempt"], "left").withColumn("reason", F.coalesce("reason", why)).drop("verdict", "trouble")
+    return settle(checked.select("category", "attempt", F.transform("passages", lambda p: p["chunk_id"]).alias("passages"), "reply", "question", "answer", "reason"))
+
+
+def write_questions(chunks: DataFrame, client: Client, quotas: dict[str, int] | None = None, seed: int = 0, search: Callable[[DataFrame, int], DataFrame] | None = None, temperature: float = 0.7, attempts: int = 4, max_tokens: int = 1024, partitions: int = 4, progress: Callable[[int, int], None] | None = None) -> Written:
+    """Questions of every category from chunks (chunk_id, doc_id, title, text) by a language model.
+
+    Each round asks once for as many questions as the quotas of the categories
+    that still lack some; there are as many rounds as attempts. A question is
+    kept if its evidence stands in its passages word for word, if, with a
+    search, a judge finds no answer to one that should have none, and if none
+    before it (by round, category and attempt) is the same but for case and outer
+    white space. RuntimeError with the tallies of reasons if a quota stays
+    unfilled. progress is told (kept, wanted) after each round.
+    """
+    quotas = {c: n for c, n in (quotas or QUOTAS).items() if n}
+    place = {c: i for i, c in enumerate(CATEGORIES)}
+    rank = F.element_at(F.create_map(*[F.lit(x) for c, i in place.items() for x in (c, i)]), F.col("category"))
+    based = {c: settle(bases(chunks, c, n * attempts, seed)) for c, n in quotas.items()}
+    every, have = None, dict.fromkeys(quotas, 0)
+    for k in range(attempts):
+        rows = None
+        for c, n in quotas.items():
+            if have[c] < n:
+                part = based[c].where(F.col("attempt").between(k * n, (k + 1) * n - 1))
+                rows = part if rows is None else rows.unionByName(part)
+        if rows is None:
+            break
+        done = _round(rows, client, search, temperature, max_tokens, partitions).withColumn("round", F.lit(k))
+        every = done if every is None else every.unionByName(done)
+        # of equal questions the first is kept; of what is kept, each category's first up to its quota
+        same = Window.partitionBy(F.lower(F.trim("question"))).orderBy("round", rank, "attempt")
+        fresh = every.where("reason IS NULL").withColumn("again", F.row_number().over(same) > 1)
+        marked = every.where("reason IS NOT NULL").unionByName(fresh.withColumn("reason", F.when(F.col("again"), "asked_before")).drop("again"))
+        good = marked.where("reason IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("attempt")))
+        have |= {r["category"]: min(r["count"], quotas[r["category"]]) for r in good.groupBy("category").count().collect()}
+        if progress:
+            progress(sum(have.values()), sum(quotas.values()))
+    tried = settle(marked.drop("round"))
+    template, difficulty = (F.element_at(F.create_map(*[F.lit(x) for c, kind in KINDS.items() for x in (c, kind[i])]), F.col("category")) for i in (2, 3))
+    limit = F.element_at(F.create_map(*[F.lit(x) for c, n in quotas.items() for x in (c, n)]), F.col("category"))
+    stated = F.col("category").isin(ANSWERABLE)
+    kept = tried.where("reason IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("attempt"))).where(F.col("nth") <= limit)
+    out = Written(
+        kept.select("category", "question", F.when(stated, F.col("passages")).otherwise(F.array().cast("array<string>")).alias("gold"), F.when(stated, F.col("answer")).otherwise(F.lit(tx.ABSTENTION)).alias("answer"), template.alias("template"), difficulty.alias("difficulty")),
+        tried,
+    )
+    short = {c: f"{have[c]} of {n}" for c, n in quotas.items() if have[c] < n}
+    if short:
+        raise RuntimeError(f"questions found: {short}; rejected: {out.tallies()}")
+    return out

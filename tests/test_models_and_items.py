@@ -1,5 +1,6 @@
 import json
 import threading
+import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -190,40 +191,77 @@ def test_template_questions(spark, reports):
 
 
 class Writer:
+    """A stand-in whose reply follows from the prompt: now broken, now with a wrong quote, else good."""
+
     def __init__(self, judged=False):
-        self.n, self.judged = 0, judged
+        self.judged = judged
 
     def complete(self, system, prompt, *, temperature, max_tokens):
-        self.n += 1
+        n = zlib.crc32(prompt.encode())
         quote = prompt.split("\n")[-1][:30]
         if "Do these passages" in prompt:
-            return json.dumps({"answerable": self.judged, "chunk_id": None})
+            assert temperature == 0 and "[x1] y" in prompt and prompt.index("[x1] y") < prompt.index("[x0] z")
+            return json.dumps({"answerable": self.judged or n % 5 == 0, "chunk_id": None})
+        if n % 7 == 0:
+            raise reader.Refusal("no")
         if "takes both passages" in prompt:
             first = prompt.split("First passage:\n")[1].split("\n")[0][:30]
-            return json.dumps({"question": f"Both {self.n}?", "answer": "two", "evidence_quotes": [first, quote]})
-        if self.n % 3 == 0:
+            return json.dumps({"question": f"Both {n}?", "answer": "two", "evidence_quotes": [first, quote]})
+        if n % 3 == 0:
             return "no object here"
-        if self.n % 3 == 1 and "evidence_quote" in prompt:
+        if n % 3 == 1 and "evidence_quote" in prompt:
             return json.dumps({"question": "Q", "answer": "a", "evidence_quote": "not in there"})
-        return "Well: " + json.dumps({"question": f"What {self.n}?", "answer": "one", "evidence_quote": quote.upper()})
+        return "Well: " + json.dumps({"question": f" What {n % 40}? ", "answer": "one", "evidence_quote": quote.upper()})
+
 
+def _search(questions, k):
+    assert k == 5
+    return questions.select("query_id", F.explode(F.array(F.struct(F.lit(2).alias("rank"), F.lit("x0").alias("chunk_id"), F.lit("z").alias("text")), F.struct(F.lit(1).alias("rank"), F.lit("x1").alias("chunk_id"), F.lit("y").alias("text")))).alias("x")).select("query_id", "x.*")
 
-CHUNKS = [{"chunk_id": f"d{d}::{i}", "doc_id": d, "title": f"T{d}", "text": f"passage {d} {i} " + "word " * (50 if d else 1)} for d in range(3) for i in range(2)]
+
+@pytest.fixture(scope="module")
+def passages(spark):
+    rows = [(f"d{d}::{i}", f"d{d}", f"T{d} {{a}}", f"passage {d} {i} {{b}} " + "word " * (50 if d else 1)) for d in range(12) for i in range(3)]
+    return spark.createDataFrame(rows, "chunk_id string, doc_id string, title string, text string")
 
 
-def test_written_questions():
+def test_written_questions(spark, passages):
     told = []
-    search = lambda q, k: [{"chunk_id": "x", "text": "y"}]
-    writer = asked.QuestionWriter(Writer(), CHUNKS, search=search, attempts=8, progress=lambda a, b: told.append((a, b)))
-    rows = writer.write({c: 2 for c in evalset.CATEGORIES})
-    assert [r["category"] for r in rows] == [c for c in evalset.CATEGORIES for _ in range(2)]
+    out = asked.write_questions(passages, Writer(), {c: 3 for c in evalset.CATEGORIES}, search=_search, attempts=8, progress=lambda a, b: told.append((a, b)))
+    rows = out.drafts.collect()
+    assert sorted(r["category"] for r in rows) == sorted(c for c in evalset.CATEGORIES for _ in range(3)) and told[-1] == (15, 15)
     assert all(len(r["gold"]) == {"written_factoid": 1, "written_reasoning": 2}.get(r["template"], 0) for r in rows)
-    assert all(not g.startswith("d0") for r in rows for g in r["gold"])  # short chunks aren't asked about
-    assert told[-1] == (10, 10) and writer.rejections["quote_not_in_passage"] and writer.rejections["ValueError"]
-    strict = asked.QuestionWriter(Writer(judged=True), CHUNKS, search=search)
+    assert all(len({g.split("::")[0] for g in r["gold"]}) == 1 for r in rows if r["gold"])
+    assert not any(g.startswith("d0:") for r in rows for g in r["gold"])  # short chunks aren't asked about
+    asks = [r["question"].strip().lower() for r in rows]
+    assert len(set(asks)) == len(asks)
+    tallies = out.tallies()
+    assert tallies["quote_not_in_passage"] and tallies["ValueError"] and tallies["Refusal"]
+    # of a category's attempts that held, the first count; as many attempts were made as rounds asked for
+    tried = out.attempts.toPandas()
+    assert (tried.groupby("category").size() % 3 == 0).all() and not tried.duplicated(["category", "attempt"]).any()
+    again = asked.write_questions(passages.repartition(5), Writer(), {c: 3 for c in evalset.CATEGORIES}, search=_search, attempts=8)
+    assert sorted(map(str, again.drafts.collect())) == sorted(map(str, rows))
+    made = evalset.assemble(out.drafts, {"path": "x", "num_chunks": 1, "sha256": "y"}, "written", 0)
+    made.check(spark)
+
+
+def test_unfilled_quotas_name_their_reasons(spark, passages):
     with pytest.raises(RuntimeError, match="judged_answerable"):
-        strict.write({"out_of_domain": 1})
-    assert asked.QuestionWriter(Writer(), CHUNKS[:2]).chunks == CHUNKS[:2]
+        asked.write_questions(passages, Writer(judged=True), {"out_of_domain": 1}, search=_search)
+    lone = passages.where("chunk_id LIKE '%::0'")
+    with pytest.raises(RuntimeError, match="in_domain_reasoning': '0 of 1'"):
+        asked.write_questions(lone, Writer(), {"in_domain_reasoning": 1})
+    only_short = passages.where("doc_id = 'd0'")
+    assert asked.bases(only_short, "in_domain_factoid", 5, 0).count() == 5  # from the front again where chunks run out
+    prompt = asked._prompts(asked.bases(only_short, "in_domain_factoid", 1, 0)).first()["prompt"]
+    assert "{b}" in prompt and "T0 {a}" in prompt
+
+
+def test_quotes_must_stand_in_their_own_passages(spark):
+    rows = [(["One  two\nthree"], ["one two THREE"], True), (["one"], [" "], False), (["one"], [], False), (["a b", "c d"], ["c d", "a b"], False), (["a b", "c d"], ["a", "c d"], True), (["one"], [None], False)]
+    frame = spark.createDataFrame([([{"text": t} for t in p], q, w) for p, q, w in rows], "passages array<struct<text:string>>, quotes array<string>, want boolean")
+    assert all(r["ok"] == r["want"] for r in frame.select("want", asked._holds().alias("ok")).collect())
 
 
 def test_replies():
