@@ -207,6 +207,40 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of an operator's own: those given, with underscores added until no column of the caller's has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], value: str, hot: DataFrame) -> DataFrame:
+    """left with the value column that right has for its key, null where it has none; left is gone through once.
+
+    hot: the keys, fewer than HEAVY of them, that many rows of left have, with
+    their value, null where right lacks them. These are looked up in a
+    broadcast; in the join with the rest of right such rows have a key of their
+    own each, as do those with a null key, so that no key's rows meet in one task.
+    """
+    names = unused([*left.columns, *right.columns], "__there", "__hot", "__key", *[f"__on{i}" for i in range(len(on))], *[f"__at{i}" for i in range(len(on))], "__cold")
+    there, found, key, cold = names[0], names[1], names[2], names[-1]
+    ons, ats = names[3 : 3 + len(on)], names[3 + len(on) : -1]
+    known = hot.select(*[F.col(c).alias(n) for c, n in zip(on, ons, strict=True)], F.col(value).alias(found), F.lit(True).alias(there))
+    same = [F.col(c) == F.col(n) for c, n in zip(on, ons, strict=True)]
+    looked = left.join(F.broadcast(known), same, "left").drop(*ons)
+    # the last column of the key is binary: what stands in for it is too short to be one
+    alone = F.col(there).isNotNull() | F.col(on[-1]).isNull()
+    looked = looked.withColumn(key, F.when(alone, F.encode(F.monotonically_increasing_id().cast("string"), "UTF-8")).otherwise(F.col(on[-1])))
+    rest = right.select(*[F.col(c).alias(n) for c, n in zip(on, ats, strict=True)], F.col(value).alias(cold))
+    met = looked.join(rest, [F.col(c) == F.col(n) for c, n in zip([*on[:-1], key], ats, strict=True)], "left").drop(*ats)
+    return met.withColumn(value, F.coalesce(F.col(found), F.col(cold))).drop(there, found, key, cold)
+
+
 def row_name(id_col: str, text_col: str):
     """A 128-bit name of a row's id and text, to tell apart rows that share an id; nulls have names of their own."""
     text = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))

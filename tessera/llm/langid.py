@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unused
 
 UNKNOWN = "und"
 
@@ -181,7 +181,8 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], text_col:
     matrix = np.stack([v for _, v in prototypes]) if prototypes else None
     kept = docs.drop(*into)
     labels = [*kept.columns, *into]
-    frame = kept.select(*kept.columns, kept[text_col].alias("__text"))
+    (own_text,) = unused(kept.columns, "__text")
+    frame = kept.select(*kept.columns, docs[text_col].alias(own_text)) if text_col in kept.columns else docs.select(*kept.columns, F.col(text_col).alias(own_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         p = profiles(**options)

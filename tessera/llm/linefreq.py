@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stored, weighted_join
+from .common import HEAVY, SPACE, documents, spread_join, stored, unused, weighted_join
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -62,6 +62,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     squeezed = F.translate(text, BLANK, "")
     filled = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    (base,) = unused(docs.columns, "_base")
     return docs.select(
         "*",
         F.struct(
@@ -69,8 +70,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.length(squeezed).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             _let(filled, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        ).alias("_base"),
-    ).select(*docs.columns, "_base.w.n_words", "_base.word_chars", "_base.n_symbols", "_base.n_dup_lines", "_base.w.n_repeat_words")
+        ).alias(base),
+    ).select(*docs.columns, f"{base}.w.n_words", f"{base}.word_chars", f"{base}.n_symbols", f"{base}.n_dup_lines", f"{base}.w.n_repeat_words")
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +97,26 @@ def text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.col(text_col)))
 
 
+def host_key(host_col: str) -> Column:
+    """A host as text that tells a null from all others and is not null itself."""
+    return F.concat(F.when(F.col(host_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+
+
+def with_findings(rows: DataFrame, lines: DataFrame, found: DataFrame, host_col: str, text_col: str, value: str) -> DataFrame:
+    """rows with what was found for their host and text (host, text, value), null where nothing was.
+
+    A text with very many copies on a host is looked up in a broadcast, whether
+    or not anything was found for it (see spread_join). lines: the line table.
+    """
+    host, text = unused([*rows.columns, value], "__host", "__text")
+    keyed = rows.withColumns({host: host_key(host_col), text: text_key(text_col)})
+    named = found.select(host_key("host").alias(host), F.col("text").alias(text), value)
+    copies = stored(lines.groupBy(host_key("host").alias(host), F.col("text").alias(text)).agg(F.max("docs").alias("docs")), "copies")
+    total = copies.agg(F.sum("docs")).first()[0] or 0
+    many = copies.where(F.col("docs") * HEAVY > F.lit(total)).select(host, text)
+    return spread_join(keyed, named, [host, text], value, many.join(named, [host, text], "left")).drop(host, text)
+
+
 def line_table(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     """One row per host, distinct text and distinct normalised line: hash, words of all its occurrences, and docs.
 
@@ -112,14 +133,13 @@ def line_table(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     )
 
 
-def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_docs: int = 20) -> DataFrame:
+def removed_words(lines: DataFrame, most_docs: int) -> DataFrame:
     """Per host and text: words in lines that stand in more than most_docs distinct documents of the host.
 
-    Columns host, text (MD5), removed_words; texts that lose nothing are
-    absent. The counts are summed before they are shuffled; frequent lines are
-    joined back by host and hash.
+    Columns host, text (MD5), removed_words, from a stored line table; texts
+    that lose nothing are absent. The counts are summed before they are
+    shuffled; frequent lines are joined back by host and hash.
     """
-    lines = stored(line_table(docs, host_col, text_col), "lines")
     return in_frequent_lines(lines, most_docs).groupBy("host", "text").agg(F.sum("words").alias("removed_words"))
 
 
@@ -129,8 +149,7 @@ def in_frequent_lines(lines: DataFrame, most_docs: int) -> DataFrame:
     Lines that hold a large share of all rows are joined by broadcast, so none
     of them lands in one task (see weighted_join).
     """
-    host = F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce(F.col("host").cast("string"), F.lit("")))
-    keyed = lines.withColumn("__host", host)
+    keyed = lines.withColumn("__host", host_key("host"))
     frequent = keyed.groupBy("__host", "line").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("c")).where(F.col("n_docs") > most_docs).drop("n_docs")
     return weighted_join(keyed, frequent, ["__host", "line"], "c", lines.count()).drop("__host")
 
@@ -145,13 +164,11 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", mos
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"]
     docs = docs.drop(*[c for c in made if c not in (host_col, text_col)])
-    counted = base_counts(docs, text_col).withColumns({"__host": F.col(host_col), "__text": text_key(text_col)})
-    removed = frequent_line_words(docs, host_col, text_col, most_docs).select(F.col("host").alias("__h"), F.col("text").alias("__t"), "removed_words")
+    lines = stored(line_table(docs, host_col, text_col), "lines")
+    found = with_findings(base_counts(docs, text_col), lines, removed_words(lines, most_docs), host_col, text_col, "removed_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        counted.join(removed, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("__text") == F.col("__t")), "left")
-        .drop("__host", "__text", "__h", "__t")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+        found.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= most_removed * F.col("n_words")))
     )
@@ -161,23 +178,17 @@ def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col:
     """docs with every line above the limit taken out of its text.
 
     Each text meets the hashes of its own frequent lines only: they are
-    gathered per host and text, no more of them than the text has lines.
+    gathered per host and text, no more of them than the text has lines. A null
+    text stays null, lines without a word stay, copies of a text lose the same
+    lines, and all other columns stay, whatever their names.
     """
     lines = stored(line_table(docs, host_col, text_col), "lines")
-    out = (
-        in_frequent_lines(lines, most_docs)
-        .groupBy("host", "text")
-        .agg(F.collect_set(F.hex("line")).alias("__out"))
-        .select(F.col("host").alias("__h"), F.col("text").alias("__t"), "__out")
-    )
-    keyed = docs.withColumns({"__host": F.col(host_col), "__text": text_key(text_col)})
-    kept = lambda x: (normal_line(x) == "") | ~F.array_contains("__out", F.upper(F.md5(normal_line(x))))
-    text = F.when(F.col("__out").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), kept), "\n"))
-    return (
-        keyed.join(out, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("__text") == F.col("__t")), "left")
-        .withColumn(text_col, text)
-        .select(*docs.columns)
-    )
+    (gone,) = unused(docs.columns, "__out")
+    out = in_frequent_lines(lines, most_docs).groupBy("host", "text").agg(F.collect_set(F.hex("line")).alias(gone))
+    met = with_findings(docs, lines, out, host_col, text_col, gone)
+    kept = lambda x: (normal_line(x) == "") | ~F.array_contains(gone, F.upper(F.md5(normal_line(x))))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), kept), "\n"))
+    return met.withColumn(text_col, text).select(*docs.columns)
 
 
 def op2_line_frequency(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stored
+from .common import SPACE, documents, stored, unused
 
 OTHER = "\x00other"
 
@@ -109,8 +109,9 @@ def with_probability(rows: DataFrame, found: Fit, dimensions: dict[str, Column],
     key = F.concat_ws("\x01", *[_named(c, n[:-1]) for c, n in zip(dimensions.values(), found.names, strict=True)])
     if not table:
         return rows.withColumn(into, F.lit(0.0))
-    lookup = rows.sparkSession.createDataFrame(list(table.items()), "__cell string, __p double")
-    return rows.withColumn("__key", key).join(F.broadcast(lookup), F.col("__key") == F.col("__cell"), "left").withColumn(into, F.coalesce("__p", F.lit(0.0))).drop("__key", "__cell", "__p")
+    own, cell, p = unused([*rows.columns, into], "__key", "__cell", "__p")
+    lookup = rows.sparkSession.createDataFrame(list(table.items()), f"`{cell}` string, `{p}` double")
+    return rows.withColumn(own, key).join(F.broadcast(lookup), F.col(own) == F.col(cell), "left").withColumn(into, F.coalesce(p, F.lit(0.0))).drop(own, cell, p)
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -149,10 +150,11 @@ def with_topic(docs: DataFrame, text_col: str, lang: Column, langs: list[str], t
     reaches the driver.
     """
     kinds = [*langs, OTHER]
-    read = docs.withColumns({"__lang": _named(lang, langs), "__read": _read(F.col(text_col))})
-    rows = stored(read.select(*docs.columns, F.col("__read.n_tokens").alias("n_tokens"), "__lang", F.col("__read.places").alias("__places")), "profiles")
+    of_lang, of_places, parts = unused(docs.columns, "__lang", "__places", "__read")
+    read = docs.withColumns({of_lang: _named(lang, langs), parts: _read(F.col(text_col))})
+    rows = stored(read.select(*docs.columns, F.col(f"{parts}.n_tokens").alias("n_tokens"), of_lang, F.col(f"{parts}.places").alias(of_places)), "profiles")
     # place -1 counts the documents themselves
-    counted = rows.where(F.size("__places") > 0).select("__lang", F.explode(F.concat(F.array(F.lit(-1)), "__places")).alias("place")).groupBy("__lang", "place").agg(F.count("*").alias("n")).toArrow()
+    counted = rows.where(F.size(of_places) > 0).select(F.col(of_lang).alias("__lang"), F.explode(F.concat(F.array(F.lit(-1)), of_places)).alias("place")).groupBy("__lang", "place").agg(F.count("*").alias("n")).toArrow()
     n_docs, df = np.zeros(len(kinds)), np.zeros((len(kinds), PLACES))
     of, place, n = np.array([kinds.index(x) for x in counted.column("__lang").to_pylist()], np.int64), counted.column("place").to_numpy(), counted.column("n").to_numpy()
     n_docs[of[place < 0]] = n[place < 0]
@@ -160,7 +162,7 @@ def with_topic(docs: DataFrame, text_col: str, lang: Column, langs: list[str], t
     rarity = np.where(df > 0, np.log((n_docs[:, None] + 1) / np.maximum(df, 1)), 0.0)
     mass = df * rarity
     mean = mass @ _centres(topics, seed).T / np.maximum(mass.sum(axis=1, keepdims=True), 1e-300)
-    schema = rows.drop("__lang", "__places").schema.add("topic", "string")
+    schema = rows.drop(of_lang, of_places).schema.add("topic", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         pull = rarity[:, :, None] * (_centres(topics, seed).T[None] - mean[:, None, :])

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, SPACE, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, weighted_join
+from .common import CHUNK, SPACE, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, unused, weighted_join
 from .components import connected
 from .recompress import BLOCK, Words, window_hashes
 
@@ -473,10 +473,11 @@ def one_of_each(docs: DataFrame, num: int = 8, den: int = 10, n: int = 5, id_col
     Texts without words are in no group and stay, all of them.
     """
     found = jaccard_components(docs, num, den, n, id_col, text_col).where("n_shingles > 0")
-    least = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.row").alias("__row"))
-    rows = docs.withColumn("__row", row_name(id_col, text_col))
+    (row,) = unused(docs.columns, "__row")
+    least = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.row").alias(row))
+    rows = docs.withColumn(row, row_name(id_col, text_col))
     some = F.coalesce(F.col(text_col).rlike(f"[^{SPACE}]"), F.lit(False))
-    kept = rows.where(some).join(least, "__row", "left_semi").dropDuplicates(["__row"])
+    kept = rows.where(some).join(least, row, "left_semi").dropDuplicates([row])
     return kept.select(*docs.columns).union(rows.where(~some).select(*docs.columns))
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, weighted_join, word_names, word_spans
+from .common import CHUNK, combined, discard, documents, grouped, mix64, narrowed, places, row_blocks, row_name, stored, text_bytes, unused, weighted_join, word_names, word_spans
 
 #: Bytes of text that a task works on at once; longer texts stand alone.
 BLOCK = 2 << 20
@@ -691,8 +691,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketched = narrowed(sketched, "contents-of-rows", "id", "row", "n_words", "content")
 
     blocks, tops = recompress(texts, width)
-    least = tops.groupBy("name").agg(F.min("id").alias("least"))
-    settled = stored(tops.join(least, "name").where("least < id").select("block", "row", "w", "at", "n"), "settled")
+    # a passage that very many documents hold is one name: its rows are joined by broadcast
+    least = tops.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("c"))
+    settled = stored(weighted_join(tops, least, ["name"], "c", tops.count()).where("least < id").select("block", "row", "w", "at", "n"), "settled")
     discard(tops)
     by_block = settled.groupBy("block").agg(F.collect_list(F.struct("w", "n")).alias("settled"))
     runs = blocks.join(by_block, "block", "left").mapInArrow(lambda it: _runs(it, width), f"block long, id {kind}, row binary, key long, w int, at int, n int, one long, two long")
@@ -736,9 +737,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts that lose nothing stay as they are, and so do all other columns.
     """
     rows, contents = find_repeats(docs, id_col, text_col, width)
-    found = _verdict(rows, contents, width).where("n_removed > 0").select(F.col("row").alias("__row"), F.col("left").alias("__left")).dropDuplicates(["__row"])
-    keyed = docs.withColumn("__row", row_name(id_col, text_col))
-    return keyed.join(found, "__row", "left").withColumn(text_col, F.coalesce("__left", text_col)).select(*docs.columns)
+    row, left = unused(docs.columns, "__row", "__left")
+    found = _verdict(rows, contents, width).where("n_removed > 0").select(F.col("row").alias(row), F.col("left").alias(left)).dropDuplicates([row])
+    keyed = docs.withColumn(row, row_name(id_col, text_col))
+    return keyed.join(found, row, "left").withColumn(text_col, F.coalesce(left, text_col)).select(*docs.columns)
 
 
 def op4_recompression(spark, sf_dir: str, width: int = 50) -> DataFrame:

@@ -138,6 +138,49 @@ def test_op9_on_held_out_documents(spark):
     assert set(blank["lang_pred"]) <= {"und"}
 
 
+def plain_bundle(text, vectors):
+    """A text's bundle with dictionaries: letters in classes, trigrams bound letter by letter, counted and added up."""
+
+    def letter(c):
+        if "a" <= c <= "z":
+            return ord(c) - 96
+        return 27 + ((ord(c) * 0x9E3779B1 % 2**64) >> 7) % 37 if c.isalpha() else 0
+
+    classes = [0]
+    for c in (text or "").lower():
+        if letter(c) or classes[-1]:
+            classes.append(letter(c))
+    classes += [0] if classes[-1] else []
+    classes += [0] * (3 - len(classes))
+    grams = Counter(zip(classes, classes[1:], classes[2:]))
+    out = np.zeros(len(vectors[0]))
+    for (a, b, c), n in grams.items():
+        if a or b or c:
+            out += n * np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+    length = np.linalg.norm(out)
+    return out / length if length else out
+
+
+def test_op9_row_by_row(spark, docs):
+    rng = np.random.Generator(np.random.PCG64(11))
+    vectors = (rng.integers(0, 2, (64, 1024)) * 2 - 1).astype(float)
+    bundles = {d: plain_bundle(t, vectors) for d, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    own = {}
+    for d, lang in zip(docs["doc_id"], docs["lang"], strict=True):
+        if lang is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            own.setdefault(lang, []).append(bundles[d])
+    prototypes = {lang: np.sum(v, axis=0) / np.linalg.norm(np.sum(v, axis=0)) for lang, v in sorted(own.items())}
+    got = {r["doc_id"]: r for r in queries()["op9_language_profiles"](spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for d in docs["doc_id"]:
+        cosine = {lang: float(bundles[d] @ p) for lang, p in prototypes.items()}
+        if not bundles[d].any():
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0)
+            continue
+        assert cosine[got[d]["lang_pred"]] >= max(cosine.values()) - 1e-5
+        assert abs(got[d]["score"] - max(0.0, max(cosine.values()))) < 1e-4
+
+
 def test_op10_digests(spark, docs):
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

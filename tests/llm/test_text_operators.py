@@ -460,3 +460,40 @@ def test_shared_keys_over_batches():
     batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13], pa.int64()), lists], ["doc", "keys"])
     out = next(iter(recompress._local(iter([batch])))).to_pydict()
     assert list(zip(out["key"], out["doc"], out["kind"], strict=True)) == [(1, 10, 0), (2, 10, 0), (3, 10, 0), (2, 11, 0), (3, 11, 0), (2, 12, 1), (9, 13, 0)]
+
+
+# ---- names of the caller's own ------------------------------------------------
+
+
+OWN_NAMES = ["_base", "__host", "__text", "__out", "__row", "__left", "__lang", "__places", "__read", "__key", "__cell", "__p", "__there", "__hot", "__on0", "__at1", "__cold", "__h", "__t", "host", "line", "row", "id"]
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    own = [F.concat(F.lit(n), F.lit("/"), F.col("doc_id").cast("string")).alias(n) for n in OWN_NAMES]
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{body}\nof document {i} alone" if i % 2 else body, "en", "src0") for i in range(30)] + [(40, None, None, None), (41, "", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *own)
+    learned = langid.learn(docs)
+    results = [linefreq.judge(docs, most_docs=3), linefreq.without_frequent_lines(docs, most_docs=3), langid.predict(docs, learned), mixing.mix(docs), recompress.remove_repeats(docs), paritysketch.one_of_each(docs)]
+    for out in results:
+        assert set(docs.columns) <= set(out.columns)
+        got = out.select("doc_id", *OWN_NAMES).collect()
+        assert got and all(r[n] == f"{n}/{r['doc_id']}" for r in got for n in OWN_NAMES)
+    assert [r.count() for r in results] == [32, 32, 32, 32, 32, results[-1].count()]
+
+
+def test_copies_of_a_text_are_looked_up_alone(spark, monkeypatch):
+    from tessera.llm import common
+
+    plain = {}
+    rows = [(i, "menu home about\n" + (f"only here {i}" if i > 60 else "the same page again"), "a" if i % 5 else None) for i in range(100)] + [(200, None, "a"), (201, "  ", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for heavy in (1000, 1, 50):  # all keys by broadcast, none, some
+        monkeypatch.setattr(linefreq, "HEAVY", heavy)
+        judged = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in linefreq.judge(docs, most_docs=20).collect()}
+        texts = {r["doc_id"]: r["text"] for r in linefreq.without_frequent_lines(docs, most_docs=20).collect()}
+        plain = plain or (judged, texts)
+        assert (judged, texts) == plain and len(judged) == 102
+    # 49 copies on host a, 12 pages beside them have the menu; the host without a name has 12 copies and 8 others
+    assert judged[1] == (7, False) and judged[99] == (3, False) and judged[95] == (0, False) and texts[99] == "only here 99" and texts[200] is None
+    assert common.HEAVY == 1000
