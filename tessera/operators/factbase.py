@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .evalset import CATEGORIES, FOREIGN, QUOTAS, corpus_vocabulary
+from .intervals import contained
 
 HEADS = ["Tarn", "Weir", "Brook", "Firth", "Mere", "Sluice", "Delta", "Fjord", "Rill", "Marsh", "Lagoon", "Ebb", "Spate"]
 TAILS = ["Scope", "Meter", "Sonde", "Gauge", "Probe", "Watch", "Line"]
@@ -90,7 +91,7 @@ def reports(facts: DataFrame) -> DataFrame:
 def linked(facts: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """facts with chunks: the ids of the chunks of their report that hold the whole sentence."""
     at = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    inside = at.join(chunks.select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id").where("char_start <= a AND z <= char_end")
+    inside = contained(at, chunks.select("doc_id", "chunk_id", "char_start", "char_end"), ["doc_id"], window=("char_start", "char_end"))
     held = inside.groupBy("doc_id", "fact").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunks"))
     return facts.join(held, ["doc_id", "fact"], "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<string>")))
 

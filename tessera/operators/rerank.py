@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -31,12 +30,6 @@ def _min_span(at: np.ndarray, terms: np.ndarray) -> int:
     return best
 
 
-@functools.lru_cache(1 << 16)
-def _grams(token: str) -> frozenset[str]:
-    padded = f"#{token}#"
-    return frozenset(padded[i : i + 3] for i in range(len(token)))
-
-
 def _gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of #word# for all words: the word each belongs to, in order, and the trigram as a number."""
     n = np.array([len(w) for w in words], np.int64)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import asked, benchmark, calibrate, chunks, evalset, factbase, metrics, reader, retrieval, thresholds
+from ..operators import asked, benchmark, calibrate, chunks, evalset, factbase, intervals, metrics, reader, retrieval, similar, thresholds
 from ..operators.settle import settle, shared_dir
 from ..sources import store
 from . import sql
@@ -74,9 +75,67 @@ def chunk_conversations(spark, sf_dir):
     return _chunk_rows(chunks.chunk_pages(docs))
 
 
+@register(
+    "lines_in_chunks",
+    f"""{_chunk_sql('SELECT doc_id, text AS whole FROM documents')},
+parts AS (SELECT doc_id, k, string_split(whole, chr(10)) AS p FROM (SELECT *, unnest(range(len(string_split(whole, chr(10))))) AS k FROM docs)),
+lines AS (SELECT doc_id, k, coalesce(list_sum(list_transform(p[1:k], lambda x: length(x) + 1)), 0)::BIGINT AS a, length(p[k + 1]) AS n FROM parts)
+SELECT l.doc_id, l.k::INT AS line, s.i AS chunk FROM lines l JOIN spans s ON s.doc_id = l.doc_id AND s.a <= l.a AND l.a + l.n <= s.z WHERE l.n > 0""",
+)
+def lines_in_chunks(spark, sf_dir):
+    """Interval join: every line of every document with the chunks that hold it whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("title"), "text")
+    lines = F.split("text", "\n", -1)
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    each = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(lines).alias("line", "text")).withColumn("a", F.coalesce(before, F.lit(0)))
+    spans = each.where(F.length("text") > 0).select("doc_id", "line", "a", (F.col("a") + F.length("text")).alias("z"))
+    held = intervals.contained(spans, chunks.chunk_texts(docs).select("doc_id", "chunk_index", "char_start", "char_end"), ["doc_id"], window=("char_start", "char_end"))
+    return held.select("doc_id", "line", F.col("chunk_index").alias("chunk"))
+
+
 # ---- words and keys ---------------------------------------------------------
 
 
+_VOC = f"SELECT DISTINCT unnest({sql.tokens('text')}) AS "
+
+
+@register(
+    "similar_words",
+    f"""WITH t AS (SELECT term, {sql.GRAMS.format('term')} AS g FROM ({_VOC} term FROM benchmark)), w AS (SELECT word, {sql.GRAMS.format('word')} AS g FROM ({_VOC} word FROM conversations)),
+p AS (SELECT term, word, any_value(len(tg)) AS m, any_value(len(wg)) AS n, count(*) AS c FROM (SELECT term, g AS tg, unnest(g) AS x FROM t) JOIN (SELECT word, g AS wg, unnest(g) AS x FROM w) USING (x) GROUP BY term, word)
+SELECT term, word, round(c / (m + n - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (m + n - c)::DOUBLE >= 0.5""",
+)
+def similar_words(spark, sf_dir):
+    """Words of benchmark items and of conversations with a trigram similarity of a half or more."""
+    voc = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.explode(tx.tokenize(F.col("text"))).alias("word"))
+    found = similar.trigram_join(voc("benchmark").withColumnRenamed("word", "term"), voc("conversations"))
+    return found.select("term", "word", F.round("similarity", 6).alias("similarity"))
+
+
+@register(
+    "soft_coverages",
+    f"""WITH s AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS said FROM conversations), pairs AS (SELECT * FROM s WHERE said IS NOT NULL),
+q AS (SELECT DISTINCT conv_id, turn, unnest({sql.tokens('text')}) AS term FROM pairs), a AS (SELECT DISTINCT conv_id, turn, unnest({sql.tokens('said')}) AS word FROM pairs),
+df AS (SELECT term, ln(1 + ((SELECT count(*) FROM pairs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM q GROUP BY term),
+qi AS (SELECT conv_id, turn, term, idf FROM q JOIN df USING (term) WHERE NOT list_contains([{', '.join(f"'{w}'" for w in tx.QUESTION_ONLY)}], term)),
+tg AS (SELECT term, len(g) AS m, unnest(g) AS x FROM (SELECT term, {sql.GRAMS.format('term')} AS g FROM (SELECT DISTINCT term FROM qi))), wg AS (SELECT word, len(g) AS n, unnest(g) AS x FROM (SELECT word, {sql.GRAMS.format('word')} AS g FROM (SELECT DISTINCT word FROM a))),
+near AS (SELECT term, word, count(*) / (any_value(m) + any_value(n) - count(*))::DOUBLE AS sim FROM tg JOIN wg USING (x) GROUP BY term, word HAVING sim >= 0.5),
+best AS (SELECT conv_id, turn, term, max(CASE WHEN term = word THEN 1 ELSE sim END) AS sim FROM qi JOIN near USING (term) JOIN a USING (conv_id, turn, word) GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(coalesce((SELECT sum(idf * coalesce(sim, 0)) / nullif(sum(idf), 0) FROM qi LEFT JOIN best USING (conv_id, turn, term) WHERE qi.conv_id = p.conv_id AND qi.turn = p.turn), 0), 6) AS coverage FROM pairs p""",
+)
+def soft_coverages(spark, sf_dir):
+    """How far each turn's words, by their rarity, come back in the next turn, near matches of a half or more included."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("said", F.lead("text").over(w)).where("said IS NOT NULL")
+    pairs = settle(turns.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("question"), F.col("said").alias("sentence")))
+    terms = settle(pairs.select("id", F.explode(F.array_distinct(tx.tokenize(F.col("question")))).alias("term")))
+    n = pairs.count()
+    idf = terms.groupBy("term").agg(F.log1p((n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    found = similar.soft_coverage(pairs, terms.join(idf, "term"), "id")
+    return found.select("id.conv_id", "id.turn", F.round("coverage", 6).alias("coverage"))
+
+
+
 @register(
     "word_windows",
     r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda x: x <> '') AS w FROM documents),

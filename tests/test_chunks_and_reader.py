@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ABSTENTION
-from tessera.operators import chunks, reader
+from tessera.operators import chunks, intervals, reader, similar
 
 
 def prose(seed=3, paragraphs=12):
@@ -78,10 +78,47 @@ def test_extractive_reader(spark):
     assert (empty["answer"], empty["grounded"], empty["abstain"]) == ("", False, False)
 
 
-def test_soft_coverage():
+def plain_grams(w):
+    return {f"#{w}#"[i : i + 3] for i in range(len(w))}
+
+
+def test_trigram_join(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcé") for _ in range(draw.randrange(1, 9))) for _ in range(300)] + ["aaaa", "aaaaa", ""]
+    terms = words[::3] + ["abcabc", "zz"]
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in [*values, None, values[0]]], f"{name} string")
+    for least in (0.5, 0.7, 1.0):
+        got = {(r["term"], r["word"]): r["similarity"] for r in similar.trigram_join(frame(terms, "term"), frame(words, "word"), least).collect()}
+        want = {}
+        for t in set(terms):
+            for w in set(words):
+                a, b = plain_grams(t), plain_grams(w)
+                if a and b and len(a & b) / len(a | b) >= least:
+                    want[t, w] = len(a & b) / len(a | b)
+        assert got == pytest.approx(want) and len(want) >= 90
+    with pytest.raises(ValueError):
+        similar.trigram_join(frame(terms, "term"), frame(words, "word"), 0)
+
+
+def test_soft_coverage(spark):
+    rows = [(1, "drained weeks", "They drain it for 6 weeks"), (2, "how many", "many weeks"), (3, "weeks", ""), (4, None, "weeks"), (5, "weeks", None)]
+    pairs = spark.createDataFrame(rows, "query_id int, question string, sentence string")
+    idf = spark.createDataFrame([(1, "drained", 1.0), (1, "weeks", 3.0), (2, "many", 1.0), (3, "weeks", 1.0), (5, "weeks", 1.0)], "query_id int, term string, idf double")
+    got = {r["query_id"]: r["coverage"] for r in similar.soft_coverage(pairs, idf).collect()}
     # "drained" and "drain" share four of eight trigrams
-    assert reader.soft_coverage("drained weeks", "They drain it for 6 weeks", {"drained": 1.0, "weeks": 3.0}) == pytest.approx((0.5 + 3) / 4)
-    assert reader.soft_coverage("how many", "many weeks", {"many": 1.0}) == 0 == reader.soft_coverage("weeks", "", {"weeks": 1.0})
+    assert got == {1: pytest.approx((0.5 + 3) / 4), 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_interval_join(spark):
+    draw = random.Random(6)
+    spans = [(draw.choice("ab"), i, a := draw.randrange(-50, 3000), a + draw.choice([0, 1, 5, 40, 300])) for i in range(400)]
+    windows = [(draw.choice("ab"), i, a := draw.randrange(-100, 3000), a + draw.choice([0, 1, 2, 3, 4, 64, 65, 512, 2048, 4000])) for i in range(300)]
+    bad = [("a", 900, 10, 5), (None, 901, 0, 100), ("a", 902, None, 5)]
+    s = spark.createDataFrame([*spans, (None, 800, 1, 2), ("a", 801, None, None)], "k string, s int, a long, z long")
+    w = spark.createDataFrame([*windows, *bad], "k string, w int, start long, end long")
+    got = sorted((r["s"], r["w"]) for r in intervals.contained(s, w, ["k"]).collect())
+    assert got == sorted((i, j) for k, i, a, z in spans for q, j, x, y in windows if k == q and x <= a and z <= y) and len(got) > 5000
+    assert intervals.contained(s, w.limit(0), ["k"]).count() == 0
 
 
 def test_spans():
