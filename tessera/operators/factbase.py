@@ -34,13 +34,14 @@ def _choice(values: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at)
 
 
-def fact_table(spark: SparkSession, reports: int, seed: int = 42) -> DataFrame:
+def fact_table(spark: SparkSession, reports: int | DataFrame, seed: int = 42) -> DataFrame:
     """doc_id, name, fact (its number in the report), kind, basin, rival, unit, value (tenths), sentence.
 
     Kinds: sensor, layers, weeks; for each basin result, baseline, and trial,
-    which is no fact but a number of the same things that misleads.
+    which is no fact but a number of the same things that misleads. reports:
+    how many there are, or a table whose first column numbers them.
     """
-    d = spark.range(1, reports + 1).select(F.col("id").alias("d"))
+    d = spark.range(1, reports + 1).toDF("d") if isinstance(reports, int) else reports.select(F.col(reports.columns[0]).cast("long").alias("d"))
     one = lambda n, *slot: pick(n, seed, F.col("d"), *slot)
     name = F.concat(_choice(HEADS, one(len(HEADS), "head")), _choice(TAILS, one(len(TAILS), "tail")), F.lit("-"), F.col("d").cast("string"))
     base = d.select("d", F.format_string("report-%04d", "d").alias("doc_id"), name.alias("name"), one(len(BASINS), "first").alias("first"), (one(len(BASINS) - 1, "step") + 1).alias("step"), _choice(UNITS, one(len(UNITS), "unit")).alias("unit"))

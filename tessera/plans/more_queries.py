@@ -1,15 +1,14 @@
-"""Registered queries: chunking, word windows, scales, signals, resampled thresholds, made-up reports, and fixed examples."""
+"""Registered queries: chunking, intervals, words, scales, models, signals, resampled thresholds, items, files."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import asked, benchmark, calibrate, chunks, evalset, factbase, intervals, metrics, reader, retrieval, similar, thresholds
+from ..operators import asked, benchmark, calibrate, chunks, evalset, intervals, reader, retrieval, similar, thresholds
 from ..operators.settle import settle, shared_dir
 from ..sources import store
 from . import sql
@@ -291,154 +290,13 @@ def split_sizes(spark, sf_dir):
     return per.groupBy("category", "fold", "n").agg(F.count("*").alias("n_splits"))
 
 
-# ---- made-up reports --------------------------------------------------------
-
-
-def _pick(n: int, *slot: str) -> str:
-    return f"(('0x' || substr(md5('42/' || {' || chr(47) || '.join(slot)}), 1, 8))::BIGINT % {n})"
+# ---- names -----------------------------------------------------------------
 
 
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_REPORTS = 200
-_FACTS = f"""r AS (SELECT unnest(generate_series(1, {_REPORTS})) AS d),
-b AS (SELECT d, printf('report-%04d', d) AS doc_id, {_list(factbase.HEADS)}[{_pick(len(factbase.HEADS), 'd', "'head'")} + 1] || {_list(factbase.TAILS)}[{_pick(len(factbase.TAILS), 'd', "'tail'")} + 1] || '-' || d AS name FROM r),
-k AS (SELECT b.*, k, {_list(factbase.BASINS)}[({_pick(len(factbase.BASINS), 'd', "'first'")} + k * ({_pick(len(factbase.BASINS) - 1, 'd', "'step'")} + 1)) % {len(factbase.BASINS)} + 1] AS basin, {_pick(470, 'd', "'ours'", 'k')} + 450 AS ours, {_pick(83, 'd', "'gap'", 'k')} + 12 AS gap,
-  {_list(factbase.RIVALS)}[{_pick(len(factbase.RIVALS), 'd', "'rival'", 'k')} + 1] AS rival, {_list(factbase.UNITS)}[{_pick(len(factbase.UNITS), 'd', "'unit'")} + 1] AS unit FROM b, (SELECT unnest(generate_series(0, {factbase.N_BASINS - 1})) AS k))"""
-
-
-@register("report_facts", f"WITH {_FACTS} SELECT doc_id, name, (3 + 3 * k)::INT AS fact, basin, unit, ours::INT AS value FROM k")
-def report_facts(spark, sf_dir):
-    """The results in the table that made-up reports are written from."""
-    return factbase.fact_table(spark, _REPORTS).where("kind = 'result'").select("doc_id", "name", "fact", "basin", "unit", "value")
-
-
-@register("report_gaps", f"WITH {_FACTS} SELECT doc_id, basin, rival, ours::INT AS ours, (ours - gap)::INT AS theirs FROM k")
-def report_gaps(spark, sf_dir):
-    """Results beside the baselines of the same report and basin."""
-    return factbase.gaps(factbase.fact_table(spark, _REPORTS)).select("doc_id", "basin", "rival", "ours", "theirs")
-
-
-@register("report_spans", f"WITH {_FACTS} SELECT doc_id, {3 + 3 * factbase.N_BASINS}::BIGINT AS n_facts, {3 + 3 * factbase.N_BASINS}::BIGINT AS n_exact FROM b")
-def report_spans(spark, sf_dir):
-    """Every fact stands in its report at the place that the forward search gives, one behind the other."""
-    table = factbase.fact_table(spark, _REPORTS)
-    at = factbase.reports(table).select("doc_id", "text", F.explode("spans").alias("s")).join(table.select("doc_id", F.col("fact").alias("n"), "sentence"), "doc_id").where("s.fact = n")
-    exact = F.substring("text", F.col("s.a") + 1, F.col("s.z") - F.col("s.a")) == F.col("sentence")
-    return at.groupBy("doc_id").agg(F.count("*").alias("n_facts"), F.count_if(exact).alias("n_exact"))
-
-
-# ---- fixed examples ---------------------------------------------------------
-
-
-def _values(rows: list[tuple], names: list[str]) -> str:
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({', '.join(names)})"
-
-
-_FACTS_OF = [
-    (1, "LakeNet (7.25 of 9, by 1.5 pts@3) at NASA", ["7.25", "9", "1.5", "LakeNet", "pts@3", "NASA"]),
-    (2, "no facts in here", []),
-    (3, "a slope of 3e-4 and 12%, twice 12%", ["3e-4", "12%"]),
-    (4, "x86 and v2.1 stay words; 2.1 doesn't", ["2.1"]),
-    (5, "", []),
-]
-
-
-@register("key_fact_examples", _values([(i, " | ".join(f)) for i, _, f in _FACTS_OF], ["id", "facts"]))
-def key_fact_examples(spark, sf_dir):
-    return spark.createDataFrame([(i, t) for i, t, _ in _FACTS_OF], "id long, t string").select("id", F.array_join(tx.key_facts(F.col("t")), " | ").alias("facts"))
-
-
-_ANSWERS = [(1, "12.5 km", "12.5 km", True), (2, "12.6 km", "12.5 km", False), (3, "the wall of 12.5 km", "12.5 km wall", True), (4, "it spans 12.5 km from the mill to the far lake", "12.5 km wall", False), (5, "", "", True), (6, "wall", "", False)]
-
-
-@register("correct_examples", _values([(i, ok) for i, _, _, ok in _ANSWERS], ["id", "correct"]))
-def correct_examples(spark, sf_dir):
-    """Token F1 of a half or more, with every key fact of the reference."""
-    return spark.createDataFrame([r[:3] for r in _ANSWERS], "id long, p string, r string").select("id", tx.is_correct(F.col("p"), F.col("r")).alias("correct"))
-
-
-_CONTEXT = [
-    ("p::0000", "We take Zephyr as the name of the older turbine. It has 14 wooden blades."),
-    ("p::0001", "We drain the basin for 6 weeks with a slope of 3e-4. Early frost is likely."),
-    ("p::0002", "The new pump lifts 52.7 tonnes in Marlhaven. The old pump lifts 31.9 tonnes."),
-]
-_READ = [
-    (0, "For how many weeks is the basin drained?", "the basin for 6 weeks with", False, ["p::0001"], None),
-    (1, "Which name has the older turbine?", "Zephyr", False, ["p::0000"], None),
-    (2, "How many tonnes does the new pump lift in Marlhaven?", "new pump lifts 52.7 tonnes in", False, ["p::0002"], None),
-    (3, "Who painted the ceiling of a chapel?", tx.ABSTENTION, True, [], "low_support(coverage=0.00)"),
-    (4, "  ", tx.ABSTENTION, True, [], "no_context"),
-]
-
-
-@register("reader_examples", _values([(i, a, b, " ".join(c), r) for i, _, a, b, c, r in _READ], ["query_id", "answer", "abstain", "citations", "reason"]))
-def reader_examples(spark, sf_dir):
-    """The extractive reader on a fixed context: the best sentence, then the best span of it, or an abstention."""
-    q = spark.createDataFrame([(i, t) for i, t, *_ in _READ], "query_id long, text string")
-    context = spark.createDataFrame([(i, c, n, t) for i, *_ in _READ for n, (c, t) in enumerate(_CONTEXT, 1)], "query_id long, chunk_id string, rank int, text string")
-    return reader.extractive(context, q).select("query_id", "answer", "abstain", F.array_join("citations", " ").alias("citations"), "reason")
-
-
-@register("forced_examples", _values([(i, False, i < 4) for i, *_ in _READ], ["query_id", "abstain", "grounded"]))
-def forced_examples(spark, sf_dir):
-    """The same, forced: it never abstains; without sentences it says nothing, ungrounded."""
-    q = spark.createDataFrame([(i, t) for i, t, *_ in _READ], "query_id long, text string")
-    context = spark.createDataFrame([(i, c, n, t) for i, *_ in _READ for n, (c, t) in enumerate(_CONTEXT, 1)], "query_id long, chunk_id string, rank int, text string")
-    return reader.extractive(context, q, forced=True).select("query_id", "abstain", "grounded")
-
-
-_REPLIES = [(1, 'Sure: {"answer": "a", "n": 1} and {"answer": "b"}', "a"), (2, "none at all", None), (3, '[1, 2] {"broken": {"answer": "c"}}', None), (4, '{"x": } {"answer": "d"}', "d")]
-
-
-@register("reply_examples", _values([(i, a) for i, _, a in _REPLIES], ["id", "answer"]))
-def reply_examples(spark, sf_dir):
-    """The first JSON object in free text."""
-
-    @F.pandas_udf("string")
-    def answer(replies):
-        def one(t):
-            try:
-                return reader.first_json(t).get("answer")
-            except ValueError:
-                return None
-
-        return replies.map(one)
-
-    return spark.createDataFrame([(i, t) for i, t, _ in _REPLIES], "id long, t string").select("id", answer("t").alias("answer"))
-
-
-_SCHEMAS = [(1, "judgement", '{"answerable": true, "chunk_id": null}', True), (2, "judgement", '{"answerable": "yes"}', False), (3, "factoid", '{"question": "q", "answer": "a", "evidence_quote": "e"}', True), (4, "factoid", '{"question": "q"}', False), (5, "reasoning", '{"question": "q", "answer": "a", "evidence_quotes": ["x", "y"]}', True), (6, "reasoning", '{"question": "q", "answer": "a", "evidence_quotes": "x"}', False), (7, "question", "no object", False)]
-
-
-@register("schema_examples", _values([(i, ok) for i, _, _, ok in _SCHEMAS], ["id", "sound"]))
-def schema_examples(spark, sf_dir):
-    """Replies of a question writer against the fields they must have."""
-
-    @F.pandas_udf("boolean")
-    def sound(kinds, replies):
-        def one(kind, t):
-            try:
-                return bool(asked.parsed(t, kind))
-            except ValueError:
-                return False
-
-        import pandas as pd
-
-        return pd.Series([one(k, t) for k, t in zip(kinds, replies, strict=True)])
-
-    return spark.createDataFrame([r[:3] for r in _SCHEMAS], "id long, kind string, t string").select("id", sound("kind", "t").alias("sound"))
-
-
 _NAMES = [h + t for h in ("Zorbi", "Quaxa", "Veltri", "Ombrel", "Krynn", "Yuvast", "Jexol", "Phlox", "Wyntar", "Drovik") for t in ("Net", "Former", "RAG")]
 
 
@@ -545,60 +403,3 @@ def stored_retriever(spark, sf_dir):
     store.save_retriever(docs.withColumn("chunk_id", F.col("pos").cast("string")), path)
     _, index, _ = store.load_retriever(spark, path)
     return retrieval.bm25_search(index, questions(spark, sf_dir), 3).select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
-
-
-_SAME = ["eval_set", "policy", "policy_summary", "report", "vectors"]
-
-
-@register("file_round_trips", _values([(n, True) for n in _SAME], ["name", "same"]))
-def file_round_trips(spark, sf_dir):
-    """What is written is what is read: byte for byte, infinities and all."""
-    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    model = calibrate.Calibrator(["a"], 1.0, [0.5], [2.0], [-1.25], 0.125)
-    policy = calibrate.Policy(model, float("inf"), {"method": "ltt", "alpha": 0.2, "delta": 0.1, "guarantee": "g", "cal_risk": float("nan")})
-    store.save_policy(spark, policy, f"{base}/policy.json")
-    back = store.load_policy(spark, f"{base}/policy.json")
-    items = evalset.EvalSet([{"id": "eval_001", "question": "q\u00e9", "is_answerable": False}], "g", 1, {"path": "p"}, {"out_of_domain": 1})
-    store.write_text(spark, items.to_json(), f"{base}/set.json")
-    text = store.read_text(spark, f"{base}/set.json")
-    store.write_report(spark, {"t": [{"x": float("-inf"), "y": float("nan"), "z": "a|b"}]}, f"{base}/report", "R")
-    report = json.loads(store.read_text(spark, f"{base}/report.json"))
-    vectors = spark.createDataFrame([(1, [0.5, -2.0]), (2, [])], "pos long, vec array<float>")
-    store.write_vectors(vectors, f"{base}/vectors")
-    same = {
-        "eval_set": evalset.EvalSet.from_json(text) == items and text.strip() == items.to_json().strip(),
-        "policy": back.to_json() == policy.to_json() and back.tau == float("inf") and back.calibrator == model,
-        "policy_summary": back.summary() == {"method": "ltt", "alpha": 0.2, "delta": 0.1, "tau": "inf", "guarantee": "g"} and calibrate.Policy(model, 0.5, {"method": "erm", "guarantee": "g"}).summary()["guarantee"] is None,
-        "report": report == {"t": [{"x": "-inf", "y": None, "z": "a|b"}]} and "a\\|b" in store.read_text(spark, f"{base}/report.md"),
-        "vectors": sorted(map(tuple, store.read_vectors(spark, f"{base}/vectors").collect())) == sorted(map(tuple, vectors.collect())),
-    }
-    return spark.createDataFrame([(n, bool(same[n])) for n in _SAME], "name string, same boolean")
-
-
-_REFUSED = ["alpha of 1", "depth of 0", "negative weight", "no ks", "overlap of the size", "top of 0", "unknown mode", "weights too few"]
-
-
-@register("refused_arguments", _values([(n, True) for n in _REFUSED], ["name", "refused"]))
-def refused_arguments(spark, sf_dir):
-    """Arguments that can't be meant are refused before any job runs."""
-    c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    ranked = spark.createDataFrame([], "query_id long, pos long, rank int, score double")
-    calls = [
-        lambda: thresholds.ltt_threshold(scored(spark, sf_dir), 1.0, 0.1, by=["lang"]),
-        lambda: retrieval.bm25_search(None, q, 0),
-        lambda: retrieval.fuse([ranked], weights=[-1.0]),
-        lambda: metrics.ranking_scores(ranked, ranked, []),
-        lambda: chunks.check(10, 10),
-        lambda: retrieval.hybrid_search(c, q, 0),
-        lambda: retrieval.hybrid_search(c, q, 5, "other"),
-        lambda: retrieval.fuse([ranked, ranked], weights=[1.0]),
-    ]
-
-    def refused(call) -> bool:
-        try:
-            call()
-        except ValueError:
-            return True
-        return False
-
-    return spark.createDataFrame([(n, refused(f)) for n, f in zip(_REFUSED, calls, strict=True)], "name string, refused boolean")

@@ -38,4 +38,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import calibration_queries, more_queries, relational_queries, retrieval_queries, run_queries, stream_queries  # noqa: F401
+    from . import calibration_queries, more_queries, reading_queries, relational_queries, retrieval_queries, run_queries, stream_queries  # noqa: F401

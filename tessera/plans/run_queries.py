@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import benchmark, chunks, evalset, features, metrics, reader, rerank, retrieval
 from ..operators.settle import settle
 from . import pipeline, sql
@@ -135,9 +134,3 @@ def reranked_probabilities(spark, sf_dir):
     """Two-stage retrieval with the sparse retriever first."""
     _, results = rerank.two_stage(corpus(spark, sf_dir), questions(spark, sf_dir), 5, 20, "sparse", index(spark, sf_dir))
     return results.select("query_id", "pos", "rank", F.round("probability", 6).alias("probability"), "first_stage_rank")
-
-
-@register("key_facts")
-def key_facts(spark, sf_dir):
-    """Numbers and entity-like tokens of every turn."""
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", tx.key_facts(F.col("text")).alias("facts"))

@@ -66,11 +66,32 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("pos", "vec").write.mode("overwrite").parquet(path)
+    """Vectors (pos, vec), and beside them how many there are and of what dimension; ValueError if dimensions differ.
 
-
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("pos long, vec array<float>").parquet(path)
+    A vector without entries has any dimension.
+    """
+    rows = vectors.select("pos", "vec")
+    rows.write.mode("overwrite").parquet(path)
+    n, least, most = _shape(rows.sparkSession.read.parquet(path))
+    if least != most:
+        raise ValueError(f"vectors of {least} and of {most} dimensions")
+    write_text(rows.sparkSession, json.dumps({"vectors": n, "dims": most}), f"{path}.json")
+
+
+def _shape(rows: DataFrame) -> tuple[int, int | None, int | None]:
+    size = F.when(F.size("vec") > 0, F.size("vec"))
+    return tuple(rows.agg(F.count("*"), F.min(size), F.max(size)).first())
+
+
+def read_vectors(spark: SparkSession, path: str, dims: int | None = None, count: int | None = None) -> DataFrame:
+    """Vectors as they were written; ValueError if their number or dimension isn't what was written, or what the caller expects."""
+    rows = spark.read.schema("pos long, vec array<float>").parquet(path)
+    n, least, most = _shape(rows)
+    told = json.loads(read_text(spark, f"{path}.json"))
+    for what, here, there in (("vectors", n, told["vectors"]), ("dimensions", most, told["dims"]), ("dimensions", least, told["dims"]), ("vectors", n, count), ("dimensions", most, dims)):
+        if there is not None and here is not None and here != there:
+            raise ValueError(f"the index holds {here} {what}, not {there}")
+    return rows
 
 
 def duplicate_ids(rows: DataFrame, id_col: str = "chunk_id", shown: int = 5) -> DataFrame:
