@@ -98,7 +98,8 @@ def build_index(corpus: DataFrame, dims: int = 256) -> Index:
     tokens = settle(corpus.select("pos", text.tokenize(F.col("text")).alias("d")))
     tf = settle(tokens.select("pos", F.explode("d").alias("token")).groupBy("token", "pos").agg(F.count("*").alias("tf")))
     made = bm25_index(corpus, tf=tf)
-    postings = settle(made.postings.repartition("token").sortWithinPartitions("token"))
+    # a token's postings lie together by a million documents, so that one that all documents have is no single task's
+    postings = settle(made.postings.repartition("token", F.shiftright("pos", 20)).sortWithinPartitions("token"))
     bags = corpus.select("pos").join(packed(hashed_bags(corpus, "pos", dims, tf), "pos"), "pos", "left")
     return Index(corpus, Bm25Index(postings, settle(made.vocabulary), settle(made.lengths)), settle(bags), tokens, dims)
 

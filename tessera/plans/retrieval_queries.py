@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import evalset, features, rerank, retrieval
+from ..operators import balls, blockmax, evalset, features, rerank, retrieval
 from ..operators.settle import settle, still_there
 from . import sql
 from .registry import register
@@ -78,7 +78,13 @@ def tokenized(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@register("bm25_vocabulary", f"{sql.BASE} SELECT token, df, round(idf, 6) AS idf FROM voc")
+@register(
+    "bm25_vocabulary",
+    f"""WITH dt AS MATERIALIZED (SELECT {sql.tokens('text')} AS t FROM documents),
+df AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM dt) GROUP BY token),
+raw AS MATERIALIZED (SELECT token, df, ln((SELECT count(*) FROM dt) - df + 0.5) - ln(df + 0.5) AS raw FROM df)
+SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""",
+)
 def bm25_vocabulary(spark, sf_dir):
     return index(spark, sf_dir).bm25.vocabulary.select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -89,6 +95,14 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
+@register("bm25_blocks_topk", f"{sql.BASE} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk(sql.SPARSE, 10)})")
+def bm25_blocks_topk(spark, sf_dir):
+    """The same, from postings in blocks, of which those that can't reach the ten best stay closed."""
+    blocks = once(spark, sf_dir, "blocks", lambda: blockmax.block_index(index(spark, sf_dir).bm25, 128), lambda b: [b.blocks])
+    hits = blockmax.search(blocks, questions(spark, sf_dir), 10).hits
+    return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+
+
 @register("hashed_embedding", f"WITH {sql.CORPUS}, {sql.BAGS} SELECT pos, bucket, round(w, 6) AS weight FROM dbag")
 def hashed_embedding(spark, sf_dir):
     return retrieval.hashed_bags(corpus(spark, sf_dir), "pos").select("pos", "bucket", F.round("weight", 6).alias("weight"))
@@ -114,6 +128,19 @@ def vector_topk(spark, sf_dir):
     return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
 
 
+@register(
+    "ball_topk",
+    f"""WITH v AS (SELECT vec_id, label, {_UNIT} AS u FROM embeddings)
+SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score FROM ({sql.topk('SELECT q.vec_id AS query_id, d.vec_id AS pos, list_dot_product(q.u, d.u) AS score FROM v q, v d WHERE q.vec_id % 100 = 0', 10)})""",
+)
+def ball_topk(spark, sf_dir):
+    """The same, from vectors in balls, of which those that lie too far from a query stay closed."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    hits = balls.search(balls.ball_index(v.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))), asked, 10).hits
+    return hits.select("query_id", "pos", "rank", F.round("score", 6).alias("score"))
+
+
 @register("hybrid_topk", f"{sql.HYBRID} SELECT query_id, pos, rank::INT AS rank, round(score, 6) AS score, bm25_rank::INT AS bm25_rank, round(bm25_score, 6) AS bm25_score, dense_rank::INT AS dense_rank, round(dense_score, 6) AS dense_score FROM fused WHERE rank <= 10")
 def hybrid_topk(spark, sf_dir):
     hits = retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir))
