@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions import text as tx
 from . import catalogue, pdf
@@ -153,6 +153,12 @@ class CatalogueSource(DataSource):
     and sort and gives records as dicts. One task reads after the other's pages
     only if the session runs them so: a server's wish for few requests is met
     with max_results up to 100, which is one task.
+
+    `spark.readStream.format("paper_catalogue")` follows a search from the
+    newest max_results records on: each batch has what was submitted since the
+    last. The offset is the time and the ids of the newest records delivered, so
+    a query that is started again on its checkpoint goes on where it was, and a
+    batch that has to be repeated is asked for again and cut at the same offsets.
     """
 
     @classmethod
@@ -165,6 +171,9 @@ class CatalogueSource(DataSource):
     def reader(self, schema):
         return _CatalogueReader(dict(self.options))
 
+    def simpleStreamReader(self, schema):  # noqa: N802
+        return _CatalogueStream(dict(self.options))
+
 
 class _Page(InputPartition):
     def __init__(self, start: int, count: int):
@@ -200,5 +209,46 @@ class _CatalogueReader(DataSourceReader):
             yield (r["arxiv_id"], r.get("title"), r.get("url"), r.get("authors"), r.get("published"), r.get("categories"), r.get("summary"))
 
 
+class _CatalogueStream(SimpleDataSourceStreamReader):
+    """Offsets: published, the time of the newest record delivered, and ids, those delivered of that time."""
+
+    def __init__(self, options: dict):
+        # newest first: only so can a look end at what is known
+        self.batch = _CatalogueReader(options | {"sort_by": "submitted"})
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"published": "", "ids": []}
+
+    def _newest(self, start: dict) -> list[tuple]:
+        """Records from the newest back to what is known, or max_results of them where nothing is."""
+        out: list[tuple] = []
+        while True:
+            count = 100 if start["published"] else min(100, self.batch.most - len(out))
+            rows = list(self.batch.read(_Page(len(out), count))) if count > 0 else []
+            out += rows
+            if len(rows) < count or not rows or (start["published"] and (rows[-1][4] or "") < start["published"]):
+                return out
+
+    @staticmethod
+    def _after(rows: list[tuple], start: dict) -> list[tuple]:
+        return [r for r in rows if (r[4] or "") > start["published"] or ((r[4] or "") == start["published"] and r[0] not in start["ids"])]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        seen: set[str] = set()
+        fresh = [r for r in self._after(self._newest(start), start) if not (r[0] in seen or seen.add(r[0]))]
+        if not fresh:
+            return iter([]), start
+        last = max(r[4] or "" for r in fresh)
+        ids = sorted({r[0] for r in fresh if (r[4] or "") == last} | (set(start["ids"]) if last == start["published"] else set()))
+        return iter(sorted(fresh, key=lambda r: (r[4] or "", r[0]))), {"published": last, "ids": ids}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        rows = {r[0]: r for r in self._after(self._newest(start), start) if (r[4] or "") < end["published"] or ((r[4] or "") == end["published"] and r[0] in end["ids"])}
+        return iter(sorted(rows.values(), key=lambda r: (r[4] or "", r[0])))
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept at the catalogue."""
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CatalogueSource)

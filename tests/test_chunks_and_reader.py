@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 
 import pandas as pd
 import pytest
@@ -203,6 +205,62 @@ def test_cache(spark, tmp_path):
     assert calls.value == 3
 
 
+def test_two_writers_read_each_key_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    start = threading.Barrier(2)
+
+    def read(keyed):
+        def run(batches):
+            for pdf in batches:
+                time.sleep(0.3)
+                calls.add(len(pdf))
+                yield pd.DataFrame({"key": pdf["key"], "answer": pdf["key"] + "!"})
+
+        return keyed.select("key").mapInPandas(run, "key string, answer string")
+
+    got: dict = {}
+
+    def session(name, keys):
+        cache = reader.AnswerCache(spark.newSession(), f"file://{tmp_path}/cache")
+        keyed = cache.spark.createDataFrame([(k,) for k in keys], "key string")
+        start.wait()
+        got[name] = sorted((r["key"], r["answer"]) for r in cache.answers(keyed, read).collect())
+
+    both = [threading.Thread(target=session, args=("x", ["a", "b", "c", "c"])), threading.Thread(target=session, args=("y", ["b", "c", "d"]))]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join(120)
+    assert got == {"x": [(k, f"{k}!") for k in "abcc"], "y": [(k, f"{k}!") for k in "bcd"]}
+    assert calls.value == 4
+
+
+def test_cache_gives_up_dead_owners_and_compacts(spark, tmp_path):
+    read = lambda keyed: keyed.select("key", F.concat("key", F.lit("?")).alias("answer"))
+    path = f"file://{tmp_path}/cache"
+    dead = reader.AnswerCache(spark, path)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    number, _ = dead._claim(keys("a", "b"))  # claimed, and never answered
+    cache = reader.AnswerCache(spark, path, patience=0.5, poll=0.1)
+    assert sorted(r["answer"] for r in cache.answers(keys("a", "c"), read).collect()) == ["a?", "c?"]
+    assert not dead._publish(dead._staged(keys("a").withColumn("answer", F.lit("late"))), "answers", number)
+
+    def broken(keyed):
+        raise_it = F.raise_error(F.lit("no"))
+        return keyed.select("key", raise_it.cast("string").alias("answer"))
+
+    with pytest.raises(Exception, match="no"):
+        cache.answers(keys("z"), broken)
+    assert [r["answer"] for r in cache.answers(keys("z"), read).collect()] == ["z?"]
+    held = lambda: sorted(map(tuple, cache.rows(read(keys("q"))).collect()))
+    before = held()
+    assert cache.compact() > 1 and held() == before and cache.compact() == 0
+    cache.answers(keys("m"), read).collect()
+    assert cache.compact() == 1 and ("m", "m?") in held() and len(held()) == len(before) + 1
+    cache.answers(keys("n"), read).collect()
+    assert ("n", "n?") in held() and ("a", "a?") in held()
+
+
 def test_prompt(spark):
     rows = spark.createDataFrame([(0, 2, "b", "T", "two"), (0, 1, "a", "T", "one")], "query_id long, rank int, chunk_id string, title string, text string")
     assert reader.prompt_context(rows).first()["context"] == '[a] (from "T")\none\n\n[b] (from "T")\ntwo'

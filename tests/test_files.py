@@ -1,4 +1,5 @@
 import base64
+import json
 import threading
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -175,6 +176,54 @@ def test_catalogue(spark, server):
     assert sorted(r["arxiv_id"] for r in read.collect()) == ["p0", "p1", "p2", "p3"]
 
 
+def feed(query, start, count, sort):
+    """A catalogue in a file that the query names: records, newest first."""
+    assert sort == "submitted"
+    with open(query) as f:
+        return json.load(f)[start : start + count]
+
+
+def test_catalogue_as_a_stream(spark, tmp_path):
+    records = [{"arxiv_id": f"p{i}", "title": f"T{i}", "published": f"2024-01-{1 + i:02d}"} for i in range(10)]
+    place = tmp_path / "feed.json"
+
+    def publish():
+        place.write_text(json.dumps(sorted(records, key=lambda r: r["published"], reverse=True)))
+
+    def run(fail=False):
+        stream = spark.readStream.format("paper_catalogue").option("query", str(place)).option("client", "test_files:feed").option("max_results", 8).load()
+
+        def keep(batch, number):
+            batch.select("arxiv_id").write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
+            if fail:
+                raise RuntimeError("killed")
+
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        except Exception:
+            assert fail
+        finally:
+            query.stop()
+
+    documents.register(spark)
+    publish()
+    run()  # the newest eight
+    got = lambda: sorted(r["arxiv_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    first = got()
+    assert len(first) == 8
+    known = set(first)
+    records[:] = [r for r in records if r["arxiv_id"] in known]
+    records += [{"arxiv_id": f"q{i}", "title": None, "published": f"2024-02-{1 + i // 100:02d}"} for i in range(250)]  # more than a look's page
+    publish()
+    run(fail=True)  # killed after its batch was written, before it was committed
+    records += [{"arxiv_id": "late", "title": "x", "published": "2024-02-03"}, {"arxiv_id": "later", "title": "x", "published": "2024-03-01"}]
+    publish()
+    run()  # the same batch once more, then what came since
+    run()
+    assert got() == sorted([*known, *(f"q{i}" for i in range(250)), "late", "later"])
+
+
 def test_fetch_in_blocks(spark, server, tmp_path):
     wanted = spark.createDataFrame([("a/1", f"{server}/file/good"), ("b", f"{server}/file/bad")], "arxiv_id string, url string")
     rows = {r["arxiv_id"]: r for r in documents.fetch(wanted, str(tmp_path), delay=0).collect()}
