@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import asked, benchmark, chunks, evalset, factbase, features, metrics, models, reader, retrieval
 from .operators.calibrate import Policy, _strict
+from .operators.settle import release, scratch
 from .plans import pipeline
 from .sources import documents, figures, store
 
@@ -139,7 +140,7 @@ def evaluate(args, spark: SparkSession) -> int:
         if args.figures:
             figures.write_figures(spark, args.figures, made["pooled"], made["reliability"])
     else:
-        scored = pipeline.score_items(rows, items).persist()
+        scored = pipeline.score_items(rows, items, progress=_progress("items") if args.progress else None).persist()
         report = {k: records(v) for k, v in benchmark.e2e_benchmark(scored, splits, features.FEATURES).items()}
     store.write_report(spark, report, args.output, f"{args.kind} benchmark")
     print(f"written: {args.output}.json, {args.output}.md")
@@ -308,6 +309,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--figures", help="folder for the curves of an abstention benchmark")
     s.add_argument("--splits", type=int, default=200)
     s.add_argument("--seed", type=int, default=0)
+    s.add_argument("--progress", action="store_true", help="end-to-end: tell how many items are scored")
     s.set_defaults(run=evaluate)
     for name, run in (("ask", ask), ("chat", chat), ("serve", serve)):
         s = sub.add_parser(name)
@@ -340,7 +342,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(args, session())
+    spark = session()
+    with scratch() as held:
+        try:
+            return args.run(args, spark)
+        finally:
+            release(spark, held)
 
 
 if __name__ == "__main__":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Lists that take the paths of settled tables; see scratch().
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the tables that calls inside it settle, for release() once their results are written."""
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+
+
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Delete the tables of a list, and only those."""
+    for path in held:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    held.clear()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it.
 
@@ -26,6 +51,8 @@ def settle(df: DataFrame) -> DataFrame:
     a lost executor costs nothing that has been written.
     """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    for held in _SCOPES:
+        held.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled = path

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import binom_cdf, min_certifiable_n
-from .metrics import risk_profile, running
+from .metrics import meet, risk_profile, running
+from .settle import settle
 
 NEVER = float("inf")
 
@@ -80,20 +81,20 @@ def ltt_threshold(rows: DataFrame, alpha: float, delta: float, grid: DataFrame |
     """
     by = by or []
     least = min_certifiable_n(alpha, delta)
-    part = Window.partitionBy(*(by or [F.lit(0)]))
     if grid is None:
         points = risk_profile(rows, by, score, y).where(F.col("n_answered") >= least).select(*by, "threshold", "n_answered", "n_errors")
     else:
-        # running counts over scores and grid points together; a point comes after equal scores
-        cal = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(y)).cast("long").alias("e")).withColumn("point", F.lit(0))
+        # running counts over scores and grid points together; a point counts equal scores
+        cal = rows.select(*by, F.col(score).alias("threshold"), F.lit(1).cast("long").alias("n"), (1 - F.col(y)).cast("long").alias("e"), F.lit(0).alias("point"))
         marks = grid.select(*by, "threshold", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"), F.lit(1).alias("point"))
-        down = part.orderBy(F.col("threshold").desc(), "point").rowsBetween(Window.unboundedPreceding, 0)
-        points = cal.unionByName(marks).select(*by, "threshold", "point", F.sum("n").over(down).alias("n_answered"), F.sum("e").over(down).alias("n_errors")).where("point = 1")
+        each = cal.unionByName(marks).groupBy(*by, "threshold").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("point").alias("point"))
+        points = running(each, by, "threshold", {"n_answered": "n", "n_errors": "e"}, down=True).where("point = 1").select(*by, "threshold", "n_answered", "n_errors")
     total = points.groupBy(*by).agg(F.count("*").alias("n_points"))
-    tested = points.where(F.col("n_answered") >= least).withColumn("p", binom_cdf(F.col("n_errors"), F.col("n_answered"), alpha))
-    down = part.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kept = tested.withColumn("so_far", F.min((F.col("p") <= delta).cast("int")).over(down))
-    best = kept.groupBy(*by).agg(F.count("*").alias("n_tested"), F.min_by(F.struct("threshold", "n_answered", "n_errors"), F.when(F.col("so_far") == 1, F.col("threshold"))).alias("b"))
+    tested = settle(points.where(F.col("n_answered") >= least).withColumn("p", binom_cdf(F.col("n_errors"), F.col("n_answered"), alpha)))
+    # the sequence ends at the strictest threshold whose test doesn't reject: of those above it the most permissive is best
+    ends = tested.groupBy(*by).agg(F.count("*").alias("n_tested"), F.max(F.when(F.col("p") > delta, F.col("threshold"))).alias("end"))
+    passed = meet(tested, ends, by).withColumn("passed", F.col("end").isNull() | (F.col("threshold") > F.col("end")))
+    best = passed.groupBy(*by).agg(F.max("n_tested").alias("n_tested"), F.min_by(F.struct("threshold", "n_answered", "n_errors"), F.when(F.col("passed"), F.col("threshold"))).alias("b"))
     groups = _attach(_attach(_groups(rows, by), total, by), best, by)
     none = F.col("b.threshold").isNull()
     reason = (

@@ -235,6 +235,57 @@ def split_model_thresholds(spark, sf_dir):
     return t.select("model", "alpha", "n_splits", *[F.round(c, 5).alias(c) for c in ("test_coverage", "test_risk", "violation_rate", "abstain_all_rate")])
 
 
+# readers made of labels: the free one answers long documents, the forced one all; what isn't toxic is right where it has an answer
+_E2E_ITEMS = f"""{S}, items AS (SELECT item, reader, lang AS category, y = 1 AS answerable, reader = 'forced' OR score >= 0.45 AS answered, y = 1 AND toxic = 0 AND item % 7 <> 3 AND (reader = 'forced' OR score >= 0.45) AS correct, score AS rrf_top1, item % 5 / 4.0::DOUBLE AS f1 FROM s, (SELECT unnest(['free', 'forced']) AS reader))"""
+
+
+def _e2e_items(spark, sf_dir):
+    """One row per labelled document and made-up reader, as pipeline.score_items gives them."""
+    r = scored(spark, sf_dir).withColumn("reader", F.explode(F.array(F.lit("free"), F.lit("forced"))))
+    answered = (F.col("reader") == "forced") | (F.col("score") >= 0.45)
+    right = (F.col("y") == 1) & (F.col("toxic") == 0) & (F.col("item") % 7 != 3) & answered
+    return r.select("item", "reader", F.col("lang").alias("category"), (F.col("y") == 1).alias("answerable"), answered.alias("answered"), right.alias("correct"), F.col("score").alias("rrf_top1"), (F.col("item") % 5 / 4.0).alias("f1"))
+
+
+_E2E = f"""WITH {_E2E_ITEMS}, {dealt_sql('SELECT item, lang AS category FROM s')},
+x AS MATERIALIZED (SELECT reader, split_id, fold, i.*, (answered AND correct)::INT AS y FROM (SELECT * EXCLUDE (reader), reader FROM items) i JOIN (SELECT split_id, item, fold FROM dealt) USING (item)),
+moments AS (SELECT reader, split_id, avg(rrf_top1) AS mean, CASE WHEN stddev_pop(rrf_top1) < 1e-12 THEN 1 ELSE stddev_pop(rrf_top1) END AS dev FROM x WHERE fold = 'train' GROUP BY ALL HAVING avg(y) > 0 AND avg(y) < 1),
+{sql.newton("SELECT reader, split_id, y, (rrf_top1 - mean) / dev AS z0 FROM x JOIN moments USING (reader, split_id) WHERE fold = 'train'", "reader, split_id", 1, "1.0::DOUBLE")},
+gate AS MATERIALIZED (SELECT x.*, CASE WHEN answered THEN 0.5 * (1 + tanh(0.5 * (w0 * (rrf_top1 - mean) / dev + w1))) ELSE -1 END AS score FROM x JOIN moments USING (reader, split_id) JOIN w12_ USING (reader, split_id)),
+c AS (SELECT reader, split_id, score AS threshold, sum(n) OVER w AS n_answered, sum(e) OVER w AS n_errors FROM (SELECT reader, split_id, score, count(*) AS n, sum(1 - y) AS e FROM gate WHERE fold = 'cal' GROUP BY ALL) WINDOW w AS (PARTITION BY reader, split_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+al AS (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS alpha),
+t AS (SELECT reader, split_id, alpha, coalesce(min(threshold) FILTER (n_errors / n_answered <= alpha + 1e-12), 'inf'::DOUBLE) AS tau FROM c, al GROUP BY ALL),
+rows_ AS (SELECT CASE reader WHEN 'forced' THEN 'standard' ELSE 'self_abstain' END AS system, split_id, item, answered, answerable, correct, f1 FROM x WHERE fold = 'test'
+  UNION ALL SELECT CASE reader WHEN 'forced' THEN 'selective' ELSE 'selective_self' END || '[erm,alpha=' || printf('%g', alpha) || ']', split_id, item, score >= tau, answerable, correct, f1 FROM gate JOIN t USING (reader, split_id) WHERE fold = 'test'),
+per AS (SELECT system, split_id, avg(answered::INT) AS coverage, 1 - avg(correct::INT) FILTER (answered) AS selective_risk, avg(answered::INT) FILTER (NOT answerable) AS hallucination_rate, avg((answered AND NOT correct)::INT) FILTER (answerable) AS wrong_answer_rate,
+  avg(CASE WHEN answerable THEN answered AND correct ELSE NOT answered END::INT) AS accuracy, avg((NOT (answerable AND correct))::INT) FILTER (NOT answered) AS abstention_precision, avg((NOT answered)::INT) FILTER (NOT (answerable AND correct)) AS abstention_recall, avg(f1) FILTER (answered AND answerable) AS f1 FROM rows_ GROUP BY ALL),
+long AS (SELECT system, split_id, unnest(['coverage', 'selective_risk', 'hallucination_rate', 'wrong_answer_rate', 'accuracy', 'abstention_precision', 'abstention_recall', 'f1']) AS metric, unnest([coverage, selective_risk, hallucination_rate, wrong_answer_rate, accuracy, abstention_precision, abstention_recall, f1]) AS v FROM per)"""
+
+
+@register("e2e_systems", f"{_E2E} SELECT system, metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.05), 5) AS p05, round(quantile_cont(v, 0.95), 5) AS p95, count(v) AS n FROM long GROUP BY ALL")
+def e2e_systems(spark, sf_dir):
+    """End to end over 200 splits: answering always, by the reader's own choice, and behind gates of empirical risk at three levels."""
+    t = _e2e(spark, sf_dir)["systems"]
+    return t.where("system NOT LIKE '%ltt%'").select("system", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
+
+
+@register(
+    "e2e_deltas",
+    f"""{_E2E}, d AS (SELECT a.system, a.metric, a.v - b.v AS v FROM long a JOIN long b ON b.system = 'standard' AND b.split_id = a.split_id AND b.metric = a.metric WHERE a.system <> 'standard' AND a.metric IN ('hallucination_rate', 'selective_risk', 'coverage', 'accuracy'))
+SELECT system, metric, round(avg(v), 5) AS mean, round(avg((v < 0)::INT), 5) AS share_negative, count(v) AS n FROM d WHERE v IS NOT NULL GROUP BY ALL""",
+)
+def e2e_deltas(spark, sf_dir):
+    """What each system changes against answering always, split by split."""
+    t = _e2e(spark, sf_dir)["deltas"].where("system NOT LIKE '%ltt%'")
+    return t.select("system", "metric", F.round("mean", 5).alias("mean"), F.round("share_negative", 5).alias("share_negative"), "n")
+
+
+def _e2e(spark, sf_dir):
+    rows = settle(_e2e_items(spark, sf_dir))
+    splits = benchmark.stratified_splits(rows.where("reader = 'free'").select("item", "category"))
+    return benchmark.e2e_benchmark(rows, settle(splits), ["rrf_top1"])
+
+
 @register(
     "top_signals",
     f"""WITH {S}, e AS (SELECT item, unnest([0, 1, 2, 3]) AS i, unnest(['score', 'square', 'toxic', 'flat']) AS name, unnest([2 * (score - 0.5) / 0.25, -3 * (score * score - 0.3) / 0.5, 0.5 * toxic, 0.0::DOUBLE]) AS effect FROM s)
@@ -326,14 +377,15 @@ _FLAT = "trim(regexp_replace({0}, '[\\s\\x0b]+', ' ', 'g'))"
 
 @register(
     "sentence_gold",
-    f"""WITH c AS (SELECT conv_id, printf('%s::%04d', conv_id::VARCHAR, turn) AS chunk_id, {_FLAT.format('text')} AS flat FROM conversations),
-s AS (SELECT conv_id, chunk_id, trim(substr(flat, 3, 40)) AS sentence FROM c)
+    rf"""WITH c AS (SELECT conv_id, printf('%s::%04d', conv_id::VARCHAR, turn) AS chunk_id, {_FLAT.format('text')} AS flat FROM conversations),
+raw AS (SELECT conv_id, printf('%s::%04d', conv_id::VARCHAR, turn) AS chunk_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '[\x01\n]+')) AS piece FROM conversations),
+s AS (SELECT DISTINCT conv_id, chunk_id, {_FLAT.format('piece')} AS sentence FROM raw WHERE {_FLAT.format('piece')} <> '')
 SELECT s.chunk_id, s.sentence, coalesce(array_to_string(list_sort(list(DISTINCT c.chunk_id)), ' '), s.chunk_id) AS gold FROM s LEFT JOIN c ON c.conv_id = s.conv_id AND contains(c.flat, s.sentence) GROUP BY s.chunk_id, s.sentence""",
 )
 def sentence_gold(spark, sf_dir):
-    """The chunks of a document that hold a sentence but for white space, else its own."""
+    """The chunks of a conversation that hold each of its sentences but for white space, else the sentence's own."""
     rows = _turns(spark, sf_dir)
-    s = rows.select("chunk_id", "doc_id", F.trim(F.substring(tx.collapse(F.col("text")), 3, 40)).alias("sentence"))
+    s = rows.select("chunk_id", "doc_id", F.explode(tx.sentences(F.col("text"))).alias("sentence")).select("chunk_id", "doc_id", tx.collapse(F.col("sentence")).alias("sentence")).distinct()
     return evalset.gold_chunks(s, rows).select("chunk_id", "sentence", F.array_join("gold", " ").alias("gold"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +90,21 @@ def read_both(chunks: DataFrame, questions: DataFrame, k_ctx: int = 3, top: int
     return found, free.unionByName(forced), context
 
 
-def score_items(chunks: DataFrame, items: DataFrame, k_ctx: int = 3, top: int = 10) -> DataFrame:
+def score_items(chunks: DataFrame, items: DataFrame, k_ctx: int = 3, top: int = 10, progress: Callable[[int, int], None] | None = None, parts: int = 10) -> DataFrame:
     """One row per (item, reader): answered, correctness and answer metrics against the reference, with features.
 
-    items: query_id, text, reference, answerable, category, gold (array of chunk ids).
+    items: query_id, text, reference, answerable, category, gold (array of chunk
+    ids). With progress, which is told (items done, items), they are scored in
+    so many parts, one after the other.
     """
+    if progress is not None:
+        rows, done, total = None, 0, items.count()
+        for i in range(parts):
+            own = items.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+            part = settle(score_items(chunks, own, k_ctx, top))
+            rows, done = part if rows is None else rows.unionByName(part), done + own.count()
+            progress(done, total)
+        return rows
     found, answers, _ = read_both(chunks, items.select("query_id", "text"), k_ctx, top)
     rows = answers.join(items.drop("text"), "query_id")
     ok = F.col("answerable") & ~F.col("abstain")
