@@ -211,13 +211,13 @@ def _split_items(spark, sf_dir):
 a AS (SELECT model, split_id, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(mid) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END AS auroc, avg((score - y) ** 2) AS brier FROM test GROUP BY ALL),
 e AS (SELECT model, split_id, sum(gap) / any_value(n) AS ece FROM (SELECT model, split_id, abs(sum(score) - sum(y)) AS gap, sum(count(*)) OVER (PARTITION BY model, split_id) AS n FROM test GROUP BY model, split_id, least(floor(score * 10), 9)) GROUP BY ALL),
 v AS (SELECT model, unnest(['auroc', 'brier', 'ece']) AS metric, unnest([auroc, brier, ece]) AS v FROM a JOIN e USING (model, split_id))
-SELECT model, metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.05), 5) AS p05, round(quantile_cont(v, 0.95), 5) AS p95, count(v) AS n FROM v GROUP BY ALL""",
+SELECT model, metric, round(avg(v) + 1e-12, 5) AS mean, round(quantile_cont(v, 0.05) + 1e-12, 5) AS p05, round(quantile_cont(v, 0.95) + 1e-12, 5) AS p95, count(v) AS n FROM v GROUP BY ALL""",
 )
 def split_model_metrics(spark, sf_dir):
     """Models fitted on the training folds of 200 splits, measured on the test folds."""
     rows = _split_items(spark, sf_dir)
     t = benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), ["rrf_top1"])["metrics"]
-    return t.where(F.col("metric").isin("auroc", "brier", "ece")).select("model", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
+    return t.where(F.col("metric").isin("auroc", "brier", "ece")).select("model", "metric", *[F.round(F.col(c) + 1e-12, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
 
 
 @register(
@@ -226,13 +226,13 @@ def split_model_metrics(spark, sf_dir):
 al AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.2]) AS alpha),
 t AS (SELECT model, split_id, alpha, min(threshold) FILTER (n_errors / n_answered <= alpha + 1e-12) AS tau FROM c, al GROUP BY ALL),
 o AS (SELECT model, alpha, t.split_id, avg((x.score >= t.tau)::INT) AS coverage, avg(1 - x.y) FILTER (x.score >= t.tau) AS risk, t.tau IS NULL AS none FROM t JOIN (SELECT * FROM scored WHERE fold = 'test') x USING (model, split_id) GROUP BY model, alpha, t.split_id, t.tau)
-SELECT model, alpha, count(*) AS n_splits, round(avg(coalesce(coverage, 0)), 5) AS test_coverage, round(avg(risk), 5) AS test_risk, round(avg(CASE WHEN coverage > 0 AND risk > alpha + 1e-12 THEN 1 ELSE 0 END), 5) AS violation_rate, round(avg(none::INT), 5) AS abstain_all_rate FROM o GROUP BY ALL""",
+SELECT model, alpha, count(*) AS n_splits, round(avg(coalesce(coverage, 0)) + 1e-12, 5) AS test_coverage, round(avg(risk) + 1e-12, 5) AS test_risk, round(avg(CASE WHEN coverage > 0 AND risk > alpha + 1e-12 THEN 1 ELSE 0 END) + 1e-12, 5) AS violation_rate, round(avg(none::INT) + 1e-12, 5) AS abstain_all_rate FROM o GROUP BY ALL""",
 )
 def split_model_thresholds(spark, sf_dir):
     """Thresholds of empirical risk from the calibration folds of 200 splits, and what they do on the test folds."""
     rows = _split_items(spark, sf_dir)
     t = benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), ["rrf_top1"])["thresholds"].where("method = 'erm'")
-    return t.select("model", "alpha", "n_splits", *[F.round(c, 5).alias(c) for c in ("test_coverage", "test_risk", "violation_rate", "abstain_all_rate")])
+    return t.select("model", "alpha", "n_splits", *[F.round(F.col(c) + 1e-12, 5).alias(c) for c in ("test_coverage", "test_risk", "violation_rate", "abstain_all_rate")])
 
 
 # readers made of labels: the free one answers long documents, the forced one all; what isn't toxic is right where it has an answer
@@ -262,22 +262,22 @@ per AS (SELECT system, split_id, avg(answered::INT) AS coverage, 1 - avg(correct
 long AS (SELECT system, split_id, unnest(['coverage', 'selective_risk', 'hallucination_rate', 'wrong_answer_rate', 'accuracy', 'abstention_precision', 'abstention_recall', 'f1']) AS metric, unnest([coverage, selective_risk, hallucination_rate, wrong_answer_rate, accuracy, abstention_precision, abstention_recall, f1]) AS v FROM per)"""
 
 
-@register("e2e_systems", f"{_E2E} SELECT system, metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.05), 5) AS p05, round(quantile_cont(v, 0.95), 5) AS p95, count(v) AS n FROM long GROUP BY ALL")
+@register("e2e_systems", f"{_E2E} SELECT system, metric, round(avg(v) + 1e-12, 5) AS mean, round(quantile_cont(v, 0.05) + 1e-12, 5) AS p05, round(quantile_cont(v, 0.95) + 1e-12, 5) AS p95, count(v) AS n FROM long GROUP BY ALL")
 def e2e_systems(spark, sf_dir):
     """End to end over 200 splits: answering always, by the reader's own choice, and behind gates of empirical risk at three levels."""
     t = _e2e(spark, sf_dir)["systems"]
-    return t.where("system NOT LIKE '%ltt%'").select("system", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
+    return t.where("system NOT LIKE '%ltt%'").select("system", "metric", *[F.round(F.col(c) + 1e-12, 5).alias(c) for c in ("mean", "p05", "p95")], "n")
 
 
 @register(
     "e2e_deltas",
     f"""{_E2E}, d AS (SELECT a.system, a.metric, a.v - b.v AS v FROM long a JOIN long b ON b.system = 'standard' AND b.split_id = a.split_id AND b.metric = a.metric WHERE a.system <> 'standard' AND a.metric IN ('hallucination_rate', 'selective_risk', 'coverage', 'accuracy'))
-SELECT system, metric, round(avg(v), 5) AS mean, round(avg((v < 0)::INT), 5) AS share_negative, count(v) AS n FROM d WHERE v IS NOT NULL GROUP BY ALL""",
+SELECT system, metric, round(avg(v) + 1e-12, 5) AS mean, round(avg((v < -1e-12)::INT) + 1e-12, 5) AS share_negative, count(v) AS n FROM d WHERE v IS NOT NULL GROUP BY ALL""",
 )
 def e2e_deltas(spark, sf_dir):
     """What each system changes against answering always, split by split."""
     t = _e2e(spark, sf_dir)["deltas"].where("system NOT LIKE '%ltt%'")
-    return t.select("system", "metric", F.round("mean", 5).alias("mean"), F.round("share_negative", 5).alias("share_negative"), "n")
+    return t.select("system", "metric", F.round(F.col("mean") + 1e-12, 5).alias("mean"), F.round(F.col("share_negative") + 1e-12, 5).alias("share_negative"), "n")
 
 
 def _e2e(spark, sf_dir):

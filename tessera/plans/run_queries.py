@@ -90,12 +90,12 @@ _PER = f"SELECT u.m AS metric, query_id, u.v AS value, {_PLACES.format(by='u.m',
     "bootstrap_intervals",
     f"""WITH {TRACKS[5:]}, {sql.drawn(_PER, "metric")},
 means AS (SELECT metric, r, avg(value) AS v FROM picked JOIN numbered USING (metric, i) GROUP BY ALL)
-SELECT metric, round(any_value(mean), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM means JOIN (SELECT metric, avg(value) AS mean FROM numbered GROUP BY ALL) USING (metric) GROUP BY metric""",
+SELECT metric, round(any_value(mean) + 1e-12, 6) AS mean, round(quantile_cont(v, 0.025) + 1e-12, 6) AS lo, round(quantile_cont(v, 0.975) + 1e-12, 6) AS hi FROM means JOIN (SELECT metric, avg(value) AS mean FROM numbered GROUP BY ALL) USING (metric) GROUP BY metric""",
 )
 def bootstrap_intervals(spark, sf_dir):
     """95 % intervals of the ranking metrics of hybrid retrieval, from 1,000 resamples."""
     per = metrics.ranking_scores(retrieval.hybrid_search(corpus(spark, sf_dir), questions(spark, sf_dir), 10, index=index(spark, sf_dir)), gold(spark, sf_dir), [1, 3, 5, 10])
-    return benchmark.bootstrap_mean(per, ["metric"], order="query_id").select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+    return benchmark.bootstrap_mean(per, ["metric"], order="query_id").select("metric", *[F.round(F.col(c) + 1e-12, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 _OTHER = "('0x' || substr(md5(item::VARCHAR), 1, 4))::INT % 100 / 100.0::DOUBLE"
@@ -109,13 +109,13 @@ tied AS (SELECT lang, r, name, v, count(*) FILTER (y = 1) AS p, count(*) FILTER
 below AS (SELECT *, sum(q) OVER (PARTITION BY lang, r, name ORDER BY v) - q / 2.0::DOUBLE AS b FROM tied),
 area AS (SELECT lang, r, name, sum(p * b) / nullif(sum(p) * sum(q), 0) AS a FROM below GROUP BY ALL),
 every AS (FROM area UNION ALL BY NAME SELECT lang, r, 'delta' AS name, max(a) FILTER (name = 'other') - max(a) FILTER (name = 'score') AS a FROM area GROUP BY ALL)
-SELECT lang, name, round(max(a) FILTER (r = -1), 6) AS auroc, round(quantile_cont(a, 0.025) FILTER (r >= 0), 6) AS lo, round(quantile_cont(a, 0.975) FILTER (r >= 0), 6) AS hi FROM every GROUP BY ALL""",
+SELECT lang, name, round(max(a) FILTER (r = -1) + 1e-12, 6) AS auroc, round(quantile_cont(a, 0.025) FILTER (r >= 0) + 1e-12, 6) AS lo, round(quantile_cont(a, 0.975) FILTER (r >= 0) + 1e-12, 6) AS hi FROM every GROUP BY ALL""",
 )
 def bootstrap_auroc(spark, sf_dir):
     """AUROC of two scores and their difference, from 1,000 resamples within each class."""
     other = F.conv(F.substring(F.md5(F.col("item").cast("string")), 1, 4), 16, 10).cast("int") % 100 / 100.0
     rows = scored(spark, sf_dir).withColumn("other", other)
-    return benchmark.bootstrap_auroc(rows, ["lang"], ["score", "other"]).select("lang", "name", *[F.round(c, 6).alias(c) for c in ("auroc", "lo", "hi")])
+    return benchmark.bootstrap_auroc(rows, ["lang"], ["score", "other"]).select("lang", "name", *[F.round(F.col(c) + 1e-12, 6).alias(c) for c in ("auroc", "lo", "hi")])
 
 
 @register("extractive_items")
