@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by score-aware (anisotropic) quantisation.
+"""Nearest neighbours by score-aware (anisotropic) quantisation, checked exactly.
 
 Unit vectors are product-quantised with 16 centres per subspace, four bits
 each. Codes and centres minimise |r|^2 + (eta - 1) <r, x>^2 for the residual r
@@ -7,17 +7,22 @@ costs eta times as much as error across it. A scan adds up table entries for
 pairs of four-bit codes; the best rows by that estimate are reranked by their
 exact cosine in double precision.
 
-The table that is scanned holds codes alone, of distinct vectors: rows that share
-a vector are one entry, with as many of their smallest ids as could ever be
-returned, so a vector that a third of all rows share crowds nothing out. It is
-cut into chunks that a task holds; queries, in a few groups, go to every chunk. A
-chunk's best entries per query by the estimate are merged into one shortlist per
-query, of fixed length, and only then are the vectors of the shortlists fetched.
+The estimate tells vectors that lie close together apart no better than their
+codes do, so an exact check follows: with each code stand the parallel part p of
+its residual and the length a of the part across. A vector of cosine s with a
+query has an estimate of at least s (1 - p) - a sqrt(1 - s^2), which grows with
+s, so one whose estimate lies below that for the k-th cosine found so far is no
+nearer; all others get their exact cosine. Nothing that is nearer is lost,
+whatever the rows look like; how many are looked at depends on how far the codes
+tell them apart.
+
+Rows that share a vector are one entry, with as many of their smallest ids as
+could ever be returned. Entries are dealt into chunks that a task holds; queries
+go to every chunk, and k rows per query leave it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,16 +33,14 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 CENTRES = 16
-#: Rows of codes that are compared with a block of queries at once.
+#: Rows of codes whose estimates are added up at once.
 STEP = 8192
-#: Queries in a block.
-BLOCK = 512
-#: Up to so many distinct vectors a shortlist of 96 finds 0.97 of the nearest 5 of Gaussian vectors of 64 dimensions;
-#: with this power beyond, 0.978 at 200,000 and at a million (with 96 alone 0.942 and 0.922).
-STEADY, GROWTH = 50_000, 0.4
-
-#: Groups of queries at most: each gets the codes of all entries.
-GROUPS = 16
+#: Queries that meet a chunk at once.
+BLOCK = 64
+#: Components of the vectors of a chunk at most; smaller tables are cut into up to SPREAD chunks of LEAST rows or more.
+HELD, SPREAD, LEAST = 1 << 22, 24, 2048
+#: Estimates are sums of single-precision numbers: how far they may be off for every table summed.
+SLACK = 1e-6
 
 
 class Quantiser:
@@ -93,6 +96,10 @@ class Quantiser:
                 parallel = others + along[m][rows, codes[:, m]]
         return codes
 
+    def decode(self, codes: np.ndarray, dims: int) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return np.concatenate([self.centres[m][codes[:, m]] for m in range(codes.shape[1])], axis=1)[:, :dims]
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """For each pair of subspaces, the inner products of all queries with all 256 pairs of centres."""
         subspaces, _, width = self.centres.shape
@@ -145,10 +152,10 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, dims: int, sample_rows: int = 20_000, seed: int = 3) -> tuple[DataFrame, Quantiser | None]:
-    """Quantise every distinct vector: entry, codes (binary). Centres are fitted on at most about sample_rows of them."""
+    """Quantise every distinct vector: entry, v, ids, codes (binary), along and across (its residual's parts). Centres are fitted on at most about sample_rows of them."""
     total = vectors.count()
     if not total:
-        return vectors.select("entry", F.lit(b"").alias("codes")), None
+        return vectors, None
     share = min(1.0, sample_rows / total)
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     sample = np.array([r["v"] for r in drawn.select("v").orderBy("v").collect()], np.float64).reshape(-1, dims)
@@ -160,10 +167,16 @@ def build_index(vectors: DataFrame, dims: int, sample_rows: int = 20_000, seed:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                codes = pack(quantiser.encode(_unit(_matrix(part.column("v"), dims))))
-                yield pa.RecordBatch.from_arrays([part.column("entry"), pa.array([x.tobytes() for x in codes], pa.binary())], ["entry", "codes"])
+                unit = _unit(_matrix(part.column("v"), dims))
+                codes = quantiser.encode(unit)
+                rest = unit - quantiser.decode(codes, dims)
+                along = (rest * unit).sum(axis=1)
+                across = np.sqrt(((rest - along[:, None] * unit) ** 2).sum(axis=1))
+                own = [pa.array([x.tobytes() for x in pack(codes)], pa.binary()), pa.array(along), pa.array(across)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("entry", "v", "ids")], *own], ["entry", "v", "ids", "codes", "along", "across"])
 
-    return stored(vectors.select("entry", "v").mapInArrow(run, "entry long, codes binary"), "index"), quantiser
+    kinds = "entry long, v array<double>, ids array<long>, codes binary, along double, across double"
+    return stored(vectors.select("entry", "v", "ids").mapInArrow(run, kinds), "index"), quantiser
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -199,86 +212,89 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _shortest(estimate: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n largest estimates of each row, with what stands there."""
-    if estimate.shape[1] > n:
-        top = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(estimate, top, 1), np.take_along_axis(at, top, 1)
-    return estimate, at
-
-
-def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, dims: int, n: int) -> Iterable[pa.RecordBatch]:
-    """Table scans for a partition sorted by (part, query): a part's codes come first, then its queries, taken BLOCK at a time."""
-    part, entries, held, asked = None, [], [], []
-    codes = own = None
-
-    def flush() -> Iterable[pa.RecordBatch]:
-        nonlocal codes, own, held, asked
-        block, asked = asked, []
-        if not entries or not block:
+class _Chunk:
+    """Entries that a task holds, with their codes and the parts of their residuals."""
+
+    def __init__(self, rows: pa.Table, quantiser: Quantiser, dims: int):
+        column = lambda name: rows.column(name).combine_chunks()
+        self.quantiser = quantiser
+        self.v = _matrix(column("v"), dims) + 0.0
+        self.unit = _unit(self.v)
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(column("codes").to_pylist()), np.uint8).reshape(len(self.v), -1).T)
+        self.along, self.across = column("along").to_numpy(), column("across").to_numpy()
+        ids = column("ids")
+        self.count = np.array(ids.value_lengths(), np.int64)
+        self.ids, self.start = ids.flatten().to_numpy(), np.cumsum(self.count) - self.count
+
+    def estimates(self, unit: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(unit), len(self.v)), np.float32)
+        tables = self.quantiser.tables(unit)
+        for a in range(0, len(self.v), STEP):
+            part = out[:, a : a + STEP]
+            for table, c in zip(tables, self.codes[:, a : a + STEP], strict=True):
+                part += table[:, c]
+        return out
+
+    def kth(self, name: int, at: np.ndarray, cosine: np.ndarray, k: int) -> float:
+        """The k-th best cosine of entries at places that hold another row than the query's own; -1 where there are fewer."""
+        cosine = cosine[(self.count[at] > 1) | (self.ids[self.start[at]] != name)]
+        return float(np.partition(cosine, len(cosine) - k)[len(cosine) - k]) if len(cosine) >= k else -np.inf
+
+    def open(self, estimate: np.ndarray, t: float) -> np.ndarray:
+        """Places of the entries whose cosine may be t or more."""
+        if t == -np.inf:
+            return np.arange(len(estimate))
+        if t >= 0:
+            least = np.where(self.along < 1, t * (1 - self.along) - np.sqrt(max(0.0, 1 - t * t)) * self.across, -np.inf)
+        else:
+            least = t - np.sqrt(self.along**2 + self.across**2)
+        return np.flatnonzero(estimate >= least - SLACK * len(self.codes))
+
+    def search(self, name: int, query: np.ndarray, unit: np.ndarray, estimate: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k nearest rows here: the n best by the estimate first, then all that may be as near."""
+        first = np.argpartition(-estimate, n - 1)[:n] if len(estimate) > n else np.arange(len(estimate))
+        at = self.open(estimate, self.kth(name, first, self.unit[first] @ unit, k) - 1e-9)
+        cosine = (self.unit @ unit)[at] if 8 * len(at) > len(estimate) else self.unit[at] @ unit
+        at = at[cosine >= self.kth(name, at, cosine, k) - 1e-9]
+        score = np.repeat(cosines(query[None], self.v[at][None])[0], self.count[at])
+        ids = np.concatenate([self.ids[a : a + c] for a, c in zip(self.start[at].tolist(), self.count[at].tolist(), strict=True)]) if len(at) else np.zeros(0, np.int64)
+        other = (ids != name) & np.isfinite(score)
+        if not other.any():
+            return np.zeros(0), np.zeros(0, np.int64)
+        score, ids = (x[0] for x in _best(score[other][None], ids[other][None], k))
+        return score[np.isfinite(score)], ids[np.isfinite(score)]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, dims: int, k: int, n: int) -> Iterable[pa.RecordBatch]:
+    """Searches for a partition sorted by (chunk, query): a chunk's entries come first, then its queries, taken BLOCK at a time."""
+    name, held, chunk = None, [], None
+
+    def ask(rows: pa.Table) -> Iterable[pa.RecordBatch]:
+        if chunk is None:
             return
-        if codes is None:
-            codes, own = np.ascontiguousarray(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1).T), np.array(entries, np.int64)
-            held = []
-        ids = np.array([i for i, _ in block], np.int64)
-        tables = quantiser.tables(_unit(np.stack([v for _, v in block])))
-        best, who = np.zeros((len(ids), 0), np.float32), np.zeros((len(ids), 0), np.int64)
-        for a in range(0, len(own), STEP):
-            some = codes[:, a : a + STEP]
-            estimate = np.zeros((len(ids), some.shape[1]), np.float32)
-            for table, c in zip(tables, some, strict=True):
-                estimate += table[:, c]
-            estimate, at = _shortest(estimate, np.broadcast_to(own[a : a + STEP], estimate.shape), n)
-            best, who = _shortest(np.concatenate((best, estimate), axis=1), np.concatenate((who, at), axis=1), n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], ["query_id", "entry", "estimate"])
+        ids, v = rows.column("id").to_pylist(), _matrix(rows.column("v").combine_chunks(), dims) + 0.0
+        unit = _unit(v)
+        estimates = chunk.estimates(unit)
+        found = [chunk.search(i, v[j], unit[j], estimates[j], k, n) for j, i in enumerate(ids)]
+        size = [len(x) for x, _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), size)), pa.array(np.concatenate([x for _, x in found])), pa.array(np.concatenate([x for x, _ in found]))], ["query_id", "vec_id", "score"])
 
     for batch in batches:
-        ids, vectors = batch.column("id").to_pylist(), batch.column("v")
-        numbers, packed = batch.column("entry").to_pylist(), batch.column("codes")
-        for i, (now, query) in enumerate(zip(batch.column("part").to_pylist(), batch.column("query").to_pylist(), strict=True)):
-            if now != part:
-                yield from flush()
-                part, entries, held, codes = now, [], [], None
-            if not query:
-                entries.append(numbers[i])
-                held.append(packed[i].as_py())
+        part, query = batch.column("chunk").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (query[1:] != query[:-1])) + 1, [len(part)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
                 continue
-            asked.append((ids[i], vectors[i].values.to_numpy()))
-            if len(asked) == BLOCK:
-                yield from flush()
-    yield from flush()
-
-
-def _rerank(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterable[pa.RecordBatch]:
-    """The k nearest of each query by exact cosine, for a partition sorted by (query_id, query): its vector first, then its shortlist."""
-    name, asked = None, None
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush() -> Iterable[pa.RecordBatch]:
-        if asked is None or not held:
-            return
-        score = cosines(asked[None], np.stack([v for v, _ in held])[None])[0]
-        which = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
-        ids = np.concatenate([x for _, x in held])
-        which, ids = which[ids != name], ids[ids != name]
-        score, ids = _best(score[which][None], ids[None], k) if len(ids) else (np.zeros((1, 0)), np.zeros((1, 0), np.int64))
-        some = np.isfinite(score[0])
-        n = int(some.sum())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(ids[0][some]), pa.array(score[0][some])], ["query_id", "rank", "vec_id", "score"])
-
-    for batch in batches:
-        vectors, queries = batch.column("v"), batch.column("query").to_pylist()
-        for i, query_id in enumerate(batch.column("query_id").to_pylist()):
-            if query_id != name:
-                yield from flush()
-                name, asked, held = query_id, None, []
-            v = vectors[i].values.to_numpy() + 0.0
-            if not queries[i]:
-                asked = v
-            else:
-                held.append((v, batch.column("ids")[i].values.to_numpy()))
-    yield from flush()
+            rows = batch.slice(a, b - a)
+            if part[a] != name:
+                name, held, chunk = part[a], [], None
+            if not query[a]:
+                held.append(rows)
+                continue
+            if held:
+                chunk, held = _Chunk(pa.Table.from_batches(held), quantiser, dims), []
+            for i in range(0, b - a, BLOCK):
+                yield from ask(pa.Table.from_batches([rows.slice(i, BLOCK)]))
 
 
 def nearest(
@@ -288,7 +304,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     rerank: int = 96,
-    chunk_rows: int = 1 << 19,
+    chunk_rows: int = 1 << 16,
     sample_rows: int = 20_000,
     dims: int | None = None,
 ) -> DataFrame:
@@ -298,10 +314,10 @@ def nearest(
     the query's id are its own; repeated rows are found once; an id that asks
     twice asks with its least vector. Nearest first, ties to the smaller id; all
     candidates where there are fewer than k; no rows give none. Other columns,
-    whatever their names, are left behind. The shortlist has `rerank` entries up
-    to STEADY distinct vectors, and grows with a power of their number beyond
-    (GROWTH; k + 1 at least). A task holds chunk_rows entries'
-    codes at most. Neither queries nor rows reach the driver, but for the sample
+    whatever their names, are left behind. The `rerank` best by the estimate are
+    reranked first in every chunk, k + 1 at least, and then whatever the codes
+    don't rule out. A task holds chunk_rows vectors at most, fewer of many
+    dimensions. Neither queries nor rows reach the driver, but for the sample
     that centres are fitted on.
     """
     spark = vectors.sparkSession
@@ -311,24 +327,16 @@ def nearest(
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asking = stored(sound(vectors.where(is_query), id_col, vector_col, dims)[0].groupBy("id").agg(F.min("v").alias("v")), "asking")
-    # a part is a chunk of entries with a group of queries; entries go to every group, so there are few groups
-    n_entries = index.count()
-    chunks = -(-n_entries // chunk_rows)
-    groups = max(1, min(GROUPS, -(-asking.count() // 128)))
-    none = lambda kind: F.lit(None).cast(kind)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    coded = index.select(each(groups).alias("g"), F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(chunks)).alias("c"), F.lit(False).alias("query"), "entry", "codes", none("long").alias("id"), none("array<double>").alias("v"))
-    sent = asking.select(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(groups)).alias("g"), each(chunks).alias("c"), F.lit(True).alias("query"), none("long").alias("entry"), none("binary").alias("codes"), "id", "v")
-    size = max(math.ceil(rerank * max(1.0, n_entries / STEADY) ** GROWTH), k + 1)
-    parts = coded.union(sent).select((F.col("c") * groups + F.col("g")).alias("part"), "query", "entry", "codes", "id", "v")
-    scanned = (
-        parts.repartitionById(int(chunks * groups), F.col("part").cast("int")).sortWithinPartitions("part", "query").mapInArrow(lambda it: _scan(it, quantiser, dims, size), "query_id long, entry long, estimate float")
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "entry")
-    shortlist = scanned.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("query_id", "entry")
-    fetched = shortlist.join(entries, "entry").select("query_id", F.lit(True).alias("query"), "v", "ids")
-    asked = asking.select(F.col("id").alias("query_id"), F.lit(False).alias("query"), "v", none("array<long>").alias("ids"))
-    out = asked.union(fetched).repartition("query_id").sortWithinPartitions("query_id", "query").mapInArrow(lambda it: _rerank(it, dims, k), "query_id long, rank int, vec_id long, score double")
+    total = index.count()
+    chunks = max(-(-total // max(1, min(chunk_rows, HELD // dims))), min(SPREAD, -(-total // LEAST)))
+    none = lambda c: F.lit(None).cast(index.schema[c].dataType).alias(c)
+    held = index.select(F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(chunks)).alias("chunk"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "codes", "along", "across")
+    sent = asking.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(True).alias("query"), "id", "v", none("ids"), none("codes"), none("along"), none("across"))
+    size = max(rerank, k + 1)
+    dealt = held.union(sent).repartitionById(int(chunks), F.col("chunk").cast("int")).sortWithinPartitions("chunk", "query")
+    near = dealt.mapInArrow(lambda it: _scan(it, quantiser, dims, k, size), "query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = near.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     out = stored(out, "nearest")
     for table in (index, asking, entries):
         discard(table)

@@ -150,6 +150,14 @@ def test_ties_nulls_and_odd_vectors(spark):
     assert all(abs(r["score"] - 1) < 1e-12 for r in scores)
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.3])
+def test_nearest_of_vectors_that_share_their_codes(spark, spread):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(3, 24))
+    rows = [(i, (centres[i % 3] + spread * rng.normal(size=24)).tolist()) for i in range(1500)]
+    assert search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), chunk_rows=600) == exact(rows, 5)
+
+
 def test_parallel_error_costs_more():
     rng = np.random.default_rng(1)
     x = scann._unit(rng.normal(size=(500, 16)))
