@@ -6,6 +6,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from conftest import same_as_sql
+from tessera.plans import registry
 from tessera.sources import catalogue, documents, pdf
 
 
@@ -244,3 +246,9 @@ def test_fingerprint_in_levels(spark):
     while count > 3:
         level, count = join(level), count // 3
     assert (got["digest"], got["n"]) == (hashlib.sha256("".join(level).encode()).hexdigest(), 40)
+
+
+def test_stored_vectors_round_halves_as_the_sql_does(spark, tmp_path):
+    rows = [(i, [i / 128, -i / 128, 1e-8 * i, -1e-8, 1e6 + i / 64]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same_as_sql(spark, "stored_vectors", registry.queries(), registry.oracle_sql(), str(tmp_path))
