@@ -3,13 +3,19 @@
 Every distinct word has the set of its trigrams, between marks at its ends. For a
 Jaccard similarity of `least` two sets must share one of the first few trigrams
 of each, rarest first (a prefix filter); words meet on those alone and the pairs
-are then verified.
+are then verified. A question and its one sentence meet in their own row: their
+words are few, and the words of the whole table that are like a term are many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as tx
 from .settle import settle
@@ -63,12 +69,48 @@ def soft_coverage(pairs: DataFrame, idf: DataFrame, key: str = "query_id") -> Da
     question without terms that count has coverage 0.
     """
     asked = pairs.select(key, F.explode(F.array_distinct(tx.tokenize(F.col("question")))).alias("term")).where(~F.col("term").isin(tx.QUESTION_ONLY))
-    weights = settle(asked.join(idf.select(key, "term", "idf"), [key, "term"]))
-    words = settle(pairs.select(key, F.explode(F.array_distinct(tx.tokenize(F.col("sentence")))).alias("word")))
-    near = trigram_join(weights.select("term"), words.select("word"))
-    best = weights.select(key, "term").join(near, "term").join(words, [key, "word"]).groupBy(key, "term").agg(F.max("similarity").alias("s"))
-    exact = weights.select(key, "term").join(words.withColumnRenamed("word", "term"), [key, "term"], "left_semi").withColumn("s", F.lit(1.0))
-    most = best.unionByName(exact).groupBy(key, "term").agg(F.max("s").alias("s"))
-    covered = weights.join(most, [key, "term"], "left").groupBy(key).agg(F.sum(F.col("idf") * F.coalesce("s", F.lit(0.0))).alias("c"), F.sum("idf").alias("whole"))
-    share = F.when(F.col("whole") > 0, F.col("c") / F.col("whole")).otherwise(0.0)
-    return pairs.select(key).join(covered.select(key, share.alias("coverage")), key, "left").select(key, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    weights = asked.join(idf.select(key, "term", "idf"), [key, "term"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t"))
+    share = _covered(F.col("t.term"), F.col("t.idf"), F.array_distinct(tx.tokenize(F.col("sentence"))))
+    return pairs.select(key, "sentence").join(weights, key, "left").select(key, F.when(F.col("t").isNull(), 0.0).otherwise(share).alias("coverage"))
+
+
+def _grams(word: str) -> set[str]:
+    marked = f"#{word}#"
+    return {marked[i : i + 3] for i in range(len(word))}
+
+
+def closest(terms: Iterable[str], words: Iterable[str], least: float = NEAR) -> list[float]:
+    """For every term the trigram Jaccard of the word most like it, 1 for itself, 0 where none reaches least."""
+    words = list(words)
+    have, sizes = set(words), [len(_grams(w)) for w in words]
+    holding: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        for g in _grams(w):
+            holding.setdefault(g, []).append(i)
+    out = []
+    for term in terms:
+        best, common = 0.0, {}
+        if term in have:
+            out.append(1.0)
+            continue
+        own = _grams(term)
+        for g in own:
+            for i in holding.get(g, ()):
+                common[i] = common.get(i, 0) + 1
+        for i, c in common.items():
+            best = max(best, c / (len(own) + sizes[i] - c))
+        out.append(best if best >= least else 0.0)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _covered(terms: pd.Series, idf: pd.Series, words: pd.Series) -> pd.Series:
+    """The share of the terms' idf that the words cover; 0 where the idf adds up to nothing."""
+
+    def one(t, i, w) -> float:
+        if t is None or not len(t):
+            return 0.0
+        whole = float(np.sum(i))
+        return float(np.dot(i, closest(t, w))) / whole if whole > 0 else 0.0
+
+    return pd.Series([one(t, i, w) for t, i, w in zip(terms, idf, words, strict=True)], dtype="float64")

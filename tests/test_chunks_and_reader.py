@@ -102,6 +102,24 @@ def test_trigram_join(spark):
         similar.trigram_join(frame(terms, "term"), frame(words, "word"), 0)
 
 
+def test_one_reading_serves_both_modes(spark):
+    q = spark.createDataFrame([(1, "what gates answers"), (2, "bananas of jupiter"), (3, "")], "query_id long, text string")
+    text = "Tessera gates answers by risk. It quotes 3 sentences of each chunk."
+    c = spark.createDataFrame([(i, f"c{i}", 1, text) for i in (1, 2)], "query_id long, chunk_id string, rank int, text string")
+    both = reader.extractive(c, q, forced=None)
+    apart = reader.extractive(c, q).unionByName(reader.extractive(c, q, forced=True))
+    assert both.count() == 6 and both.exceptAll(apart).count() == 0
+
+
+def test_soft_coverage_stays_in_its_row(spark, monkeypatch):
+    monkeypatch.setattr(similar, "trigram_join", None)  # words of other rows are of no concern
+    pairs = spark.createDataFrame([(i, "gate gates threshold", f"gating thresholds word{i}") for i in range(20)] + [(99, "gate", "")], "query_id long, question string, sentence string")
+    idf = spark.createDataFrame([(i, t, w) for i in range(20) for t, w in (("gate", 1.0), ("gates", 2.0), ("threshold", 1.0))] + [(99, "gate", 1.0)], "query_id long, term string, idf double")
+    got = {r["query_id"]: r["coverage"] for r in similar.soft_coverage(pairs, idf).collect()}
+    # #ga, gat shared of four and six trigrams: 2/8; #ga, gat of five and six: 2/9; threshold is 8 of 11
+    assert got[99] == 0 and all(abs(got[i] - (8 / 11) / 4) < 1e-12 for i in range(20))
+
+
 def test_soft_coverage(spark):
     rows = [(1, "drained weeks", "They drain it for 6 weeks"), (2, "how many", "many weeks"), (3, "weeks", ""), (4, None, "weeks"), (5, "weeks", None)]
     pairs = spark.createDataFrame(rows, "query_id int, question string, sentence string")
