@@ -127,7 +127,7 @@ def read_conversations(spark, sf_dir):
     asks = settle(c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("last")))
     q = asks.select(F.col("conv_id").alias("query_id"), "text")
     context = settle(c.join(asks.select("conv_id", "last"), "conv_id").where("turn < last").select(F.col("conv_id").alias("query_id"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), F.col("turn").cast("int").alias("rank"), "text"))
-    both = reader.extractive(context, q).unionByName(reader.extractive(context, q, forced=True))
+    both = reader.extractive(context, q, forced=None)
     only = lambda values: F.coalesce(F.get(values, 0), F.lit(""))
     return both.select(F.col("query_id").alias("conv_id"), "forced", "abstain", F.md5("answer").alias("answer"), only(F.col("citations")).alias("citation"), F.md5(only(F.col("evidence_quotes"))).alias("quote"), "reason")
 

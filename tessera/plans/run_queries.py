@@ -34,7 +34,7 @@ def reader_free_and_forced(spark, sf_dir):
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
     hits = settle(retrieval.hybrid_search(c, q, 3, index=index(spark, sf_dir)).select("query_id", "pos", "rank"))
     context = settle(hits.join(c, "pos").select("query_id", F.col("pos").cast("string").alias("chunk_id"), "rank", "text"))
-    both = reader.extractive(context, q).unionByName(reader.extractive(context, q, forced=True))
+    both = reader.extractive(context, q, forced=None)
     grouped = context.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "text")).alias("context"))
     return both.join(grouped, "query_id").withColumn("error", reader.grounding_error()).drop("context")
 
