@@ -227,6 +227,7 @@ def chat(args, spark: SparkSession, lines=None) -> int:
     gate, k, scores, as_json = policy, args.k_ctx, args.scores, args.json
     plugged = plugs(args)
     index = retrieval.build_index(rows.select("pos", "text"))
+    _ = index.bm25  # one question after the other: postings by token
     for line in lines or sys.stdin:
         line = line.strip()
         word, _, rest = line.partition(" ")

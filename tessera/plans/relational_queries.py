@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import allocate, encode_double
 from ..operators import chunks, evalset, metrics
+from ..operators.settle import settle
 from ..sources import documents as sources
 from ..sources import store
 from . import sql
@@ -203,8 +204,8 @@ def facts_in_windows(spark, sf_dir):
 def mentions(spark, sf_dir):
     """Documents that hold all tokens of a term, the first five by pos: tokens meet by equality, then are counted."""
     need = questions(spark, sf_dir).select("query_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("need")).where("size(need) > 0")
-    need = need.select("query_id", F.explode("need").alias("token"), F.size("need").alias("n"))
-    hit = need.join(index(spark, sf_dir).bm25.postings.select("token", "pos"), "token").groupBy("query_id", "pos", "n").agg(F.count("*").alias("c")).where("c = n")
+    need = settle(need.select("query_id", F.explode("need").alias("token"), F.size("need").alias("n")))
+    hit = index(spark, sf_dir).counts.select("token", "pos").join(need, "token").groupBy("query_id", "pos", "n").agg(F.count("*").alias("c")).where("c = n")
     return hit.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where("rn <= 5").select("query_id", "pos")
 
 
