@@ -25,7 +25,8 @@ def scored(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = F.round(F.col("n_chars") / (F.col("n_chars") + 1000.0), 2)
-    return labels.join(docs, "doc_id").select(F.col("doc_id").alias("item"), "lang", score.alias("score"), F.col("quality").alias("y"), "toxic")
+    # both tables grow with the corpus: neither passes through the driver
+    return labels.hint("merge").join(docs, "doc_id").select(F.col("doc_id").alias("item"), "lang", score.alias("score"), F.col("quality").alias("y"), "toxic")
 
 
 def r6(*names):
