@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, unused
@@ -105,13 +105,9 @@ def _texts(batch: pa.RecordBatch, step: int) -> Iterator[tuple[int, list[str]]]:
         yield a, [x or "" for x in batch.column("text").slice(a, step).to_pylist()]
 
 
-def _sampled(labelled: DataFrame, text_col: str, lang_col: str, sample_rows: int, seed: int) -> DataFrame:
-    """text, lang of rows that have both; of more than sample_rows a share, by a seeded hash of the text."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    total = labelled.where(F.col(lang_col).isNotNull()).count()
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
-    return rows
+def _labelled(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """text, lang of all rows that have both."""
+    return rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
 
 #: Fewer letters than this are too few to tell a language that wasn't learned.
@@ -122,29 +118,36 @@ def letters(text) -> F.Column:
     return F.length(F.regexp_replace(text, r"\P{L}+", ""))
 
 
-def least_scores(labelled: DataFrame, prototypes: list[tuple[str, np.ndarray]], text_col: str = "text", lang_col: str = "lang", share: float = 0.001, margin: float = 0.8, sample_rows: int = 20_000, seed: int = 6, **options) -> dict[str, float]:
+#: Cosines are ranked by so many equal steps.
+STEPS = 1_000_000
+
+
+def least_scores(labelled: DataFrame, prototypes: list[tuple[str, np.ndarray]], text_col: str = "text", lang_col: str = "lang", share: float = 0.001, margin: float = 0.8, **options) -> dict[str, float]:
     """Per language, a cosine that all but `share` of its own labelled texts exceed, times a margin: what scores less is of no learned language.
 
-    From at most sample_rows labelled rows, in expectation, with LEAST_LETTERS
-    letters or more that are recognised; a language without any has 0.
+    From all labelled rows with LEAST_LETTERS letters or more that are
+    recognised; a language without any has 0. Cosines are counted by steps, of
+    which there are as many however many rows there are.
     """
-    rows = _sampled(labelled, text_col, lang_col, sample_rows, seed).where(letters(F.col("text")) >= LEAST_LETTERS)
+    rows = _labelled(labelled, text_col, lang_col).where(letters(F.col("text")) >= LEAST_LETTERS)
     found = predict(rows, prototypes, into=("__lang", "__score"), **options).where(F.col("__lang") == F.col("lang"))
-    low = {r["lang"]: r["low"] for r in found.groupBy("lang").agg(F.percentile("__score", F.lit(share)).alias("low")).collect()}
+    steps = found.groupBy("lang", F.floor(F.col("__score") * STEPS).alias("step")).agg(F.count("*").alias("n"), F.min("__score").alias("low"))
+    own = Window.partitionBy("lang")
+    upto = F.sum("n").over(own.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = steps.withColumns({"upto": upto, "total": F.sum("n").over(own)}).where(F.col("upto") > F.lit(share) * (F.col("total") - 1))
+    low = {r["lang"]: r["low"] for r in ranked.groupBy("lang").agg(F.min_by("low", "step").alias("low")).collect()}
     return {name: margin * low.get(name, 0.0) for name, _ in prototypes}
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, seed: int = 5, **options) -> list[tuple[str, np.ndarray]]:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> list[tuple[str, np.ndarray]]:
     """Prototypes (language, unit vector) from labelled rows.
 
-    Rows without text or language teach nothing. sample_rows bounds, in
-    expectation, how many rows are read as text: of more, a share is drawn by a
-    seeded hash of the text. Each task sums its vectors per language in fixed
-    point, so the sums of sums that Spark forms don't depend on their order.
-    Languages are a closed set of labels; their number times `dims` reaches the
-    driver, however many tasks there are.
+    All rows teach, but for those without text or language. Each task sums its
+    vectors per language in fixed point, so the sums of sums that Spark forms
+    don't depend on their order. Languages are a closed set of labels; their
+    number times `dims` reaches the driver, however many tasks there are.
     """
-    rows = _sampled(labelled, text_col, lang_col, sample_rows, seed)
+    rows = _labelled(labelled, text_col, lang_col)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         p = profiles(**options)

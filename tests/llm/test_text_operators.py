@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -497,3 +498,18 @@ def test_copies_of_a_text_are_looked_up_alone(spark, monkeypatch):
     # 49 copies on host a, 12 pages beside them have the menu; the host without a name has 12 copies and 8 others
     assert judged[1] == (7, False) and judged[99] == (3, False) and judged[95] == (0, False) and texts[99] == "only here 99" and texts[200] is None
     assert common.HEAVY == 1000
+
+
+def test_language_profiles_learn_from_every_row(spark):
+    rows = [(f"word{'abcdefghij'[i % 10]} house number {'klmnopqrst'[i // 10 % 10]} stands alone here", "en") for i in range(30_000)]
+    rare = ("zzq zzq zzq zzq zzq zzq zzq zzq", "en")
+    base = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    many = [("ooo xxo ooo xxo oxo xoxo ooxx xooxo oxox", "zz")] * 40
+    docs = base.unionByName(spark.createDataFrame([*many, rare], base.schema))
+    (_, en), (_, zz) = langid.learn(docs)
+    whole = langid.profiles().bundles([t for t, _ in rows[:100]]).astype(float).sum(axis=0) * 300 + langid.profiles().bundles([rare[0]])[0]
+    assert np.allclose(en, whole / np.linalg.norm(whole), atol=1e-6)
+    # one of 30,001 lies within the share that may score less, one of ten doesn't
+    low = langid.least_scores(docs, [("en", en), ("zz", zz)], margin=1.0)
+    few = langid.least_scores(spark.createDataFrame([*rows[:9], rare], base.schema), [("en", en), ("zz", zz)], margin=1.0)
+    assert few["en"] < low["en"] and low["zz"] > 0.9
