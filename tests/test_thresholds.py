@@ -246,3 +246,10 @@ def test_grid_quantiles_with_and_without_groups(spark):
         assert sorted({round(x, 9) for x in got[g]}) == pytest.approx(want)
     alone = thresholds.coverage_grid(train.where("g = 'a'").drop("g"), spark.createDataFrame([(80,)], "n_cal long"), 0.1, 0.1)
     assert sorted(r["threshold"] for r in alone.collect()) == pytest.approx(sorted(got["a"]))
+
+
+def test_labels_meet_documents_without_the_driver(spark):
+    from conftest import SMALL
+    from tessera.plans.calibration_queries import scored
+
+    assert "Broadcast" not in scored(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
