@@ -14,7 +14,7 @@ from ..operators import metrics, rerank, retrieval, thresholds
 from ..operators.settle import settle
 from . import sql
 from .registry import register
-from .retrieval_queries import corpus, GOLD, gold, index, questions
+from .retrieval_queries import corpus, GOLD, gold, index, questions, rrf_lists
 
 S = "s AS (SELECT d.doc_id AS item, lang, round(n_chars / (n_chars + 1000.0::DOUBLE), 2) AS score, quality AS y, toxic FROM labels JOIN documents d USING (doc_id))"
 PROFILE = """prof AS (SELECT lang, score AS threshold, sum(n) OVER w AS n_answered, sum(e) OVER w AS n_errors, sum(n) OVER (PARTITION BY lang) AS n_total
@@ -176,11 +176,10 @@ def label_statistics(spark, sf_dir):
 
 
 def _tracks(spark, sf_dir):
-    c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
-    i = index(spark, sf_dir)
-    sparse, dense = retrieval.sparse_search(c, q, 10, index=i), retrieval.hashed_search(c, q, 10, index=i)
-    keep = lambda df, n: df.select(F.lit(n).alias("track"), "query_id", "pos", "rank", "score")
-    return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.hybrid_search(c, q, 10, index=i), "hybrid")))
+    """The ten best of both retrievers and of their fusion, from one search of each."""
+    sparse, dense = (settle(hits) for hits in rrf_lists(spark, sf_dir))
+    keep = lambda df, n: df.where(F.col("rank") <= 10).select(F.lit(n).alias("track"), "query_id", "pos", "rank", "score")
+    return settle(keep(sparse, "sparse").union(keep(dense, "dense")).union(keep(retrieval.fuse([sparse, dense]), "hybrid")))
 
 
 TRACKS = f"""{sql.HYBRID}, {GOLD}, tracks AS (SELECT 'sparse' AS track, query_id, pos, rank, score FROM sparse WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, pos, rank, score FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, pos, rank, score FROM fused WHERE rank <= 10),
