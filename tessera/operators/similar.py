@@ -13,7 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -31,12 +31,12 @@ def grams(word: Column) -> Column:
 
 
 def _prefixes(words: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """word, gram, n of the trigrams that two similar words can't both lack."""
-    each = words.select("word", F.size("g").alias("n"), F.explode("g").alias("gram")).join(frequency, "gram")
-    place = F.row_number().over(Window.partitionBy("word").orderBy("f", "gram"))
+    """word, gram, place, n, g: the trigrams that two similar words can't both lack, with all n of the word, the rarest first."""
+    each = words.select("word", F.explode("g").alias("gram")).join(frequency, "gram")
+    ordered = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("e")).select("word", F.size("e").alias("n"), F.col("e.gram").alias("g"))
     # in whole numbers of a millionth, so that a limit such as 0.7 cuts where it says
-    needed = F.ceil(F.col("n") * F.lit(round(least * 1_000_000)) / 1_000_000 - 1e-9)
-    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - needed + 1).select("word", "gram", "n")
+    needed = F.ceil(F.col("n") * F.lit(round(least * 1_000_000)) / 1_000_000 - 1e-9).cast("int")
+    return ordered.select("word", "n", "g", F.posexplode(F.slice("g", F.lit(1), F.col("n") - needed + 1)).alias("place", "gram"))
 
 
 def trigram_join(terms: DataFrame, words: DataFrame, least: float = NEAR) -> DataFrame:
@@ -50,14 +50,15 @@ def trigram_join(terms: DataFrame, words: DataFrame, least: float = NEAR) -> Dat
     right = settle(words.where("word IS NOT NULL").select("word").distinct().withColumn("g", grams(F.col("word"))))
     frequency = left.unionByName(right).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
     frequency = settle(frequency)
-    a = _prefixes(left, frequency, least).select(F.col("word").alias("term"), "gram", F.col("n").alias("m"))
-    b = _prefixes(right, frequency, least)
+    a = _prefixes(left, frequency, least).select(F.col("word").alias("term"), "gram", F.col("n").alias("m"), F.col("place").alias("i"), F.col("g").alias("g1"))
+    b = _prefixes(right, frequency, least).select("word", "gram", "n", F.col("place").alias("j"), F.col("g").alias("g2"))
     alike = (F.col("m") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("m") - 1e-9)
-    pairs = a.join(b, "gram").where(alike).select("term", "word").distinct()
-    both = pairs.join(left.select(F.col("word").alias("term"), F.col("g").alias("g1")), "term").join(right.select("word", F.col("g").alias("g2")), "word")
+    # where two words meet first, what they share is that trigram and others behind it in both
+    behind = (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) * (1 + least) >= least * (F.col("m") + F.col("n")) - 1e-9)
+    # verified where they meet: what is not similar isn't shuffled again
     common = F.size(F.array_intersect("g1", "g2"))
-    scored = both.withColumn("similarity", common / (F.size("g1") + F.size("g2") - common))
-    return scored.where(F.col("similarity") >= least).select("term", "word", "similarity")
+    met = a.join(b, "gram").where(alike & behind).select("term", "word", (common / (F.col("m") + F.col("n") - common)).alias("similarity"))
+    return met.where(F.col("similarity") >= least).distinct()
 
 
 def soft_coverage(pairs: DataFrame, idf: DataFrame, key: str = "query_id") -> DataFrame:
