@@ -120,11 +120,13 @@ def save_retriever(chunks: DataFrame, path: str, config: RetrieverConfig | None
     config = config or RetrieverConfig()
     config.num_chunks = chunks.count()
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    retrieval.hashed_bags(chunks.select("pos", "text"), "pos", config.dims).write.mode("overwrite").parquet(f"{path}/vectors")
-    index = retrieval.bm25_index(chunks.select("pos", "text"), config.k1, config.b)
-    index.postings.repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    # the texts are tokenised once, and all tables come from that
+    index = retrieval.build_index(chunks.select("pos", "text"), config.dims)
+    index.bags.select("pos", F.explode(F.arrays_zip("at", "w")).alias("x")).select("pos", F.col("x.at").alias("bucket"), F.col("x.w").alias("weight")).write.mode("overwrite").parquet(f"{path}/vectors")
+    # postings lie where the join with their token's idf leaves them
+    index.postings(config.k1, config.b).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.rows.select("pos", F.size("d").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
     write_text(spark, json.dumps(asdict(config), sort_keys=True), f"{path}/config")
     return config
 
