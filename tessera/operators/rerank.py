@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from .retrieval import Index, hybrid_search, rank_by
+from .retrieval import Index, asked_once, for_all, hybrid_search, rank_by
 from .settle import settle
 
 # fixed values: weights of the features and the bias of the logit
@@ -152,6 +152,8 @@ def two_stage(
     """
     if top <= 0 or retrieve <= 0:
         raise ValueError("top and retrieve must be positive")
+    # every text is asked once, however many questions have it
+    queries, of = asked_once(queries)
     # a pool per question, used several times over: kept, so that later plans start from it
     candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index, dense=dense))
     passages = index.tokens if index is not None and score is None else corpus.select("pos", F.col("text").alias("passage"))
@@ -159,4 +161,5 @@ def two_stage(
     scored = (score or lexical_features)(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])
     ranked = rows.withColumn("rank", rank_by(F.round("logit", 9).desc(), F.col("first_stage_rank"))).where(F.col("rank") <= top)
-    return candidates, settle(ranked.withColumns({"score": F.col("logit"), "probability": numeric.sigmoid(F.col("logit"))}))
+    results = settle(ranked.withColumns({"score": F.col("logit"), "probability": numeric.sigmoid(F.col("logit"))}))
+    return for_all(candidates, of), for_all(results, of)
