@@ -12,7 +12,7 @@ from ..operators.settle import settle
 from . import pipeline, sql
 from .calibration_queries import S, TRACKS, scored
 from .registry import register
-from .retrieval_queries import corpus, gold, index, questions
+from .retrieval_queries import corpus, gold, held, held_among, index, questions
 
 
 def chunk_table(spark, sf_dir):
@@ -43,8 +43,8 @@ def items(spark, sf_dir):
     """Benchmark items with features, the safe-to-answer label and a category."""
     c, q = corpus(spark, sf_dir), questions(spark, sf_dir)
     found, _, results = features.evidence(c, q, index=index(spark, sf_dir))
-    g = gold(spark, sf_dir)
-    answerable = g.select("query_id").distinct().withColumn("a", F.lit("answerable"))
+    g = held_among(results.where(F.col("rank") <= 3), c, q)
+    answerable = held(c, q).distinct().withColumn("a", F.lit("answerable"))
     rows = found.join(features.safe_labels(q, results, g), "query_id").join(answerable, "query_id", "left")
     return settle(rows.select(F.col("query_id").alias("item"), F.coalesce("a", F.lit("other")).alias("category"), F.col("safe").alias("y"), *features.FEATURES))
 
