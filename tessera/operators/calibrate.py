@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sigmoid
-from .metrics import meet
+from .metrics import mean_of, meet
 from .settle import settle
 
 
@@ -78,8 +78,9 @@ def _sums(d: int):
     for i in range(d):
         logit = logit + F.get("w", F.lit(i)) * z[i]
     p = F.col("p")
-    bends = [F.sum(p * (1 - p) * z[i] * z[j]) for i in range(d + 1) for j in range(i, d + 1)]
-    return sigmoid(logit), F.array(*bends), F.array(*[F.sum((p - F.col("y")) * z[i]) for i in range(d + 1)])
+    n = F.col("n")
+    bends = [F.sum(n * p * (1 - p) * z[i] * z[j]) for i in range(d + 1) for j in range(i, d + 1)]
+    return sigmoid(logit), F.array(*bends), F.array(*[F.sum(n * (p - F.col("y")) * z[i]) for i in range(d + 1)])
 
 
 def _solver(models: dict[str, tuple[list[str], float]], names: list[str]):
@@ -105,7 +106,7 @@ def _solver(models: dict[str, tuple[list[str], float]], names: list[str]):
     return solve
 
 
-def fit_models(rows: DataFrame, by: list[str], models: dict[str, tuple[list[str], float]], y: str = "y", rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+def fit_models(rows: DataFrame, by: list[str], models: dict[str, tuple[list[str], float]], y: str = "y", rounds: int = 100, tolerance: float = 1e-8, weight: str | None = None) -> DataFrame:
     """Logistic models, all of them for all groups at once: model, by, mean, std, coef, intercept.
 
     models: name -> its features and their penalty. Every round is one
@@ -113,17 +114,25 @@ def fit_models(rows: DataFrame, by: list[str], models: dict[str, tuple[list[str]
     solve per row of its result; groups whose step falls below the tolerance
     leave, and so does everything after rounds. coef follows the features of all
     models in order of first mention, 0 where a model lacks one. Groups of one
-    class give no rows.
+    class give no rows. weight: a column that says how many rows a row stands for.
     """
     names = list(dict.fromkeys(f for own, _ in models.values() for f in own))
     d = len(names)
-    data = rows.select(*by, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)], F.col(y).cast("double").alias("y"))
-    moments = [F.array(*[f(f"x{i}") for i in range(d)]).alias(n) for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]
-    stats = data.groupBy(*by).agg(F.count("y").alias("n"), F.sum("y").alias("pos"), *moments).where("pos > 0 AND pos < n")
+    data = rows.select(*by, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)], F.col(y).cast("double").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("n"))
+    known = F.sum(F.when(F.col("y").isNotNull(), F.col("n")))
+    array = lambda f: F.array(*[f(i, F.col(f"x{i}")) for i in range(d)])
+    sizes = [known.alias("n"), F.sum(F.col("y") * F.col("n")).alias("pos")]
+    if weight is None:
+        stats = data.groupBy(*by).agg(*sizes, array(lambda i, x: F.avg(x)).alias("mean"), array(lambda i, x: F.stddev_pop(x)).alias("dev"))
+    else:
+        means = settle(data.groupBy(*by).agg(*sizes, array(lambda i, x: mean_of(x, "n")).alias("mean")).withColumnsRenamed({"n": "__n"}))
+        off = meet(data, means, by)
+        stats = off.groupBy(*by).agg(F.first("__n").alias("n"), F.first("pos").alias("pos"), F.first("mean").alias("mean"), array(lambda i, x: F.sqrt(mean_of((x - F.get("mean", F.lit(i))) * (x - F.get("mean", F.lit(i))), "n"))).alias("dev"))
+    stats = stats.where("pos > 0 AND pos < n")
     stats = settle(stats.select(*by, "mean", F.transform("dev", lambda s: F.when(s < 1e-12, 1.0).otherwise(s)).alias("std")))
     met = meet(data, stats, by)
     z = F.array(*[(F.col(f"x{i}") - F.get("mean", F.lit(i))) / F.get("std", F.lit(i)) for i in range(d)])
-    table = settle(met.select(*by, "y", z.alias("z")))
+    table = settle(met.select(*by, "y", "n", z.alias("z")))
     state = stats.select(*by, F.explode(F.array(*map(F.lit, models))).alias("model"), F.array_repeat(F.lit(0.0), d + 1).alias("w"))
     p, bends, slopes = _sums(d)
     solve, done = _solver(models, names), None
@@ -143,9 +152,9 @@ def fit_models(rows: DataFrame, by: list[str], models: dict[str, tuple[list[str]
     return settle(fitted.select("model", *by, "mean", "std", F.slice("w", 1, d).alias("coef"), F.get("w", F.lit(d)).alias("intercept")))
 
 
-def fit_groups(rows: DataFrame, by: list[str], features: list[str], y: str = "y", l2: float = 1.0) -> DataFrame:
+def fit_groups(rows: DataFrame, by: list[str], features: list[str], y: str = "y", l2: float = 1.0, weight: str | None = None) -> DataFrame:
     """One model per group: by, mean, std, coef (arrays), intercept. Groups of one class give no row."""
-    return fit_models(rows, by, {"": (list(features), l2)}, y).drop("model")
+    return fit_models(rows, by, {"": (list(features), l2)}, y, weight=weight).drop("model")
 
 
 def score_groups(rows: DataFrame, models: DataFrame, by: list[str], features: list[str], into: str = "score") -> DataFrame:

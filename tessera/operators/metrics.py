@@ -8,7 +8,7 @@ parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settle
@@ -43,17 +43,30 @@ def running(rows: DataFrame, by: list[str], key: str, values: dict[str, str], do
     return out.drop("__range", *[f"__{n}" for n in values])
 
 
-def _profile(rows: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
+def count_of(weight: str | None) -> Column:
+    """Number of rows; weight: a column that says how many rows a row stands for."""
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def mean_of(value: Column, weight: str | None) -> Column:
+    """Mean of the values that aren't null, with rows counted as in count_of."""
+    if weight is None:
+        return F.avg(value)
+    return F.try_divide(F.sum(value * F.col(weight)), F.sum(F.when(value.isNotNull(), F.col(weight))))
+
+
+def _profile(rows: DataFrame, by: list[str], score: str, y: str, weight: str | None = None) -> DataFrame:
     """by, threshold, n and e there, n_answered, n_errors, n_total."""
-    each = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(y)).cast("long").alias("e"))
-    total = rows.groupBy(*by).agg(F.count("*").alias("n_total"))
+    wrong = 1 - F.col(y) if weight is None else (1 - F.col(y)) * F.col(weight)
+    each = rows.groupBy(*by, F.col(score).alias("threshold")).agg(count_of(weight).alias("n"), F.sum(wrong).cast("long").alias("e"))
+    total = rows.groupBy(*by).agg(count_of(weight).alias("n_total"))
     return meet(running(each, by, "threshold", {"n_answered": "n", "n_errors": "e"}, down=True), total, by)
 
 
-def risk_profile(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
+def risk_profile(rows: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
     """Answered and wrong rows at or above every distinct score: by, threshold, n_answered, n_errors, n_total, coverage, risk."""
     by = by or []
-    out = _profile(rows, by, score, y).select(*by, "threshold", "n_answered", "n_errors", "n_total")
+    out = _profile(rows, by, score, y, weight).select(*by, "threshold", "n_answered", "n_errors", "n_total")
     return out.withColumn("coverage", F.col("n_answered") / F.col("n_total")).withColumn("risk", F.col("n_errors") / F.col("n_answered"))
 
 
@@ -161,17 +174,17 @@ def candidate_recall(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg((F.count("in") / F.count("*")).alias("r")).agg(F.avg("r").alias("candidate_recall"))
 
 
-def system_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+def system_metrics(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Metrics of a system per group from rows (answered, answerable, correct, em, f1, key_fact, citation_precision); null where undefined."""
     a, ok, good = F.col("answered"), F.col("answerable"), F.col("correct")
-    mean = lambda value, where: F.avg(F.when(where, value.cast("double")))
+    mean = lambda value, where: mean_of(F.when(where, value.cast("double")), weight)
     should_abstain = ~(ok & good)
     return rows.groupBy(*by).agg(
-        F.avg(a.cast("double")).alias("coverage"),
+        mean_of(a.cast("double"), weight).alias("coverage"),
         (1 - mean(good, a)).alias("selective_risk"),
         mean(a, ~ok).alias("hallucination_rate"),
         mean(a & ~good, ok).alias("wrong_answer_rate"),
-        F.avg(F.when(ok, a & good).otherwise(~a).cast("double")).alias("accuracy"),
+        mean_of(F.when(ok, a & good).otherwise(~a).cast("double"), weight).alias("accuracy"),
         mean(should_abstain, ~a).alias("abstention_precision"),
         mean(~a, should_abstain).alias("abstention_recall"),
         *[mean(F.col(m), a & ok).alias(m) for m in ("em", "f1", "key_fact", "citation_precision") if m in rows.columns],

@@ -73,13 +73,13 @@ def stratified_splits(spark, sf_dir):
 def benchmark_metrics(spark, sf_dir):
     """Ranking and calibration of every model over resampled splits of the benchmark items."""
     rows = items(spark, sf_dir)
-    return benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), features.FEATURES)["metrics"]
+    return benchmark.abstention_benchmark(rows, benchmark.dealing(), features.FEATURES, tables=("metrics",))["metrics"]
 
 
 @register("benchmark_thresholds")
 def benchmark_thresholds(spark, sf_dir):
     rows = items(spark, sf_dir)
-    return benchmark.abstention_benchmark(rows, benchmark.stratified_splits(rows), features.FEATURES)["thresholds"]
+    return benchmark.abstention_benchmark(rows, benchmark.dealing(), features.FEATURES, tables=("thresholds",))["thresholds"]
 
 
 _PLACES = "row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS m"

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric
@@ -253,3 +254,15 @@ def test_labels_meet_documents_without_the_driver(spark):
     from tessera.plans.calibration_queries import scored
 
     assert "Broadcast" not in scored(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_like_items_are_counted_once_through_all_splits(spark):
+    """Folds equal those of a sort of every split, and cells of like items hold all rows of them."""
+    items = spark.range(900).select(F.col("id").alias("item"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("category"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 4 / 4.0).alias("rrf_top1"))
+    got = benchmark.cells(items, benchmark.dealing(3, 5), ["y", "rrf_top1"])
+    place = F.row_number().over(Window.partitionBy("split_id", "category").orderBy(F.md5(F.concat_ws("/", F.lit("5"), F.col("split_id").cast("string"), F.col("item").cast("string"))), "item"))
+    n = F.when(F.col("category") == "a", 300).otherwise(600)
+    fold = F.when(F.col("place") <= 0.4 * n, "train").when(F.col("place") <= 0.7 * n, "cal").otherwise("test")
+    want = items.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("split_id"))).withColumn("place", place).withColumn("fold", fold)
+    rows = lambda df: sorted(map(tuple, df.select("split_id", "fold", "y", "rrf_top1", "n").collect()))
+    assert rows(got) == rows(want.groupBy("split_id", "fold", "y", "rrf_top1").agg(F.count("*").alias("n")))
