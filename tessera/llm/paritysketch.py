@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ BAND = 1.5
 RARE = 8
 #: Share of parts beyond the most that may differ.
 MARGIN = 0.15
+#: Keys are shuffled in turns, if there are more shingles than so many, so that the files of all keys never lie on disk at once.
+TURNS, TURN_SHINGLES = 4, 20_000_000
 #: Shingles that a block of a cluster holds, about; blocks are compared in pairs.
 BLOCK_SHINGLES = 150_000
 #: Sets that a block holds, about: bounds the table of pairs where sets are small.
@@ -173,8 +176,8 @@ PAIR, FREQUENT, SENT = 0, 1, 2
 _COLUMNS = ("key", "node", "band", "spare")
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Keys of a task's sets, one row each. Of a key that more than RARE of them have, only RARE + 1 are SENT; the others are FREQUENT already."""
+def _local(batches: Iterator[pa.RecordBatch], turn: int = 0, turns: int = 1) -> Iterable[pa.RecordBatch]:
+    """Keys of a task's sets whose turn it is, one row each. Of a key that more than RARE of them have, only RARE + 1 are SENT; the others are FREQUENT already."""
     held: list[list[np.ndarray]] = []
 
     def flush() -> Iterable[pa.RecordBatch]:
@@ -191,7 +194,8 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         flat = keys.flatten().flatten().to_numpy()
         node = np.repeat(np.repeat(batch.column("node").to_numpy(), n_bands), n_keys)
         band, spare = (np.repeat(batch.column(c).flatten().to_numpy(), n_keys) for c in ("bands", "spare"))
-        held.append([flat, node, band, spare])
+        own = slice(None) if turns == 1 else flat.view(np.uint64) % np.uint64(turns) == turn
+        held.append([x[own] for x in (flat, node, band, spare)])
         if sum(len(x[0]) for x in held) >= CHUNK:
             yield from flush()
             held = []
@@ -413,9 +417,15 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     schema = f"id {kind}, row binary, n_shingles long, name1 long, name2 long, bands array<int>, spare array<int>, keys array<array<long>>"
     sketched = stored(frame.mapInArrow(lambda it: _sketch(it, n, bands), schema), "sketched")
     # candidates are sought by half a name, so that nothing is joined before; two sets that share it are told apart below
-    keys = sketched.where(F.size("keys") > 0).select(F.col("name1").alias("node"), "bands", "spare", "keys").mapInArrow(_local, "kind byte, key long, node long, band int, spare int")
-    dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
-    met = stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met")
+    some = sketched.where(F.size("keys") > 0).select(F.col("name1").alias("node"), "bands", "spare", "keys")
+    # all keys at once would take several times the disk of what they make; no key is in two turns
+    turns = min(TURNS, 1 + (sketched.agg(F.sum("n_shingles")).first()[0] or 0) // TURN_SHINGLES)
+    mets = []
+    for turn in range(turns):
+        keys = some.mapInArrow(lambda it, turn=turn: _local(it, turn, turns), "kind byte, key long, node long, band int, spare int")
+        dealt = keys.repartition(F.when(F.col("kind") == SENT, F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
+        mets.append(stored(dealt.sortWithinPartitions("key", "node").mapInArrow(_meet, "kind byte, a long, b long, band int, x int, y int"), "met"))
+    met = reduce(DataFrame.union, mets)
     sketched = narrowed(sketched, "rows", "id", "row", "n_shingles", "name1", "name2")
     nodes = (
         sketched.where("n_shingles > 0")
@@ -437,8 +447,8 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, n: int = 3,
     least = heads.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
     joint = heads.join(least, "key").where("u <> v").select("u", "v")
     ties = stored(close.union(stars.where("kind = 0").select("a", "b")).union(joint).distinct(), "ties")
-    discard(met)
-    discard(stars)
+    for table in (*mets, stars):
+        discard(table)
     clusters = stored(connected(ties), "clusters")
 
     # one text for each node of a cluster, its set, and blocks of about BLOCK_SHINGLES

@@ -374,6 +374,33 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     assert joined(docs, 8, 10, 3) == brute.components(rows, 8, 10, 3)
 
 
+def test_keys_are_shuffled_in_turns(spark, monkeypatch):
+    rows = [(i, " ".join([f"f{i % 9}w{k}" for k in range(40)] + [f"tail{i % 4}"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    made = []
+    whole = paritysketch.stored
+    monkeypatch.setattr(paritysketch, "stored", lambda df, name: made.append(name) or whole(df, name))
+    monkeypatch.setattr(paritysketch, "TURN_SHINGLES", 1)
+    assert joined(docs, 8, 10, 3) == brute.components(rows, 8, 10, 3) and made.count("met") == 4
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from tessera.llm import common
+
+    def files():
+        return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    assert common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "counts").collect()
+    for _ in range(50):
+        if (left := files()) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before and spark.conf.get(name, None) is None
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
