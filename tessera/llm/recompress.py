@@ -323,17 +323,31 @@ _STATE = {"doc": "<i4", "at": "<i4", "n": "<i4", "word": "<i8", "name": "<i8", "
 
 
 def _packed(state: dict) -> bytes:
-    """Arrays as one value: rows of a block pass Spark as a few bytes columns, not element by element."""
-    arrays = [np.ascontiguousarray(state.get(c, ()), kind) for c, kind in _STATE.items()]
-    return np.array([len(x) for x in arrays], "<i8").tobytes() + b"".join(x.tobytes() for x in arrays)
+    """Arrays as one value: rows of a block pass Spark as a few bytes columns, not element by element.
+
+    It is compressed, since tasks hold several blocks at once: lo and hi, which
+    lie close to a symbol's own words, as distances from these.
+    """
+    arrays = {c: np.ascontiguousarray(state.get(c, ()), kind) for c, kind in _STATE.items()}
+    if len(arrays["lo"]):
+        end = np.cumsum(arrays["span"], dtype="<i4")
+        arrays |= {"lo": arrays["lo"] - end, "hi": arrays["hi"] - end}
+    sizes = np.array([len(x) for x in arrays.values()], "<i8").tobytes()
+    return sizes + pa.compress(b"".join(x.tobytes() for x in arrays.values()), "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> dict:
     at = 8 * len(_STATE)
-    out = {}
-    for (c, kind), n in zip(_STATE.items(), np.frombuffer(data, "<i8", len(_STATE)), strict=True):
-        out[c] = np.frombuffer(data, kind, n, at)
+    sizes = dict(zip(_STATE, np.frombuffer(data, "<i8", len(_STATE)).tolist(), strict=True))
+    total = sum(n * np.dtype(_STATE[c]).itemsize for c, n in sizes.items())
+    whole = pa.decompress(memoryview(data)[at:], total, "zstd") if total else b""
+    out, at = {}, 0
+    for c, n in sizes.items():
+        out[c] = np.frombuffer(whole, _STATE[c], n, at)
         at += out[c].nbytes
+    if len(out["lo"]):
+        end = np.cumsum(out["span"], dtype="<i4")
+        out |= {"lo": out["lo"] + end, "hi": out["hi"] + end}
     return out
 
 

@@ -254,6 +254,20 @@ def test_symbols_agree_inside_equal_substrings():
     assert seen[0] == seen[1] and len(seen[0]) > 5
 
 
+def test_blocks_are_packed_small():
+    rng = np.random.default_rng(3)
+    n = 50_000
+    name = (rng.zipf(1.3, n) % 5000 * 64 << 33) - 1
+    span = rng.integers(1, 4, n).astype("<i4")
+    end = np.cumsum(span)
+    state = {"doc": [0], "at": [0], "n": [end[-1]], "word": name, "name": name, "which": np.full(n, -1), "span": span, "lo": end - span - rng.integers(0, 2, n), "hi": end + 1, "top_name": name[:3], "top_a": [], "top_span": [60]}
+    packed = recompress._packed(state)
+    got = recompress._unpacked(packed)
+    assert all(np.array_equal(got[c], np.asarray(v)) for c, v in state.items()) and set(got) == set(state)
+    assert 4 * len(packed) < sum(v.nbytes for v in got.values())
+    assert all(len(v) == 0 for v in recompress._unpacked(recompress._packed({})).values())
+
+
 # words of one length that a polynomial of the bytes modulo 2**64 can't tell apart
 THUE = ["a"]
 for _ in range(10):
@@ -401,6 +415,21 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert left <= before and spark.conf.get(name, None) is None
 
 
+def test_tasks_get_small_batches(spark):
+    from tessera.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    common.documents(spark, SMALL)
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 1 and max(found) <= common.BATCH + (2 << 20)
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
