@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from .retrieval import Index, asked_once, for_all, hybrid_search, rank_by
+from .retrieval import Index, asked_once, for_all, hybrid_search, marked, rank_by
 from .settle import settle
 
 # fixed values: weights of the features and the bias of the logit
@@ -157,7 +157,7 @@ def two_stage(
     # a pool per question, used several times over: kept, so that later plans start from it
     candidates = settle(hybrid_search(corpus, queries, max(retrieve, top), mode, index=index, dense=dense))
     passages = index.tokens if index is not None and score is None else corpus.select("pos", F.col("text").alias("passage"))
-    pairs = candidates.select("query_id", "pos").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(passages, "pos")
+    pairs = candidates.select("query_id", "pos").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(marked(passages, candidates, "pos"), "pos")
     scored = (score or lexical_features)(pairs).select("query_id", "pos", "logit")
     rows = candidates.withColumnsRenamed({"rank": "first_stage_rank", "score": "first_stage_score"}).join(scored, ["query_id", "pos"])
     ranked = rows.withColumn("rank", rank_by(F.round("logit", 9).desc(), F.col("first_stage_rank"))).where(F.col("rank") <= top)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import features, reader
 from ..operators.calibrate import Policy
+from ..operators.retrieval import marked
 from ..operators.settle import settle
 
 
 def context_of(results: DataFrame, chunks: DataFrame, k_ctx: int) -> DataFrame:
     """query_id, rank, chunk_id, title, text of the first k_ctx rows; texts join only now."""
-    return results.where(F.col("rank") <= k_ctx).select("query_id", "pos", "rank").join(chunks.select("pos", "chunk_id", "title", "text"), "pos").drop("pos")
+    first = results.where(F.col("rank") <= k_ctx).select("query_id", "pos", "rank")
+    return first.join(marked(chunks.select("pos", "chunk_id", "title", "text"), first, "pos"), "pos").drop("pos")
 
 
 def answer(
